@@ -85,3 +85,14 @@ def with_group_aggs(df: DataFrame, keys: Iterable[str], aggs: Mapping[str, Colum
 
 def empty_like(spark: SparkSession, schema: str) -> DataFrame:
     return spark.createDataFrame([], T._parse_datatype_string(schema))
+
+
+def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Join on columns of the same name, null-safe, keeping the left side's key columns only."""
+    for k in keys:
+        right = right.withColumnRenamed(k, f"__right_{k}")
+    cond = F.lit(True)
+    for i, k in enumerate(keys):
+        same = F.col(k).eqNullSafe(F.col(f"__right_{k}"))
+        cond = same if i == 0 else cond & same
+    return left.join(right, cond, how).drop(*[f"__right_{k}" for k in keys])

@@ -5,13 +5,27 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from .bpe import bpe_decode, bpe_encode
 from .common import read
 from .exact_dedup import exact_dedup
+from .mixing import mix_rates
 from .quality import quality_verdicts
 from .simhash_dedup import simhash_near_dedup
 
 
+def rank_file(name: str = "byte_bpe_multi_50k.tiktoken") -> str:
+    """Place of a public rank file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op3_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_rates(read(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
@@ -20,12 +34,18 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(read(spark, sf_dir, "documents"))
 
 
+def op9_byte_level_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe_encode(read(spark, sf_dir, "documents"), rank_file())
+    back = bpe_decode(coded, rank_file())
+    return back.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_exact_dedup, op8_simhash_near_dedup, op10_quality_rules)}
+    return {f.__name__: f for f in (op3_source_mixing, op5_exact_dedup, op8_simhash_near_dedup, op9_byte_level_bpe, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

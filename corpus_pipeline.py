@@ -1,12 +1,20 @@
-"""The corpus pipeline: quality rules, exact dedup, near dedup."""
+"""The corpus pipeline: quality rules, exact dedup, near dedup, mixing to source weights, BPE encoding.
+
+Every stage takes (spark, docs, sf_dir), works on all rows its predecessor kept, and returns the columns
+of ``docs``; the last returns token ids. Only documents that a stage rejects go; extra columns pass
+through. Null texts fail the quality rules; later stages would treat them as empty.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from apsidal.llm.bpe import bpe_encode
 from apsidal.llm.common import read
 from apsidal.llm.exact_dedup import drop_exact_copies
+from apsidal.llm.mixing import take_mix
 from apsidal.llm.quality import keep_quality
+from apsidal.llm.queries import rank_file
 from apsidal.llm.simhash_dedup import drop_near_copies
 
 
@@ -25,7 +33,23 @@ def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     return drop_near_copies(docs)
 
 
-STAGES = [("quality_rules", quality_rules), ("exact_dedup", exact_dedup), ("simhash_near_dedup", simhash_near_dedup)]
+def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as its copies under the target weights say (0, 1 or 2 times)."""
+    return take_mix(docs)
+
+
+def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, ids, ends: one row per row of the mix."""
+    return bpe_encode(docs, rank_file())
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("exact_dedup", exact_dedup),
+    ("simhash_near_dedup", simhash_near_dedup),
+    ("source_mixing", source_mixing),
+    ("bpe_tokens", bpe_tokens),
+]
 
 #: Iterative stages and Newton solves have no SQL form; the tests hold each stage against brute force.
 ORACLE_SQL = None
