@@ -160,5 +160,7 @@ def mix_rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
 
 def take_mix(docs: DataFrame, **how) -> DataFrame:
     """The mix itself: every document as often as its copies say, with the columns of ``docs``."""
-    mixed = mix_rates(docs, keep=docs.columns, **how)
-    return mixed.where("copies > 0").select(*[F.col(f"`{c}`") for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).drop("__copy")
+    used = [how.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source"))]
+    whole = docs.select(*map(F.col, used), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
+    mixed = mix_rates(whole, keep=["__doc"], **how)
+    return mixed.where("copies > 0").select("__doc", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("__copy")).select("__doc.*")

@@ -73,7 +73,7 @@ def base_rules(tokens: DataFrame, keep: list[str]) -> DataFrame:
         *keep,
         "__hash",
         n.cast("long").alias("n_words"),
-        F.greatest(F.char_length("__flat") - n + 1, F.lit(0)).cast("long").alias("word_chars"),
+        F.when(n > 0, F.char_length("__flat") - n + 1).otherwise(0).cast("long").alias("word_chars"),
         (F.char_length("__text") - F.char_length(F.regexp_replace("__text", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         lines.alias("__lines"),
         grams.alias("__grams"),
@@ -114,6 +114,7 @@ def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     The row number, which is never negative, keeps the optimizer from inlining the whole rule into
     the filter several times over (predicates do not move below a nondeterministic projection).
     """
-    marked = quality_verdicts(docs, labels, id_col, text_col, keep=docs.columns, **how)
+    whole = docs.select(F.col(id_col), F.col(text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
+    marked = quality_verdicts(whole, labels, id_col, text_col, keep=["__doc"], **how)
     marked = marked.withColumn("__row", F.monotonically_increasing_id())
-    return marked.where(F.col("kept") & (F.col("__row") >= 0)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return marked.where(F.col("kept") & (F.col("__row") >= 0)).select("__doc.*")

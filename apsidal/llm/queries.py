@@ -11,6 +11,8 @@ from .bpe import bpe_decode, bpe_encode
 from .chat_format import format_chat, read_back
 from .common import read
 from .exact_dedup import exact_dedup
+from .html_extract import extract_text
+from .license_scan import license_report, scan_licenses
 from .mixing import mix_rates
 from .quality import quality_verdicts
 from .secret_scan import digest, scan_secrets
@@ -50,6 +52,14 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(read(spark, sf_dir, "documents"))
 
 
+def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(read(spark, sf_dir, "pages"))
+
+
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_report(scan_licenses(read(spark, sf_dir, "documents")))
+
+
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_near_dedup(read(spark, sf_dir, "documents"))
 
@@ -65,7 +75,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_secret_scan, op3_source_mixing, op4_sharding, op5_exact_dedup, op8_simhash_near_dedup, op9_byte_level_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_secret_scan, op3_source_mixing, op4_sharding, op5_exact_dedup, op6_html_extraction, op7_license_scan, op8_simhash_near_dedup, op9_byte_level_bpe, op10_quality_rules)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,6 +17,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -67,8 +68,15 @@ def strength(value: str) -> float:
 
 
 def name_literal_pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], list[str]]]:
-    """(name, literals with their spans, names used) of each assignment, in order."""
+    """(name, literals with their spans, names used) of each assignment, in order.
+
+    A mark inside a bare literal starts a pair of its own (``auth: pwd=...``), one inside that does not,
+    so a long run without white space is read twice at most.
+    """
+    outer = inner = 0
     for mark in MARK.finditer(text):
+        if mark.start() < inner:
+            continue
         i = mark.start()
         while i and text[i - 1] in " \t":
             i -= 1
@@ -92,6 +100,10 @@ def name_literal_pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, in
                 bare = m[3].rstrip(".:!?")
                 if bare.isidentifier():
                     used.append(bare)
+                if mark.start() >= outer:
+                    outer = m.end()
+                else:
+                    inner = max(inner, m.end())
                 if bare:
                     literals.append((bare, m.start(), m.start() + len(bare)))
             more = PLUS.match(text, m.end())
@@ -127,7 +139,13 @@ def lexed_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int,
 def scan_text(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
     """All spans by start, then kind as listed; a lexed literal inside a base span is not repeated."""
     base = base_spans(text)
-    more = [x for x in lexed_spans(text, threshold) if not any(a < x[2] and x[1] < b for _, a, b, _ in base)]
+    more = lexed_spans(text, threshold)
+    if base and more:
+        taken = np.zeros(len(text) + 1, np.int32)
+        for _, a, b, _ in base:
+            taken[a:b] = 1
+        upto = np.concatenate(([0], np.cumsum(taken)))
+        more = [x for x in more if upto[x[2]] == upto[x[1]]]
     return sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

@@ -90,5 +90,7 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def write_shards(docs: DataFrame, path: str, **how) -> None:
     """Write documents as one folder per shard; a shard's rows meet in one task, which its limit bounds."""
-    out = assign_shards(docs, keep=docs.columns, **how)
-    out.select(*docs.columns, "shard").repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
+    used = [how.get(k, v) for k, v in (("id_col", "doc_id"), ("text_col", "text"))]
+    whole = docs.select(*map(F.col, used), F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "shard"]).alias("__doc"))
+    out = assign_shards(whole, keep=["__doc"], **how)
+    out.select("__doc.*", "shard").repartition("shard").write.mode("overwrite").partitionBy("shard").parquet(path)
