@@ -150,13 +150,23 @@ class Node:
         return n
 
 
+def alike(a: Node, b: Node) -> bool:
+    """Same label; bare containers must share half of their children's labels too, or they are different parts."""
+    if a.label != b.label:
+        return False
+    if a.label not in ("div", "section", "td"):
+        return True
+    x, y = {k.label for k in a.kids}, {k.label for k in b.kids}
+    return 2 * len(x & y) >= len(x | y)
+
+
 def fold(kids: list[Node]) -> list[Node]:
     """Tandem repeats of up to four neighbours become one repeated group."""
     out: list[Node] = []
     for kid in kids:
         out.append(kid)
         for p in PERIODS:
-            if len(out) >= 2 * p and all(out[-p + i].label == out[-2 * p + i].label for i in range(p)):
+            if len(out) >= 2 * p and all(alike(out[-p + i], out[-2 * p + i]) for i in range(p)):
                 for i in range(p):
                     join(out[-2 * p + i], out[-p + i])
                     out[-2 * p + i].repeated = True

@@ -91,6 +91,9 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
 
     Null and empty texts have no words and fail the base rule. ``llr`` is null for them, and for all
     documents when no trusted document exists; the verdict is then that of the base rule alone.
+
+    The row number, which is never negative, keeps the optimizer from inlining the whole rule into a
+    filter on the result several times over (predicates do not move below a nondeterministic projection).
     """
     weights = fit_ratio(docs, labels, id_col, text_col, buckets, limit)
     cols = [F.col(id_col).alias("doc_id")] if keep is None else [F.col(c) for c in keep]
@@ -105,16 +108,12 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         total = F.aggregate("__cells", F.lit(0.0), lambda a, c: a + F.get(table, c))
         llr = F.when(F.size("__cells") > 0, total / F.greatest(F.size("__cells"), F.lit(1)))
     out = rules.withColumn("llr", llr).drop("__hash", "__cells")
-    return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(True)))
+    out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(True)))
+    return out.withColumn("__row", F.monotonically_increasing_id()).where("__row >= 0").drop("__row")
 
 
 def keep_quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """The documents that pass, with all their columns: a filter over the same projection, no join back.
-
-    The row number, which is never negative, keeps the optimizer from inlining the whole rule into
-    the filter several times over (predicates do not move below a nondeterministic projection).
-    """
+    """The documents that pass, with all their columns: a filter over the same projection, no join back."""
     whole = docs.select(F.col(id_col), F.col(text_col), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"))
     marked = quality_verdicts(whole, labels, id_col, text_col, keep=["__doc"], **how)
-    marked = marked.withColumn("__row", F.monotonically_increasing_id())
-    return marked.where(F.col("kept") & (F.col("__row") >= 0)).select("__doc.*")
+    return marked.where("kept").select("__doc.*")

@@ -81,7 +81,7 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     n = shards.count()
     depths = [r[0] for r in shards.select("depth").distinct().collect()]  # at most 61 numbers
     book = shards.select(F.struct(F.col("depth"), F.col("shard_prefix")).alias("__slot"), F.col("shard_bytes"), F.col("n_docs").alias("shard_docs"))
-    tried = rows.withColumn("__slots", F.array(*[F.struct(F.lit(d).alias("depth"), prefix(F.col("h"), d).alias("shard_prefix")) for d in sorted(depths)]))
+    tried = rows.withColumn("__slots", F.array(*[F.struct(F.lit(d).alias("depth"), prefix(F.col("h"), d).alias("shard_prefix")) for d in sorted(depths) or [0]]))
     # a document meets exactly one shard: no shard is the prefix of another
     met = tried.select(*names, "h", "bytes", F.explode("__slots").alias("__slot")).join(sized_broadcast(book, n), "__slot")
     shard = F.when(F.col("__slot.depth") > 0, F.lpad(F.conv(F.col("__slot.shard_prefix").cast("string"), 10, 2), F.col("__slot.depth"), F.lit("0"))).otherwise(F.lit(""))
