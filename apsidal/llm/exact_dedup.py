@@ -42,24 +42,11 @@ def exact_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     fits = (part < (1 << PARTITION_BITS)) & (at < (1 << ROW_BITS)) & (F.char_length("norm") <= block_chars * (1 << POS_BITS))
     uid = F.shiftleft(part, ROW_BITS).bitwiseOR(at)
     src = src.select("doc_id", "norm", F.when(fits, uid).otherwise(F.raise_error(F.lit("occurrence codes overflow")).cast("long")).alias("uid"))
-    src = src.withColumn("n_blocks", F.greatest(F.lit(1), F.ceil(F.char_length("norm") / F.lit(float(block_chars)))).cast("long"))
+    cut = F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))  # one pass, however long the text
+    src = src.select("uid", "doc_id", F.sha2(F.encode("norm", "UTF-8"), 256).alias("sha"), F.when(F.col("norm") == "", F.array(F.lit(""))).otherwise(cut).alias("blocks"))
+    blocks = src.select("uid", "doc_id", "sha", F.size("blocks").cast("long").alias("n_blocks"), F.posexplode("blocks").alias("pos", "block"))
     first = F.col("pos") == 0
-    blocks = src.withColumn("sha", F.sha2(F.encode("norm", "UTF-8"), 256)).select(
-        "uid",
-        "n_blocks",
-        "doc_id",
-        "sha",
-        "norm",
-        F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)).alias("pos"),
-    )
-    blocks = blocks.select(
-        "uid",
-        "n_blocks",
-        "pos",
-        F.when(first, F.col("doc_id")).alias("doc_id"),
-        F.when(first, F.col("sha")).alias("sha"),
-        F.substring("norm", (F.col("pos") * block_chars + 1).cast("int"), F.lit(block_chars)).alias("block"),
-    )
+    blocks = blocks.select("uid", "n_blocks", F.col("pos").cast("long").alias("pos"), F.when(first, F.col("doc_id")).alias("doc_id"), F.when(first, F.col("sha")).alias("sha"), "block")
     level = checkpoint(_named(blocks, ["block"]))
     longest = level.agg(F.max("n_blocks")).first()[0] or 1
     done = level.where("n_blocks = 1")
