@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 #: White space between words, as every contract of this subpackage reads it.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
+#: Runs of it that are not already one space.
+SPACE_CHANGES = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 
 #: Largest table, in rows of a few numbers, that an operator broadcasts after counting it.
 BROADCAST_ROWS = 200_000
@@ -38,14 +40,21 @@ def sized_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> Da
 
 
 def squeezed(text: Column) -> Column:
-    """Every run of white space becomes one space; null counts as empty."""
-    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_CLASS, " ")
+    """Every run of white space becomes one space; null counts as empty. Single spaces are not matched."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), SPACE_CHANGES, " ")
+
+
+def spaced(text: Column) -> Column:
+    """Every white-space character becomes a space; null counts as empty."""
+    out = F.coalesce(text.cast("string"), F.lit(""))
+    for c in "\t\n\x0b\x0c\r":
+        out = F.replace(out, F.lit(c), F.lit(" "))
+    return out
 
 
 def words(text: Column) -> Column:
     """Array of the words of a text, in order (empty array for null or blank text)."""
-    flat = F.trim(squeezed(text))
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " "))
+    return F.array_remove(F.split(spaced(text), " "), "")
 
 
 def hot_keys(df: DataFrame, keys: list[str], max_hot: int, min_hot: int) -> list[int]:

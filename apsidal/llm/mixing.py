@@ -7,8 +7,8 @@ one per source, solve the convex dual; its gradient and Hessian are sums over do
 step is a distributed aggregate. Rates are then rounded to 0, 1 or 2 copies.
 
 Scale: documents of one source and one size have the same rate, so the dual is solved over the
-histogram (source, size, count), which one map-side combined aggregate makes; the text is read once and
-never shuffled. Rounding walks the distinct sizes of a source from large to small and carries the
+histogram (source, size, count), which one map-side combined aggregate makes over the written sizes; for rates the text
+is read once, and never shuffled. Rounding walks the distinct sizes of a source from large to small and carries the
 error, so a source ends within about its smallest document of its target. Which of equal documents get
 the larger number of copies is decided by id hash, ranked in buckets of bounded size, so a source that
 holds a third of all rows is not gathered anywhere.
@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, checkpoint, join_on, sized_broadcast
+from .common import checkpoint, join_on, sized_broadcast, words
 
 #: Production parameters: weights by rank of the source, share of all words, most copies of a document.
 WEIGHTS = (5.0, 2.0, 1.0)
@@ -123,10 +123,10 @@ def mix_rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """
     names = ["doc_id"] if keep is None else keep
     cols = [F.col(id_col).alias("doc_id")] if keep is None else [F.col(f"`{c}`") for c in keep]
-    flat = F.trim(F.regexp_replace(F.coalesce(F.col(text_col).cast("string"), F.lit("")), SPACE_CLASS, " "))
-    size = F.when(flat == "", F.lit(0)).otherwise(F.char_length(flat) - F.char_length(F.replace(flat, F.lit(" "), F.lit(""))) + 1).cast("long")
+    size = F.size(words(F.col(text_col))).cast("long")
     sized = lambda extra: docs.select(*extra, F.col(id_col).alias("__id"), F.col(source_col).alias("__source"), size.alias("size"))
-    hist = checkpoint(sized([]).groupBy(F.col("__source").alias("source"), "size").agg(F.count(F.lit(1)).alias("n")))
+    narrow = checkpoint(sized([]))
+    hist = checkpoint(narrow.groupBy(F.col("__source").alias("source"), "size").agg(F.count(F.lit(1)).alias("n")))
     targets = checkpoint(source_targets(hist.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size")), weights, share, cap))
     n_sources = targets.count()
     tilts = sized_broadcast(solve_tilts(hist, targets, cap), n_sources)
@@ -139,15 +139,17 @@ def mix_rates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     plan = checkpoint(plan)
     n_plan = plan.count()
     known = sized_broadcast(plan, n_plan)
-    rows = sized(cols).join(known, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z")))
+    met = lambda rows: rows.join(known, F.col("__source").eqNullSafe(F.col("__s")) & (F.col("size") == F.col("__z")))
     # the total of a (source, size) gives every document total div n copies, and one more to the first by hash
     spread = F.col("total") % F.col("n")
     split = (spread > 0).alias("__split")
-    rows = rows.select(*names, "__id", "__s", "size", "source_size", "target", "rate", "n", "total", split, F.pmod(F.xxhash64("__id"), F.col("buckets")).alias("__b"), F.xxhash64(F.lit("rank"), "__id").alias("__h"))
+    bucket = F.pmod(F.xxhash64("__id"), F.col("buckets")).alias("__b")
+    rows = met(narrow.withColumn("doc_id", F.col("__id")) if keep is None else sized(cols))
+    rows = rows.select(*names, "__id", "__s", "size", "source_size", "target", "rate", "n", "total", split, bucket, F.xxhash64(F.lit("rank"), "__id").alias("__h"))
     even = rows.where(~F.col("__split")).withColumn("extra", F.lit(0))
     odd = rows.where("__split")
     # rows before a bucket, from bucket counts; then rows before a document within its bucket
-    sums = checkpoint(odd.groupBy("__s", "size", "__b").agg(F.count(F.lit(1)).alias("c")))
+    sums = checkpoint(met(narrow).where(spread > 0).select("__s", "size", bucket).groupBy("__s", "size", "__b").agg(F.count(F.lit(1)).alias("c")))
     before = sums.select("__s", "size", "__b", (F.sum("c").over(Window.partitionBy("__s", "size").orderBy("__b")) - F.col("c")).alias("before"))
     before = sized_broadcast(before, sums.count())
     odd = odd.withColumn("rn", F.row_number().over(Window.partitionBy("__s", "size", "__b").orderBy("__h", F.col("__id"))))
