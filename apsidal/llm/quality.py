@@ -19,12 +19,13 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, squeezed
+from .common import spaced
 
 #: Parameters of the production rule.
 BUCKETS = 1 << 15
 TRUSTED_LIMIT = 20_000
 THRESHOLD = -0.12
+#: Words of a window of the repeat rule: three doublings of one word.
 REPEAT_WINDOW = 8
 #: Pseudo-occurrences of a cell, shared between target and rest as the corpus is: a cell that is seen
 #: only a few times says little, so small corpora and rare words don't push documents either way.
@@ -32,17 +33,22 @@ PRIOR = 16.0
 
 
 def _tokens(docs: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
-    """keep columns, __text, __flat (squeezed, trimmed), __hash (one 64-bit hash per word)."""
+    """keep columns, __text, __flat (white space as spaces), __hash and __pairs (64-bit hashes of words and adjacent pairs)."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    flat = docs.select(*keep, text.alias("__text"), F.trim(squeezed(text)).alias("__flat"))
-    hashed = F.when(F.col("__flat") == "", F.array().cast("array<bigint>")).otherwise(F.transform(F.split("__flat", " "), lambda w: F.xxhash64(w)))
-    return flat.withColumn("__hash", hashed)
+    flat = docs.select(*keep, text.alias("__text"), spaced(text).alias("__flat"))
+    flat = flat.withColumn("__hash", F.transform(F.array_remove(F.split("__flat", " "), ""), lambda w: F.xxhash64(w)))
+    return flat.withColumn("__pairs", _joined("__hash", 1))
 
 
-def _cells(hashes: Column, buckets: int) -> Column:
+def _joined(runs: str, by: int) -> Column:
+    """Hashes of runs of 2 * by words from hashes of runs of by words."""
+    n = F.greatest(F.size(runs) - by, F.lit(0))
+    return F.zip_with(F.slice(runs, F.lit(1), n), F.slice(runs, F.lit(by + 1), n), lambda a, b: F.xxhash64(a, b))
+
+
+def _cells(buckets: int) -> Column:
     """Cells of the words and of the pairs of adjacent words."""
-    pairs = F.zip_with(F.slice(hashes, F.lit(1), F.greatest(F.size(hashes) - 1, F.lit(0))), F.slice(hashes, F.lit(2), F.greatest(F.size(hashes) - 1, F.lit(0))), lambda a, b: F.pmod(F.xxhash64(a, b), F.lit(buckets)).cast("int"))
-    return F.concat(F.transform(hashes, lambda h: F.pmod(h, F.lit(buckets)).cast("int")), pairs)
+    return F.transform(F.concat("__hash", "__pairs"), lambda h: F.pmod(h, F.lit(buckets)).cast("int"))
 
 
 def trusted_ids(labels: DataFrame, limit: int = TRUSTED_LIMIT) -> DataFrame:
@@ -54,7 +60,7 @@ def trusted_ids(labels: DataFrame, limit: int = TRUSTED_LIMIT) -> DataFrame:
 def fit_ratio(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", buckets: int = BUCKETS, limit: int = TRUSTED_LIMIT, prior: float = PRIOR) -> list[float] | None:
     """Log ratio of each cell, target over raw; None if there is no trusted document with a word."""
     marked = docs.join(F.broadcast(trusted_ids(labels, limit).select(F.col("doc_id").alias("__id"), F.lit(1).alias("__t"))), docs[id_col] == F.col("__id"), "left").select(docs[text_col].alias("__raw"), F.coalesce("__t", F.lit(0)).alias("__t"))
-    cells = _tokens(marked, "__raw", ["__t"]).select("__t", F.explode(_cells(F.col("__hash"), buckets)).alias("cell"))
+    cells = _tokens(marked, "__raw", ["__t"]).select("__t", F.explode(_cells(buckets)).alias("cell"))
     counts = {r.cell: (r.n, r.t) for r in cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n"), F.sum("__t").alias("t")).collect()}
     raw, target = sum(n for n, _ in counts.values()), sum(t for _, t in counts.values())
     if not target:
@@ -67,16 +73,17 @@ def base_rules(tokens: DataFrame, keep: list[str]) -> DataFrame:
     """Counting rules over the columns of ``_tokens``: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed."""
     k = REPEAT_WINDOW
     n = F.size("__hash")
-    grams = F.when(n >= k, F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))), lambda i: F.xxhash64(F.slice("__hash", i, k)))).otherwise(F.array().cast("array<bigint>"))
+    tokens = tokens.withColumn("__fours", _joined("__pairs", 2)).withColumn("__grams", _joined("__fours", 4))
     lines = F.filter(F.split("__text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     step = tokens.select(
         *keep,
         "__hash",
+        "__pairs",
         n.cast("long").alias("n_words"),
-        F.when(n > 0, F.char_length("__flat") - n + 1).otherwise(0).cast("long").alias("word_chars"),
+        F.char_length(F.replace(F.col("__flat"), F.lit(" "), F.lit(""))).cast("long").alias("word_chars"),
         (F.char_length("__text") - F.char_length(F.regexp_replace("__text", r"[#*$%&|<>]", ""))).cast("long").alias("n_symbols"),
         lines.alias("__lines"),
-        grams.alias("__grams"),
+        "__grams",
     )
     step = step.withColumns({"n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"), "__order": F.when(F.size(F.array_distinct("__grams")) < F.size("__grams"), F.sort_array(F.transform("__grams", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))}).drop("__lines", "__grams")
     again = lambda x, i: (F.get("__order", i - 1)["h"].eqNullSafe(x["h"])) | (F.get("__order", i + 1)["h"].eqNullSafe(x["h"]))
@@ -104,10 +111,10 @@ def quality_verdicts(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
         llr = F.lit(None).cast("double")
     else:
         table = F.from_json(F.lit(json.dumps(weights)), "array<double>")
-        rules = rules.withColumn("__cells", _cells(F.col("__hash"), buckets))
+        rules = rules.withColumn("__cells", _cells(buckets))
         total = F.aggregate("__cells", F.lit(0.0), lambda a, c: a + F.get(table, c))
         llr = F.when(F.size("__cells") > 0, total / F.greatest(F.size("__cells"), F.lit(1)))
-    out = rules.withColumn("llr", llr).drop("__hash", "__cells")
+    out = rules.withColumn("llr", llr).drop("__hash", "__pairs", "__cells")
     out = out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("llr") >= threshold, F.lit(True)))
     return out.withColumn("__row", F.monotonically_increasing_id()).where("__row >= 0").drop("__row")
 
