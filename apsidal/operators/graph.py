@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import tempfile
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: After so many hops the nodes seen are written again as one table, so that the plan stays short.
+FLATTEN_HOPS = 16
+
 
 def checkpoint(df: DataFrame) -> DataFrame:
     sc = df.sparkSession.sparkContext
@@ -15,18 +19,19 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def breadth_first(edges: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
+def breadth_first(edges: DataFrame, seeds: DataFrame) -> DataFrame:
     """node, hops: distance of every reachable node from the nearest seed.
 
-    A round joins the frontier with its edges and keeps the nodes not seen before; only a count
-    reaches the driver. edges (a, b) count both ways.
+    A round joins the frontier with its edges and keeps the nodes not seen before, until there are
+    none; only a count reaches the driver. edges (a, b) count both ways.
     """
     both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     seen = front = checkpoint(seeds.select("node").distinct().withColumn("hops", F.lit(0)))
-    for hop in range(1, max_hops + 1):
+    for hop in count(1):
         new = front.join(both, front["node"] == both["a"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
         front = checkpoint(new.withColumn("hops", F.lit(hop)))
         if front.isEmpty():
-            break
+            return seen
         seen = seen.unionByName(front)
-    return seen
+        if hop % FLATTEN_HOPS == 0:
+            seen = checkpoint(seen)
