@@ -29,7 +29,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
 #: Assignment marks of source and configuration syntax.
 MARK = re.compile(r"=>|:=|=|:")
-LITERAL = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|([^\s,;"'(){}\[\]<>]+)""")
+LITERAL = re.compile(r""""((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|((?:[^\s,;"'(){}\[\]<>&?]++|[&?](?![\w.-]+=))++)""")
 PLUS = re.compile(r"[\x20\t]*\+[\x20\t]*")
 NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: Sensitivity of name parts; adjacent parts are looked up joined as well.
@@ -67,72 +67,127 @@ def strength(value: str) -> float:
     return min(1.0, bits / 3.5) * (0.55 + 0.15 * min(kinds, 3))
 
 
-def name_literal_pairs(text: str) -> Iterator[tuple[str, list[tuple[str, int, int]], list[str]]]:
-    """(name, literals with their spans, names used) of each assignment, in order.
+def suffix_strengths(text: str, starts: list[int], stop: int, rest: str) -> list[float]:
+    """strength(text[a:stop] + rest) of each start a (ascending), in one pass from the right."""
+    count, total, n = Counter(rest), 0.0, len(rest)
+    total = sum(k * math.log2(k) for k in count.values())
+    kinds = [any(c.islower() for c in rest), any(c.isupper() for c in rest), any(c.isdigit() for c in rest), any(not c.isalnum() for c in rest)]
+    blank = any(c.isspace() for c in rest)
+    out, at = [], stop
+    for a in reversed(starts):
+        for c in reversed(text[a:at]):
+            k = count[c]
+            count[c] = k + 1
+            total += (k + 1) * math.log2(k + 1) - (k * math.log2(k) if k else 0.0)
+            kinds = [kinds[0] or c.islower(), kinds[1] or c.isupper(), kinds[2] or c.isdigit(), kinds[3] or not c.isalnum()]
+        n, at = n + at - a, a
+        # a placeholder's first characters are one as well
+        weak = n < MIN_LITERAL or blank or (PLACEHOLDERS.match((text[a : min(stop, a + 64)] + rest)[:64]) and PLACEHOLDERS.match(text[a:stop] + rest))
+        out.append(0.0 if weak else min(1.0, (math.log2(n) - total / n) / 3.5) * (0.55 + 0.15 * min(sum(kinds), 3)))
+    return out[::-1]
+
+
+def sum_rest(text: str, at: int) -> list[tuple[int, int, bool]]:
+    """(start, end, is a name) of the further terms of a sum; one with a mark inside is the last, its own pair goes on."""
+    out = []
+    while (more := PLUS.match(text, at)) and (m := LITERAL.match(text, more.end())):
+        at = m.end()
+        if m[3] is None:
+            out.append((*m.span(1 if m[1] is not None else 2), False))
+            continue
+        bare = m[3].rstrip(".:!?")
+        if bare:
+            out.append((m.start(), m.start() + len(bare), bare.isidentifier()))
+        if MARK.search(m[3]):
+            break
+    return out
+
 
-    A mark inside a bare literal starts a pair of its own (``auth: pwd=...``), one inside that does not,
-    so a long run without white space is read twice at most.
+def name_literal_pairs(text: str) -> Iterator[tuple[list[tuple[str, int]], int, bool, list[tuple[int, int, bool]]]]:
+    """Assignments in order: (names with the starts of their literals, end of these literals, quoted, further terms).
+
+    A bare literal ends at white space, brackets, quotes, comma, semicolon, and at & or ? before the next
+    name of a query string. All marks inside one bare literal form pairs (``auth: pwd=...``); their
+    literals end together and share the further terms, so they come as one group and are read once.
     """
-    outer = inner = 0
+    heads: list[tuple[str, int]] = []
+    begin = end = stop = 0
+    rest: list[tuple[int, int, bool]] = []
     for mark in MARK.finditer(text):
-        if mark.start() < inner:
-            continue
         i = mark.start()
         while i and text[i - 1] in " \t":
             i -= 1
         if i and text[i - 1] in "\"'":
             i -= 1
-        stop = i
+        last = i
         while i and (text[i - 1].isalnum() or text[i - 1] in "_.-"):
             i -= 1
-        name = text[i:stop]
+        name = text[i:last]
         if not name or not any(c.isalpha() for c in name):
             continue
         at = mark.end()
         while at < len(text) and text[at] in " \t":
             at += 1
-        literals, used = [], []
-        while m := LITERAL.match(text, at):
-            if m[3] is None:
-                k = 1 if m[1] is not None else 2
-                literals.append((m[k], m.start(k), m.end(k)))
-            else:
-                bare = m[3].rstrip(".:!?")
-                if bare.isidentifier():
-                    used.append(bare)
-                if mark.start() >= outer:
-                    outer = m.end()
-                else:
-                    inner = max(inner, m.end())
-                if bare:
-                    literals.append((bare, m.start(), m.start() + len(bare)))
-            more = PLUS.match(text, m.end())
-            if not more:
-                break
-            at = more.end()
-        if literals:
-            yield name, literals, used
+        if heads and begin <= at < end:
+            heads.append((name, at))
+            continue
+        if not (m := LITERAL.match(text, at)):
+            continue
+        if heads:
+            yield heads, stop, False, rest
+            heads = []
+        if m[3] is None:
+            a, b = m.span(1 if m[1] is not None else 2)
+            yield [(name, a)], b, True, sum_rest(text, m.end())
+        else:
+            begin, end = m.span()
+            stop = begin + len(m[3].rstrip(".:!?"))
+            heads, rest = [(name, at)], sum_rest(text, end)
+    if heads:
+        yield heads, stop, False, rest
 
 
 def lexed_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
     """Literals that reach a sensitive name, directly or through constants."""
     if "=" not in text and ":" not in text:
         return []
-    known: dict[str, list[tuple[str, int, int]]] = {}
+    known: dict[str, tuple[list[tuple[int, int]], list[tuple[int, int]]]] = {}
     best: dict[tuple[int, int], float] = {}
-    for name, literals, used in name_literal_pairs(text):
-        parts = []
-        for value, a, b in literals:
-            parts += known[value] if value in used and value in known else [(value, a, b)]
-        known[name] = known[name.rpartition(".")[2]] = parts
-        s = sensitivity(name)
-        if not s:
-            continue
-        score = s * strength("".join(v for v, _, _ in parts))
-        if score >= threshold:
-            for _, a, b in parts:
-                if b > a:
-                    best[a, b] = max(best.get((a, b), 0.0), score)
+    joined = lambda parts: "".join(text[a:b] for a, b in parts)
+
+    def report(parts: list[tuple[int, int]], score: float) -> None:
+        for a, b in parts:
+            if b > a:
+                best[a, b] = max(best.get((a, b), 0.0), score)
+
+    for heads, stop, quoted, rest in name_literal_pairs(text):
+        tail: list[tuple[int, int]] = []
+        for a, b, is_name in rest:
+            own, more = known.get(text[a:b], ([(a, b)], [])) if is_name else ([(a, b)], [])
+            tail += own + more
+        plain, scores = [], []
+        for k, (name, a) in enumerate(heads):
+            own = [(a, stop)] if quoted or a < stop else []
+            if own and not quoted and k == len(heads) - 1 and text[a:stop].isidentifier() and text[a:stop] in known:
+                own = [x for part in known[text[a:stop]] for x in part]
+            if not own and not tail:
+                continue
+            known[name] = known[name.rpartition(".")[2]] = own, tail
+            s = sensitivity(name)
+            if s and own == [(a, stop)]:
+                plain.append((a, s))
+            elif s and (score := s * strength(joined(own + tail))) >= threshold:
+                report(own, score)
+                scores.append(score)
+        if plain:
+            after = joined(tail)
+            found = suffix_strengths(text, [a for a, _ in plain], stop, after) if len(plain) > 1 else [strength(text[plain[0][0] : stop] + after)]
+            for (a, s), x in zip(plain, found, strict=True):
+                if s * x >= threshold:
+                    report([(a, stop)], s * x)
+                    scores.append(s * x)
+        if scores:
+            report(tail, max(scores))
     return [("literal", a, b, s) for (a, b), s in best.items()]
 
 

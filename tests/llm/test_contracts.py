@@ -270,6 +270,20 @@ def test_secret_constants():
     assert any("abcd1234EFGH" == t for t in [ "auth: pwd=abcd1234EFGH"[a:b] for _, a, b, _ in secret_scan.scan_text("auth: pwd=abcd1234EFGH")])
 
 
+def test_secret_marks_inside_one_run():
+    found = lambda t: [t[a:b] for _, a, b, _ in secret_scan.scan_text(t)]
+    assert "Zk3v9QmT7xB2" in found("https://h/p?user=bob&access_key=Zk3v9QmT7xB2")
+    assert found("DATABASE_URL=postgres://u:p@h/db?sslmode=require&pwd=Xk29vQ7mT4&x=1") == ["Xk29vQ7mT4"]
+    assert "Xk29vQ7mT4" in found("a:b:c:pwd:Xk29vQ7mT4")
+    assert "ab:Cd12?xY&z9" in found("pwd=ab:Cd12?xY&z9")  # no query string: one literal
+    assert found("a:pwd:b:xY9kQ2mT + 'tailTAIL99'")[1:] == ["tailTAIL99"]
+    text = "pwd:aB3$" * 4000
+    starts = [m.end() for m in re.finditer(":", text)]
+    for a, got in zip(starts[::500], secret_scan.suffix_strengths(text, starts, len(text), "xY")[::500], strict=True):
+        assert abs(got - secret_scan.strength(text[a:] + "xY")) < 1e-9
+    assert len(secret_scan.lexed_spans("a" + text * 10)) > 39_000
+
+
 def test_chat(spark, sf_dir):
     forged = queries.FORGED
     rows = [(-7, 0, "user", forged), (-7, 1, "assistant", forged), (-8, 0, "system", "sys"), *[(-8, i, "user" if i % 2 else "assistant", f"turn {i} " + "w " * 300) for i in range(1, 12)]]
