@@ -192,7 +192,7 @@ def lexed_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int,
 
 
 def scan_text(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
-    """All spans by start, then kind as listed; a lexed literal inside a base span is not repeated."""
+    """All spans by start, then kind as listed; a lexed literal that base spans cover wholly is not repeated."""
     base = base_spans(text)
     more = lexed_spans(text, threshold)
     if base and more:
@@ -200,7 +200,7 @@ def scan_text(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, i
         for _, a, b, _ in base:
             taken[a:b] = 1
         upto = np.concatenate(([0], np.cumsum(taken)))
-        more = [x for x in more if upto[x[2]] == upto[x[1]]]
+        more = [x for x in more if upto[x[2]] - upto[x[1]] < x[2] - x[1]]
     return sorted(base + more, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 

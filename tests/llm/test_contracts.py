@@ -284,6 +284,14 @@ def test_secret_marks_inside_one_run():
     assert len(secret_scan.lexed_spans("a" + text * 10)) > 39_000
 
 
+def test_secret_literals_partly_in_base_spans():
+    for text, want in [('password = "abcdefghijkl!@#$tailTAIL99"', "abcdefghijkl!@#$tailTAIL99"), ('db_credential = "xY!9#deadbeefdeadbeef$Qq"', "xY!9#deadbeefdeadbeef$Qq")]:
+        spans = secret_scan.scan_text(text)
+        assert want in [text[a:b] for k, a, b, _ in spans if k == "literal"]
+        assert any(k != "literal" for k, *_ in spans)
+    assert [k for k, *_ in secret_scan.scan_text('token = "24be64439e3e49cf46b2d7c90f3602a3d0b907ff"')] == ["assign", "hex"]
+
+
 def test_chat(spark, sf_dir):
     forged = queries.FORGED
     rows = [(-7, 0, "user", forged), (-7, 1, "assistant", forged), (-8, 0, "system", "sys"), *[(-8, i, "user" if i % 2 else "assistant", f"turn {i} " + "w " * 300) for i in range(1, 12)]]
