@@ -63,6 +63,23 @@ def host_of(url: str | None) -> str:
     return m[1].lower() if m else ""
 
 
+def label_words(tag: str, attrs: str) -> list[str]:
+    """Words of class, id and role, sorted, without side words that only say what an article has beside it.
+
+    Such words are those of compounds (``has-sidebar``, ``comments-open``) of an article element or of a
+    container that a class of its own names as main; an article so named keeps no side words at all.
+    """
+    tokens = [{w.lower() for w in NAME_PART.findall(t)} for g in NAMES.findall(attrs) for t in " ".join(g).split()]
+    words = set().union(*tokens)
+    if not SIDE_WORDS.isdisjoint(words):
+        named = any(SIDE_WORDS.isdisjoint(t) and not MAIN_WORDS.isdisjoint(t) for t in tokens)
+        if named and tag == "article":
+            words -= SIDE_WORDS
+        elif named or tag == "article":
+            words -= SIDE_WORDS.difference(*(t for t in tokens if t <= SIDE_WORDS))
+    return sorted(words)
+
+
 class Page:
     """Elements as [label, children]; a child is an element or the number of a text block."""
 
@@ -103,7 +120,7 @@ class Page:
                     continue
                 close((name,))
                 continue
-            words = sorted({w.lower() for g in NAMES.findall(attrs) for w in NAME_PART.findall(" ".join(g))}) if attrs else []
+            words = label_words(name, attrs) if attrs else []
             if name in INLINE and (name in VOID or SIDE_WORDS.isdisjoint(words)):
                 if name == "br":
                     buf.append(" ")
@@ -239,34 +256,31 @@ def varying(node: Node, every: bool = True) -> int:
 
 
 def mark_main(root: Node) -> None:
-    """Mark the slots of the article."""
+    """Mark the slots of the article: of all outermost containers of the best rank that has text."""
     found: dict[int, list[Node]] = {0: [], 1: [], 2: []}
 
-    def look(node: Node) -> None:
+    def look(node: Node, within: frozenset[int]) -> None:
         for k in node.kids:
             if k.label == "#" or is_side(k.label):
                 continue
             tag, _, names = k.label.partition(".")
             rank = 0 if tag == "article" else 1 if tag == "main" or "main" in names.split(".") else 2 if not MAIN_WORDS.isdisjoint(names.split(".")) else None
-            if rank is not None and tag not in ("html", "body"):
+            if rank is None or tag in ("html", "body") or rank in within:
+                look(k, within)
+            else:
                 found[rank].append(k)
-            look(k)
-
-    look(root)
-    best, named = None, True
-    for rank in sorted(found):
-        top = max(found[rank], key=varying, default=None)
-        if top is not None and varying(top):
-            best = top
+                look(k, within | {rank})
+
+    look(root, frozenset())
+    tops = next((some for rank in sorted(found) if (some := [k for k in found[rank] if varying(k)])), [])
+    named = bool(tops)
+    best = root
+    while not named:
+        total = varying(best, False)
+        inner = max((k for k in best.kids if k.label != "#"), key=lambda k: varying(k, False), default=None)
+        if inner is None or not total or varying(inner, False) < 0.8 * total or not any(k.label not in ("#",) for k in inner.kids):
             break
-    if best is None:
-        best, named = root, False
-        while True:
-            total = varying(best, False)
-            inner = max((k for k in best.kids if k.label != "#"), key=lambda k: varying(k, False), default=None)
-            if inner is None or not total or varying(inner, False) < 0.8 * total or not any(k.label not in ("#",) for k in inner.kids):
-                break
-            best = inner
+        best = inner
     some = named or varying(best, False) > 0
 
     def mark(node: Node) -> None:
@@ -277,7 +291,8 @@ def mark_main(root: Node) -> None:
             elif not is_side(k.label) and (named or k.label.partition(".")[0] != "header"):
                 mark(k)
 
-    mark(best)
+    for top in tops or [best]:
+        mark(top)
 
 
 def matched(page: Node, wrapper: Node, within: bool = False) -> list[int]:

@@ -353,6 +353,21 @@ def test_html_wrapper_without_named_container():
     assert html_extract.main_text(pages[2], wrapper) == "story 2\nstory 2 one\nstory 2 two"
 
 
+@pytest.mark.parametrize(("page", "want"), [
+    ("<body><article>part 1</article><div class=ad>buy</div><article>part two</article></body>", "part 1\npart two"),
+    ("<body><div class=content><p>a</p></div><div class=advert>buy</div><div class=content><p>bcd</p></div></body>", "a\nbcd"),
+    ("<body><nav>n</nav><article class='post comments-open'><p>text</p></article><p>other words here</p></body>", "text"),
+    ("<body><div class='content has-sidebar'><p>text</p><div class=sidebar>side</div></div><p>other words here</p></body>", "text"),
+    ("<body><div class=main-menu>menu</div><article class='post sponsored'>text<div class='post comments'>first!</div></article></body>", "text"),
+    ("<body><article>text<article class=comment>first!</article></article></body>", "text"),
+])
+def test_html_main_parts(page, want):
+    assert html_extract.main_text(page, None) == want
+    wrapper = html_extract.fit_wrapper([page, page.replace("t", "tt")])
+    html_extract.mark_main(wrapper)
+    assert html_extract.main_text(page, wrapper) == want
+
+
 def licenses_by_scan(text):
     words = license_scan.WORDS.findall(text.translate(license_scan.LOWER))
     found = set()
