@@ -15,12 +15,13 @@ tasks altogether and linked the same way by a distributed aggregate. No list is
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, sized_broadcast, with_group_aggs
@@ -51,16 +52,20 @@ def simhash64(text: str | bytes | None, shingle_words: int = 3, seed: int = 42)
     return int.from_bytes(np.packbits(votes * 2 > n).tobytes(), "big")
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of every row; null text counts as empty."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, hashed: bool = False) -> DataFrame:
+    """doc_id, fp (the 64 bits as a signed long) of every row; null text counts as empty.
+
+    With ``hashed`` also sha, the SHA-256 of the text as it is (empty for null).
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fps = np.fromiter((simhash64(t.as_py(), shingle_words) for t in b.column(1)), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64))], names=["doc_id", "fp"])
+            shas = [pa.array(["" if t is None else hashlib.sha256(t).hexdigest() for t in b.column(1).to_pylist()], pa.string())] if hashed else []
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fps.view(np.int64)), *shas], names=["doc_id", "fp", "sha"][: 2 + hashed])
 
     src = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").cast("binary").alias("text"))
-    return src.mapInArrow(run, "doc_id long, fp long")
+    return src.mapInArrow(run, "doc_id long, fp long" + ", sha string" * hashed)
 
 
 def covering(max_bits: int, width: int) -> list[tuple[int, ...]]:
@@ -221,6 +226,14 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
 
 
+def component_firsts(prints: DataFrame, first: Column, max_bits: int) -> DataFrame:
+    """__fp, low: for each fingerprint the smallest value of ``first`` among the rows of its component."""
+    fps = checkpoint(prints.groupBy("fp").agg(F.min(first).alias("first")))
+    comp = components(fingerprint_links(fps, max_bits))
+    every = fps.join(comp, fps["fp"] == comp["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    return checkpoint(with_group_aggs(every, ["root"], {"low": F.min("first")}).select(F.col("fp").alias("__fp"), "low"))
+
+
 def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = 2) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest id reachable).
 
@@ -228,15 +241,26 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     null id sorts last (a component of null ids only has component_id null), repeated rows stay.
     """
     prints = checkpoint(fingerprints(docs, id_col, text_col, shingle_words))
-    fps = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))
-    comp = components(fingerprint_links(fps, max_bits))
-    every = fps.join(comp, fps["fp"] == comp["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    low = checkpoint(with_group_aggs(every, ["root"], {"component_id": F.min("first")}).select(F.col("fp").alias("__fp"), "component_id"))
-    return prints.join(low, prints["fp"] == low["__fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    low = component_firsts(prints, F.col("doc_id"), max_bits)
+    return prints.join(low, prints["fp"] == low["__fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("low").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of ``docs`` whose id is the smallest of its group; rows with a null id stay."""
-    near = simhash_near_dedup(docs, id_col, text_col, shingle_words, max_bits)
-    lost = checkpoint(near.where("doc_id <> component_id").select(F.col("doc_id").alias("__id")).distinct())
-    return docs.join(sized_broadcast(lost, lost.count()), docs[id_col] == F.col("__id"), "left_anti")
+    """Exactly one row of each group of near copies, with all its columns.
+
+    The smallest id stays, null ids sort last, and among rows of one id the smallest text hash. Rows
+    are matched by id and text hash; of rows equal in both one stays.
+    """
+    prints = checkpoint(fingerprints(docs, id_col, text_col, shingle_words, hashed=True))
+    low = component_firsts(prints, F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "sha"), max_bits)
+    rows = prints.join(low, prints["fp"] == low["__fp"]).select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"), (F.col("doc_id").eqNullSafe(F.col("low.id")) & (F.col("sha") == F.col("low.sha"))).alias("stays"))
+    met = rows.groupBy("__id", "__sha").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
+    met = checkpoint(met.where("not stays or n > 1").select("__id", "__sha", "stays"))
+    gone = sized_broadcast(met.select("__id", "__sha"), met.count())
+    again = met.where("stays").select("__id", "__sha")
+    mark = docs.withColumn("__text", F.coalesce(F.sha2(F.col(text_col).cast("string").cast("binary"), 256), F.lit("")))
+    same = lambda keys: F.col(id_col).cast("long").eqNullSafe(keys["__id"]) & (F.col("__text") == keys["__sha"])
+    out = mark.join(gone, same(gone), "left_anti").drop("__text")
+    if again.isEmpty():
+        return out
+    return out.unionByName(mark.join(again, same(again), "left_semi").dropDuplicates([id_col, "__text"]).drop("__text"))
