@@ -2,12 +2,15 @@
 
 The turns of a conversation are cut by prefix sums of their tokens: a span ends before the first turn
 whose prefix sum, less the sum at the span's start, exceeds what the budget leaves after the system
-turn and the repeated history. Every window starts with the system turn (if the conversation opens with
-one), then a limited number of turns from before the span, then the span. Repeated turns are context:
-no repeated answer is under the loss mask, so each assistant turn is a target exactly once.
+turn and the repeated history. Tokens are those of the turn as the template writes it, marks included.
+Every window starts with the system turn in force (the last one before the span), then a limited number
+of turns from before the span, then the span. Repeated turns are context: no repeated answer is under
+the loss mask, so each assistant turn is a target exactly once. History gives way to the span: what does
+not fit beside the span's first turn is not repeated.
 
 Scale: one shuffle on the conversation with a sort inside partitions; a task then streams over its turns
-and holds one window at a time, so a conversation of any length fits. Windows leave in order.
+and holds one window at a time, so a conversation of any length fits. Windows leave in order. A single
+conversation is cut by one task, as its turns and their digests come one after another.
 """
 
 from __future__ import annotations
@@ -48,25 +51,37 @@ def unescape(text: str) -> str:
     return re.sub(r"\\(.)", r"\1", text, flags=re.DOTALL)
 
 
+TAIL = "\n</turn>\n"
+
+
+def head(role: str) -> str:
+    return f"<turn {escape_role(role)}>\n"
+
+
+def turn_tokens(role: str, text: str) -> int:
+    """Tokens of a turn with its marks; a window's tokens are the sum over its turns."""
+    return count_tokens(head(role)) + count_tokens(escape(text)) + count_tokens(TAIL)
+
+
 def render(turns: list[tuple[str, str, bool]]) -> tuple[str, list[dict]]:
     """Text of a window and the spans (code points, end exclusive) of its targets."""
     out, at, loss = [], 0, []
     for role, text, target in turns:
-        head, body = f"<turn {escape_role(role)}>\n", escape(text)
-        at += len(head)
+        start, body = head(role), escape(text)
+        at += len(start)
         if target:
             loss.append({"start": at, "end": at + len(body)})
-        out += [head, body, "\n</turn>\n"]
-        at += len(body) + len("\n</turn>\n")
+        out += [start, body, TAIL]
+        at += len(body) + len(TAIL)
     return "".join(out), loss
 
 
 def parse(window: str) -> list[tuple[str, str]]:
     """(role, text) of each turn of a formatted window: the inverse of ``render``."""
     turns = []
-    for block in window.split("\n</turn>\n")[:-1]:
-        head = re.match(r"<turn ((?:[^\\>]|\\.)*)>\n", block, re.DOTALL)
-        turns.append((unescape(head[1]), unescape(block[head.end() :])))
+    for block in window.split(TAIL)[:-1]:
+        opened = re.match(r"<turn ((?:[^\\>]|\\.)*)>\n", block, re.DOTALL)
+        turns.append((unescape(opened[1]), unescape(block[opened.end() :])))
     return turns
 
 
@@ -75,8 +90,9 @@ def format_chat(turns: DataFrame, budget: int = BUDGET, history_turns: int = HIS
 
     Input columns conv_id, turn, role, text; others are ignored. Null role or text is empty, a null
     conv_id is a conversation of its own, turns sort by (turn, role, text) with nulls first, so ties and
-    repeated rows keep a fixed order. A turn longer than the budget is a window of its own and is never
-    split. Turns of role ``assistant`` are targets.
+    repeated rows keep a fixed order. A turn is never split: a window exceeds the budget only where its
+    one turn and the system turn do, and then it repeats no history. Turns of role ``assistant`` are
+    targets. A later system turn takes the place of an earlier one from the next window on.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,44 +101,44 @@ def format_chat(turns: DataFrame, budget: int = BUDGET, history_turns: int = HIS
         system: tuple[str, str, int] | None = None
         past: deque = deque(maxlen=max(history_turns, 1))
         span: list[tuple[str, str, int]] = []
-        prefix = origin = 0
+        history: list[tuple[str, str, int]] = []
+        prefix = origin = fixed = 0
 
         def close() -> None:
-            nonlocal number, span, origin
-            context = ([system] if system and number else []) + history
+            nonlocal number, span, origin, system
+            context = ([system] if system else []) + history
             shown = [(r, t, False) for r, t, _ in context] + [(r, t, r == "assistant") for r, t, _ in span]
             text, loss = render(shown)
-            rows.append({"conv_id": conv, "window": number, "n_context": len(context), "n_turns": len(shown), "n_tokens": sum(n for *_, n in context) + prefix - origin, "text": text, "loss": loss})
-            for i, turn in enumerate(span):
-                if not (system and number == 0 and i == 0):
+            rows.append({"conv_id": conv, "window": number, "n_context": len(context), "n_turns": len(shown), "n_tokens": fixed + prefix - origin, "text": text, "loss": loss})
+            for turn in span:
+                if turn[0] == "system":
+                    system = turn
+                else:
                     past.append(turn)
             number, span, origin = number + 1, [], prefix
 
-        def recall() -> list[tuple[str, str, int]]:
+        def recall(room: int) -> list[tuple[str, str, int]]:
             kept, used = [], 0
             for turn in reversed(past if history_turns else ()):
-                if used + turn[2] > history_tokens:
+                if used + turn[2] > min(history_tokens, room):
                     break
                 used += turn[2]
                 kept.append(turn)
             return kept[::-1]
 
-        history: list[tuple[str, str, int]] = []
         for batch in batches:
             for c, role, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 if not started or c != conv:
                     if span:
                         close()
-                    conv, started, number, system, history, prefix, origin = c, True, 0, None, [], 0, 0
+                    conv, started, number, system, history, span, prefix, origin, fixed = c, True, 0, None, [], [], 0, 0, 0
                     past.clear()
-                    span = []
-                turn = (role or "", text or "", count_tokens(text or ""))
-                if number == 0 and not span and turn[0] == "system":
-                    system = turn
-                fixed = (system[2] if system and number else 0) + sum(n for *_, n in history)
-                if span and prefix + turn[2] - origin > budget - fixed:
+                turn = (role or "", text or "", turn_tokens(role or "", text or ""))
+                if span and fixed + prefix + turn[2] - origin > budget:
                     close()
-                    history = recall()
+                    fixed = system[2] if system else 0
+                    history = recall(budget - fixed - turn[2])
+                    fixed += sum(n for *_, n in history)
                 prefix += turn[2]
                 span.append(turn)
             if rows:
