@@ -34,8 +34,11 @@ PLUS = re.compile(r"[\x20\t]*\+[\x20\t]*")
 NAME_PARTS = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[0-9]+")
 #: Sensitivity of name parts; adjacent parts are looked up joined as well.
 SENSITIVE = {"password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "passcode": 1.0, "secret": 1.0, "token": 1.0, "apikey": 1.0, "accesskey": 1.0, "privatekey": 1.0, "secretkey": 1.0, "clientsecret": 1.0, "credential": 0.9, "credentials": 0.9, "bearer": 0.9, "authorization": 0.9, "auth": 0.7, "signature": 0.6, "key": 0.5}
-#: Values that stand for a secret without being one.
-PLACEHOLDERS = re.compile(r"(?i)^(?:x+|\*+|\.+|0+|1234.*|none|null|true|false|example.*|change_?me.*|your_?.*|test.*|dummy.*|todo.*|\$\{.*|<.*|%.*)$")
+#: Values that stand for a secret without being one: of one such character throughout, equal to one of
+#: the words, or beginning so (lower case).
+PLACEHOLDER_CHARS = ("xX", "*", ".", "0")
+PLACEHOLDER_WORDS = ("none", "null", "true", "false")
+PLACEHOLDER_HEADS = ("1234", "example", "changeme", "change_me", "your", "test", "dummy", "todo", "${", "<", "%")
 MIN_LITERAL = 8
 THRESHOLD = 0.5
 SPAN_SCHEMA = "doc_id long, spans array<struct<kind: string, start: long, end: long, score: double>>"
@@ -57,36 +60,94 @@ def sensitivity(name: str) -> float:
     return max((SENSITIVE.get(p, 0.0) for p in both), default=0.0)
 
 
+class Value:
+    """What scoring needs of a value: length, character counts, kinds of characters, its beginning.
+
+    Values of sums are made of those of their terms without writing the text out. Characters beyond
+    ASCII are counted in 128 classes, so a value is small however long it is; counts are scaled down
+    together when they get large, as only their shares matter.
+    """
+
+    __slots__ = ("n", "counts", "kinds", "blank", "head")
+    HEAD, LARGE = 16, 2.0**50
+
+    def __init__(self) -> None:
+        self.n, self.counts, self.kinds, self.blank, self.head = 0.0, {}, 0, False, ""
+
+    @staticmethod
+    def of(text: str) -> Value:
+        out = Value()
+        for c, k in Counter(text).items():
+            out.count(c, k)
+        out.head = text[: Value.HEAD]
+        return out
+
+    def count(self, c: str, k: float = 1) -> None:
+        at = ord(c)
+        at = at if at < 128 else 128 + at % 128
+        self.counts[at] = self.counts.get(at, 0) + k
+        self.n += k
+        self.kinds |= 1 * c.islower() | 2 * c.isupper() | 4 * c.isdigit() | 8 * (not c.isalnum())
+        self.blank = self.blank or c.isspace()
+
+    def copy(self) -> Value:
+        out = Value()
+        out.n, out.counts, out.kinds, out.blank, out.head = self.n, dict(self.counts), self.kinds, self.blank, self.head
+        return out
+
+    def then(self, other: Value) -> Value:
+        """Add the value that follows."""
+        self.n += other.n
+        for at, k in other.counts.items():
+            self.counts[at] = self.counts.get(at, 0) + k
+        self.kinds |= other.kinds
+        self.blank = self.blank or other.blank
+        self.head = (self.head + other.head)[: self.HEAD]
+        if self.n > self.LARGE:
+            self.n /= self.LARGE / 1024
+            self.counts = {at: k / (self.LARGE / 1024) for at, k in self.counts.items()}
+        return self
+
+    def placeholder(self) -> bool:
+        low = self.head.lower()
+        if low.startswith(PLACEHOLDER_HEADS) or (self.n <= 5 and low in PLACEHOLDER_WORDS):
+            return True
+        return len(self.counts) <= 2 and any(all(chr(at) in chars for at in self.counts) for chars in PLACEHOLDER_CHARS)
+
+    def strength(self) -> float:
+        """How much the value looks like a generated one, from 0 to 1."""
+        if self.n < MIN_LITERAL or self.blank or self.placeholder():
+            return 0.0
+        bits = -sum(k / self.n * math.log2(k / self.n) for k in self.counts.values())
+        return min(1.0, bits / 3.5) * (0.55 + 0.15 * min(self.kinds.bit_count(), 3))
+
+
 def strength(value: str) -> float:
-    """How much a literal looks like a generated value, from 0 to 1."""
-    if len(value) < MIN_LITERAL or PLACEHOLDERS.match(value) or any(c.isspace() for c in value):
-        return 0.0
-    n = len(value)
-    bits = -sum(k / n * math.log2(k / n) for k in Counter(value).values())
-    kinds = sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value), any(not c.isalnum() for c in value)))
-    return min(1.0, bits / 3.5) * (0.55 + 0.15 * min(kinds, 3))
-
-
-def suffix_strengths(text: str, starts: list[int], stop: int, rest: str) -> list[float]:
-    """strength(text[a:stop] + rest) of each start a (ascending), in one pass from the right."""
-    count, total, n = Counter(rest), 0.0, len(rest)
-    total = sum(k * math.log2(k) for k in count.values())
-    kinds = [any(c.islower() for c in rest), any(c.isupper() for c in rest), any(c.isdigit() for c in rest), any(not c.isalnum() for c in rest)]
-    blank = any(c.isspace() for c in rest)
-    out, at = [], stop
+    return Value.of(value).strength()
+
+
+def suffix_values(text: str, starts: list[int], stop: int, rest: Value) -> list[Value]:
+    """The values of text[a:stop] and the rest, for each start a (ascending), in one pass from the right."""
+    run, out, at = rest.copy(), [], stop
     for a in reversed(starts):
-        for c in reversed(text[a:at]):
-            k = count[c]
-            count[c] = k + 1
-            total += (k + 1) * math.log2(k + 1) - (k * math.log2(k) if k else 0.0)
-            kinds = [kinds[0] or c.islower(), kinds[1] or c.isupper(), kinds[2] or c.isdigit(), kinds[3] or not c.isalnum()]
-        n, at = n + at - a, a
-        # a placeholder's first characters are one as well
-        weak = n < MIN_LITERAL or blank or (PLACEHOLDERS.match((text[a : min(stop, a + 64)] + rest)[:64]) and PLACEHOLDERS.match(text[a:stop] + rest))
-        out.append(0.0 if weak else min(1.0, (math.log2(n) - total / n) / 3.5) * (0.55 + 0.15 * min(sum(kinds), 3)))
+        for c in text[a:at]:
+            run.count(c)
+        at = a
+        one = run.copy()
+        one.head = (text[a : min(stop, a + Value.HEAD)] + rest.head)[: Value.HEAD]
+        out.append(one)
     return out[::-1]
 
 
+class Node:
+    """A literal (span) or a sum of nodes, with its value and the best score of a name it reaches."""
+
+    __slots__ = ("span", "terms", "value", "score")
+
+    def __init__(self, value: Value, span: tuple[int, int] | None = None, terms: tuple[Node, ...] = ()) -> None:
+        self.value, self.span, self.terms, self.score = value, span, terms, 0.0
+
+
 def sum_rest(text: str, at: int) -> list[tuple[int, int, bool]]:
     """(start, end, is a name) of the further terms of a sum; one with a mark inside is the last, its own pair goes on."""
     out = []
@@ -151,46 +212,47 @@ def lexed_spans(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int,
     """Literals that reach a sensitive name, directly or through constants."""
     if "=" not in text and ":" not in text:
         return []
-    known: dict[str, tuple[list[tuple[int, int]], list[tuple[int, int]]]] = {}
-    best: dict[tuple[int, int], float] = {}
-    joined = lambda parts: "".join(text[a:b] for a, b in parts)
+    known: dict[str, Node] = {}
+    made: list[Node] = []  # terms come before what refers to them
 
-    def report(parts: list[tuple[int, int]], score: float) -> None:
-        for a, b in parts:
-            if b > a:
-                best[a, b] = max(best.get((a, b), 0.0), score)
+    def add(*args) -> Node:
+        made.append(Node(*args))
+        return made[-1]
 
     for heads, stop, quoted, rest in name_literal_pairs(text):
-        tail: list[tuple[int, int]] = []
+        tail, after = [], Value()
         for a, b, is_name in rest:
-            own, more = known.get(text[a:b], ([(a, b)], [])) if is_name else ([(a, b)], [])
-            tail += own + more
-        plain, scores = [], []
-        for k, (name, a) in enumerate(heads):
-            own = [(a, stop)] if quoted or a < stop else []
-            if own and not quoted and k == len(heads) - 1 and text[a:stop].isidentifier() and text[a:stop] in known:
-                own = [x for part in known[text[a:stop]] for x in part]
-            if not own and not tail:
-                continue
-            known[name] = known[name.rpartition(".")[2]] = own, tail
-            s = sensitivity(name)
-            if s and own == [(a, stop)]:
-                plain.append((a, s))
-            elif s and (score := s * strength(joined(own + tail))) >= threshold:
-                report(own, score)
-                scores.append(score)
-        if plain:
-            after = joined(tail)
-            found = suffix_strengths(text, [a for a, _ in plain], stop, after) if len(plain) > 1 else [strength(text[plain[0][0] : stop] + after)]
-            for (a, s), x in zip(plain, found, strict=True):
-                if s * x >= threshold:
-                    report([(a, stop)], s * x)
-                    scores.append(s * x)
-        if scores:
-            report(tail, max(scores))
+            term = known.get(text[a:b]) if is_name else None
+            tail.append(term or add(Value.of(text[a:b]), (a, b)))
+            after.then(tail[-1].value)
+        terms = (add(after, None, tuple(tail)),) if tail else ()
+        last = known.get(text[heads[-1][1] : stop]) if not quoted else None
+        own = [(name, a) for name, a in heads if quoted or a < stop]
+        plain = own[:-1] if last and own and own[-1] == heads[-1] else own
+        values = suffix_values(text, [a for _, a in plain], stop, after)
+        for (name, a), value in zip(plain, values, strict=True):
+            _bind(known, name, add(value, (a, stop), terms), threshold)
+        if len(plain) < len(own):  # the last literal is a constant's name
+            _bind(known, heads[-1][0], add(last.value.copy().then(after), None, (last, *terms)), threshold)
+        for name, _ in heads[len(own) :] if terms else ():  # no literal of their own
+            _bind(known, name, add(after, None, terms), threshold)
+    best: dict[tuple[int, int], float] = {}
+    for node in reversed(made):
+        for term in node.terms:
+            term.score = max(term.score, node.score)
+        if node.span and node.score and node.span[1] > node.span[0]:
+            best[node.span] = max(best.get(node.span, 0.0), node.score)
     return [("literal", a, b, s) for (a, b), s in best.items()]
 
 
+def _bind(known: dict[str, Node], name: str, node: Node, threshold: float) -> None:
+    """A name stands for a node from here on; a sensitive name scores it."""
+    known[name] = known[name.rpartition(".")[2]] = node
+    score = sensitivity(name) * node.value.strength()
+    if score >= threshold:
+        node.score = max(node.score, score)
+
+
 def scan_text(text: str, threshold: float = THRESHOLD) -> list[tuple[str, int, int, float]]:
     """All spans by start, then kind as listed; a lexed literal that base spans cover wholly is not repeated."""
     base = base_spans(text)
