@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 from collections.abc import Iterable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: White space between words, as every contract of this subpackage reads it.
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
@@ -22,18 +23,35 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that the cluster names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, set as Spark's checkpoint folder.
 
-    ``spark.checkpoint.dir`` is applied by Spark itself when the context starts; a folder of our own
-    is set only where the session names none (local tests).
+    ``spark.checkpoint.dir`` is applied by Spark itself when the context starts. Where the session names
+    none, a temporary folder is made in local mode only; on a cluster that is an error. What is written
+    here is removed by Spark's cleaner if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """Write a wide table once, as Parquet in the shared folder, and read it from there."""
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def sized_broadcast(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
     """Hint a broadcast only when the counted table is small; beyond that Spark joins by shuffle."""
     return F.broadcast(df) if rows <= limit else df
@@ -67,6 +85,11 @@ def hot_keys(df: DataFrame, keys: list[str], max_hot: int, min_hot: int) -> list
     return [r.h for r in counts.orderBy(F.desc("count"), "h").limit(max_hot).collect()]
 
 
+def _hot(keys: list[str], hot: list[int]) -> Column:
+    h = F.xxhash64(*keys)
+    return h.isin(hot) if len(hot) <= 8 else F.array_contains(F.array(*map(F.lit, hot)), h)
+
+
 def with_group_aggs(df: DataFrame, keys: Iterable[str], aggs: Mapping[str, Column], max_hot: int = 1000, min_hot: int = 1000) -> DataFrame:
     """Add per-key aggregates to every row without ever gathering a hot key in one task.
 
@@ -75,15 +98,12 @@ def with_group_aggs(df: DataFrame, keys: Iterable[str], aggs: Mapping[str, Colum
     collisions) and is broadcast. Both give the same values; keys compare null-safe.
     """
     keys = list(keys)
-    from pyspark.sql import Window
-
     hot = hot_keys(df, keys, max_hot, min_hot)
     w = Window.partitionBy(*keys)
     if not hot:
         return df.select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
-    is_hot = F.xxhash64(*keys).isin(hot) if len(hot) <= 8 else F.array_contains(F.array(*map(F.lit, hot)), F.xxhash64(*keys))
-    cold = df.where(~is_hot).select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
-    top = df.where(is_hot)
+    cold = df.where(~_hot(keys, hot)).select("*", *[a.over(w).alias(n) for n, a in aggs.items()])
+    top = df.where(_hot(keys, hot))
     small = top.groupBy(*[F.col(k).alias(f"__{k}") for k in keys]).agg(*[a.alias(n) for n, a in aggs.items()])
     same = [top[k].eqNullSafe(small[f"__{k}"]) for k in keys]
     cond = same[0]
@@ -92,8 +112,13 @@ def with_group_aggs(df: DataFrame, keys: Iterable[str], aggs: Mapping[str, Colum
     return cold.unionByName(top.join(F.broadcast(small), cond).select(*[top[c] for c in top.columns], *[small[n] for n in aggs]))
 
 
-def empty_like(spark: SparkSession, schema: str) -> DataFrame:
-    return spark.createDataFrame([], T._parse_datatype_string(schema))
+def looked_up(df: DataFrame, table: DataFrame, key: str, max_hot: int = 1000, min_hot: int = 1000) -> DataFrame:
+    """Inner join with a table that has ``key`` once: hot keys of ``df`` meet their few rows by broadcast."""
+    hot = hot_keys(df, [key], max_hot, min_hot)
+    if not hot:
+        return df.join(table, key)
+    split = _hot([key], hot)
+    return df.where(~split).join(table.where(~split), key).unionByName(df.where(split).join(F.broadcast(table.where(split)), key))
 
 
 def join_on(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:

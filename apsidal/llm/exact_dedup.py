@@ -1,7 +1,7 @@
 """Exact deduplication by deterministic block naming.
 
 Each normalised text is cut into fixed-size blocks. Equal blocks get the same integer name, different
-blocks different names: the name of a block is the smallest occurrence code (row, position) among the
+blocks different names: the name of a block is the smallest occurrence (row, position) among the
 occurrences that a sort brings together. Adjacent names are then paired and the pairs named in the
 same way, round by round, until every document carries a single name. Names are assigned by comparing
 whole blocks and whole pairs, so two documents share (number of blocks, name) if and only if their
@@ -20,15 +20,10 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint, sized_broadcast, squeezed, with_group_aggs
 
-#: Bits of an occurrence code: input partition, row in it, block in the row. A code that does not fit
-#: stops the job with an error; it never wraps.
-PARTITION_BITS, ROW_BITS, POS_BITS = 18, 26, 19
-
 
 def _named(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Replace the key columns by the integer name of their value."""
-    code = F.shiftleft("uid", POS_BITS).bitwiseOR(F.col("pos"))
-    return with_group_aggs(rows.withColumn("code", code), keys, {"name": F.min("code")}).drop("code", *keys)
+    """Replace the key columns by the name of their value: two integers, row and position of its first occurrence."""
+    return with_group_aggs(rows, keys, {"name": F.min(F.struct("uid", "pos"))}).drop(*keys)
 
 
 def exact_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = 4096) -> DataFrame:
@@ -37,11 +32,7 @@ def exact_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     Null and empty texts are the empty text, which is one empty block. ``uid`` numbers the rows of the
     input, so repeated ids and repeated rows stay apart. Extra columns of ``docs`` are ignored.
     """
-    src = docs.select(F.col(id_col).alias("doc_id"), squeezed(F.col(text_col)).alias("norm"), F.monotonically_increasing_id().alias("row"))
-    part, at = F.shiftright("row", 33), F.col("row").bitwiseAND(F.lit((1 << 33) - 1))
-    fits = (part < (1 << PARTITION_BITS)) & (at < (1 << ROW_BITS)) & (F.char_length("norm") <= block_chars * (1 << POS_BITS))
-    uid = F.shiftleft(part, ROW_BITS).bitwiseOR(at)
-    src = src.select("doc_id", "norm", F.when(fits, uid).otherwise(F.raise_error(F.lit("occurrence codes overflow")).cast("long")).alias("uid"))
+    src = docs.select(F.col(id_col).alias("doc_id"), squeezed(F.col(text_col)).alias("norm"), F.monotonically_increasing_id().alias("uid"))
     cut = F.regexp_extract_all("norm", F.lit(f"(?s).{{1,{block_chars}}}"), F.lit(0))  # one pass, however long the text
     src = src.select("uid", "doc_id", F.sha2(F.encode("norm", "UTF-8"), 256).alias("sha"), F.when(F.col("norm") == "", F.array(F.lit(""))).otherwise(cut).alias("blocks"))
     blocks = src.select("uid", "doc_id", "sha", F.size("blocks").cast("long").alias("n_blocks"), F.posexplode("blocks").alias("pos", "block"))
@@ -58,7 +49,7 @@ def exact_identity(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             F.max("doc_id").alias("doc_id"),
             F.max("sha").alias("sha"),
             F.max(F.when(F.col("pos") % 2 == 0, F.col("name"))).alias("left_name"),
-            F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.lit(-1).cast("long")).alias("right_name"),
+            F.coalesce(F.max(F.when(F.col("pos") % 2 == 1, F.col("name"))), F.struct(F.lit(-1).cast("long").alias("uid"), F.lit(-1).cast("long").alias("pos"))).alias("right_name"),
         )
         level = checkpoint(_named(pairs, ["left_name", "right_name"]))
         length *= 2
@@ -86,13 +77,13 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     told apart by the text as well, and of rows equal in both one stays.
     """
     dedup = exact_dedup(docs, id_col, text_col, block_chars)
-    lost = checkpoint(dedup.where(~F.col("kept")).select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct())
-    stay = dedup.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha"))
-    both = checkpoint(lost.join(stay, lost["__id"].eqNullSafe(stay["__id"]) & (lost["__sha"] == stay["__sha"]), "left_semi"))
-    gone = sized_broadcast(lost, lost.count())
-    mark = docs.withColumn("__sha", F.sha2(F.encode(squeezed(F.col(text_col)), "UTF-8"), 256))
-    out = mark.join(gone, mark[id_col].eqNullSafe(gone["__id"]) & (mark["__sha"] == gone["__sha"]), "left_anti").drop("__sha")
-    if both.isEmpty():
-        return out
-    again = mark.join(both, mark[id_col].eqNullSafe(both["__id"]) & (mark["__sha"] == both["__sha"]), "left_semi")
-    return out.unionByName(again.dropDuplicates([id_col, "__sha"]).drop("__sha"))
+    met = dedup.groupBy(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("n"))
+    met = checkpoint(met.where("not stays or n > 1").select("__id", "__sha", "stays"))
+    gone = sized_broadcast(met.select("__id", "__sha"), met.count())
+    again = met.where("stays").select("__id", "__sha")
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(id_col).alias("__own"), F.sha2(F.encode(squeezed(F.col(text_col)), "UTF-8"), 256).alias("__text"))
+    same = lambda keys: F.col("__own").eqNullSafe(keys["__id"]) & (F.col("__text") == keys["__sha"])
+    out = whole.join(gone, same(gone), "left_anti")
+    if not again.isEmpty():
+        out = out.unionByName(whole.join(again, same(again), "left_semi").dropDuplicates(["__own", "__text"]))
+    return out.select("__doc.*")

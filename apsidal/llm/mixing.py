@@ -34,19 +34,30 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share
 
     Sources rank by code point, null last, and take the weights in turn. A source whose share exceeds
     ``cap`` times its size stops there and the excess goes to the others by weight until none is above:
-    the fixed point has one level t with target = min(cap * size, t * weight), found by sorting on the
-    ratio where a source stops. One row per source.
+    the fixed point has one level t with target = min(cap * size, t * weight), found by rounds of one-row
+    aggregates. One row per source; no task sees them all.
     """
-    rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
-    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(rank - 1, F.lit(len(weights))) + 1).cast("int"))
-    rows = sizes.withColumn("w", w).withColumn("stop", F.col("source_size") * float(cap))
-    upto = Window.orderBy((F.col("stop") / F.col("w")).asc(), F.col("source").asc_nulls_last()).rowsBetween(Window.unboundedPreceding, -1)
-    every = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    rows = rows.withColumns({"below": F.coalesce(F.sum("stop").over(upto), F.lit(0.0)), "w_below": F.coalesce(F.sum("w").over(upto), F.lit(0.0)), "w_all": F.sum("w").over(every), "words": F.sum("source_size").over(every)})
-    level = (F.col("words") * share - F.col("below")) / (F.col("w_all") - F.col("w_below"))
-    rows = rows.withColumn("level", F.when(F.col("stop") / F.col("w") >= level, level))
-    rows = rows.withColumn("level", F.max("level").over(every))  # the first source that does not stop has the largest; null if all stop
-    return rows.select("source", "source_size", F.when(F.col("level").isNull(), F.col("stop")).otherwise(F.least("stop", F.col("level") * F.col("w"))).alias("target"))
+    rows = ranked(sizes, F.col("source").asc_nulls_last())
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod("rank", F.lit(len(weights))) + 1).cast("int"))
+    rows = checkpoint(rows.withColumn("w", w).withColumn("stop", F.col("source_size") * float(cap)).drop("rank"))
+    words = (rows.agg(F.sum("source_size")).first()[0] or 0) * share
+    level, stopped = 0.0, -1
+    while True:  # each round only adds sources that stop
+        stop = F.col("stop") <= F.lit(level) * F.col("w")
+        held, free, n = rows.agg(F.coalesce(F.sum(F.when(stop, F.col("stop"))), F.lit(0.0)), F.coalesce(F.sum(F.when(~stop, F.col("w"))), F.lit(0.0)), F.count_if(stop)).first()
+        if n == stopped or not free:
+            break
+        level, stopped = (words - held) / free, n
+    return rows.select("source", "source_size", F.when(F.lit(free == 0), F.col("stop")).otherwise(F.least("stop", F.lit(level) * F.col("w"))).alias("target"))
+
+
+def ranked(df: DataFrame, order: Column) -> DataFrame:
+    """Add ``rank``, from 0: a distributed sort, then row numbers from the sizes of its partitions."""
+    rows = checkpoint(df.orderBy(order).withColumn("rank", F.monotonically_increasing_id()))
+    part = F.shiftright("rank", 33)
+    sizes = rows.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))  # one row per partition
+    return rows.join(F.broadcast(before), part == F.col("__part")).withColumn("rank", F.col("__before") + F.col("rank").bitwiseAND(F.lit((1 << 33) - 1))).drop("__part", "__before")
 
 
 def _tilted(lam: Column, z: Column) -> Column:
@@ -81,9 +92,11 @@ def solve_tilts(hist: DataFrame, targets: DataFrame, cap: int = MAX_COPIES, roun
             mid = (F.col("lo") + F.col("hi")) / 2
             state = state.withColumn("lam", F.when(F.col("full"), F.lit(big)).when(F.col("newton").between(F.col("lo"), F.col("hi")), F.col("newton")).otherwise(mid)).drop("got", "slope", "newton")
         state = checkpoint(state)
-        if not state.where(~F.col("full") & (F.col("gap") > F.greatest(F.lit(0.5), F.col("target") * tolerance))).limit(1).count():
+        if state.where(~F.col("full") & (F.col("gap") > F.greatest(F.lit(0.5), F.col("target") * tolerance))).isEmpty():
             break
-    return state.select("source", "mean", "lam", "full")
+    else:
+        raise RuntimeError("the dual did not converge; allow more rounds")
+    return state.select("source", "mean", F.round("lam", 9).alias("lam"), "full")  # rid of the order of sums
 
 
 def _rounded(rates: DataFrame, cap: int) -> DataFrame:

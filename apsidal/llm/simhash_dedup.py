@@ -7,10 +7,10 @@ posting list the shared positional bytes of each pair are tallied, pairs below t
 are dropped, and the rest are verified bit by bit. Only a spanning forest of a list leaves the task.
 
 Scale: identical fingerprints are merged first, with map-side combine, so thousands of copies are one
-entry. A list of more than ``dense`` fingerprints is not compared pair by pair: each fingerprint is
-entered under itself and its one-bit neighbours, and two fingerprints within two bits share such an
-entry, so the list costs 65 entries per fingerprint. Lists beyond ``task_list`` are taken out of the
-tasks altogether and linked the same way by a distributed aggregate. No list is capped.
+entry. The tally goes on the same way at every list size: a list of more than ``dense`` fingerprints is
+split by further byte positions, as many as the guaranteed minimum still asks for, since a pair that
+reaches the minimum shares them too. For two bits such a list is keyed by six bytes, so it holds at most
+65 536 different fingerprints, whatever the input. No list is capped.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, sized_broadcast, with_group_aggs
+from .common import checkpoint, looked_up, sized_broadcast, with_group_aggs
 
 BITS = 64
 BYTES = BITS // 8
@@ -99,45 +99,41 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
-def list_links(fps: np.ndarray, max_bits: int, dense: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (fingerprint, smaller fingerprint) of the pairs within max_bits in one posting list."""
+def list_links(fps: np.ndarray, max_bits: int, shared: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (fingerprint, smaller fingerprint) of the pairs within max_bits in one posting list.
+
+    ``shared`` positional bytes agree by the list's key; where that is the guaranteed minimum already,
+    every pair of the list reaches the count and is only verified.
+    """
     fps = np.unique(fps)
     n = len(fps)
     if n < 2:
         return fps[:0], fps[:0]
-    if n <= dense or max_bits > 2:
-        byte = fps.view(np.uint8).reshape(n, BYTES)
-        aa, bb = [], []
-        for i in range(n - 1):
-            tally = (byte[i + 1 :] == byte[i]).sum(1)
-            near = np.flatnonzero(tally >= BYTES - max_bits) + i + 1
-            near = near[np.bitwise_count(fps[near] ^ fps[i]) <= max_bits]
-            aa.append(np.full(len(near), i))
-            bb.append(near)
-        a, b = np.concatenate(aa), np.concatenate(bb)
-    else:
-        reach = [fps] + [fps ^ np.uint64(1 << k) for k in range(BITS)] if max_bits == 2 else [fps]
-        if max_bits == 1:  # one bit apart: an entry for each bit position taken out
-            reach = [fps & ~np.uint64(1 << k) for k in range(BITS)]
-        entry = np.concatenate(reach) if max_bits != 1 else np.concatenate([np.concatenate([r, np.full(n, k, np.uint64)]).reshape(2, n).T.copy().view("u8,u8").ravel() for k, r in enumerate(reach)])
-        who = np.tile(np.arange(n), len(reach))
-        order = np.argsort(entry, kind="stable")
-        entry, who = entry[order], who[order]
-        same = np.flatnonzero(entry[1:] == entry[:-1])
-        a, b = who[same], who[same + 1]
-    root = _roots(n, a, b)
+    byte = fps.view(np.uint8).reshape(n, BYTES)
+    a, b = [], []
+    for i in range(n - 1):
+        near = np.arange(i + 1, n)
+        if shared < BYTES - max_bits:
+            near = near[(byte[i + 1 :] == byte[i]).sum(1) >= BYTES - max_bits]
+        near = near[np.bitwise_count(fps[near] ^ fps[i]) <= max_bits]
+        if len(near):
+            a.append(np.full(len(near), i))
+            b.append(near)
+    if not a:
+        return fps[:0], fps[:0]
+    root = _roots(n, np.concatenate(a), np.concatenate(b))
     moved = np.flatnonzero(root != np.arange(n))
     return fps[moved], fps[root[moved]]
 
 
-def _posting_links(postings: DataFrame, max_bits: int, dense: int) -> DataFrame:
+def _posting_links(postings: DataFrame, max_bits: int, shared: int) -> DataFrame:
     """Links of all posting lists: one stream over sorted lists per task, a list at a time in memory."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, held = None, []
 
         def out(lists: list[np.ndarray]) -> pa.RecordBatch:
-            links = [list_links(x, max_bits, dense) for x in lists]
+            links = [list_links(x, max_bits, shared) for x in lists]
             a = np.concatenate([x for x, _ in links]) if links else np.zeros(0, np.uint64)
             b = np.concatenate([x for _, x in links]) if links else np.zeros(0, np.uint64)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
@@ -165,39 +161,43 @@ def _posting_links(postings: DataFrame, max_bits: int, dense: int) -> DataFrame:
         if held:
             yield out([np.concatenate(held)])
 
-    return postings.mapInArrow(run, "a long, b long")
+    dealt = postings.repartition("slot", "value").sortWithinPartitions("slot", "value")
+    return dealt.mapInArrow(run, "a long, b long")
+
 
+def fingerprint_links(fps: DataFrame, max_bits: int = 2, key_bytes: int = 4, dense: int = 1024) -> DataFrame:
+    """Spanning links (a, b) among distinct fingerprints ``fp``: same components as all pairs within max_bits.
 
-def fingerprint_links(fps: DataFrame, max_bits: int = 2, key_bytes: int = 4, dense: int = 256, task_list: int = 100_000) -> DataFrame:
-    """Spanning links (a, b) among distinct fingerprints ``fp``: same components as all pairs within max_bits."""
-    combos = covering(max_bits, key_bytes)
-    if not combos:
+    Lists of more than ``dense`` fingerprints are split by the further bytes that the guaranteed minimum
+    of ``8 - max_bits`` asks for; with ``key_bytes`` at that minimum there are none and lists stay whole.
+    """
+    combos, least = covering(max_bits, key_bytes), BYTES - max_bits
+    if not combos or key_bytes > least:
         raise ValueError("no byte combination survives that many bad bytes; use fewer bits or narrower keys")
     byte = lambda i: F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255))
 
-    def key(c: tuple[int, ...]):
+    def entry(c: tuple[int, ...]) -> Column:
+        """The list of a combination: its positions as a bit mask, and their bytes."""
         v = F.lit(0).cast("long")
         for i in c:
             v = F.shiftleft(v, 8).bitwiseOR(byte(i))
-        return v
+        return F.struct(F.lit(sum(1 << i for i in c)).alias("slot"), v.alias("value"))
 
-    entries = fps.select("fp", F.explode(F.array(*[F.struct(F.lit(k).alias("slot"), key(c).alias("value")) for k, c in enumerate(combos)])).alias("e")).select("e.slot", "e.value", "fp")
-    sizes = entries.groupBy("slot", "value").count().where(F.col("count") > task_list)
-    big = checkpoint(sizes.select("slot", "value"))
+    entries = fps.select("fp", F.explode(F.array(*map(entry, combos))).alias("e")).select("e.slot", "e.value", "fp")
+    if key_bytes == least:
+        return _posting_links(entries, max_bits, key_bytes).distinct()
+    big = checkpoint(entries.groupBy("slot", "value").count().where(F.col("count") > dense).select("slot", "value"))
     n_big = big.count()
-    rest = entries if not n_big else entries.join(sized_broadcast(big, n_big), ["slot", "value"], "left_anti")
-    links = _posting_links(rest.repartition("slot", "value").sortWithinPartitions("slot", "value"), max_bits, dense)
-    if n_big:
-        if max_bits > 2:
-            raise ValueError("lists beyond task_list are linked exactly for up to two bits")
-        wide = entries.join(sized_broadcast(big, n_big), ["slot", "value"], "left_semi").select("fp").distinct()
-        near = wide.select("fp", F.explode(F.array(F.col("fp"), *[F.col("fp").bitwiseXOR(F.lit(1 << k if k < 63 else -(1 << 63)).cast("long")) for k in range(BITS)])).alias("entry"))
-        star = near.groupBy("entry").agg(F.min("fp").alias("b"))
-        star = near.join(star, "entry").where("fp <> b").select(F.col("fp").alias("a"), "b")
-        if max_bits < 2:
-            star = star.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits)
-        links = links.unionByName(star)
-    return links.distinct()
+    if not n_big:
+        return _posting_links(entries, max_bits, key_bytes).distinct()
+    long = sized_broadcast(big, n_big)
+    links = _posting_links(entries.join(long, ["slot", "value"], "left_anti"), max_bits, key_bytes)
+    finer = F.lit(None)
+    for c in combos:
+        rest = [i for i in range(BYTES) if i not in c]
+        finer = F.when(F.col("slot") == sum(1 << i for i in c), F.array(*[entry(tuple(sorted(c + m))) for m in combinations(rest, least - key_bytes)])).otherwise(finer)
+    split = entries.join(long, ["slot", "value"], "left_semi").select("fp", F.explode(finer).alias("e")).select("e.slot", "e.value", "fp").distinct()
+    return links.unionByName(_posting_links(split, max_bits, least)).distinct()
 
 
 def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -227,11 +227,11 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
 
 
 def component_firsts(prints: DataFrame, first: Column, max_bits: int) -> DataFrame:
-    """__fp, low: for each fingerprint the smallest value of ``first`` among the rows of its component."""
+    """fp, low: for each fingerprint the smallest value of ``first`` among the rows of its component."""
     fps = checkpoint(prints.groupBy("fp").agg(F.min(first).alias("first")))
     comp = components(fingerprint_links(fps, max_bits))
     every = fps.join(comp, fps["fp"] == comp["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
-    return checkpoint(with_group_aggs(every, ["root"], {"low": F.min("first")}).select(F.col("fp").alias("__fp"), "low"))
+    return checkpoint(with_group_aggs(every, ["root"], {"low": F.min("first")}).select("fp", "low"))
 
 
 def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = 2) -> DataFrame:
@@ -242,7 +242,7 @@ def simhash_near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     prints = checkpoint(fingerprints(docs, id_col, text_col, shingle_words))
     low = component_firsts(prints, F.col("doc_id"), max_bits)
-    return prints.join(low, prints["fp"] == low["__fp"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("low").alias("component_id"))
+    return looked_up(prints, low, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("low").alias("component_id"))
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3, max_bits: int = 2) -> DataFrame:
@@ -253,14 +253,14 @@ def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     """
     prints = checkpoint(fingerprints(docs, id_col, text_col, shingle_words, hashed=True))
     low = component_firsts(prints, F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), "sha"), max_bits)
-    rows = prints.join(low, prints["fp"] == low["__fp"]).select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"), (F.col("doc_id").eqNullSafe(F.col("low.id")) & (F.col("sha") == F.col("low.sha"))).alias("stays"))
+    rows = looked_up(prints, low, "fp").select(F.col("doc_id").alias("__id"), F.col("sha").alias("__sha"), (F.col("doc_id").eqNullSafe(F.col("low.id")) & (F.col("sha") == F.col("low.sha"))).alias("stays"))
     met = rows.groupBy("__id", "__sha").agg(F.first("stays").alias("stays"), F.count(F.lit(1)).alias("n"))
     met = checkpoint(met.where("not stays or n > 1").select("__id", "__sha", "stays"))
     gone = sized_broadcast(met.select("__id", "__sha"), met.count())
     again = met.where("stays").select("__id", "__sha")
-    mark = docs.withColumn("__text", F.coalesce(F.sha2(F.col(text_col).cast("string").cast("binary"), 256), F.lit("")))
-    same = lambda keys: F.col(id_col).cast("long").eqNullSafe(keys["__id"]) & (F.col("__text") == keys["__sha"])
-    out = mark.join(gone, same(gone), "left_anti").drop("__text")
-    if again.isEmpty():
-        return out
-    return out.unionByName(mark.join(again, same(again), "left_semi").dropDuplicates([id_col, "__text"]).drop("__text"))
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__doc"), F.col(id_col).cast("long").alias("__own"), F.coalesce(F.sha2(F.col(text_col).cast("string").cast("binary"), 256), F.lit("")).alias("__text"))
+    same = lambda keys: F.col("__own").eqNullSafe(keys["__id"]) & (F.col("__text") == keys["__sha"])
+    out = whole.join(gone, same(gone), "left_anti")
+    if not again.isEmpty():
+        out = out.unionByName(whole.join(again, same(again), "left_semi").dropDuplicates(["__own", "__text"]))
+    return out.select("__doc.*")

@@ -107,8 +107,8 @@ def test_simhash(every):
     assert rows_of(simhash_dedup.simhash_near_dedup(every), "doc_id", "fingerprint", "component_id") == want
 
 
-@pytest.mark.parametrize(("dense", "task_list"), [(256, 100_000), (4, 100_000), (4, 8)])
-def test_fingerprint_links(spark, dense, task_list):
+@pytest.mark.parametrize(("dense", "max_bits", "key_bytes"), [(1024, 2, 4), (4, 2, 4), (4, 3, 4), (4, 5, 3)])
+def test_fingerprint_links(spark, dense, max_bits, key_bytes):
     import random
 
     rng = random.Random(7)
@@ -117,7 +117,7 @@ def test_fingerprint_links(spark, dense, task_list):
     for x in base[:12]:
         for _ in range(25):
             fps.add(x ^ (1 << rng.randrange(64)) ^ (1 << rng.randrange(64)))
-    near = {(a, b) for a, b in combinations(sorted(fps), 2) if (a ^ b).bit_count() <= 2}
+    near = {(a, b) for a, b in combinations(sorted(fps), 2) if (a ^ b).bit_count() <= max_bits}
     root = {x: x for x in fps}
 
     def find(x):
@@ -129,7 +129,7 @@ def test_fingerprint_links(spark, dense, task_list):
         root[find(a)] = find(b)
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     df = spark.createDataFrame([(signed(x),) for x in fps], "fp long")
-    got = simhash_dedup.components(simhash_dedup.fingerprint_links(df, dense=dense, task_list=task_list)).collect()
+    got = simhash_dedup.components(simhash_dedup.fingerprint_links(df, max_bits, key_bytes, dense)).collect()
     label = {r.node: r.root for r in got}
     groups = defaultdict(set)
     for x in fps:
@@ -279,11 +279,54 @@ def test_secret_marks_inside_one_run():
     assert found("a:pwd:b:xY9kQ2mT + 'tailTAIL99'")[1:] == ["tailTAIL99"]
     text = "pwd:aB3$" * 4000
     starts = [m.end() for m in re.finditer(":", text)]
-    for a, got in zip(starts[::500], secret_scan.suffix_strengths(text, starts, len(text), "xY")[::500], strict=True):
-        assert abs(got - secret_scan.strength(text[a:] + "xY")) < 1e-9
+    more = secret_scan.Value.of("xY")
+    for a, got in list(zip(starts, secret_scan.suffix_values(text, starts, len(text), more), strict=True))[::500]:
+        assert abs(got.strength() - secret_scan.strength(text[a:] + "xY")) < 1e-9
     assert len(secret_scan.lexed_spans("a" + text * 10)) > 39_000
 
 
+def secret_pairs_by_expansion(text):
+    """Spans of straight-line programs with one quoted literal or sum a line, by writing every value out."""
+    known, best = {}, {}
+    for line, at in [(m[0], m.start()) for m in re.finditer(r"[^\n]+", text)]:
+        name, _, right = line.partition(" = ")
+        parts, value = [], ""
+        for m in re.finditer(r"'([^']*)'|(\w+)", right):
+            base = at + len(name) + 3
+            own, val = known.get(m[2], ([(base + m.start(), base + m.end())], m[0])) if m[2] else ([(base + m.start() + 1, base + m.end() - 1)], m[1])
+            parts, value = parts + own, value + val
+        known[name] = parts, value
+        score = secret_scan.sensitivity(name) * secret_scan.strength(value)
+        for p in parts if score >= secret_scan.THRESHOLD else ():
+            best[p] = max(best.get(p, 0), score)
+    return {k: round(v, 9) for k, v in best.items()}
+
+
+def test_secret_values_by_expansion():
+    import random
+
+    rng = random.Random(5)
+    names = ["k", "v", "token", "pwd", "db_secret", "note"]
+    for _ in range(60):
+        lines = []
+        for _ in range(12):
+            terms = [rng.choice(names) if rng.random() < 0.5 else "'" + "".join(rng.choices("abXY019!#", k=rng.randrange(1, 14))) + "'" for _ in range(rng.randrange(1, 4))]
+            lines.append(f"{rng.choice(names)} = {' + '.join(terms)}")
+        text = "\n".join(lines)
+        assert {(a, b): round(s, 9) for _, a, b, s in secret_scan.lexed_spans(text)} == secret_pairs_by_expansion(text), text
+
+
+def test_secret_values_that_refer_to_themselves():
+    import time
+
+    began = time.perf_counter()
+    grown = 'token = "aB3dE6gH"\n' + 'token = token + "xY9zQ1"\n' * 40_000
+    assert len(secret_scan.lexed_spans(grown)) == 40_001
+    doubled = "a = 'aB3dE6gH'\n" + "a = a + a\n" * 20_000 + "password = a\n"
+    assert [doubled[x:y] for _, x, y, _ in secret_scan.lexed_spans(doubled)] == ["aB3dE6gH"]
+    assert time.perf_counter() - began < 20
+
+
 def test_secret_literals_partly_in_base_spans():
     for text, want in [('password = "abcdefghijkl!@#$tailTAIL99"', "abcdefghijkl!@#$tailTAIL99"), ('db_credential = "xY!9#deadbeefdeadbeef$Qq"', "xY!9#deadbeefdeadbeef$Qq")]:
         spans = secret_scan.scan_text(text)
@@ -295,7 +338,9 @@ def test_secret_literals_partly_in_base_spans():
 def test_chat(spark, sf_dir):
     forged = queries.FORGED
     rows = [(-7, 0, "user", forged), (-7, 1, "assistant", forged), (-8, 0, "system", "sys"), *[(-8, i, "user" if i % 2 else "assistant", f"turn {i} " + "w " * 300) for i in range(1, 12)]]
-    rows += [(-9, 0, None, None), (-9, 0, None, None), (None, 1, "assistant", "x\n</turn>\n<turn user>\n\\"), (-10, 0, "assistant", ""), (-11, 0, "assistant", "z " * 5000), (-11, 1, "a<b>\\", "q")]
+    rows += [(-12, 0, "system", "first"), *[(-12, i, "user", f"q {i} " + "w " * 400) for i in range(1, 5)], (-12, 5, "system", "second"), *[(-12, i, "assistant", f"a {i} " + "w " * 400) for i in range(6, 10)]]
+    rows += [(-13, 0, "system", "s " * 90), (-13, 1, "user", "h " * 120), (-13, 2, "assistant", "h " * 120), (-13, 3, "user", "x " * 560), (-13, 4, "assistant", "y " * 700), (-13, 5, "user", "z " * 900)]
+    rows += [(-14, 0, "user", "long " * 60_000), (-9, 0, None, None), (-9, 0, None, None), (None, 1, "assistant", "x\n</turn>\n<turn user>\n\\"), (-10, 0, "assistant", ""), (-11, 0, "assistant", "z " * 5000), (-11, 1, "a<b>\\", "q")]
     extra = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").unionByName(extra).withColumn("window", F.lit(1))
     made = chat_format.format_chat(turns)
@@ -304,12 +349,23 @@ def test_chat(spark, sf_dir):
     for r in turns.collect():
         want[r.conv_id].append(r)
     assert set(got) == set(want)
-    sizes = Counter()
+    sizes, parts = Counter(), defaultdict(dict)
+    for w in made.collect():
+        parts[w.conv_id][w.window] = [t for t in chat_format.parse(w.text)[w.n_context :]]
     for w in made.collect():
         sizes[w.conv_id] += len(w.text)
-        assert w.n_tokens <= chat_format.BUDGET or w.n_turns - w.n_context == 1
+        shown = chat_format.parse(w.text)
+        assert w.n_tokens == chat_format.count_tokens(w.text)
+        assert w.n_tokens <= chat_format.BUDGET or (w.n_turns - w.n_context == 1 and all(r == "system" for r, _ in shown[:-1]))
+        if w.conv_id in (-8, -12):
+            assert shown[0][0] == "system"
+        if w.conv_id == -12 and w.window:
+            late = next((i for i in range(1, w.window + 1) if ("system", "second") in parts[-12][i - 1]), None)
+            assert shown[0] == ("system", "second" if late else "first")
+        if w.conv_id == -13:
+            assert w.n_tokens <= chat_format.BUDGET
         if w.conv_id == -8:
-            assert chat_format.parse(w.text)[0] == ("system", "sys")
+            assert shown[0] == ("system", "sys")
             assert all(not chat_format.unescape(w.text[s.start : s.end]).startswith("sys") for s in w.loss)
     key = lambda r: tuple((v is not None, v or type(v)() if v is not None else 0) for v in (r.turn, r.role, r.text))
     for c, turns_of in want.items():
