@@ -5,12 +5,15 @@ repeated groups; the streams of a host are aligned one after another, and whatev
 becomes an optional group, whatever text differs becomes a slot. The result, one wrapper per host, is a
 regular expression without unions, held as a tree. The wrapper says which part of a page is the article:
 the named main element, or else the part that carries the varying text. A page is extracted by aligning
-it with its host's wrapper.
-
-Scale: pages are never gathered by host. Each task aligns its own pages into one wrapper per host, and
-these partial wrappers are merged in rounds of small groups, so a host with a third of all pages costs
-one small tree per task. Wrappers are broadcast after counting them; beyond the bound they are joined
-with salted keys. The html is read twice and never shuffled unless that bound is passed.
+it with its host's wrapper. Text that is the same on all pages stays where a named element marks it as
+article, since nothing of an article may be dropped; without such names it belongs to the template.
+
+Scale: pages are never gathered by host. Pages of one host whose folded streams have the same structure
+differ in their slots only; a task sums them up, and so does the merge, in any order. The distinct
+structures of a host are then aligned in rounds of small groups that their hashes and not the tasks
+determine, so the wrapper does not depend on how the table is split, and a host with a third of all
+pages costs one small tree per structure. Wrappers are broadcast after counting them; beyond the bound
+they are joined with salted keys. The html is read twice and never shuffled unless that bound is passed.
 """
 
 from __future__ import annotations
@@ -18,7 +21,8 @@ from __future__ import annotations
 import html as htmllib
 import json
 import re
-from collections.abc import Iterator
+import sys
+from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
 
 import pyarrow as pa
@@ -48,11 +52,12 @@ SIDE_WORDS = frozenset(
 )
 #: Words that name the article's container where no article or main element does.
 MAIN_WORDS = frozenset("article articlebody content entry main post story".split())
-MAX_DEPTH = 150
 PERIODS = (1, 2, 3, 4)
 #: A slot whose text is the same on so many pages belongs to the template.
 CONSTANT_PAGES = 3
 MERGE_GROUP, TASK_HOSTS = 32, 2000
+#: Elements nest as deep as a page has them; trees are walked by plain Python calls, which need no C stack.
+RECURSION = 10_000_000
 #: Characters of wrappers that are broadcast at most.
 BROADCAST_CHARS = 32 << 20
 SALTS = 64
@@ -87,6 +92,7 @@ class Page:
         self.texts: list[str] = []
         self.root: list = ["#root", []]
         stack, buf = [self.root], []
+        places: dict[str, list[int]] = {}  # of each open element's name, its places in the stack
 
         def flush() -> None:
             if buf:
@@ -96,15 +102,15 @@ class Page:
                     stack[-1][1].append(len(self.texts))
                     self.texts.append(text)
 
-        def close(names: tuple[str, ...], until: frozenset[str] = frozenset()) -> None:
-            for i in range(len(stack) - 1, 0, -1):
-                tag = stack[i][0].partition(".")[0]
-                if tag in names:
-                    flush()
-                    del stack[i:]
-                    return
-                if tag in until:
-                    return
+        def innermost(names: Iterable[str]) -> int:
+            return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+        def close(names: tuple[str, ...], until: tuple[str, ...] = ()) -> None:
+            at = innermost(names)
+            if at and at > innermost(until):
+                flush()
+                while len(stack) > at:
+                    places[stack.pop()[0].partition(".")[0]].pop()
 
         for m in TOKEN.finditer(source):
             if m[8]:
@@ -116,8 +122,6 @@ class Page:
                 continue
             attrs = (m[4] if m[3] else m[7]) or ""
             if m[2] or m[5]:  # an end tag
-                if name in INLINE and not any(x[0].partition(".")[0] == name for x in stack[1:]):
-                    continue
                 close((name,))
                 continue
             words = label_words(name, attrs) if attrs else []
@@ -127,15 +131,16 @@ class Page:
                 continue
             flush()
             if name in P_ENDS:
-                close(("p",), frozenset(("td", "th", "button")))
+                close(("p",), ("td", "th", "button"))
             if name in SIBLINGS:
-                close(SIBLINGS[name], frozenset(("ul", "ol", "dl", "table", "select", "menu")))
+                close(SIBLINGS[name], ("ul", "ol", "dl", "table", "select", "menu"))
             if name == "body":
                 close(("head",))
-            if name in VOID or attrs.endswith("/") or len(stack) >= MAX_DEPTH:
+            if name in VOID or attrs.endswith("/"):
                 continue
             node = [name + "." + ".".join(words) if words else name, []]
             stack[-1][1].append(node)
+            places.setdefault(name, []).append(len(stack))
             stack.append(node)
         flush()
 
@@ -153,18 +158,43 @@ class Node:
         self.main = False
 
     def pack(self) -> list:
-        own = [self.label, int(self.optional), int(self.repeated), int(self.main)]
-        return [*own, self.low, self.high, self.chars, self.pages] if self.label == "#" else [*own, [k.pack() for k in self.kids]]
+        """The tree in preorder, each part with its number of children."""
+        out, todo = [], [self]
+        while todo:
+            n = todo.pop()
+            own = [n.label, len(n.kids), int(n.optional), int(n.repeated), int(n.main)]
+            out.append([*own, n.low, n.high, n.chars, n.pages] if n.label == "#" else own)
+            todo += reversed(n.kids)
+        return out
 
     @staticmethod
-    def unpack(x: list) -> Node:
-        n = Node(x[0])
-        n.optional, n.repeated, n.main = bool(x[1]), bool(x[2]), bool(x[3])
-        if n.label == "#":
-            n.low, n.high, n.chars, n.pages = x[4:]
-        else:
-            n.kids = [Node.unpack(k) for k in x[4]]
-        return n
+    def unpack(rows: list) -> Node:
+        stack: list[tuple[Node, int]] = []
+        root = None
+        for label, size, optional, repeated, main, *slot in rows:
+            n = Node(label)
+            n.optional, n.repeated, n.main = bool(optional), bool(repeated), bool(main)
+            if slot:
+                n.low, n.high, n.chars, n.pages = slot
+            while stack and len(stack[-1][0].kids) == stack[-1][1]:
+                stack.pop()
+            if stack:
+                stack[-1][0].kids.append(n)
+            root = root or n
+            stack.append((n, size))
+        return root
+
+    def forget(self) -> None:
+        """Drop the numbers of the text blocks of a page."""
+        todo = [self]
+        while todo:
+            n = todo.pop()
+            n.source = []
+            todo += n.kids
+
+    def structure(self) -> str:
+        """The tree without what its slots hold."""
+        return json.dumps([x[:4] for x in self.pack()])
 
 
 def alike(a: Node, b: Node) -> bool:
@@ -185,33 +215,33 @@ def fold(kids: list[Node]) -> list[Node]:
         for p in PERIODS:
             if len(out) >= 2 * p and all(alike(out[-p + i], out[-2 * p + i]) for i in range(p)):
                 for i in range(p):
-                    join(out[-2 * p + i], out[-p + i])
+                    join(out[-2 * p + i], out[-p + i], True)
                     out[-2 * p + i].repeated = True
                 del out[-p:]
                 break
     return out
 
 
-def join(a: Node, b: Node) -> None:
-    """Generalise a so that it also matches b, which has the same label."""
+def join(a: Node, b: Node, same_pages: bool = False) -> None:
+    """Generalise a so that it also matches b, which has the same label; repeats within pages count no page twice."""
     a.optional |= b.optional
     a.repeated |= b.repeated
     a.source += b.source
     if a.label == "#":
         a.low, a.high = min(a.low, b.low), max(a.high, b.high)
         a.chars += b.chars
-        a.pages += b.pages
+        a.pages = max(a.pages, b.pages) if same_pages else a.pages + b.pages
         return
     x, y = [k.label for k in a.kids], [k.label for k in b.kids]
     if x == y:
         for k, m in zip(a.kids, b.kids, strict=True):
-            join(k, m)
+            join(k, m, same_pages)
         return
     kids = []
     for op, i, j, s, t in SequenceMatcher(None, x, y, autojunk=False).get_opcodes():
         if op == "equal":
             for k, m in zip(a.kids[i:j], b.kids[s:t], strict=True):
-                join(k, m)
+                join(k, m, same_pages)
             kids += a.kids[i:j]
         else:
             rest = a.kids[i:j] + b.kids[s:t]
@@ -248,11 +278,21 @@ def is_side(label: str) -> bool:
     return bool(names) and tag not in ("html", "body", "main", "#root") and not SIDE_WORDS.isdisjoint(names.split("."))
 
 
+def varies(slot: Node) -> bool:
+    """Whether a slot's text differs between pages, or is not on enough of them to tell."""
+    return slot.low != slot.high or slot.pages < CONSTANT_PAGES
+
+
 def varying(node: Node, every: bool = True) -> int:
     """Characters in the slots below that are not beside the article; without ``every``, of varying slots only."""
-    if node.label == "#":
-        return node.chars if every or node.low != node.high or node.pages < CONSTANT_PAGES else 0
-    return 0 if is_side(node.label) else sum(varying(k, every) for k in node.kids)
+    total, todo = 0, [node]
+    while todo:
+        n = todo.pop()
+        if n.label == "#":
+            total += n.chars if every or varies(n) else 0
+        elif not is_side(n.label):
+            todo += n.kids
+    return total
 
 
 def mark_main(root: Node) -> None:
@@ -275,19 +315,32 @@ def mark_main(root: Node) -> None:
     tops = next((some for rank in sorted(found) if (some := [k for k in found[rank] if varying(k)])), [])
     named = bool(tops)
     best = root
+    held: dict[int, int] = {}  # varying characters of every part, each part summed once
+
+    def weigh(node: Node) -> int:
+        held[id(node)] = (node.chars if varies(node) else 0) if node.label == "#" else sum([weigh(k) for k in node.kids])
+        if is_side(node.label):
+            held[id(node)] = 0
+        return held[id(node)]
+
+    def mass(node: Node) -> int:
+        return held[id(node)]
+
+    if not named:
+        weigh(root)
     while not named:
-        total = varying(best, False)
-        inner = max((k for k in best.kids if k.label != "#"), key=lambda k: varying(k, False), default=None)
-        if inner is None or not total or varying(inner, False) < 0.8 * total or not any(k.label not in ("#",) for k in inner.kids):
+        total = mass(best)
+        inner = max((k for k in best.kids if k.label != "#"), key=mass, default=None)
+        if inner is None or not total or mass(inner) < 0.8 * total or all(k.label == "#" for k in inner.kids):
             break
         best = inner
-    some = named or varying(best, False) > 0
+    some = named or mass(best) > 0
 
     def mark(node: Node) -> None:
         node.main = True
         for k in node.kids:
             if k.label == "#":
-                k.main = named or not some or k.low != k.high or k.pages < CONSTANT_PAGES
+                k.main = named or not some or varies(k)
             elif not is_side(k.label) and (named or k.label.partition(".")[0] != "header"):
                 mark(k)
 
@@ -330,6 +383,7 @@ def matched(page: Node, wrapper: Node, within: bool = False) -> list[int]:
 
 def main_text(source: str, wrapper: Node | None) -> str:
     """Blocks of the article, joined by newlines; a page without the wrapper's article is its own wrapper."""
+    sys.setrecursionlimit(RECURSION)
     page = Page(source)
     own = shape(page)
     kept = matched(own, wrapper) if wrapper is not None else []
@@ -340,67 +394,80 @@ def main_text(source: str, wrapper: Node | None) -> str:
 
 
 def fit_wrapper(pages: list[str]) -> Node:
-    """Wrapper of pages of one host, aligned in order."""
-    root = None
+    """Wrapper of pages of one host: alike structures summed up, then aligned in the order of their structures."""
+    sys.setrecursionlimit(RECURSION)
+    known: dict[str, Node] = {}
     for source in pages:
         own = shape(Page(source))
-        if root is None:
-            root = own
+        at = own.structure()
+        if at in known:
+            join(known[at], own)
         else:
-            join(root, own)
-    return root
+            known[at] = own
+    return aligned([known[k] for k in sorted(known)])
+
+
+def aligned(parts: list[Node]) -> Node:
+    for other in parts[1:]:
+        join(parts[0], other)
+    return parts[0]
 
 
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """host, wrapper (JSON): one row per host, its article marked."""
+    import xxhash
 
-    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[str, Node] = {}
+    kind = "host string, structure long, wrapper string"
 
-        def out() -> pa.RecordBatch:
-            rows = pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()), pa.array([json.dumps(w.pack()) for w in known.values()], pa.string())], names=["host", "wrapper"])
-            known.clear()
-            return rows
+    def rows(known: dict[tuple[str, str], Node]) -> pa.RecordBatch:
+        names = [pa.array([h for h, _ in known], pa.string()), pa.array([xxhash.xxh64_intdigest(s) >> 1 for _, s in known], pa.int64())]
+        return pa.RecordBatch.from_arrays([*names, pa.array([json.dumps(w.pack()) for w in known.values()], pa.string())], names=["host", "structure", "wrapper"])
 
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(RECURSION)
+        known: dict[tuple[str, str], Node] = {}
         for b in batches:
             for url, source in zip(b.column(0), b.column(1), strict=True):
-                own, host = shape(Page(source.as_py() or "")), host_of(url.as_py())
-                if host in known:
-                    join(known[host], own)
+                own = shape(Page(source.as_py() or ""))
+                at = host_of(url.as_py()), own.structure()
+                if at in known:
+                    join(known[at], own)
                 else:
-                    known[host] = own
-                known[host].source = []
-            if len(known) > TASK_HOSTS:
-                yield out()
+                    known[at] = own
+                known[at].forget()
+                if len(known) > TASK_HOSTS:
+                    yield rows(known)
+                    known = {}
         if known:
-            yield out()
+            yield rows(known)
 
     def merge(key, group):
-        root = None
-        for w in sorted(group["wrapper"]):
-            node = Node.unpack(json.loads(w))
-            if root is None:
-                root = node
-            else:
-                join(root, node)
+        sys.setrecursionlimit(RECURSION)
+        nodes = sorted(((n.structure(), n) for n in (Node.unpack(json.loads(w)) for w in group["wrapper"])), key=lambda x: x[0])
         group = group.iloc[:1].copy()
-        group["wrapper"] = [json.dumps(root.pack())]
-        return group[["host", "wrapper"]]
+        root = aligned([n for _, n in nodes])
+        group["structure"], group["wrapper"] = [xxhash.xxh64_intdigest(root.structure()) >> 1], [json.dumps(root.pack())]
+        return group[["host", "structure", "wrapper"]]
 
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sys.setrecursionlimit(RECURSION)
         for b in batches:
             done = []
-            for w in b.column(1):
+            for w in b.column(2):
                 root = Node.unpack(json.loads(w.as_py()))
                 mark_main(root)
                 done.append(json.dumps(root.pack()))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(done, pa.string())], names=["host", "wrapper"])
 
     src = pages.select(F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
-    parts = checkpoint(src.mapInArrow(fit, "host string, wrapper string"))
+    parts = checkpoint(src.mapInArrow(fit, kind))
+    # what tasks found of one structure sums up in any order; few rows, as a task has one per structure
+    salt = F.pmod(F.xxhash64("wrapper"), F.lit(MERGE_GROUP)).alias("salt")
+    parts = parts.groupBy("host", "structure", salt).applyInPandas(merge, kind).groupBy("host", "structure").applyInPandas(merge, kind)
+    parts = checkpoint(parts)
     while (most := parts.groupBy("host").count().agg(F.max("count")).first()[0] or 0) > 1:
-        dealt = parts.withColumn("part", F.pmod(F.xxhash64("wrapper"), F.lit(-(-most // MERGE_GROUP))))
-        parts = checkpoint(dealt.groupBy("host", "part").applyInPandas(merge, "host string, wrapper string"))
+        dealt = parts.withColumn("part", F.pmod("structure", F.lit(-(-most // MERGE_GROUP))))
+        parts = checkpoint(dealt.groupBy("host", "part").applyInPandas(merge, kind))
     return parts.mapInArrow(finish, "host string, wrapper string")
 
 

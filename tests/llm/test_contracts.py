@@ -409,6 +409,29 @@ def test_html_wrapper_without_named_container():
     assert html_extract.main_text(pages[2], wrapper) == "story 2\nstory 2 one\nstory 2 two"
 
 
+def test_html_wrapper_decides_without_names(spark):
+    """Two layouts of one host, split over tasks in any way: the same text, and not that of the page alone."""
+    page = "<body><div><b>Site</b> menu</div><div>{2}<h2>{0}</h2><p>{0} one</p><p>{0} two</p>{1}</div><div>fine print</div></body>"
+    rows = [(i, f"http://h.example/{i}", page.format(f"story {i}", "<ul><li>x</li></ul>" if i % 2 else "", "<pre>top</pre>" * (i % 3))) for i in range(40)]
+    want = {i: "\n".join([f"story {i}", f"story {i} one", f"story {i} two"]) for i in range(40)}
+    for parts in (1, 7):
+        got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(parts, "page_id")).collect()}
+        assert got == want
+    assert html_extract.main_text(rows[0][2], None) != want[0]
+    wrappers = {tuple(map(tuple, html_extract.infer_wrappers(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(n, "page_id")).collect())) for n in (1, 3, 8)}
+    assert len(wrappers) == 1
+
+
+def test_html_of_any_depth(spark):
+    deep = lambda n: "<div>" * n + "<article><p>deep body</p></article><nav>menu</nav>" + "</div>" * n + "<p>after</p>"
+    for n in (20, 160, 3000, 50_000):
+        assert html_extract.main_text(deep(n), None) == "deep body", n
+    long = "<article>" + "<p>word</p>" * 30_000 + "</article>"
+    rows = [(1, "u", deep(20_000)), (2, "u", deep(20_000)), (3, "u", long), (4, "u", "<div><p>" * 20_000 + "x"), (5, "u", "</div></p>" * 20_000 + "y")]
+    got = {r.page_id: r.text for r in html_extract.extract_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "deep body", 2: "deep body", 3: "\n".join(["word"] * 30_000), 4: "x", 5: "y"}
+
+
 @pytest.mark.parametrize(("page", "want"), [
     ("<body><article>part 1</article><div class=ad>buy</div><article>part two</article></body>", "part 1\npart two"),
     ("<body><div class=content><p>a</p></div><div class=advert>buy</div><div class=content><p>bcd</p></div></body>", "a\nbcd"),
