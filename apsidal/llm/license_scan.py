@@ -6,9 +6,10 @@ template's length lies in one window whole. A window and a template that share a
 candidate; the share of the template's five-word shingles that the window contains is then counted
 exactly, and 0.8 or more is a match.
 
-Band settings: a window that holds at least 0.8 of a template has a Jaccard similarity of at least
-0.8 * L / (L + stride + 0.2 * L) with L shingles; with stride L / 4 that is 0.55. At 32 bands of two rows
-the chance of no collision is (1 - 0.55 ** 2) ** 32 < 1e-5.
+Band settings: with L shingles, a window that holds at least 0.8 of a template has a Jaccard similarity
+of at least 0.8 * L / (L + stride + 0.2 * L). The stride is a quarter of the words, so for long templates
+that is 0.55 and at 32 bands of two rows the chance of no collision is (1 - 0.55 ** 2) ** 32 < 1e-5; for
+wordings of five to nine words it is 0.5 and the chance is about 1e-4.
 
 A band of a window and a template can only agree if the window holds a shingle in which a template's
 row has its minimum. Windows without one are passed over before hashing them, which loses no collision.
@@ -49,6 +50,15 @@ TEMPLATES = {
         "Licensed under CC BY-NC 4.0.",
         "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     ),
+    "GPL-2.0": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",),
+    "LGPL-2.1": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",),
+    "AGPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",),
+    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
+    "CC-BY-SA-4.0": ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",),
+    "Zlib": ("This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",),
+    "BSL-1.0": ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the Software) to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at",),
     "CC-BY-4.0": ("This work is licensed under a Creative Commons Attribution 4.0 International License.",),
     "BSD-3-Clause": (
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:",
