@@ -1,0 +1 @@
+"""All queries register themselves when their module is imported."""

@@ -67,3 +67,20 @@ ALERTS_SQL = f"""raw AS (SELECT l_orderkey * 1000000000 + l_partkey * 10000 + l_
  ((l_orderkey * 7919 + l_linenumber * 104729) % 30000) / 1000.0 AS miss_km, l_quantity * 0.3 AS v_rel, CAST(l_partkey % 168 AS DOUBLE) AS age_h,
  CAST((l_suppkey * 13 + l_orderkey) % 72 AS DOUBLE) AS tca_h, 0.5 + (l_partkey % 40) / 10.0 AS sigma_km, CAST(0.02 AS DOUBLE) AS hbr_km FROM lineitem WHERE l_suppkey % 100 <> l_partkey % 100),
 alerts AS (SELECT *, {_pc_sql()} AS pc FROM raw)"""
+
+#: Catalogue records of the parts, in SQL that both engines read.
+CATALOGUE = {
+    "id": "p_partkey",
+    "name": "CASE p_partkey % 14 WHEN 0 THEN 'COSMOS ' || p_partkey || ' DEB' WHEN 1 THEN 'STARLINK-' || p_partkey WHEN 2 THEN 'SL-' || p_partkey || ' R/B' WHEN 3 THEN 'ISS (ZARYA)' WHEN 4 THEN 'OBJECT ' || p_partkey WHEN 5 THEN 'GOES ' || p_partkey WHEN 6 THEN 'TBA - ' || p_partkey WHEN 7 THEN 'GSAT-' || p_partkey WHEN 8 THEN 'FENGYUN AKM' WHEN 9 THEN 'IRIDIUM ' || p_partkey WHEN 10 THEN 'FRAGMENT ' || p_partkey WHEN 11 THEN 'TITAN (DEBRIS)' WHEN 12 THEN '' END",
+    "owner": "CASE p_size % 8 WHEN 0 THEN 'US' WHEN 1 THEN 'CIS' WHEN 2 THEN 'PRC' WHEN 3 THEN 'UK' WHEN 4 THEN 'ISS' WHEN 5 THEN 'TBD' WHEN 6 THEN 'XYZ' END",
+    "rcs_m2": "CASE WHEN p_size % 5 <> 0 THEN p_size / 25e0 * CASE WHEN p_partkey % 3 = 0 THEN 1e-1 ELSE 1e0 END END",
+    "launch_year": "1957 + p_partkey % 70",
+    "listed_type": "CASE p_partkey % 5 WHEN 0 THEN 'PAYLOAD' WHEN 1 THEN 'ROCKET BODY' WHEN 2 THEN 'DEB' WHEN 3 THEN 'TBA' END",
+    "scenario_mass": "CASE WHEN p_partkey % 11 = 0 THEN 900e0 + p_size END",
+    "tail": "lpad(CAST(p_partkey % 1000 AS STRING), 3, '0')",
+}
+CATALOGUE_SQL = "catalogue AS (SELECT " + ", ".join(f"{e} AS {n}" for n, e in CATALOGUE.items()) + " FROM part)"
+
+
+def catalogue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").selectExpr(*[f"{e} AS {n}" for n, e in CATALOGUE.items()])
