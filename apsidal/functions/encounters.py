@@ -57,9 +57,91 @@ def isotropic_pc(miss_km: Column, sigma_km: Column, radius_km: Column, terms: in
     return clipped(F.exp(-lam - x) * total, 0.0, 1.0)
 
 
-def decision_score(pc: Column, cpi: Column, depth: Column, dv: Column) -> Column:
-    """Weights .60/.15/.15/.10; without a surrogate its weight goes to the physics term."""
-    return floored((clipped((log10_floor(pc) + 7) / 3, 0.0, 1.0) * 0.75 + (1 - F.exp(-depth / 5)) * 0.15 + F.exp(-dv) * 0.10) * 100, 2)
+def log_pc_norm(pc: Column) -> Column:
+    """0 at 1e-7, 1 at 1e-4, linear in the logarithm; 0 for none."""
+    return F.when(pc > 0, clipped((F.log10(pc) + 7) / 3, 0.0, 1.0)).otherwise(0.0)
+
+
+def decision(pc: Column, pc_ml: Column, downstream: Column, dv: Column, safe: Column, spread: Column, short_ok: Column) -> dict[str, Column]:
+    """score, action, escalated, confidence, rationale of an alert.
+
+    Weights are .60 physics, .15 surrogate, .15 cascade, .10 manoeuvre; without a surrogate its weight
+    goes to physics. PREPARE becomes MANOEUVRE where surrogate and cascade agree.
+    """
+    cascade = 1 - F.exp(-downstream / 5)
+    manoeuvre = F.when(dv.isNull(), 0.0).otherwise(F.exp(-F.greatest(dv, F.lit(0.0))) * F.when(safe == F.lit(False), 0.5).otherwise(1.0))
+    ml = F.coalesce(log_pc_norm(pc_ml), F.lit(0.0))
+    score = floored(100 * (log_pc_norm(pc) * F.when(pc_ml.isNull(), 0.75).otherwise(0.60) + F.when(pc_ml.isNull(), 0.0).otherwise(ml * 0.15) + cascade * 0.15 + manoeuvre * 0.10), 2)
+    tier = action_tier(pc)
+    escalated = F.coalesce((tier == "PREPARE") & (pc_ml >= 1e-4) & (cascade >= 0.5), F.lit(False))
+    action = F.when(escalated, "MANOEUVRE").otherwise(tier)
+    apart = F.abs(log10_floor(pc) - log10_floor(pc_ml))
+    fine = F.coalesce(short_ok, F.lit(True))
+    confidence = F.when(fine & (spread <= 0.5) & (apart <= 1.0), "high").when(fine & (F.coalesce(spread, F.lit(0.0)) <= 1.0) & (apart.isNull() | (apart <= 2.0)), "medium").otherwise("low")
+    said = F.concat_ws("; ", F.concat(F.lit("in the "), tier, F.lit(" band")), F.when(pc_ml.isNull(), "no surrogate (weight moved to physics)").otherwise(F.concat(F.format_string("%.2f", floored(apart, 2)), F.lit(" decades from physics"))), F.when(spread.isNotNull(), F.concat(F.lit("spread "), F.format_string("%.2f", floored(spread, 2)), F.lit(" decades"))), F.concat(downstream.cast("int").cast("string"), F.lit(" downstream object"), F.when(downstream == 1, "").otherwise("s")), F.when(dv.isNotNull(), F.concat(F.lit("verified manoeuvre "), F.format_string("%.3f", floored(dv, 3)), F.lit(" m/s"), F.when(safe == F.lit(False), " (not cascade-safe)").otherwise(""))))
+    rationale = F.concat(said, F.lit(" -> "), action, F.when(escalated, " (escalated)").otherwise(""), F.lit(", confidence "), confidence)
+    return {"score": score, "action": action, "escalated": escalated, "confidence": confidence, "rationale": rationale}
+
+
+def cpi_of_pc(pc: Column) -> Column:
+    """0 at 1e-9 to 10 at 1e-4 on a logarithmic scale."""
+    return F.when(pc <= 0, 0.0).otherwise(clipped(2 * (F.log10(pc) + 9), 0.0, 10.0))
+
+
+def legacy_band(km: Column) -> Column:
+    return F.when(km <= 50, "red").when(km <= 200, "yellow").when(km <= 500, "green").otherwise("none")
+
+
+#: Words of severity that clients have sent.
+TIERS = {"CRITICAL": "CRITICAL", "RED": "CRITICAL", "WARNING": "WARNING", "YELLOW": "WARNING", "AMBER": "WARNING", "ORANGE": "WARNING", "WATCH": "WATCH", "GREEN": "WATCH", "NOMINAL": "WATCH"}
+
+
+def tier_of(word: Column, cpi: Column) -> Column:
+    """The tier of a word in any case, else by the index."""
+    named = F.element_at(F.create_map(*[F.lit(x) for kv in TIERS.items() for x in kv]), F.upper(F.coalesce(word, F.lit(""))))
+    return F.coalesce(named, F.when(cpi >= 8, "CRITICAL").when(cpi >= 5, "WARNING").otherwise("WATCH"))
+
+
+def approach(miss_m: Column) -> Column:
+    return F.when(miss_m <= 1, "collision").when(miss_m <= 5000, "warning").otherwise("clear")
+
+
+#: Position deviations (km) of fresh elements along R, T, N and their growth a day.
+SIGMA_KM, GROWTH_KM = (0.10, 0.50, 0.15), (0.10, 1.00, 0.10)
+
+
+def age_sigmas(age_days: Column) -> list[Column]:
+    return [s + g * F.abs(age_days) for s, g in zip(SIGMA_KM, GROWTH_KM, strict=True)]
+
+
+def ellipse_covariance(a: Column, b: Column, angle: Column, level: Column, km_per_unit: float = 1e-3) -> tuple[Column, Column, Column]:
+    """c_tt, c_tn, c_nn (km^2) of an ellipse with semi-axes at ``level`` deviations and its major axis at an angle."""
+    s1, s2 = a * km_per_unit / F.greatest(level, F.lit(1e-12)), b * km_per_unit / F.greatest(level, F.lit(1e-12))
+    c, s = F.cos(angle), F.sin(angle)
+    return c * c * s1 * s1 + s * s * s2 * s2, c * s * (s1 * s1 - s2 * s2), s * s * s1 * s1 + c * c * s2 * s2
+
+
+def mahalanobis(b_t: Column, b_n: Column, c_tt: Column, c_tn: Column, c_nn: Column) -> Column:
+    return (c_nn * b_t * b_t - 2 * c_tn * b_t * b_n + c_tt * b_n * b_n) / (c_tt * c_nn - c_tn * c_tn)
+
+
+def largest_pc(b_t: Column, b_n: Column, c_tt: Column, c_tn: Column, c_nn: Column, hbr: Column) -> Column:
+    """Largest probability over scales of the covariance, closed form for a small body."""
+    q = mahalanobis(b_t, b_n, c_tt, c_tn, c_nn)
+    return F.when(q <= 0, 1.0).otherwise(F.least(F.lit(1.0), hbr * hbr / (F.exp(F.lit(1.0)) * F.sqrt(c_tt * c_nn - c_tn * c_tn) * q)))
+
+
+def shown_distance(km: Column) -> Column:
+    return F.when(km.isNull(), "n/a").when(km < 1, F.concat(F.floor(km * 1000 + 0.5).cast("string"), F.lit(" m"))).when(km < 10, F.concat(F.format_string("%.2f", floored(km, 2)), F.lit(" km"))).otherwise(F.concat(F.format_string("%.1f", floored(km, 1)), F.lit(" km")))
+
+
+def shown_pc(pc: Column) -> Column:
+    return F.when(pc.isNull(), "n/a").when(pc == 0, "0").otherwise(F.format_string("%.1e", pc))
+
+
+def shown_countdown(minutes: Column) -> Column:
+    m = F.abs(minutes)
+    return F.when(minutes.isNull(), "n/a").otherwise(F.concat(F.when(minutes >= 0, "T-").otherwise("T+"), F.when(m < 90, F.concat(F.floor(m + 0.5).cast("string"), F.lit(" min"))).otherwise(F.concat(F.format_string("%.1f", floored(m / 60, 1)), F.lit(" h")))))
 
 
 def rcs_class(rcs: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.encounters import floored, severity
+from .graph import checkpoint
 
 
 def endpoints(alerts: DataFrame, *keep: str) -> DataFrame:
@@ -18,12 +19,12 @@ def node_hit_probability(alerts: DataFrame) -> DataFrame:
     return endpoints(alerts, "pc").groupBy("sat").agg(floored(-F.expm1(F.sum(F.log1p(-F.least("pc", F.lit(1 - 1e-15))))), 9).alias("p_hit"), F.count(F.lit(1)).alias("n_alerts"))
 
 
-def exposure(alerts: DataFrame, event: Column) -> DataFrame:
+def exposure(alerts: DataFrame, event: Column, weight: Column) -> DataFrame:
     """Exposure per (event, sat): weighted probability, nearest approach and its time, band."""
-    rows = endpoints(alerts.withColumn("event", event), "event", "pc", "miss_km", "tca_h", "alert_id")
-    out = rows.groupBy("event", "sat").agg(F.count(F.lit(1)).alias("n"), F.sum("pc").alias("s"), F.max("pc").alias("m"), F.min("miss_km").alias("min_miss_km"), F.min_by("tca_h", F.struct("miss_km", "alert_id")).alias("tca_of_min_h"), F.min("tca_h").alias("first_tca_h"))
+    rows = endpoints(alerts.withColumn("event", event).withColumn("w", weight), "event", "w", "pc", "miss_km", "tca_h", "alert_id")
+    out = rows.groupBy("event", "sat").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("fragments"), F.sum(F.col("w") * F.col("pc")).alias("s"), F.max("pc").alias("m"), F.min("miss_km").alias("min_miss_km"), F.min_by("tca_h", F.struct("miss_km", "alert_id")).alias("tca_of_min_h"), F.min("tca_h").alias("first_tca_h"))
     agg = -F.expm1(-F.col("s"))
-    return out.select("event", "sat", "n", floored(agg, 9).alias("aggregate_pc"), floored(F.col("m"), 9).alias("max_pc"), "min_miss_km", "tca_of_min_h", "first_tca_h", severity(agg, F.col("min_miss_km")).alias("severity"))
+    return out.select("event", "sat", "n", floored(F.col("fragments")).alias("fragments"), floored(agg, 9).alias("aggregate_pc"), floored(F.col("m"), 9).alias("max_pc"), "min_miss_km", "tca_of_min_h", "first_tca_h", severity(agg, F.col("min_miss_km")).alias("severity"))
 
 
 def top_alerts(alerts: DataFrame, k: int) -> DataFrame:
@@ -52,22 +53,32 @@ def worsened(before: DataFrame, after: DataFrame) -> DataFrame:
     return out.where(worse).select("sat1", "sat2", is_new.alias("is_new"), floored(F.col("pc_after"), 9).alias("pc_after"), "miss_after", unsafe.alias("unsafe"))
 
 
-def feedback_rounds(decisions: DataFrame, size: int = 10, last: int = 20) -> DataFrame:
-    """Approval rate of each complete round of decisions, the last rounds only.
+VERDICTS = ("APPROVE", "MODIFY", "REJECT")
+
+
+def numbered(df: DataFrame, *order: str) -> DataFrame:
+    """Add ``rn``, from 0, in the given order: a distributed sort, then offsets of its partitions."""
+    rows = checkpoint(df.orderBy(*order).withColumn("rn", F.monotonically_increasing_id()))
+    part = F.shiftright("rn", 33)
+    sizes = rows.groupBy(part.alias("p")).agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.select("p", (F.sum("n").over(Window.orderBy("p")) - F.col("n")).alias("before"))  # one row per partition
+    return rows.join(F.broadcast(before), part == F.col("p")).withColumn("rn", F.col("before") + F.col("rn").bitwiseAND(F.lit((1 << 33) - 1))).drop("p", "before")
 
-    ``decisions`` has a dense sequence number ``seq`` from 0; a round is a block of it, so there is no
-    global window and rounds aggregate on a key.
-    """
-    done = F.lit(decisions.count() // size)
-    rows = decisions.withColumn("round", F.floor(F.col("seq") / size)).where((F.col("round") < done) & (F.col("round") >= done - last))
-    return rows.groupBy("round").agg(floored(F.avg(F.when(F.col("verdict").isin("APPROVE", "MODIFY"), 1.0).otherwise(0.0))).alias("approval_rate"))
+
+def feedback_rounds(decisions: DataFrame, size: int = 10, last: int = 20) -> DataFrame:
+    """Approval rate of each complete round of ``size`` known verdicts in the order of seq, the last rounds only."""
+    known = numbered(decisions.where(F.col("verdict").isin(*VERDICTS)), "seq").withColumn("round", F.floor(F.col("rn") / size))
+    rounds = known.groupBy("round").agg(F.count(F.lit(1)).alias("n"), floored(F.avg(F.when(F.col("verdict") != "REJECT", 1.0).otherwise(0.0))).alias("approval_rate"))
+    return rounds.where(F.col("n") == size).drop("n").orderBy(F.desc("round")).limit(last)
 
 
-def rolling_score(telemetry: DataFrame, rows: int = 20) -> DataFrame:
-    """z-score of each value against the object's preceding values (null below two of them or without spread)."""
-    w = Window.partitionBy("object_id").orderBy("ts", "event_id").rowsBetween(-rows, -1)
+def rolling_score(telemetry: DataFrame, rows: int = 50) -> DataFrame:
+    """z-score of each value within the object's last ``rows`` values, itself included; 0 without spread, an anomaly from 3 on."""
+    w = Window.partitionBy("object_id").orderBy("ts", "event_id").rowsBetween(1 - rows, 0)
     out = telemetry.select("event_id", "object_id", "value", F.avg("value").over(w).alias("m"), F.stddev_pop("value").over(w).alias("s"), F.count("value").over(w).alias("n"))
-    return out.select("event_id", "object_id", floored(F.when((F.col("n") >= 2) & (F.col("s") > 1e-9), (F.col("value") - F.col("m")) / F.col("s")), 6).alias("z"))
+    flat = (F.col("n") < 2) | (F.col("s") < 1e-6)
+    z = (F.col("value") - F.col("m")) / F.col("s")
+    return out.select("event_id", "object_id", F.when(flat, 0.0).otherwise(floored(z)).alias("z"), (~flat & (z >= 3)).alias("anomalous"))
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, order: str) -> DataFrame:

@@ -2,20 +2,31 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from itertools import count
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: After so many hops the nodes seen are written again as one table, so that the plan stays short.
 FLATTEN_HOPS = 16
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share; one of our own in local mode only, where the session names none."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-ckpt-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if named is None and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-ckpt-"))
+    return sc.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Cut the lineage; Spark's cleaner removes the files if ``spark.cleaner.referenceTracking.cleanCheckpoints`` is on."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import encounters as E
-from ..functions import kernels
 from ..operators import encounters as ops
 from ..operators.graph import breadth_first
 from ..operators.screening import close_pairs, shell_overlap
@@ -66,12 +65,12 @@ def alert_scores(spark, sf_dir):
 
 @query("""SELECT p_partkey AS id, CASE WHEN upper(p_name) LIKE '%DEB%' THEN 'DEB' WHEN upper(p_name) LIKE '%R/B%' THEN 'R/B' WHEN p_name = '' THEN 'UNK' ELSE 'PAY' END AS object_type,
  CASE WHEN p_size / 25.0 < 0.1 THEN 'SMALL' WHEN p_size / 25.0 < 1 THEN 'MEDIUM' ELSE 'LARGE' END AS rcs_class,
- CASE WHEN p_partkey % 2 = 0 THEN (p_partkey % 10 + 10) * 10000 + p_partkey % 10000 ELSE p_partkey % 10000 END AS catalogue_number FROM part WHERE p_partkey % 10 < 8""")
+ CASE WHEN p_partkey % 2 = 0 THEN (p_partkey // 2 % 24 + 10) * 10000 + p_partkey % 10000 ELSE p_partkey % 10000 END AS catalogue_number FROM part""")
 def object_metadata(spark, sf_dir):
     """Type from the name, size class from the cross-section, number from its five-character field."""
     p = table(spark, sf_dir, "part")
     digits = F.lpad((F.col("p_partkey") % 10000).cast("string"), 4, "0")
-    field = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.substring(F.lit("ABCDEFGHJK"), (F.col("p_partkey") % 10 + 1).cast("int"), F.lit(1)), digits)).otherwise(F.concat(F.lit("0"), digits))
+    field = F.when(F.col("p_partkey") % 2 == 0, F.concat(F.substring(F.lit("ABCDEFGHJKLMNPQRSTUVWXYZ"), (F.floor(F.col("p_partkey") / 2) % 24 + 1).cast("int"), F.lit(1)), digits)).otherwise(F.concat(F.lit("0"), digits))
     return p.select(F.col("p_partkey").alias("id"), E.object_type(F.col("p_name")).alias("object_type"), E.rcs_class(F.col("p_size") / 25.0).alias("rcs_class"), E.catalogue_number(field).cast("long").alias("catalogue_number"))
 
 
@@ -93,10 +92,11 @@ def hit_probability(spark, sf_dir):
 
 
 @query(f"""WITH {ALERTS_SQL}, {ENDS_SQL}
-SELECT alert_id % 7 AS event, sat, count(*) AS n, {R9.format('1 - exp(-sum(pc))')} AS aggregate_pc, {R9.format('max(pc)')} AS max_pc, min(miss_km) AS min_miss_km, (array_agg(tca_h ORDER BY miss_km, alert_id))[1] AS tca_of_min_h, min(tca_h) AS first_tca_h,
- {SEVERITY_SQL.format(pc='1 - exp(-sum(pc))', miss='min(miss_km)')} AS severity FROM ends GROUP BY 1, 2""")
+SELECT alert_id % 7 AS event, sat, count(*) AS n, {R6.format('sum(1 + alert_id % 4)')} AS fragments, {R9.format('1 - exp(-sum((1 + alert_id % 4) * pc))')} AS aggregate_pc, {R9.format('max(pc)')} AS max_pc, min(miss_km) AS min_miss_km, (array_agg(tca_h ORDER BY miss_km, alert_id))[1] AS tca_of_min_h, min(tca_h) AS first_tca_h,
+ {SEVERITY_SQL.format(pc='1 - exp(-sum((1 + alert_id % 4) * pc))', miss='min(miss_km)')} AS severity FROM ends GROUP BY 1, 2""")
 def debris_exposure(spark, sf_dir):
-    return ops.exposure(alerts(spark, sf_dir), F.col("alert_id") % 7)
+    """Exposure of every satellite to each event; a sampled fragment stands for one to four."""
+    return ops.exposure(alerts(spark, sf_dir), F.col("alert_id") % 7, (1 + F.col("alert_id") % 4).cast("double"))
 
 
 @query(f"""WITH {ALERTS_SQL}, {ENDS_SQL}, r AS (SELECT sat, alert_id, {R9.format('pc')} AS pc9, miss_km FROM ends)
@@ -105,8 +105,8 @@ def top_alerts(spark, sf_dir):
     return ops.top_alerts(alerts(spark, sf_dir), 5)
 
 
-@query(f"""WITH {ALERTS_SQL}, p AS (SELECT * FROM alerts WHERE alert_id % 3 <> 0 AND sat1 < 60 QUALIFY row_number() OVER (PARTITION BY sat1, sat2 ORDER BY alert_id) = 1),
-e AS (SELECT * FROM alerts WHERE alert_id % 3 = 0 AND sat1 >= 40 QUALIFY row_number() OVER (PARTITION BY sat1, sat2 ORDER BY alert_id) = 1)
+@query(f"""WITH {ALERTS_SQL}, p AS (SELECT * FROM alerts WHERE alert_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY sat1, sat2 ORDER BY alert_id) = 1),
+e AS (SELECT * FROM alerts WHERE alert_id % 3 = 0 QUALIFY row_number() OVER (PARTITION BY sat1, sat2 ORDER BY alert_id) = 1)
 SELECT coalesce(p.sat1, e.sat1) AS sat1, coalesce(p.sat2, e.sat2) AS sat2, coalesce(p.alert_id, e.alert_id) AS alert_id, coalesce(p.miss_km, e.miss_km) AS miss_km, CASE WHEN p.sat1 IS NULL THEN 'graph' WHEN e.sat1 IS NULL THEN 'physics' ELSE 'both' END AS origin
 FROM p FULL JOIN e ON p.sat1 = e.sat1 AND p.sat2 = e.sat2""")
 def alert_merge(spark, sf_dir):
@@ -121,19 +121,33 @@ def worsened_secondaries(spark, sf_dir):
     return ops.worsened(a.where("alert_id % 2 = 0"), a.where("alert_id % 2 = 1"))
 
 
-@query("""WITH d AS (SELECT o_orderkey // 10 AS round, o_orderstatus AS s FROM orders), n AS (SELECT count(*) // 10 AS done FROM orders)
-SELECT round, floor(avg(CASE WHEN s IN ('F', 'P') THEN 1.0 ELSE 0.0 END) * 1e6 + 0.5) / 1e6 AS approval_rate FROM d, n WHERE round < done AND round >= done - 20 GROUP BY round""")
+@query("""WITH d AS (SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 'APPROVE' WHEN 'P' THEN 'MODIFY' WHEN 'O' THEN CASE WHEN o_orderkey % 5 = 0 THEN 'LATER' ELSE 'REJECT' END END AS v FROM orders), k AS (SELECT (row_number() OVER (ORDER BY o_orderkey) - 1) // 10 AS round, v FROM d WHERE v <> 'LATER'), r AS (SELECT round, avg(CASE WHEN v <> 'REJECT' THEN 1.0 ELSE 0.0 END) AS r FROM k GROUP BY round HAVING count(*) = 10)
+SELECT round, floor(r * 1e6 + 0.5) / 1e6 AS approval_rate FROM r QUALIFY row_number() OVER (ORDER BY round DESC) <= 20""")
 def feedback_rounds(spark, sf_dir):
-    verdict = F.when(F.col("o_orderstatus") == "F", "APPROVE").when(F.col("o_orderstatus") == "P", "MODIFY").otherwise("REJECT")
-    return ops.feedback_rounds(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), verdict.alias("verdict")))
+    """Approval in the last complete rounds of ten decisions; unknown verdicts are not recorded."""
+    return ops.feedback_rounds(decisions(spark, sf_dir))
+
+
+def decisions(spark, sf_dir):
+    verdict = F.when(F.col("o_orderstatus") == "F", "APPROVE").when(F.col("o_orderstatus") == "P", "MODIFY").otherwise(F.when(F.col("o_orderkey") % 5 == 0, "LATER").otherwise("REJECT"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("seq"), verdict.alias("verdict"))
+
+
+@query("""SELECT count(*) AS n, count(*) FILTER (v = 'APPROVE') AS approved, count(*) FILTER (v = 'MODIFY') AS modified, count(*) FILTER (v = 'REJECT') AS rejected, floor(avg(CASE WHEN v <> 'REJECT' THEN 1.0 ELSE 0.0 END) * 1e6 + 0.5) / 1e6 AS approval_rate
+FROM (SELECT CASE o_orderstatus WHEN 'F' THEN 'APPROVE' WHEN 'P' THEN 'MODIFY' WHEN 'O' THEN CASE WHEN o_orderkey % 5 = 0 THEN 'LATER' ELSE 'REJECT' END END AS v FROM orders) WHERE v <> 'LATER'""")
+def feedback_totals(spark, sf_dir):
+    """Verdicts in total."""
+    d = decisions(spark, sf_dir).where(F.col("verdict").isin(*ops.VERDICTS))
+    of = lambda v: F.count_if(F.col("verdict") == v)
+    return d.agg(F.count(F.lit(1)).alias("n"), of("APPROVE").alias("approved"), of("MODIFY").alias("modified"), of("REJECT").alias("rejected"), E.floored(F.avg(F.when(F.col("verdict") != "REJECT", 1.0).otherwise(0.0))).alias("approval_rate"))
 
 
 def telemetry(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", F.col("user_id").alias("object_id"), F.col("ts").cast("timestamp").alias("ts"), "value", "event_type")
 
 
-@query(f"""WITH w AS (SELECT event_id, user_id AS object_id, value, avg(value) OVER p AS m, stddev_pop(value) OVER p AS s, count(value) OVER p AS n FROM events WINDOW p AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))
-SELECT event_id, object_id, CASE WHEN n >= 2 AND s > 1e-9 THEN {R6.format('(value - m) / s')} END AS z FROM w""")
+@query(f"""WITH w AS (SELECT event_id, user_id AS object_id, value, avg(value) OVER p AS m, stddev_pop(value) OVER p AS s, count(value) OVER p AS n FROM events WINDOW p AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 49 PRECEDING AND CURRENT ROW))
+SELECT event_id, object_id, CASE WHEN n < 2 OR s < 1e-6 THEN 0 ELSE {R6.format('(value - m) / s')} END AS z, n >= 2 AND s >= 1e-6 AND (value - m) / s >= 3 AS anomalous FROM w""")
 def residual_scores(spark, sf_dir):
     return ops.rolling_score(telemetry(spark, sf_dir))
 
@@ -158,14 +172,14 @@ def stream_daily_windows(spark, sf_dir):
 
 
 @query(f"""WITH {OBJECTS_SQL}, {GRID_SQL.format(steps=STEPS)}, d AS (SELECT g.id, g.k, sqrt((g.x-h.x)*(g.x-h.x)+(g.y-h.y)*(g.y-h.y)+(g.z-h.z)*(g.z-h.z)) AS d FROM grid g JOIN grid h ON g.k = h.k AND h.id = 1 AND g.id <> 1),
-n AS (SELECT *, lag(d) OVER w AS b, lead(d) OVER w AS a FROM d WINDOW w AS (PARTITION BY id ORDER BY k)) SELECT id, k, {R6.format('d')} AS distance_km FROM n WHERE d < b AND d <= a""")
+n AS (SELECT *, lag(d) OVER w AS b, lead(d) OVER w AS a FROM d WINDOW w AS (PARTITION BY id ORDER BY k)) SELECT id, k, {R6.format('d')} AS distance_km FROM n WHERE d <= b AND d <= a""")
 def distance_minima(spark, sf_dir):
     """Local minima of the distance to one object, whose track is one row a step."""
     g = grid(objects(spark, sf_dir), STEPS)
     one = F.broadcast(g.where("id = 1").select("k", *[F.col(c).alias(f"{c}1") for c in "xyz"]))
     d = g.where("id <> 1").join(one, "k").select("id", "k", F.sqrt(sum(((F.col(c) - F.col(f"{c}1")) * (F.col(c) - F.col(f"{c}1")) for c in "yz"), (F.col("x") - F.col("x1")) * (F.col("x") - F.col("x1")))).alias("d"))
     w = Window.partitionBy("id").orderBy("k")
-    return d.withColumns({"b": F.lag("d").over(w), "a": F.lead("d").over(w)}).where("d < b AND d <= a").select("id", "k", E.floored(F.col("d")).alias("distance_km"))
+    return d.withColumns({"b": F.lag("d").over(w), "a": F.lead("d").over(w)}).where("d <= b AND d <= a").select("id", "k", E.floored(F.col("d")).alias("distance_km"))
 
 
 @query(f"""WITH {OBJECTS_SQL}, {GRID_SQL.format(steps=STEPS)}, c AS (SELECT id % 10 AS cloud, k, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM grid GROUP BY 1, 2),
@@ -180,29 +194,30 @@ def cloud_statistics(spark, sf_dir):
     return out.select("cloud", "k", "n", E.floored(F.col("a")).alias("p50_km"), E.floored(F.col("b")).alias("p90_km"), E.floored(F.col("m")).alias("max_km"))
 
 
-@query(f"""WITH RECURSIVE {ALERTS_SQL}, e AS (SELECT DISTINCT sat1 AS a, sat2 AS b FROM alerts WHERE alert_id % 97 = 0), ab AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-walk AS (SELECT CAST(1 AS BIGINT) AS node, 0 AS hops UNION SELECT ab.b, hops + 1 FROM walk JOIN ab ON ab.a = walk.node WHERE hops < 6)
-SELECT node, min(hops) AS hops FROM walk GROUP BY node""")
+@query(f"""WITH RECURSIVE {ALERTS_SQL}, e AS (SELECT DISTINCT sat1 AS a, sat2 AS b FROM alerts), ab AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+walk(node, hops) USING KEY (node) AS (SELECT CAST(1 AS BIGINT), 0 UNION SELECT ab.b, min(walk.hops) + 1 FROM walk JOIN ab ON ab.a = walk.node LEFT JOIN recurring.walk AS seen ON seen.node = ab.b WHERE seen.node IS NULL GROUP BY ab.b)
+SELECT node, hops FROM walk""")
 def cascade_depth(spark, sf_dir):
     """Hops of every object from an event at object 1, by frontier rounds."""
     edges = alerts(spark, sf_dir).select(F.col("sat1").alias("a"), F.col("sat2").alias("b"))
     return breadth_first(edges, spark.range(1, 2).select(F.col("id").alias("node")))
 
 
-@query("SELECT c_mktsegment AS name, CAST(min(c_nationkey) AS INT) AS owner FROM (SELECT *, c_custkey % 2 AS h FROM customer WHERE c_nationkey < 5) GROUP BY c_mktsegment, h HAVING count(DISTINCT c_nationkey) = 1")
+@query("SELECT p_name || ' ' || p_partkey % 100 AS name, min(p_size) AS owner FROM part GROUP BY 1 HAVING count(DISTINCT p_size) = 1")
 def unambiguous_owners(spark, sf_dir):
     """Names that belong to one owner only."""
-    g = table(spark, sf_dir, "customer").groupBy("c_mktsegment", F.expr("c_custkey % 2").alias("h"))
-    return g.agg(F.min("c_nationkey").alias("owner"), F.max("c_nationkey").alias("last")).where("owner = last").select(F.col("c_mktsegment").alias("name"), "owner")
+    g = table(spark, sf_dir, "part").groupBy(F.concat("p_name", F.lit(" "), (F.col("p_partkey") % 100).cast("string")).alias("name"))
+    return g.agg(F.min("p_size").alias("owner"), F.max("p_size").alias("last")).where("owner = last").select("name", "owner")
 
 
 @query("""WITH p AS (SELECT quality, toxic FROM labels), c AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality = 0 AND toxic = 0) AS fp, count(*) FILTER (quality = 1 AND toxic = 1) AS fn, count(*) FILTER (quality = 0 AND toxic = 1) AS tn FROM p)
-SELECT tp, fp, fn, tn, floor(tp / nullif(tp + fp, 0) * 1e6 + 0.5) / 1e6 AS precision, floor(tp / nullif(tp + fn, 0) * 1e6 + 0.5) / 1e6 AS recall FROM c""")
+SELECT tp, fp, fn, tn, floor(2 * tp / nullif(2 * tp + fp + fn, 0) * 1e6 + 0.5) / 1e6 AS f1, floor(tp / nullif(tp + fp, 0) * 1e6 + 0.5) / 1e6 AS precision, floor(tp / nullif(tp + fn, 0) * 1e6 + 0.5) / 1e6 AS recall FROM c""")
 def classification_metrics(spark, sf_dir):
     of = lambda q, t: F.count_if((F.col("quality") == q) & (F.col("toxic") == t))
     c = table(spark, sf_dir, "labels").agg(of(1, 0).alias("tp"), of(0, 0).alias("fp"), of(1, 1).alias("fn"), of(0, 1).alias("tn"))
     ratio = lambda d: E.floored(F.col("tp") / F.nullif(F.col("tp") + F.col(d), F.lit(0)))
-    return c.select("tp", "fp", "fn", "tn", ratio("fp").alias("precision"), ratio("fn").alias("recall"))
+    f1 = E.floored(2 * F.col("tp") / F.nullif(2 * F.col("tp") + F.col("fp") + F.col("fn"), F.lit(0)))
+    return c.select("tp", "fp", "fn", "tn", f1.alias("f1"), ratio("fp").alias("precision"), ratio("fn").alias("recall"))
 
 
 @query(f"WITH {ALERTS_SQL} SELECT {R6.format('corr(miss_km, sigma_km)')} AS miss_sigma, {R6.format('corr(v_rel, tca_h)')} AS speed_tca, count(*) AS n FROM alerts")
@@ -223,13 +238,3 @@ def covariance_lookup(spark, sf_dir):
     return s.join(last, s["id"] == last["sat"], "left").select("id", "sigma_km")
 
 
-@query()
-def propagated_states(spark, sf_dir):
-    """J2 propagation of every object by ten minutes; tested against energy and the closed form."""
-    return kernels.propagated(grid(objects(spark, sf_dir), 1), 600.0)
-
-
-@query()
-def quadrature_probability(spark, sf_dir):
-    """Disk quadrature beside the series; tested for agreement."""
-    return kernels.with_disk_probability(alerts(spark, sf_dir))

@@ -33,9 +33,9 @@ def grid(objs: DataFrame, steps: int, step_s: float = 60.0) -> DataFrame:
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """alert_id, sat1 < sat2, miss_km, v_rel, age_h, tca_h, sigma_km, hbr_km, pc: one per usable line item."""
+    """alert_id, sat1 < sat2, miss_km, v_rel, age_h, tca_h, sigma_km, hbr_km, pc: one per line item, its endpoints two full keys."""
     li = table(spark, sf_dir, "lineitem")
-    a, b = F.col("l_suppkey") % 100, F.col("l_partkey") % 100
+    a, b = F.col("l_suppkey"), F.col("l_partkey")
     seed = F.col("l_orderkey") * 7919 + F.col("l_linenumber") * 104729
     out = li.where(a != b).select(
         (F.col("l_orderkey") * 1_000_000_000 + F.col("l_partkey") * 10_000 + F.col("l_suppkey") * 10 + F.col("l_linenumber")).alias("alert_id"),
@@ -63,9 +63,9 @@ GRID_SQL = """steps AS (SELECT unnest(range(0, {steps})) AS k),
 angles AS (SELECT id, k, a_km, sqrt(398600.8 / (a_km * a_km * a_km)) AS n, phase + sqrt(398600.8 / (a_km * a_km * a_km)) * k * 60.0 AS u, raan, inc FROM objects, steps),
 grid AS (SELECT id, k, a_km * (cos(raan) * cos(u) - sin(raan) * cos(inc) * sin(u)) AS x, a_km * (sin(raan) * cos(u) + cos(raan) * cos(inc) * sin(u)) AS y, a_km * sin(inc) * sin(u) AS z,
  a_km * n * (-cos(raan) * sin(u) - sin(raan) * cos(inc) * cos(u)) AS vx, a_km * n * (-sin(raan) * sin(u) + cos(raan) * cos(inc) * cos(u)) AS vy, a_km * n * sin(inc) * cos(u) AS vz FROM angles)"""
-ALERTS_SQL = f"""raw AS (SELECT l_orderkey * 1000000000 + l_partkey * 10000 + l_suppkey * 10 + l_linenumber AS alert_id, least(l_suppkey % 100, l_partkey % 100) AS sat1, greatest(l_suppkey % 100, l_partkey % 100) AS sat2,
+ALERTS_SQL = f"""raw AS (SELECT l_orderkey * 1000000000 + l_partkey * 10000 + l_suppkey * 10 + l_linenumber AS alert_id, least(l_suppkey, l_partkey) AS sat1, greatest(l_suppkey, l_partkey) AS sat2,
  ((l_orderkey * 7919 + l_linenumber * 104729) % 30000) / 1000.0 AS miss_km, l_quantity * 0.3 AS v_rel, CAST(l_partkey % 168 AS DOUBLE) AS age_h,
- CAST((l_suppkey * 13 + l_orderkey) % 72 AS DOUBLE) AS tca_h, 0.5 + (l_partkey % 40) / 10.0 AS sigma_km, CAST(0.02 AS DOUBLE) AS hbr_km FROM lineitem WHERE l_suppkey % 100 <> l_partkey % 100),
+ CAST((l_suppkey * 13 + l_orderkey) % 72 AS DOUBLE) AS tca_h, 0.5 + (l_partkey % 40) / 10.0 AS sigma_km, CAST(0.02 AS DOUBLE) AS hbr_km FROM lineitem WHERE l_suppkey <> l_partkey),
 alerts AS (SELECT *, {_pc_sql()} AS pc FROM raw)"""
 
 #: Catalogue records of the parts, in SQL that both engines read.
