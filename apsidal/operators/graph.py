@@ -6,7 +6,7 @@ import re
 import tempfile
 from itertools import count
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: After so many hops the nodes seen are written again as one table, so that the plan stays short.
@@ -31,18 +31,56 @@ def checkpoint(df: DataFrame) -> DataFrame:
 
 
 def breadth_first(edges: DataFrame, seeds: DataFrame) -> DataFrame:
-    """node, hops: distance of every reachable node from the nearest seed.
+    """node, hops, root: distance of every reachable node from the nearest seed, and the smallest such seed.
 
     A round joins the frontier with its edges and keeps the nodes not seen before, until there are
     none; only a count reaches the driver. edges (a, b) count both ways.
     """
     both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    seen = front = checkpoint(seeds.select("node").distinct().withColumn("hops", F.lit(0)))
+    seen = front = checkpoint(seeds.select("node").distinct().select("node", F.lit(0).alias("hops"), F.col("node").alias("root")))
     for hop in count(1):
-        new = front.join(both, front["node"] == both["a"]).select(F.col("b").alias("node")).distinct().join(seen, "node", "left_anti")
-        front = checkpoint(new.withColumn("hops", F.lit(hop)))
+        new = front.join(both, front["node"] == both["a"]).groupBy(F.col("b").alias("node")).agg(F.min("root").alias("root")).join(seen, "node", "left_anti")
+        front = checkpoint(new.select("node", F.lit(hop).alias("hops"), "root"))
         if front.isEmpty():
             return seen
         seen = seen.unionByName(front)
         if hop % FLATTEN_HOPS == 0:
             seen = checkpoint(seen)
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node) of all nodes with an edge: minimum labels with jumping, until nothing moves.
+
+    A round takes the smallest label among a node and its neighbours, then that label's own label; a
+    hub's neighbours are aggregated on the map side.
+    """
+    both = checkpoint(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct())
+    labels = checkpoint(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    while True:
+        near = both.join(labels, both["b"] == labels["node"]).groupBy(F.col("a").alias("node")).agg(F.min("component").alias("low"))
+        low = labels.join(near, "node").select("node", F.least("component", "low").alias("low"), F.col("component").alias("old"))
+        jump = labels.select(F.col("node").alias("low"), F.col("component").alias("next"))
+        moved = checkpoint(low.join(jump, "low", "left").select("node", "old", F.least("low", F.coalesce("next", "low")).alias("component")))
+        if moved.where("component <> old").isEmpty():
+            return moved.select("node", "component")
+        labels = moved.select("node", "component")
+
+
+def downstream(edges: DataFrame, hops: DataFrame, starts: DataFrame, limit: int = 50) -> DataFrame:
+    """key, node, distance: what each key's start nodes reach by edges that lead away from the events.
+
+    ``starts`` (key, node) are few, ``hops`` (node, hops) is the breadth-first result; every step goes to
+    a node of more hops, so the rounds end. The ``limit`` nearest of a key stay, smaller ids first.
+    """
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    near, far = hops.select(F.col("node").alias("a"), F.col("hops").alias("ha")), hops.select(F.col("node").alias("b"), F.col("hops").alias("hb"))
+    away = checkpoint(both.join(near, "a").join(far, "b").where("hb > ha").select("a", "b"))
+    seen = front = checkpoint(starts.select("key", "node", F.lit(0).alias("distance")))
+    for step in count(1):
+        new = front.join(away, front["node"] == away["a"]).select("key", F.col("b").alias("node")).distinct().join(seen, ["key", "node"], "left_anti")
+        front = checkpoint(new.withColumn("distance", F.lit(step)))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    rank = F.row_number().over(Window.partitionBy("key").orderBy("distance", "node"))
+    return seen.where("distance > 0").withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")

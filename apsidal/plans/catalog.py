@@ -200,7 +200,7 @@ SELECT node, hops FROM walk""")
 def cascade_depth(spark, sf_dir):
     """Hops of every object from an event at object 1, by frontier rounds."""
     edges = alerts(spark, sf_dir).select(F.col("sat1").alias("a"), F.col("sat2").alias("b"))
-    return breadth_first(edges, spark.range(1, 2).select(F.col("id").alias("node")))
+    return breadth_first(edges, spark.range(1, 2).select(F.col("id").alias("node"))).select("node", "hops")
 
 
 @query("SELECT p_name || ' ' || p_partkey % 100 AS name, min(p_size) AS owner FROM part GROUP BY 1 HAVING count(DISTINCT p_size) = 1")

@@ -10,7 +10,7 @@ from apsidal.sources.derived import alerts, table
 def test_depth_beyond_six_hops(spark):
     edges = [(i, i + 1) for i in range(1, 20)] + [(50, 51)]
     got = breadth_first(spark.createDataFrame(edges, "a long, b long"), spark.createDataFrame([(1,)], "node long"))
-    assert sorted(map(tuple, got.collect())) == [(i + 1, i) for i in range(20)]
+    assert sorted(map(tuple, got.collect())) == [(i + 1, i, 1) for i in range(20)]
 
 
 def test_cascade_depth_follows_every_alert(spark, sf_dir):
@@ -27,15 +27,15 @@ def test_cascade_depth_follows_every_alert(spark, sf_dir):
 
 def test_object_metadata_of_every_part(spark, sf_dir):
     got = {r.id: r.catalogue_number for r in catalog.object_metadata(spark, sf_dir).collect()}
-    want = {r.p_partkey: (0 if r.p_partkey % 2 else (r.p_partkey % 10 + 10) * 10000) + r.p_partkey % 10000 for r in table(spark, sf_dir, "part").collect()}
+    want = {r.p_partkey: (0 if r.p_partkey % 2 else (r.p_partkey // 2 % 24 + 10) * 10000) + r.p_partkey % 10000 for r in table(spark, sf_dir, "part").collect()}
     assert got == want
 
 
-def test_unambiguous_owners_count_every_nation(spark, tmp_path):
-    rows = [(2, 1, "A"), (4, 7, "A"), (1, 9, "A"), (3, 9, "A"), (6, 24, "B"), (5, 3, "B")]
-    spark.createDataFrame(rows, "c_custkey long, c_nationkey int, c_mktsegment string").write.parquet(f"{tmp_path}/customer.parquet")
+def test_unambiguous_owners_count_every_part(spark, tmp_path):
+    rows = [(2, "A", 7), (102, "A", 7), (1, "A", 9), (101, "A", 8), (6, "B", 24)]
+    spark.createDataFrame(rows, "p_partkey long, p_name string, p_size int").write.parquet(f"{tmp_path}/part.parquet")
     got = sorted(map(tuple, catalog.unambiguous_owners(spark, str(tmp_path)).collect()))
-    assert got == [("A", 9), ("B", 3), ("B", 24)]
+    assert got == [("A 2", 7), ("B 6", 24)]
 
 
 def test_alert_merge_covers_every_alert(spark, sf_dir):
