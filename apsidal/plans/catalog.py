@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..functions import encounters as E
 from ..operators import encounters as ops
 from ..operators.graph import breadth_first
-from ..operators.screening import close_pairs, shell_overlap
+from ..operators.screening import candidates, overlapping, screened
+from ..operators.statistics import histogram_quantiles
 from ..sources.derived import ALERTS_SQL, GRID_SQL, OBJECTS_SQL, alerts, grid, objects, table
-from ..streaming.telemetry import daily_windows, drained, telemetry_stream
+from ..streaming.telemetry import changes, drained, telemetry_stream, windowed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,21 +33,57 @@ def query(sql: str | None = None):
     return add
 
 
-@query(f"""WITH {OBJECTS_SQL}, {GRID_SQL.format(steps=STEPS)},
+DAY = 1441  # steps of a minute over 24 hours, both ends
+_C, _S = ("cos(phase1 + n1 * t{i})", "cos(phase2 + n2 * t{i})"), ("sin(phase1 + n1 * t{i})", "sin(phase2 + n2 * t{i})")
+
+
+def _newton_sql(rounds: int = 6) -> str:
+    """Steps of the oracle: slope and curvature of the product of two positions, t0 to t6."""
+    out = []
+    for i in range(rounds):
+        trig = ", ".join(f"{e.format(i=i)} AS {n}{i}" for e, n in ((_C[0], "c1_"), (_C[1], "c2_"), (_S[0], "s1_"), (_S[1], "s2_")))
+        c1, c2, s1, s2 = f"c1_{i}", f"c2_{i}", f"s1_{i}", f"s2_{i}"
+        slope = f"pp*(-n1*{s1}*{c2} - n2*{c1}*{s2}) + pq*(n2*{c1}*{c2} - n1*{s1}*{s2}) + qp*(n1*{c1}*{c2} - n2*{s1}*{s2}) + qq*(n1*{c1}*{s2} + n2*{s1}*{c2})"
+        bend = f"pp*(2*n1*n2*{s1}*{s2} - (n1*n1+n2*n2)*{c1}*{c2}) - pq*((n1*n1+n2*n2)*{c1}*{s2} + 2*n1*n2*{s1}*{c2}) - qp*((n1*n1+n2*n2)*{s1}*{c2} + 2*n1*n2*{c1}*{s2}) + qq*(2*n1*n2*{c1}*{c2} - (n1*n1+n2*n2)*{s1}*{s2})"
+        out.append(f"trig{i} AS (SELECT *, {trig} FROM {'newton' if i else 'start'}{i if i else ''}), newton{i + 1} AS (SELECT *, greatest(lo, least(hi, t{i} - CASE WHEN {bend} < 0 THEN ({slope}) / ({bend}) ELSE 0 END)) AS t{i + 1} FROM trig{i})")
+    return ",\n".join(out)
+
+
+SCREEN_SQL = f"""{OBJECTS_SQL}, {GRID_SQL.format(steps=DAY)},
 pairs AS (SELECT g.id AS id1, h.id AS id2, g.k, (h.x-g.x)*(h.x-g.x)+(h.y-g.y)*(h.y-g.y)+(h.z-g.z)*(h.z-g.z) AS dd, (h.x-g.x)*(h.vx-g.vx)+(h.y-g.y)*(h.vy-g.vy)+(h.z-g.z)*(h.vz-g.vz) AS dv,
  (h.vx-g.vx)*(h.vx-g.vx)+(h.vy-g.vy)*(h.vy-g.vy)+(h.vz-g.vz)*(h.vz-g.vz) AS vv FROM grid g JOIN grid h ON g.k = h.k AND g.id < h.id),
-near AS (SELECT *, greatest(-30.0, least(30.0, CASE WHEN vv > 1e-12 THEN -dv / vv ELSE 0.0 END)) AS t FROM pairs WHERE dd <= 560.0 * 560.0),
-miss AS (SELECT *, sqrt(greatest(0.0, dd + 2 * t * dv + t * t * vv)) AS miss_km FROM near)
-SELECT id1, id2, {R6.format('min(miss_km)')} AS miss_km, {SEVERITY_SQL.format(pc='0.0', miss='min(miss_km)')} AS severity FROM miss WHERE miss_km <= 100 GROUP BY id1, id2""")
+near AS (SELECT *, CASE WHEN vv > 1e-12 THEN -dv / vv ELSE 0 END AS t FROM pairs WHERE dd <= 504e0 * 504e0), inbin AS (SELECT *, greatest(-30, least(30, t)) AS tstar FROM near WHERE (((t >= -30 AND t < 30) OR (k = {DAY - 1} AND t >= 30)) AND NOT (k = 0 AND t < 0)) OR vv < 0.0025),
+linear AS (SELECT * FROM (SELECT id1, id2, k, tstar, sqrt(greatest(0, dd + 2*tstar*dv + tstar*tstar*vv)) AS d_est FROM inbin) WHERE d_est <= 30), few AS (SELECT * FROM linear QUALIFY row_number() OVER (PARTITION BY id1, id2 ORDER BY floor(d_est * 1e3 + 0.5), k) <= 3),
+start0 AS (SELECT f.*, k * 60.0 + tstar AS t0, greatest(0, k * 60.0 - 60) AS lo, least({(DAY - 1) * 60.0}, k * 60.0 + 60) AS hi, a.a_km AS a1, b.a_km AS a2, sqrt(398600.8 / (a.a_km*a.a_km*a.a_km)) AS n1, sqrt(398600.8 / (b.a_km*b.a_km*b.a_km)) AS n2, a.phase AS phase1, b.phase AS phase2, a.inc AS i1, b.inc AS i2, a.raan AS o1, b.raan AS o2 FROM few f JOIN objects a ON a.id = id1 JOIN objects b ON b.id = id2),
+start AS (SELECT *, cos(o1)*cos(o2) + sin(o1)*sin(o2) AS pp, -cos(o1)*sin(o2)*cos(i2) + sin(o1)*cos(o2)*cos(i2) AS pq, -sin(o1)*cos(i1)*cos(o2) + cos(o1)*cos(i1)*sin(o2) AS qp, sin(o1)*cos(i1)*sin(o2)*cos(i2) + cos(o1)*cos(i1)*cos(o2)*cos(i2) + sin(i1)*sin(i2) AS qq FROM start0),
+{_newton_sql()},
+ends2 AS (SELECT *, phase1 + n1*t6 AS u1, phase2 + n2*t6 AS u2 FROM newton6), states2 AS (SELECT *, a2*(cos(o2)*cos(u2) - sin(o2)*cos(i2)*sin(u2)) - a1*(cos(o1)*cos(u1) - sin(o1)*cos(i1)*sin(u1)) AS dx, a2*(sin(o2)*cos(u2) + cos(o2)*cos(i2)*sin(u2)) - a1*(sin(o1)*cos(u1) + cos(o1)*cos(i1)*sin(u1)) AS dy, a2*sin(i2)*sin(u2) - a1*sin(i1)*sin(u1) AS dz FROM ends2),
+hits AS (SELECT id1, id2, t6 AS tca_s, sqrt(dx*dx + dy*dy + dz*dz) AS miss_km FROM states2 WHERE sqrt(dx*dx + dy*dy + dz*dz) <= 25 AND t6 < {(DAY - 1) * 60.0} - 1e-2),
+screened AS (SELECT id1, id2, arg_min(tca_s, (floor(miss_km * 1e6 + 0.5), tca_s)) AS tca_s, min(floor(miss_km * 1e6 + 0.5)) / 1e6 AS miss_km, count(*) AS hits FROM hits GROUP BY 1, 2)"""
+
+
+@query(f"WITH {SCREEN_SQL} SELECT id1, id2, floor(tca_s * 10 + 0.5) / 10 AS tca_s, miss_km, hits, {SEVERITY_SQL.format(pc='least(1, exp(-miss_km*miss_km/0.5) * (1 - exp(-0.0002)))', miss='miss_km')} AS severity FROM screened")
 def screening(spark, sf_dir):
-    """Closest linear approach of every pair of objects on a 30 minute grid, within 100 km."""
-    near = close_pairs(grid(objects(spark, sf_dir), STEPS), 560.0, 30.0, 100.0)
-    return near.select("id1", "id2", E.floored(F.col("miss_km")).alias("miss_km"), E.severity(F.lit(0.0), F.col("miss_km")).alias("severity"))
+    """The flagship: best encounter within 25 km of every pair of objects over 24 hours in steps of a minute."""
+    best = screened(objects(spark, sf_dir), DAY, 60.0, 25.0)
+    miss = E.floored(F.col("miss_km"))
+    pc = F.least(F.lit(1.0), F.exp(-miss * miss / 0.5) * (1 - F.exp(F.lit(-0.0002))))  # half a kilometre of deviation, ten metres of radius
+    return best.select("id1", "id2", E.floored(F.col("tca_s"), 1).alias("tca_s"), miss.alias("miss_km"), "hits", E.severity(pc, miss).alias("severity"))
 
 
-@query(f"WITH {OBJECTS_SQL} SELECT DISTINCT a.id, a.a_km FROM objects a JOIN objects b ON a.id <> b.id AND abs(a.a_km - b.a_km) <= 0.5")
+@query(f"WITH {OBJECTS_SQL}, s AS (SELECT id, a_km - 0.6 AS low, a_km + 0.6 AS high FROM objects) SELECT DISTINCT a.id FROM s a JOIN s b ON a.id <> b.id AND a.low <= b.high AND b.low <= a.high")
 def shell_prefilter(spark, sf_dir):
-    return shell_overlap(objects(spark, sf_dir), 0.5).select("id", "a_km")
+    """Objects whose radial interval meets another's."""
+    s = objects(spark, sf_dir).select("id", (F.col("a_km") - 0.6).alias("low"), (F.col("a_km") + 0.6).alias("high"))
+    return overlapping(s, 10.0).select("id")
+
+
+@query(f"WITH {SCREEN_SQL} SELECT id1, id2, k, floor(d_est * 1e3 + 0.5) / 1e3 AS d_est FROM few")
+def capped_candidates(spark, sf_dir):
+    """The three best linear estimates of every pair."""
+    w = Window.partitionBy("id1", "id2").orderBy(F.floor(F.col("d_est") * 1e3 + 0.5), "k")
+    c = candidates(objects(spark, sf_dir), DAY, 60.0, 25.0).withColumn("rn", F.row_number().over(w)).where("rn <= 3")
+    return c.select("id1", "id2", "k", E.floored(F.col("d_est"), 3).alias("d_est"))
 
 
 @query(f"""WITH {ALERTS_SQL},
@@ -167,8 +204,30 @@ def contact_sessions(spark, sf_dir):
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n, max(value) AS max_value FROM events GROUP BY 1, 2")
 def stream_daily_windows(spark, sf_dir):
-    """A file stream through watermarked windows, drained once."""
-    return drained(daily_windows(telemetry_stream(spark, sf_dir)))
+    """A file stream through watermarked tumbling windows, drained once."""
+    rows = drained(windowed(telemetry_stream(spark, sf_dir), "1 day"), "update", ["start", "event_type"])
+    return rows.select(F.col("start").cast("date").cast("string").alias("day"), "event_type", "n", "max_value")
+
+
+@query("""WITH w AS (SELECT event_type, value, unnest([time_bucket(INTERVAL '12 hours', ts), time_bucket(INTERVAL '12 hours', ts) - INTERVAL '12 hours']) AS start FROM events) SELECT strftime(start, '%Y-%m-%d %H') AS hour, event_type, count(*) AS n, max(value) AS max_value FROM w GROUP BY 1, 2""")
+def stream_sliding_windows(spark, sf_dir):
+    """Windows of a day that slide by half a day."""
+    rows = drained(windowed(telemetry_stream(spark, sf_dir), "1 day", "12 hours"), "update", ["start", "event_type"])
+    return rows.select(F.date_format("start", "yyyy-MM-dd HH").alias("hour"), "event_type", "n", "max_value")
+
+
+@query("""SELECT object_id, event_id, stamp FROM (SELECT user_id AS object_id, event_id, event_type AS stamp, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last FROM events) WHERE last IS DISTINCT FROM stamp""")
+def stream_changes(spark, sf_dir):
+    """Only what changes a stamp is emitted."""
+    return drained(changes(telemetry_stream(spark, sf_dir)), "append")
+
+
+@query("""WITH g AS (SELECT user_id AS object_id, ts, CASE WHEN epoch_us(ts) - lag(epoch_us(ts)) OVER w < 28800000000 THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT *, sum(new) OVER (PARTITION BY object_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT object_id, epoch_us(min(ts)) AS opened_us, epoch_us(max(ts)) + 28800000000 AS expires_us, count(*) AS n FROM s GROUP BY object_id, k""")
+def session_windows(spark, sf_dir):
+    """Sessions that expire eight hours after the last contact."""
+    s = telemetry(spark, sf_dir).groupBy("object_id", F.session_window("ts", "8 hours")).agg(F.count(F.lit(1)).alias("n"))
+    return s.select("object_id", F.unix_micros("session_window.start").alias("opened_us"), F.unix_micros("session_window.end").alias("expires_us"), "n")
 
 
 @query(f"""WITH {OBJECTS_SQL}, {GRID_SQL.format(steps=STEPS)}, d AS (SELECT g.id, g.k, sqrt((g.x-h.x)*(g.x-h.x)+(g.y-h.y)*(g.y-h.y)+(g.z-h.z)*(g.z-h.z)) AS d FROM grid g JOIN grid h ON g.k = h.k AND h.id = 1 AND g.id <> 1),
@@ -182,15 +241,15 @@ def distance_minima(spark, sf_dir):
     return d.withColumns({"b": F.lag("d").over(w), "a": F.lead("d").over(w)}).where("d <= b AND d <= a").select("id", "k", E.floored(F.col("d")).alias("distance_km"))
 
 
-@query(f"""WITH {OBJECTS_SQL}, {GRID_SQL.format(steps=STEPS)}, c AS (SELECT id % 10 AS cloud, k, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM grid GROUP BY 1, 2),
-d AS (SELECT c.cloud, c.k, sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz)) AS d FROM grid JOIN c ON grid.id % 10 = c.cloud AND grid.k = c.k)
+@query(f"""WITH {OBJECTS_SQL}, {GRID_SQL.format(steps=STEPS)}, c AS (SELECT id % 3 AS cloud, k, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM grid GROUP BY 1, 2),
+d AS (SELECT c.cloud, c.k, sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz)) AS d FROM grid JOIN c ON grid.id % 3 = c.cloud AND grid.k = c.k)
 SELECT cloud, k, count(*) AS n, {R6.format('quantile_cont(d, 0.5)')} AS p50_km, {R6.format('quantile_cont(d, 0.9)')} AS p90_km, {R6.format('max(d)')} AS max_km FROM d GROUP BY 1, 2 HAVING count(*) >= 3""")
 def cloud_statistics(spark, sf_dir):
     """Spread of each cloud around its centroid per step: an aggregate, a join back, an aggregate."""
-    g = grid(objects(spark, sf_dir), STEPS).withColumn("cloud", F.col("id") % 10)
+    g = grid(objects(spark, sf_dir), STEPS).withColumn("cloud", F.col("id") % 3)
     c = g.groupBy("cloud", "k").agg(*[F.avg(n).alias(f"c{n}") for n in "xyz"])
     d = g.join(c, ["cloud", "k"]).withColumn("d", F.sqrt(sum(((F.col(n) - F.col(f"c{n}")) * (F.col(n) - F.col(f"c{n}")) for n in "yz"), (F.col("x") - F.col("cx")) * (F.col("x") - F.col("cx")))))
-    out = d.groupBy("cloud", "k").agg(F.count(F.lit(1)).alias("n"), F.percentile("d", 0.5).alias("a"), F.percentile("d", 0.9).alias("b"), F.max("d").alias("m")).where("n >= 3")
+    out = histogram_quantiles(d, ["cloud", "k"], "d", [0.5, 0.9, 1.0]).where("n >= 3").toDF("cloud", "k", "n", "a", "b", "m")
     return out.select("cloud", "k", "n", E.floored(F.col("a")).alias("p50_km"), E.floored(F.col("b")).alias("p90_km"), E.floored(F.col("m")).alias("max_km"))
 
 

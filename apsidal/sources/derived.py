@@ -15,15 +15,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def objects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """id, a_km, inc, raan, phase of circular orbits, one per supplier."""
-    k = F.col("s_suppkey")
+    """id, a_km, inc, raan, phase of circular orbits, one per supplier.
+
+    Two neighbours share their node and pass it together, up to three kilometres apart in height, so every
+    scale has encounters; slightly different periods take most of them out of reach after some orbits.
+    """
+    k, g = F.col("s_suppkey"), F.floor(F.col("s_suppkey") / 2)
     deg = lambda c: c * F.lit(math.pi / 180)
-    return table(spark, sf_dir, "supplier").select(k.alias("id"), (6778.137 + k * 37 % 400).alias("a_km"), deg(k * 53 % 98).alias("inc"), deg(k * 71 % 360).alias("raan"), deg(k * 29 % 360).alias("phase"))
+    return table(spark, sf_dir, "supplier").select(k.alias("id"), (6778.137 + g * 37 % 400 + k % 2 * (g % 7) * 0.5).alias("a_km"), deg(30 + k * 53 % 60).alias("inc"), deg(g * 71 % 360).alias("raan"), deg(g * 29 % 360).alias("phase"))
 
 
 def grid(objs: DataFrame, steps: int, step_s: float = 60.0) -> DataFrame:
     """Positions and velocities of every object on a time grid: id, k, x, y, z, vx, vy, vz."""
-    g = objs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))).withColumn("n", F.sqrt(MU_KM3_S2 / (F.col("a_km") * F.col("a_km") * F.col("a_km"))))
+    return states_at(objs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))), step_s)
+
+
+def grid_by_step(objs: DataFrame, steps: int, step_s: float = 60.0, most: int = 200_000) -> DataFrame:
+    """The same grid, dealt by step without moving any state: the steps are dealt and the catalogue, once counted, is broadcast."""
+    spark = objs.sparkSession
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)  # a number, or the few bytes of the steps are coalesced
+    if objs.count() > most:
+        return grid(objs, steps, step_s).repartition(parts, "k")
+    return states_at(spark.range(steps).select(F.col("id").cast("int").alias("k")).repartition(parts, "k").crossJoin(F.broadcast(objs)), step_s)
+
+
+def states_at(rows: DataFrame, step_s: float) -> DataFrame:
+    """States of circular orbits at step k of each row."""
+    g = rows.withColumn("n", F.sqrt(MU_KM3_S2 / (F.col("a_km") * F.col("a_km") * F.col("a_km"))))
     u = F.col("phase") + F.col("n") * F.col("k") * step_s
     g = g.select("id", "k", "a_km", "n", F.cos(u).alias("cu"), F.sin(u).alias("su"), F.cos("raan").alias("co"), F.sin("raan").alias("so"), F.cos("inc").alias("ci"), F.sin("inc").alias("si"))
     c = F.col
@@ -58,7 +76,7 @@ def _pc_sql(terms: int = 4) -> str:
 
 
 #: The same relations for the oracle.
-OBJECTS_SQL = "objects AS (SELECT s_suppkey AS id, 6778.137 + s_suppkey * 37 % 400 AS a_km, radians(s_suppkey * 53 % 98) AS inc, radians(s_suppkey * 71 % 360) AS raan, radians(s_suppkey * 29 % 360) AS phase FROM supplier)"
+OBJECTS_SQL = "objects AS (SELECT s_suppkey AS id, 6778.137 + s_suppkey // 2 * 37 % 400 + s_suppkey % 2 * (s_suppkey // 2 % 7) * 0.5 AS a_km, radians(30 + s_suppkey * 53 % 60) AS inc, radians(s_suppkey // 2 * 71 % 360) AS raan, radians(s_suppkey // 2 * 29 % 360) AS phase FROM supplier)"
 GRID_SQL = """steps AS (SELECT unnest(range(0, {steps})) AS k),
 angles AS (SELECT id, k, a_km, sqrt(398600.8 / (a_km * a_km * a_km)) AS n, phase + sqrt(398600.8 / (a_km * a_km * a_km)) * k * 60.0 AS u, raan, inc FROM objects, steps),
 grid AS (SELECT id, k, a_km * (cos(raan) * cos(u) - sin(raan) * cos(inc) * sin(u)) AS x, a_km * (sin(raan) * cos(u) + cos(raan) * cos(inc) * sin(u)) AS y, a_km * sin(inc) * sin(u) AS z,
