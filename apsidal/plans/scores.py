@@ -51,7 +51,7 @@ c AS (SELECT *, {CHAN_SQL} AS chan, CASE WHEN lam <= 0 THEN 1 ELSE least(1, x /
 SELECT alert_id, {R9.format('chan')} AS chan, {R9.format('largest')} AS largest, floor(abs(log10(greatest(foster, 1e-20)) - log10(greatest(chan, 1e-20))) * 1e3 + 0.5) / 1e3 AS spread, abs(log10(greatest(foster, 1e-20)) - log10(greatest(chan, 1e-20))) <= 0.5 AS consistent FROM c""")
 def probability_checks(spark, sf_dir):
     """The series beside the integral, the largest probability in closed form, their spread in decades."""
-    p = kernels.with_probability_checks(plane(spark, sf_dir))
+    p = kernels.with_probability_checks(plane(spark, sf_dir), largest=False)
     c = [F.col(n) for n in ("b_t", "b_n", "c_tt", "c_tn", "c_nn", "hbr_km")]
     spread = F.abs(E.log10_floor(F.col("foster")) - E.log10_floor(F.col("chan")))
     return p.select("alert_id", E.floored(F.col("chan"), 9).alias("chan"), E.floored(E.largest_pc(*c), 9).alias("largest"), E.floored(spread, 3).alias("spread"), (spread <= 0.5).alias("consistent"))
