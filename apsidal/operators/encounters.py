@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.encounters import floored, severity
@@ -73,29 +73,75 @@ def feedback_rounds(decisions: DataFrame, size: int = 10, last: int = 20) -> Dat
     return rounds.where(F.col("n") == size).drop("n").orderBy(F.desc("round")).limit(last)
 
 
-def rolling_score(telemetry: DataFrame, rows: int = 50) -> DataFrame:
-    """z-score of each value within the object's last ``rows`` values, itself included; 0 without spread, an anomaly from 3 on."""
-    w = Window.partitionBy("object_id").orderBy("ts", "event_id").rowsBetween(1 - rows, 0)
-    out = telemetry.select("event_id", "object_id", "value", F.avg("value").over(w).alias("m"), F.stddev_pop("value").over(w).alias("s"), F.count("value").over(w).alias("n"))
+#: Width of the time buckets that part the rows of one object (microseconds).
+BUCKET_US = 86_400_000_000
+
+
+def _bucketed(df: DataFrame, ts: str, width_us: int) -> DataFrame:
+    return df.withColumn("__b", F.floor(F.unix_micros(ts) / width_us))
+
+
+def _before(key: str) -> WindowSpec:
+    """Earlier buckets of an object; their summaries are one row each."""
+    return Window.partitionBy(key).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+
+
+def rolling_score(telemetry: DataFrame, rows: int = 50, block: int = 50_000, width_us: int = BUCKET_US) -> DataFrame:
+    """z-score of each value within the object's last ``rows`` values, itself included; 0 without spread, an anomaly from 3 on.
+
+    An object's rows are numbered inside time buckets, from what the buckets before hold, and then dealt in
+    blocks of numbers; the last rows of a block are copied to the next. So no task holds more than a bucket
+    or a block of one object.
+    """
+    t = _bucketed(telemetry.select("event_id", "object_id", "ts", "value"), "ts", width_us)
+    held = t.groupBy("object_id", "__b").agg(F.count(F.lit(1)).alias("n"))
+    first = held.select("object_id", "__b", F.coalesce(F.sum("n").over(_before("object_id")), F.lit(0)).alias("__n"))
+    mixed = t.withColumn("__n", F.lit(1).cast("long")).unionByName(first.withColumn("__carry", F.lit(True)), allowMissingColumns=True)
+    at = Window.partitionBy("object_id", "__b").orderBy(F.desc_nulls_last("__carry"), "ts", "event_id")
+    n = mixed.withColumn("__n", F.sum("__n").over(at)).where("__carry is null")
+    own = F.floor(F.col("__n") / block)
+    copies = n.withColumn("__own", own).withColumn("__k", F.explode(F.when(F.floor((F.col("__n") + rows - 1) / block) > own, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy("object_id", "__k").orderBy("__n").rowsBetween(1 - rows, 0)
+    out = copies.select("event_id", "object_id", "value", (F.col("__k") == F.col("__own")).alias("__mine"), F.avg("value").over(w).alias("m"), F.stddev_pop("value").over(w).alias("s"), F.count("value").over(w).alias("n"))
     flat = (F.col("n") < 2) | (F.col("s") < 1e-6)
     z = (F.col("value") - F.col("m")) / F.col("s")
-    return out.select("event_id", "object_id", F.when(flat, 0.0).otherwise(floored(z)).alias("z"), (~flat & (z >= 3)).alias("anomalous"))
+    return out.where("__mine").select("event_id", "object_id", F.when(flat, 0.0).otherwise(floored(z)).alias("z"), (~flat & (z >= 3)).alias("anomalous"))
+
 
+def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, order: str, width_us: int = BUCKET_US) -> DataFrame:
+    """Every left row with the latest right value at or before it: a union and a window over time buckets, no range join.
 
-def as_of(left: DataFrame, right: DataFrame, key: str, ts: str, value: str, order: str) -> DataFrame:
-    """Every left row with the latest right value at or before it: one union, one window, no range join."""
+    The last value of the buckets before enters each bucket as its first row, so a busy key is not one task.
+    """
     a = left.select(key, ts, F.col(order).alias("__o"), F.lit(1).alias("__side"), F.lit(None).cast("double").alias("__v"))
     b = right.select(key, ts, F.col(order).alias("__o"), F.lit(0).alias("__side"), F.col(value).cast("double").alias("__v"))
-    w = Window.partitionBy(key).orderBy(ts, "__side", "__o").rowsBetween(Window.unboundedPreceding, 0)
-    return a.unionByName(b).withColumn("last_value", F.last("__v", ignorenulls=True).over(w)).where("__side = 1").select(key, F.col("__o").alias(order), "last_value")
+    rows = _bucketed(a.unionByName(b), ts, width_us)
+    known = F.when(F.col("__v").isNotNull(), F.struct(ts, "__o"))
+    held = rows.groupBy(key, "__b").agg(F.max_by("__v", known).alias("__v"))
+    carried = held.select(key, "__b", F.last("__v", ignorenulls=True).over(_before(key)).alias("__v")).withColumn("__side", F.lit(-1))
+    w = Window.partitionBy(key, "__b").orderBy(F.expr("__side >= 0"), ts, "__side", "__o").rowsBetween(Window.unboundedPreceding, 0)
+    mixed = rows.unionByName(carried, allowMissingColumns=True)
+    return mixed.withColumn("last_value", F.last("__v", ignorenulls=True).over(w)).where("__side = 1").select(key, F.col("__o").alias(order), "last_value")
+
 
+def sessions(events: DataFrame, gap_s: int = 3600, width_us: int = BUCKET_US) -> DataFrame:
+    """object_id, session, n, seconds: runs of events with gaps up to gap_s.
 
-def sessions(events: DataFrame, gap_s: int = 3600) -> DataFrame:
-    """object_id, session, n, seconds: runs of events with gaps up to gap_s."""
-    w = Window.partitionBy("object_id").orderBy("ts", "event_id")
-    t = F.unix_micros("ts")
-    rows = events.withColumn("new", F.when(t - F.lag(t).over(w) <= gap_s * 1_000_000, 0).otherwise(1)).withColumn("session", F.sum("new").over(w))
-    return rows.groupBy("object_id", "session").agg(F.count(F.lit(1)).alias("n"), F.floor((F.max(t) - F.min(t)) / 1_000_000).alias("seconds"))
+    Gaps are found inside time buckets; the last time and the number of sessions of the buckets before
+    enter each bucket as its first row.
+    """
+    t = _bucketed(events.select("object_id", "event_id", "ts"), "ts", width_us).withColumn("__t", F.unix_micros("ts"))
+    w = Window.partitionBy("object_id", "__b").orderBy("__carry", "__t", "event_id")
+    far = lambda gap: F.when(gap <= gap_s * 1_000_000, 0).otherwise(1)
+    inner = F.col("__t") - F.lag("__t").over(Window.partitionBy("object_id", "__b").orderBy("__t", "event_id"))
+    held = t.withColumn("__far", F.when(inner.isNotNull(), far(inner)).otherwise(0)).groupBy("object_id", "__b").agg(F.min("__t").alias("first"), F.max("__t").alias("last"), F.sum("__far").alias("more"))
+    one = Window.partitionBy("object_id").orderBy("__b")
+    held = held.withColumn("__before", F.lag("last").over(one)).withColumn("more", F.col("more") + far(F.col("first") - F.col("__before")))
+    carried = held.select("object_id", "__b", F.col("__before").alias("__t"), F.coalesce(F.sum("more").over(_before("object_id")), F.lit(0)).alias("__start"), F.lit(0).alias("__carry"))
+    mixed = t.withColumn("__carry", F.lit(1)).unionByName(carried, allowMissingColumns=True)
+    new = F.coalesce(F.col("__start"), far(F.col("__t") - F.lag("__t").over(w)).cast("long"))
+    rows = mixed.withColumn("new", new).withColumn("session", F.sum("new").over(w)).where("__carry = 1")
+    return rows.groupBy("object_id", "session").agg(F.count(F.lit(1)).alias("n"), F.floor((F.max("__t") - F.min("__t")) / 1_000_000).alias("seconds"))
 
 
 def followed_rate(rows: DataFrame, key: str, clock: str, shown: str, order: str) -> DataFrame:
