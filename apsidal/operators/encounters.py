@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -149,24 +149,27 @@ def followed_rate(rows: DataFrame, key: str, clock: str, shown: str, order: str)
 
     A sample twice or half the rate is followed at once; gaps below 100 ms, backward and absurd samples
     change nothing. The fold depends on its order, so a key is one task's work, read in sorted batches with
-    one number carried over; no group is held.
+    one number carried over; no group is held. A null key is an object of its own; a null clock changes nothing.
     """
     schema = f"{key} long, {order} long, rate double"
 
     def fold(batches):
-        last, clock0, shown0, rate = None, 0, 0, 1.0
+        last, clock0, shown0, rate = object(), None, 0, 1.0
         for batch in batches:
             out = []
-            for k, at, c, s in zip(batch[key], batch[order], batch[clock], batch[shown], strict=True):
+            for k, at, c, s in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if k != last:
-                    last, rate = k, 1.0
-                elif c - clock0 >= 100:
+                    last, rate, clock0 = k, 1.0, None
+                if c is None or s is None:
+                    out.append((k, at, rate))
+                    continue
+                if clock0 is not None and c - clock0 >= 100:
                     sample = (s - shown0) / (c - clock0)
                     if 0 < sample <= 100000:
                         rate = sample if sample > rate * 2 or sample < rate / 2 else rate + (sample - rate) * 0.2
                 clock0, shown0 = c, s
                 out.append((k, at, rate))
-            yield pd.DataFrame(out, columns=[key, order, "rate"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out) if out else ((), (), ()), (pa.int64(), pa.int64(), pa.float64()), strict=True)], names=[key, order, "rate"])
 
-    narrow = rows.select(key, order, clock, shown)
-    return narrow.repartition(key).sortWithinPartitions(key, clock, order).mapInPandas(fold, schema)
+    narrow = rows.select(F.col(key).cast("long").alias(key), F.col(order).cast("long").alias(order), F.col(clock).cast("long").alias(clock), F.col(shown).cast("long").alias(shown))
+    return narrow.repartition(key).sortWithinPartitions(key, clock, order).mapInArrow(fold, schema)
