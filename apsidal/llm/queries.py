@@ -11,6 +11,7 @@ from .bpe import bpe_decode, bpe_encode
 from .chat_format import format_chat, read_back
 from .common import read
 from .exact_dedup import exact_dedup
+from .hard_negatives import mine_negatives
 from .html_extract import extract_text
 from .license_scan import license_report, scan_licenses
 from .mixing import mix_rates
@@ -74,12 +75,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return mine_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label_col=label)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_secret_scan, op3_source_mixing, op4_sharding, op5_exact_dedup, op6_html_extraction, op7_license_scan, op8_simhash_near_dedup, op9_byte_level_bpe, op10_quality_rules)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_secret_scan, op3_source_mixing, op4_sharding, op5_exact_dedup, op6_html_extraction, op7_license_scan, op8_simhash_near_dedup, op9_byte_level_bpe, op10_quality_rules, op12_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_exact_dedup": OP5_SQL}
+    return {"op5_exact_dedup": OP5_SQL, "op12_hard_negatives": OP12_SQL}
 
 
 OP5_SQL = r"""
@@ -88,3 +94,20 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY norm) AS keep_id, count(*) OVER (P
        doc_id = min(doc_id) OVER (PARTITION BY norm) AS kept, sha256(norm) AS text_sha256
 FROM n
 """
+
+OP12_SQL = r"""
+WITH e AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, c.vec_id, a.label = c.label AS same, list_inner_product(a.v, c.v)::BIGINT AS score
+  FROM e a JOIN e c ON a.r <> c.r WHERE a.vec_id % 100 = 0
+), p AS (
+  SELECT ar, anchor_id, vec_id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY ar ORDER BY score DESC, vec_id) AS k FROM s WHERE same QUALIFY k <= 5
+), n AS (
+  SELECT p.ar, p.anchor_id, p.positive_id, p.k, p.positive_score, s.vec_id AS negative_id, s.score AS negative_score,
+         row_number() OVER (PARTITION BY p.ar, p.k ORDER BY s.score DESC, s.vec_id) AS rank
+  FROM p JOIN s ON p.ar = s.ar AND NOT s.same AND 80 * p.positive_score <= 100 * s.score AND s.score <= p.positive_score QUALIFY rank <= 5
+)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n
+"""
