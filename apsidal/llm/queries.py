@@ -15,8 +15,9 @@ from .hard_negatives import mine_negatives
 from .html_extract import extract_text
 from .license_scan import license_report, scan_licenses
 from .mixing import mix_rates
+from .personal_data import KINDS as PERSONAL, find_personal_data
 from .quality import quality_verdicts
-from .secret_scan import digest, scan_secrets
+from .secret_scan import digest, scan_secrets, span_text
 from .sharding import assign_shards
 from .simhash_dedup import simhash_near_dedup
 from .token_alignment import align_tokens
@@ -76,6 +77,14 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_verdicts(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_personal_data(read(spark, sf_dir, "documents"))
+    of = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    base = F.filter("spans", lambda s: s["kind"].isin(*PERSONAL))
+    n_found = F.size(F.filter("spans", lambda s: s["kind"].startswith("found_"))).cast("long").alias("n_found")
+    return found.select("doc_id", *map(of, PERSONAL), F.sha2(span_text(base), 256).alias("base_sha256"), span_text(F.col("spans")).alias("spans"), n_found)
+
+
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return mine_negatives(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label_col=label)
@@ -86,7 +95,7 @@ def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_chat_formatting, op2_secret_scan, op3_source_mixing, op4_sharding, op5_exact_dedup, op6_html_extraction, op7_license_scan, op8_simhash_near_dedup, op9_byte_level_bpe, op10_quality_rules, op12_hard_negatives, op13_token_alignment)}
+    return {f.__name__: f for f in (op1_chat_formatting, op2_secret_scan, op3_source_mixing, op4_sharding, op5_exact_dedup, op6_html_extraction, op7_license_scan, op8_simhash_near_dedup, op9_byte_level_bpe, op10_quality_rules, op11_personal_data, op12_hard_negatives, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
