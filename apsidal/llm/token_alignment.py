@@ -5,8 +5,8 @@ that both share cut a text into groups; a group label is a binary search among t
 (pairs of tokens with overlapping bytes) come from two binary searches a token and one repeat-based
 expansion. Texts end at a shared cut, so a whole slab of texts is aligned by one pass of array operations.
 
-Scale: texts are encoded once, in a narrow map, and their ids are written to the shared folder. Pair
-counts are summed up in each task, then shuffled in two stages, first with a salt. The most frequent pairs
+Scale: texts are encoded once, in a narrow map, and their packed ids are written to the shared folder,
+with each task's sums of linked id pairs. The sums are shuffled in two stages, first with a salt. The most frequent pairs
 (``BROADCAST_PAIRS`` at most) go to all tasks; what a text links beyond them is joined by key, where no
 key is frequent any more. Long texts are encoded in pieces that both tokenizers cut anyway.
 """
@@ -17,21 +17,22 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _kept, _lists
+from .bpe import _kept
 from .common import stored
 
 #: Code points that are encoded together, and in one piece.
-SLAB_CHARS = 1 << 18
+SLAB_CHARS = 1 << 16
 #: Tokens whose links are made together.
-SLAB_TOKENS = 1 << 18
+SLAB_TOKENS = 1 << 16
 #: Distinct pairs that a task holds before it hands them on.
-TASK_PAIRS = 1 << 20
+TASK_PAIRS = 1 << 19
 #: Most frequent pairs that are broadcast, two longs each.
 BROADCAST_PAIRS = 1 << 20
 SALTS = 16
@@ -63,6 +64,7 @@ class Pair:
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.seams = not any("▁" in n.lstrip("▁") for n in names)
         self.width_a, self.width_b = (np.array([len(t) for t in v], np.int64) for v in (self.bytes_a, self.bytes_b))
+        self.kind_a, self.kind_b = ("<u2" if len(v) <= 1 << 16 else "<u4" for v in (self.bytes_a, self.bytes_b))
         self.names = marked_names(len(self.bytes_a), len(self.bytes_b))
 
     def pieces(self, text: str) -> list[str]:
@@ -151,10 +153,9 @@ def group_texts(ids_a: np.ndarray, ids_b: np.ndarray, group_a: np.ndarray, group
 class Slab:
     """The tokens of several texts, one after another, aligned together: every text ends at a shared cut."""
 
-    def __init__(self, a: pa.ListArray, b: pa.ListArray, width_a: np.ndarray, width_b: np.ndarray) -> None:
-        self.a, self.from_a = _flat(a)
-        self.b, self.from_b = _flat(b)
-        self.ends_a, self.ends_b = np.cumsum(width_a[self.a]), np.cumsum(width_b[self.b])
+    def __init__(self, pair: Pair, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> None:
+        (self.a, self.from_a), (self.b, self.from_b) = a, b
+        self.ends_a, self.ends_b = np.cumsum(pair.width_a[self.a]), np.cumsum(pair.width_b[self.b])
 
     def links(self) -> tuple[np.ndarray, np.ndarray]:
         """The id pair of each link as one long, and where each text's links begin and end."""
@@ -163,23 +164,35 @@ class Slab:
         return self.a[a] << SHIFT | self.b[b], upto[self.from_a]
 
 
-def _flat(lists: pa.ListArray) -> tuple[np.ndarray, np.ndarray]:
-    """Values of a list column as one array, and where each list begins and ends in it."""
-    if isinstance(lists, pa.ChunkedArray):
-        lists = lists.combine_chunks()
-    offsets = lists.offsets.to_numpy()
-    return lists.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]].astype(np.int64), offsets - offsets[0]
+def _joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Values of lists as one array, and where each list begins and ends in it."""
+    bounds = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
+    return np.fromiter(chain.from_iterable(lists), np.int64, int(bounds[-1])), bounds
 
 
-def _slabs(batches: Iterator[pa.RecordBatch], a: int) -> Iterator[tuple[pa.RecordBatch, pa.ListArray, pa.ListArray]]:
-    """Parts of batches of up to ``SLAB_TOKENS`` tokens of A, or of one text; ``a`` is the column of A's ids, B's follow."""
+def _packed(values: np.ndarray, bounds: np.ndarray, kind: str) -> pa.Array:
+    """Lists of ids as binaries of little-endian unsigned numbers."""
+    raw, size = values.astype(kind), np.dtype(kind).itemsize
+    return pa.Array.from_buffers(pa.binary(), len(bounds) - 1, [None, pa.py_buffer((bounds * size).astype(np.int32).tobytes()), pa.py_buffer(raw.tobytes())])
+
+
+def _unpacked(column: pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    wide = np.int64 if pa.types.is_large_binary(column.type) else np.int32
+    bounds = np.frombuffer(column.buffers()[1], wide)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = column.buffers()[2]
+    raw = np.frombuffer(data, np.uint8)[bounds[0] : bounds[-1]] if data is not None else np.zeros(0, np.uint8)
+    return raw.view(kind).astype(np.int64), (bounds - bounds[0]) // np.dtype(kind).itemsize
+
+
+def _slabs(batches: Iterator[pa.RecordBatch], pair: Pair) -> Iterator[tuple[pa.RecordBatch, Slab]]:
+    """Parts of batches of up to ``SLAB_TOKENS`` tokens, or of one text; columns a and b hold the ids."""
     for batch in batches:
-        upto = batch.column(a).offsets.to_numpy()
-        at = 0
+        at, column = 0, batch.schema.get_field_index("a")
+        upto = _unpacked(batch.column(column), pair.kind_a)[1]
         while at < batch.num_rows:
             to = max(at + 1, int(np.searchsorted(upto, upto[at] + SLAB_TOKENS, "right")) - 1)
             part = batch.slice(at, to - at)
-            yield part, part.column(a), part.column(a + 1)
+            yield part, Slab(pair, _unpacked(part.column(column), pair.kind_a), _unpacked(part.column(column + 1), pair.kind_b))
             at = to
 
 
@@ -188,29 +201,76 @@ def _per_text(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+class PairSums:
+    """Links of id pairs, summed up in a task; memory is bounded by ``TASK_PAIRS``."""
+
+    def __init__(self) -> None:
+        self.keys, self.counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.held: list[np.ndarray] = []
+
+    def add(self, keys: np.ndarray) -> bool:
+        """Whether it is time to hand on what is summed."""
+        self.held.append(keys)
+        if sum(map(len, self.held)) >= TASK_PAIRS:
+            self.sum()
+        return len(self.keys) >= TASK_PAIRS
+
+    def sum(self) -> None:
+        if self.held:
+            new, n = np.unique(np.concatenate(self.held), return_counts=True)
+            self.held = []
+            every, at = np.unique(np.concatenate((self.keys, new)), return_inverse=True)
+            total = np.zeros(len(every), np.int64)
+            np.add.at(total, at, np.concatenate((self.counts, n)))
+            self.keys, self.counts = every, total
+
+    def take(self) -> tuple[np.ndarray, np.ndarray]:
+        self.sum()
+        out = self.keys, self.counts
+        self.keys, self.counts = self.keys[:0], self.counts[:0]
+        return out
+
+
+CODED = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("n_groups", pa.int64()), ("groups_sha256", pa.string()), ("key", pa.int64()), ("n", pa.int64())])
+CODED_SQL = "row long, doc_id long, a binary, b binary, n_groups long, groups_sha256 string, key long, n long"
+
+
 def encode_both(docs: DataFrame, byte_file: str, piece_file: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """row, doc_id, a, b (ids), n_groups, groups (the text of the contract): one row per row, written to the shared folder.
+    """row, doc_id, a, b (packed ids), n_groups, groups_sha256 of every row; and, in rows of their own, key and n.
 
+    The second kind holds each task's counts of linked id pairs. Both are written once to the shared folder.
     Null and empty texts, and those that one of the tokenizers does not give back byte by byte, have no tokens.
     """
     sc = docs.sparkSession.sparkContext
     files = sc.broadcast(tuple(_content(f) for f in (byte_file, piece_file)))
 
+    def padded(cols: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else pa.nulls(n, f.type) for f in CODED], schema=CODED)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = _pair(files.value)
+        pair, sums = _pair(files.value), PairSums()
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            keys, n = sums.take()
+            for at in range(0, len(keys), SLAB_TOKENS):
+                part = keys[at : at + SLAB_TOKENS]
+                yield padded({"key": pa.array(part), "n": pa.array(n[at : at + SLAB_TOKENS])}, len(part))
 
-        def out(rows: list[tuple[int, int | None]], texts: list[str]) -> pa.RecordBatch:
+        def coded(rows: list[tuple[int, int | None]], texts: list[str]) -> Iterator[pa.RecordBatch]:
             ids = pair.encode(texts)
-            a, b = (_lists([np.asarray(x[k], np.int32) for x in ids], pa.int32()) for k in (0, 1))
-            slab = Slab(a, b, pair.width_a, pair.width_b)
+            a, b = _joined([x for x, _ in ids]), _joined([x for _, x in ids])
+            slab = Slab(pair, a, b)
             cuts, group_a, group_b = common_cuts(slab.ends_a, slab.ends_b)
             marked = group_texts(slab.a, slab.b, group_a, group_b, pair.names)
             both = slab.from_a + slab.from_b
             groups = ["".join(marked[i:j])[:-1] for i, j in zip(both, both[1:], strict=False)]
             ends = np.concatenate(([0], slab.ends_a))[slab.from_a]
             n_groups = np.diff(np.searchsorted(cuts, ends, "right"))
-            cols = [pa.array([r for r, _ in rows], pa.int64()), pa.array([d for _, d in rows], pa.int64()), a, b, pa.array(n_groups, pa.int64()), pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups], pa.string())]
-            return pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "a", "b", "n_groups", "groups_sha256"])
+            cols = {"row": pa.array([r for r, _ in rows], pa.int64()), "doc_id": pa.array([d for _, d in rows], pa.int64()), "a": _packed(*a, pair.kind_a), "b": _packed(*b, pair.kind_b)}
+            cols |= {"n_groups": pa.array(n_groups, pa.int64()), "groups_sha256": pa.array([hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups], pa.string())}
+            yield padded(cols, len(rows))
+            if sums.add(slab.links()[0]):
+                yield from counted()
 
         for batch in batches:
             rows, texts, held = [], [], 0
@@ -219,46 +279,19 @@ def encode_both(docs: DataFrame, byte_file: str, piece_file: str, id_col: str =
                 texts.append(t.as_py() or "")
                 held += len(texts[-1])
                 if held >= SLAB_CHARS:
-                    yield out(rows, texts)
+                    yield from coded(rows, texts)
                     rows, texts, held = [], [], 0
             if rows:
-                yield out(rows, texts)
+                yield from coded(rows, texts)
+        yield from counted()
 
     src = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return stored(src.mapInArrow(run, "row long, doc_id long, a array<int>, b array<int>, n_groups long, groups_sha256 string"))
+    return stored(src.mapInArrow(run, CODED_SQL))
 
 
-def pair_counts(coded: DataFrame, files) -> DataFrame:
-    """key (an id pair), n: how many links of the corpus hold the pair; summed in tasks, then in two shuffles."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = _pair(files.value)
-        keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        held: list[np.ndarray] = []
-
-        def summed() -> tuple[np.ndarray, np.ndarray]:
-            new, n = np.unique(np.concatenate(held), return_counts=True)
-            every, at = np.unique(np.concatenate((keys, new)), return_inverse=True)
-            total = np.zeros(len(every), np.int64)
-            np.add.at(total, at, np.concatenate((counts, n)))
-            return every, total
-
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(keys), pa.array(counts)], names=["key", "n"])
-
-        for _, a, b in _slabs(batches, 0):
-            held.append(Slab(a, b, pair.width_a, pair.width_b).links()[0])
-            if sum(map(len, held)) >= TASK_PAIRS:
-                (keys, counts), held = summed(), []
-                if len(keys) >= TASK_PAIRS:
-                    yield out()
-                    keys, counts = keys[:0], counts[:0]
-        if held:
-            keys, counts = summed()
-        if len(keys):
-            yield out()
-
-    sums = coded.select("a", "b").mapInArrow(run, "key long, n long")
+def pair_counts(coded: DataFrame) -> DataFrame:
+    """key (an id pair), n: how many links of the corpus hold the pair; tasks' sums are added up in two shuffles."""
+    sums = coded.where(F.col("key").isNotNull()).select("key", "n")
     salted = sums.groupBy("key", F.pmod(F.spark_partition_id(), F.lit(SALTS)).alias("salt")).agg(F.sum("n").alias("n"))
     return stored(salted.groupBy("key").agg(F.sum("n").alias("n")))
 
@@ -275,36 +308,37 @@ def align_tokens(docs: DataFrame, byte_file: str, piece_file: str, id_col: str =
     spark = docs.sparkSession
     coded = encode_both(docs, byte_file, piece_file, id_col, text_col)
     files = spark.sparkContext.broadcast(tuple(_content(f) for f in (byte_file, piece_file)))
-    counts = pair_counts(coded, files)
+    counts = pair_counts(coded)
     b_id = F.col("key").bitwiseAND((1 << SHIFT) - 1).alias("b")
     best = counts.groupBy(b_id).agg(F.max("n").alias("most")).toArrow()  # one row per id of B at most
     top = counts.orderBy(F.desc("n"), "key").limit(broadcast_pairs).toArrow()
     order = np.argsort(top.column("key").to_numpy(), kind="stable")
     sent = spark.sparkContext.broadcast((top.column("key").to_numpy()[order], top.column("n").to_numpy()[order], best.column("b").to_numpy(), best.column("most").to_numpy()))
+    missing_kind = pa.list_(pa.struct([("key", pa.int64()), ("times", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = _pair(files.value)
         keys, n, ids, most = sent.value
         best_of = np.zeros(len(pair.width_b), np.int64)
         best_of[ids] = most
-        for part, a, b in _slabs(batches, 2):
-            slab = Slab(a, b, pair.width_a, pair.width_b)
+        for part, slab in _slabs(batches, pair):
             own, bounds = slab.links()
             every, at = np.unique(own, return_inverse=True)
             place = np.minimum(np.searchsorted(keys, every), max(len(keys) - 1, 0))
             known = keys[place] == every if len(keys) else np.zeros(len(every), bool)
             count = np.where(known, n[place], 0) if len(keys) else np.zeros(len(every), np.int64)
             is_best = known & (count == best_of[every & ((1 << SHIFT) - 1)])
-            missing = []
-            for i, j in zip(bounds, bounds[1:], strict=False):
-                rest = at[i:j][~known[at[i:j]]] if not known.all() else at[:0]
-                missing.append([{"key": int(every[k]), "times": int(c)} for k, c in zip(*np.unique(rest, return_counts=True), strict=True)])
+            if known.all():
+                missing = [[]] * part.num_rows
+            else:
+                rest = [at[i:j][~known[at[i:j]]] for i, j in zip(bounds, bounds[1:], strict=False)]
+                missing = [[{"key": int(every[k]), "times": int(c)} for k, c in zip(*np.unique(r, return_counts=True), strict=True)] for r in rest]
             longs = [np.diff(slab.from_a), np.diff(slab.from_b), np.diff(bounds), _per_text(is_best[at], bounds), _per_text(count[at], bounds)]
-            cols = [part.column(0), part.column(1), *(pa.array(x.astype(np.int64)) for x in longs), part.column(4), part.column(5), pa.array(missing, pa.list_(pa.struct([("key", pa.int64()), ("times", pa.int64())])))]
+            cols = [part.column(0), part.column(1), *(pa.array(x.astype(np.int64)) for x in longs), part.column(4), part.column(5), pa.array(missing, missing_kind)]
             yield pa.RecordBatch.from_arrays(cols, names=["row", "doc_id", "n_a", "n_b", "n_links", "n_best", "count_sum", "n_groups", "groups_sha256", "missing"])
 
     kind = "row long, doc_id long, n_a long, n_b long, n_links long, n_best long, count_sum long, n_groups long, groups_sha256 string, missing array<struct<key: long, times: long>>"
-    rows = coded.select("row", "doc_id", "a", "b", "n_groups", "groups_sha256").mapInArrow(run, kind)
+    rows = coded.where(F.col("row").isNotNull()).select("row", "doc_id", "a", "b", "n_groups", "groups_sha256").mapInArrow(run, kind)
     columns = ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"]
     if top.num_rows < broadcast_pairs:
         return rows.select(columns)
