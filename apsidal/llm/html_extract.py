@@ -31,12 +31,13 @@ from pyspark.sql import functions as F
 
 from .common import checkpoint
 
-TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea|svg|iframe|object)\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>"
-    r"""|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|<(/?)([A-Za-z][A-Za-z0-9:-]*)([^>]*)>|([^<]+|<)""",
-    re.DOTALL | re.IGNORECASE,
-)
-NAMES = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+#: Elements whose contents are no text of the page; the first ones leave no gap in the text around them.
+UNSEEN = ("script", "style", "noscript", "template")
+RAW = re.compile(r"(script|style|noscript|template|textarea|svg|iframe|object)\b", re.IGNORECASE)
+RAW_ENDS = {n: re.compile(rf"</{n}\s*>", re.IGNORECASE) for n in (*UNSEEN, "textarea", "svg", "iframe", "object")}
+TAG = re.compile(r"(/?)([A-Za-z][A-Za-z0-9:-]*)")
+UNQUOTED = re.compile(r"""[^>"']*""")
+NAMES = re.compile(r"""(?:^|\s)(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 HOST = re.compile(r"(?:[a-zA-Z][\w+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)")
 NAME_PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 #: Elements that flow inside a block.
@@ -46,10 +47,17 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 P_ENDS = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 #: Elements, and words in class, id and role, that are not the article.
+HEADINGS = ("h1", "h2", "h3", "h4", "h5", "h6")
 SIDE_TAGS = frozenset("head nav aside footer form button select dialog menu".split())
 SIDE_WORDS = frozenset(
     "ad ads advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer form gdpr masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promotion related replies respond share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that side words may stand with in one name and still mean a side part (``related-posts``, ``cookie-box``).
+PLAIN_WORDS = frozenset(
+    "area article aside bar block body bottom box button buttons center col column container content entry global group header heading icons inner inline item items left link links list main message module outer page panel post posts primary right row secondary section site slot social sticky stories story text title top unit wrap wrapper".split()
+)
+#: Roles of side parts.
+SIDE_ROLES = frozenset("alertdialog banner complementary contentinfo dialog menu menubar navigation search toolbar".split())
 #: Words that name the article's container where no article or main element does.
 MAIN_WORDS = frozenset("article articlebody content entry main post story".split())
 PERIODS = (1, 2, 3, 4)
@@ -69,22 +77,84 @@ def host_of(url: str | None) -> str:
 
 
 def label_words(tag: str, attrs: str) -> list[str]:
-    """Words of class, id and role, sorted, without side words that only say what an article has beside it.
+    """Words of class, id and role, sorted; side words only where a whole name says side part.
 
-    Such words are those of compounds (``has-sidebar``, ``comments-open``) of an article element or of a
-    container that a class of its own names as main; an article so named keeps no side words at all.
+    A whole name does where all its words are side words or plain ones (``sidebar``, ``cookie-box``), not
+    where it says what is beside or about it (``has-sidebar``, ``no-comments``, ``related-work``). Ids of
+    headings are places to link to and say nothing. Roles count by a list of their own. An article element
+    is a side part only where a name holds nothing but side words, and none of its names says main.
     """
-    tokens = [{w.lower() for w in NAME_PART.findall(t)} for g in NAMES.findall(attrs) for t in " ".join(g).split()]
-    words = set().union(*tokens)
-    if not SIDE_WORDS.isdisjoint(words):
+    words: set[str] = set()
+    tokens = []
+    for kind, *values in NAMES.findall(attrs):
+        kind, value = kind.lower(), "".join(values)
+        if kind == "role":
+            for role in value.lower().split():
+                words |= {"navigation"} if role in SIDE_ROLES else {role} & MAIN_WORDS
+        elif kind == "class" or tag not in HEADINGS:
+            tokens += [{w.lower() for w in NAME_PART.findall(t)} for t in value.split()]
+    every = set().union(*tokens)
+    words |= every - SIDE_WORDS
+    if not SIDE_WORDS.isdisjoint(every):
         named = any(SIDE_WORDS.isdisjoint(t) and not MAIN_WORDS.isdisjoint(t) for t in tokens)
-        if named and tag == "article":
-            words -= SIDE_WORDS
-        elif named or tag == "article":
-            words -= SIDE_WORDS.difference(*(t for t in tokens if t <= SIDE_WORDS))
+        alone = tag == "article" or named
+        for t in tokens:
+            if not SIDE_WORDS.isdisjoint(t) and t <= SIDE_WORDS | (frozenset() if alone else PLAIN_WORDS) and not (named and tag == "article"):
+                words |= t & SIDE_WORDS
     return sorted(words)
 
 
+def markup(source: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, rest) in order: text, unseen or gap (an element without text of the page), open, close.
+
+    One pass: where a search finds no further > or quote, that is remembered. Broken tags are text. Once a
+    tag's quotes run to the end of the page without a >, tags end at the next >, quoted or not.
+    """
+    at, n, broken, last = 0, len(source), False, source.rfind(">")
+    while at < n:
+        lt = source.find("<", at)
+        if lt != at:
+            yield "text", "", source[at : lt if lt >= 0 else n]
+            if lt < 0:
+                return
+        at = lt + 1
+        if source.startswith("!--", at):
+            end = source.find("-->", at + 3)
+            at = end + 3 if end >= 0 else n
+            yield "unseen", "", ""
+        elif at > last:
+            yield "text", "", "<"
+        elif source[at] in "!?":
+            at = source.find(">", at) + 1
+            yield "unseen", "", ""
+        elif m := RAW.match(source, at):
+            name = m[1].lower()
+            end = RAW_ENDS[name].search(source, source.find(">", m.end()) + 1)
+            at = end.end() if end else n
+            yield ("unseen" if name in UNSEEN else "gap"), name, ""
+        elif m := TAG.match(source, at):
+            end = -1 if broken else tag_end(source, m.end())
+            broken = broken or end < 0
+            end = end if end >= 0 else source.find(">", m.end())
+            at = end + 1
+            yield ("close" if m[1] else "open"), m[2].lower(), source[m.end() : end]
+        else:
+            yield "text", "", "<"
+
+
+def tag_end(source: str, at: int) -> int:
+    """Place of the > that ends a tag, outside quotes; -1 if there is none."""
+    while True:
+        at = UNQUOTED.match(source, at).end()
+        if at == len(source):
+            return -1
+        if source[at] == ">":
+            return at
+        at = source.find(source[at], at + 1) + 1
+        if not at:
+            return -1
+
+
 class Page:
     """Elements as [label, children]; a child is an element or the number of a text block."""
 
@@ -112,16 +182,15 @@ class Page:
                 while len(stack) > at:
                     places[stack.pop()[0].partition(".")[0]].pop()
 
-        for m in TOKEN.finditer(source):
-            if m[8]:
-                buf.append(m[8])
+        for kind, name, attrs in markup(source):
+            if kind == "text":
+                buf.append(attrs)
                 continue
-            name = (m[3] or m[6] or "").lower()
-            if not name:
-                buf.append(" ")
+            if kind in ("unseen", "gap"):
+                if kind == "gap":
+                    buf.append(" ")
                 continue
-            attrs = (m[4] if m[3] else m[7]) or ""
-            if m[2] or m[5]:  # an end tag
+            if kind == "close":
                 close((name,))
                 continue
             words = label_words(name, attrs) if attrs else []
@@ -143,6 +212,22 @@ class Page:
             places.setdefault(name, []).append(len(stack))
             stack.append(node)
         flush()
+        self._open_forms()
+
+    def _open_forms(self) -> None:
+        """A form around an article or a named main part, as some frameworks put around whole pages, is a plain container."""
+        order, todo = [], [(self.root, None)]
+        while todo:
+            node, above = todo.pop()
+            order.append((node, above))
+            todo += [(k, node) for k in node[1] if not isinstance(k, int)]
+        holds: set[int] = set()
+        for node, above in reversed(order):
+            tag, _, names = node[0].partition(".")
+            if tag == "form" and id(node) in holds:
+                node[0] = ".".join(["div", *(w for w in names.split(".") if w not in ("", "form"))])
+            if above is not None and (id(node) in holds or main_rank(node[0]) is not None) and not is_side(node[0]):
+                holds.add(id(above))
 
 
 class Node:
@@ -278,6 +363,15 @@ def is_side(label: str) -> bool:
     return bool(names) and tag not in ("html", "body", "main", "#root") and not SIDE_WORDS.isdisjoint(names.split("."))
 
 
+def main_rank(label: str) -> int | None:
+    """0 for an article, 1 for a main element, 2 for a container that a word names, None for others."""
+    tag, _, names = label.partition(".")
+    words = names.split(".")
+    if tag in ("html", "body", "#root"):
+        return None
+    return 0 if tag == "article" else 1 if tag == "main" or "main" in words else 2 if not MAIN_WORDS.isdisjoint(words) else None
+
+
 def varies(slot: Node) -> bool:
     """Whether a slot's text differs between pages, or is not on enough of them to tell."""
     return slot.low != slot.high or slot.pages < CONSTANT_PAGES
@@ -298,21 +392,28 @@ def varying(node: Node, every: bool = True) -> int:
 def mark_main(root: Node) -> None:
     """Mark the slots of the article: of all outermost containers of the best rank that has text."""
     found: dict[int, list[Node]] = {0: [], 1: [], 2: []}
+    hidden: list[Node] = []  # outermost article and main elements inside side parts
 
-    def look(node: Node, within: frozenset[int]) -> None:
+    def look(node: Node, within: frozenset[int], beside: bool) -> None:
         for k in node.kids:
-            if k.label == "#" or is_side(k.label):
+            if k.label == "#":
                 continue
-            tag, _, names = k.label.partition(".")
-            rank = 0 if tag == "article" else 1 if tag == "main" or "main" in names.split(".") else 2 if not MAIN_WORDS.isdisjoint(names.split(".")) else None
-            if rank is None or tag in ("html", "body") or rank in within:
-                look(k, within)
+            rank, side = main_rank(k.label), is_side(k.label)
+            if beside or side:
+                if not side and rank in (0, 1):
+                    hidden.append(k)
+                elif k.label.partition(".")[0] not in SIDE_TAGS:
+                    look(k, within, True)
+            elif rank is None or rank in within:
+                look(k, within, False)
             else:
                 found[rank].append(k)
-                look(k, within | {rank})
+                look(k, within | {rank}, False)
 
-    look(root, frozenset())
+    look(root, frozenset(), False)
     tops = next((some for rank in sorted(found) if (some := [k for k in found[rank] if varying(k)])), [])
+    if not tops and hidden and sum(map(varying, hidden)) > varying(root):
+        tops = [k for k in hidden if varying(k)]  # named as beside the article, but the page has no more than that
     named = bool(tops)
     best = root
     held: dict[int, int] = {}  # varying characters of every part, each part summed once
@@ -474,7 +575,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", broadcast_chars: int = BROADCAST_CHARS) -> DataFrame:
     """page_id, url, text, n_chars: the main text of every page.
 
-    Null or empty html gives an empty text; a null or odd url counts as the host without a name.
+    Broken markup is read in linear time. Null or empty html gives an empty text; a null or odd url counts as the host without a name.
     Repeated rows, null ids and extra columns need no care. An empty table gives an empty result.
     """
     wrappers = checkpoint(infer_wrappers(pages, url_col, html_col))
