@@ -3,16 +3,45 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Labels of owner codes, and codes that name no owner.
-OWNER_LABELS = {"US": "USA", "CIS": "Russia/CIS", "PRC": "China", "IND": "India", "ISRO": "India", "JPN": "Japan", "FR": "France", "UK": "UK", "ESA": "ESA", "ISS": "ISS", "GLOB": "Globalstar", "IRID": "Iridium", "SES": "SES", "EUTE": "Eutelsat", "IT": "Italy", "CA": "Canada"}
+OWNER_LABELS = {
+    "US": "USA", "CIS": "Russia/CIS", "PRC": "China", "IND": "India", "ISRO": "India", "JPN": "Japan", "FR": "France", "UK": "UK", "ESA": "ESA", "ESRO": "ESA", "ISS": "ISS",
+    "ITSO": "Intelsat", "GLOB": "Globalstar", "IRID": "Iridium", "ORB": "ORBCOMM", "O3B": "SES", "SES": "SES", "EUTE": "Eutelsat", "EUME": "EUMETSAT", "IM": "Inmarsat",
+    "AB": "Arabsat", "AC": "AsiaSat", "ABS": "ABS", "SKOR": "South Korea", "ROC": "Taiwan", "GER": "Germany", "IT": "Italy", "CA": "Canada", "SPN": "Spain", "AUS": "Australia",
+    "NATO": "NATO", "SEAL": "Sea Launch",
+}
+#: Names of owner codes in the public catalogue, used where there is no label.
+OWNER_NAMES = {
+    "AB": "Arab Satellite Communications Organization", "ABS": "Asia Broadcast Satellite", "AC": "Asia Satellite Telecommunications Company (ASIASAT)", "ALG": "Algeria", "ANG": "Angola",
+    "ARGN": "Argentina", "ARM": "Republic of Armenia", "ASRA": "Austria", "AUS": "Australia", "AZER": "Azerbaijan", "BEL": "Belgium", "BELA": "Belarus", "BERM": "Bermuda",
+    "BGD": "Peoples Republic of Bangladesh", "BHR": "The Kingdom of Bahrain", "BHUT": "The Kingdom of Bhutan", "BOL": "Bolivia", "BRAZ": "Brazil", "BUL": "Bulgaria", "BWA": "Republic of Botswana",
+    "CA": "Canada", "CHBZ": "China/Brazil", "CHTU": "China/Türkiye", "CHLE": "Chile", "CIS": "Commonwealth of Independent States (former USSR)", "COL": "Colombia", "CRI": "Republic of Costa Rica",
+    "CZCH": "Czech Republic (former Czechoslovakia)", "DEN": "Denmark", "DJI": "Republic of Djibouti", "ECU": "Ecuador", "EGYP": "Egypt", "ESA": "European Space Agency",
+    "ESRO": "European Space Research Organization", "EST": "Estonia", "ETH": "Ethiopia", "EUME": "European Organization for the Exploitation of Meteorological Satellites (EUMETSAT)",
+    "EUTE": "European Telecommunications Satellite Organization (EUTELSAT)", "FGER": "France/Germany", "FIN": "Finland", "FR": "France", "FRIT": "France/Italy", "GER": "Germany",
+    "GHA": "Republic of Ghana", "GLOB": "Globalstar", "GREC": "Greece", "GRSA": "Greece/Saudi Arabia", "GUAT": "Guatemala", "HRV": "Republic of Croatia", "HUN": "Hungary",
+    "IM": "International Mobile Satellite Organization (INMARSAT)", "IND": "India", "INDO": "Indonesia", "IRAN": "Iran", "IRAQ": "Iraq", "IRID": "Iridium", "IRL": "Ireland", "ISRA": "Israel",
+    "ISRO": "Indian Space Research Organisation", "ISS": "International Space Station", "IT": "Italy", "ITSO": "International Telecommunications Satellite Organization (INTELSAT)", "JPN": "Japan",
+    "KAZ": "Kazakhstan", "KEN": "Republic of Kenya", "LAOS": "Laos", "LKA": "Democratic Socialist Republic of Sri Lanka", "LTU": "Lithuania", "LUXE": "Luxembourg", "MA": "Morocco", "MALA": "Malaysia",
+    "MCO": "Principality of Monaco", "MDA": "Republic of Moldova", "MEX": "Mexico", "MMR": "Republic of the Union of Myanmar", "MNE": "Montenegro", "MNG": "Mongolia", "MUS": "Mauritius",
+    "NATO": "North Atlantic Treaty Organization", "NETH": "Netherlands", "NICO": "New ICO", "NIG": "Nigeria", "NKOR": "Democratic People's Republic of Korea", "NOR": "Norway",
+    "NPL": "Federal Democratic Republic of Nepal", "NZ": "New Zealand", "O3B": "O3b Networks", "ORB": "ORBCOMM", "PAKI": "Pakistan", "PERU": "Peru", "POL": "Poland", "POR": "Portugal",
+    "PRC": "People's Republic of China", "PRY": "Republic of Paraguay", "PRES": "People's Republic of China/European Space Agency", "QAT": "State of Qatar", "RASC": "RascomStar-QAF",
+    "ROC": "Taiwan (Republic of China)", "ROM": "Romania", "RP": "Philippines (Republic of the Philippines)", "RWA": "Republic of Rwanda", "SAFR": "South Africa", "SAUD": "Saudi Arabia",
+    "SDN": "Republic of Sudan", "SEAL": "Sea Launch", "SEN": "Republic of Senegal", "SES": "SES", "SGJP": "Singapore/Japan", "SING": "Singapore", "SKOR": "Republic of Korea", "SLB": "Solomon Islands",
+    "SPN": "Spain", "STCT": "Singapore/Taiwan", "SVN": "Slovenia", "SWED": "Sweden", "SWTZ": "Switzerland", "TBD": "To Be Determined", "THAI": "Thailand", "TMMC": "Turkmenistan/Monaco",
+    "TUN": "Republic of Tunisia", "TURK": "Türkiye", "UAE": "United Arab Emirates", "UK": "United Kingdom", "UKR": "Ukraine", "UNK": "Unknown", "URY": "Uruguay", "US": "United States",
+    "USBZ": "United States/Brazil", "VAT": "Vatican City State", "VENZ": "Venezuela", "VTNM": "Vietnam", "ZWE": "Republic of Zimbabwe",
+}
 UNRESOLVED = ("", "TBD", "UNK")
 #: Operators by name pattern, first match wins, with the owner codes they are accepted for (none: any).
-#: One constellation of the ESA row is left out.
+#: One constellation of the ESA row is left out here; callers that need it pass their own table.
 OPERATORS = (
     (r"\bSTARLINK\b", "SpaceX", ("US",)),
     (r"\bDRAGON\b|\bSPACEX\b", "SpaceX", ("US",)),
@@ -117,23 +146,25 @@ def craft(name: Column, rcs: Column, launch_year: Column) -> tuple[Column, Colum
 
 
 def owner_label(code: Column) -> Column:
-    return F.when(code.isNull() | code.isin(*UNRESOLVED), "Unknown").otherwise(F.coalesce(looked(code, OWNER_LABELS), code))
+    """The label of an owner code, else its name in the catalogue, else the code."""
+    known = F.create_map(*[F.lit(x) for kv in (OWNER_NAMES | OWNER_LABELS).items() for x in kv])
+    return F.when(code.isNull() | code.isin(*UNRESOLVED), "Unknown").otherwise(F.coalesce(F.element_at(known, code), code))
 
 
-def operator(name: Column, code: Column) -> Column:
+def operator(name: Column, code: Column, operators: Sequence[tuple] = OPERATORS) -> Column:
     """The first pattern that the name matches and the owner code allows; no code allows any."""
     n, out = upper(name), None
-    for pattern, label, owners in OPERATORS:
+    for pattern, label, owners in operators:
         fits = n.rlike(pattern) & (code.isNull() | code.isin(*owners) if owners else F.lit(True))
         out = F.when(fits, label) if out is None else out.when(fits, label)
     return out
 
 
-def agency(name: Column, code_by_id: Column, code_by_name: Column) -> tuple[Column, Column]:
+def agency(name: Column, code_by_id: Column, code_by_name: Column, operators: Sequence[tuple] = OPERATORS) -> tuple[Column, Column]:
     """Agency and provenance: owner by id, else by name, refined by operator; unresolved owners and none by pattern."""
     code = F.coalesce(code_by_id, code_by_name)
     how = F.when(code_by_id.isNotNull(), "satcat_id").when(code_by_name.isNotNull(), "satcat_name").otherwise("none")
-    refined, guessed = operator(name, code), operator(name, F.lit(None).cast("string"))
+    refined, guessed = operator(name, code, operators), operator(name, F.lit(None).cast("string"), operators)
     settled = code.isNotNull() & ~code.isin(*UNRESOLVED)
     label = F.when(code.isNotNull() & refined.isNotNull(), refined).when(settled, owner_label(code)).otherwise(F.coalesce(guessed, F.lit("Unknown")))
     return label, F.when(code.isNotNull() & refined.isNotNull(), F.concat(how, F.lit("+operator_pattern"))).when(settled, how).when(guessed.isNotNull(), "name_pattern").otherwise(how)

@@ -67,20 +67,49 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def downstream(edges: DataFrame, hops: DataFrame, starts: DataFrame, limit: int = 50) -> DataFrame:
-    """key, node, distance: what each key's start nodes reach by edges that lead away from the events.
+    """key, node, distance: the ``limit`` nearest nodes that each key's start nodes lead on to, smaller ids first.
 
-    ``starts`` (key, node) are few, ``hops`` (node, hops) is the breadth-first result; every step goes to
-    a node of more hops, so the rounds end. The ``limit`` nearest of a key stay, smaller ids first.
+    ``hops`` (node, hops) is the breadth-first result from the events, which are negative nodes and never
+    on the way. From nodes that an event reaches, steps lead to more hops only; from others they lead
+    anywhere. ``starts`` (key, node) may name all alerts: what follows depends on the start node alone, so
+    the search keeps one bounded list a node, and a key takes the nearest of its nodes' lists.
     """
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
-    near, far = hops.select(F.col("node").alias("a"), F.col("hops").alias("ha")), hops.select(F.col("node").alias("b"), F.col("hops").alias("hb"))
-    away = checkpoint(both.join(near, "a").join(far, "b").where("hb > ha").select("a", "b"))
-    seen = front = checkpoint(starts.select("key", "node", F.lit(0).alias("distance")))
-    for step in count(1):
-        new = front.join(away, front["node"] == away["a"]).select("key", F.col("b").alias("node")).distinct().join(seen, ["key", "node"], "left_anti")
-        front = checkpoint(new.withColumn("distance", F.lit(step)))
-        if front.isEmpty():
-            break
-        seen = seen.unionByName(front)
+    reach = nearest(_onward(edges, hops), limit)
+    first = starts.distinct()
+    met = first.join(reach.withColumnRenamed("start", "own"), first["node"] == F.col("own")).select("key", F.col("to").alias("node"), "distance")
+    met = met.groupBy("key", "node").agg(F.min("distance").alias("distance")).join(first, ["key", "node"], "left_anti")
     rank = F.row_number().over(Window.partitionBy("key").orderBy("distance", "node"))
-    return seen.where("distance > 0").withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")
+    return met.withColumn("rank", rank).where(F.col("rank") <= limit).drop("rank")
+
+
+def _onward(edges: DataFrame, hops: DataFrame) -> DataFrame:
+    """a, b: the steps between objects that lead on; all of them where no event reaches."""
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a >= 0 AND b >= 0 AND a <> b").distinct()
+    near, far = hops.select(F.col("node").alias("a"), F.col("hops").alias("ha")), hops.select(F.col("node").alias("b"), F.col("hops").alias("hb"))
+    return both.join(near, "a", "left").join(far, "b", "left").where("ha IS NULL OR hb IS NULL OR hb > ha").select("a", "b")
+
+
+def nearest(steps: DataFrame, limit: int) -> DataFrame:
+    """start, to, distance: of every node the ``limit`` + 1 nearest nodes that steps (a, b) lead to, smaller ids first.
+
+    A frontier is kept for all nodes at once and cut each round to what is still wanted, and a node hands
+    on its smallest neighbours only: as many as are wanted and may have been seen. So a hub costs no more
+    than any node, and the state stays within limit + 1 rows a node. One more than ``limit``, so that a
+    pair of starts can leave out each other.
+    """
+    want = limit + 1
+    order = Window.partitionBy("a").orderBy("b")
+    few = checkpoint(steps.withColumn("n", F.row_number().over(order)).where(F.col("n") <= 2 * want + 1).select("a", "b"))
+    seen = checkpoint(few.select("a").distinct().select(F.col("a").alias("start"), F.col("a").alias("to"), F.lit(0).alias("distance")))
+    front = seen.withColumn("left", F.lit(want))
+    for distance in count(1):
+        new = front.join(few, front["to"] == few["a"]).groupBy("start", F.col("b").alias("to")).agg(F.first("left").alias("left")).join(seen.select("start", "to"), ["start", "to"], "left_anti")
+        rank = F.row_number().over(Window.partitionBy("start").orderBy("to"))
+        kept = new.withColumn("rank", rank).where("rank <= left")
+        kept = checkpoint(kept.withColumn("left", F.col("left") - F.max("rank").over(Window.partitionBy("start"))).drop("rank"))
+        if kept.isEmpty():
+            return seen.where("distance > 0")
+        seen = seen.unionByName(kept.select("start", "to", F.lit(distance).alias("distance")))
+        if distance % FLATTEN_HOPS == 0:
+            seen = checkpoint(seen)
+        front = kept.where("left > 0")

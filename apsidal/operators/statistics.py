@@ -54,14 +54,53 @@ def histogram_quantiles(df: DataFrame, keys: list[str], value: str, shares: list
 
 
 def largest_remainder(strata: DataFrame, budget: int) -> DataFrame:
-    """stratum, size, seats: shares of a budget by size, whole parts first, the rest by largest remainder (ties by stratum)."""
+    """stratum, size, seats: shares of a budget by size, at least one each, whole parts first.
+
+    Rounds over the strata in the order of their remainders (ties by stratum) give one seat each to those
+    with room until the budget is spent; where the least of one seat overshoots, the largest stratum (ties:
+    the first) gives seats back one by one. Both have closed forms: a number of full rounds found from
+    counts by room, and a level down to which the largest are cut. Strata may be many; what the driver
+    sees is one row a distinct room or seat count.
+    """
     total = strata.agg(F.sum("size").alias("total"))
     quota = F.greatest(F.lit(1.0), F.lit(float(budget)) * F.col("size") / F.col("total"))
     rows = strata.crossJoin(F.broadcast(total)).withColumn("quota", quota)  # one row
     rows = rows.withColumn("base", F.least(F.floor("quota"), F.col("size"))).withColumn("rest", -(F.col("quota") - F.floor("quota")))
-    left = budget - rows.agg(F.sum("base")).first()[0]
-    ranked = numbered(rows.withColumn("open", (F.col("base") >= F.col("size")).cast("int")), "open", "rest", "stratum")
-    return ranked.select("stratum", "size", (F.col("base") + F.when((F.col("rn") < left) & (F.col("open") == 0), 1).otherwise(0)).alias("seats"))
+    given = rows.agg(F.sum("base")).first()[0] or 0
+    if given > budget:
+        level, spare = _cut_level(rows, given - budget)
+        ranked = numbered(rows.withColumn("top", (F.col("base") < level).cast("int")), "top", "stratum")
+        return ranked.select("stratum", "size", (F.least("base", F.lit(level)) - F.when((F.col("top") == 0) & (F.col("rn") < spare), 1).otherwise(0)).alias("seats"))
+    rounds, last = _full_rounds(rows, budget - given)
+    ranked = numbered(rows.withColumn("full", (F.col("size") - F.col("base") <= rounds).cast("int")), "full", "rest", "stratum")
+    more = F.least(F.col("size") - F.col("base"), F.lit(rounds)) + F.when((F.col("full") == 0) & (F.col("rn") < last), 1).otherwise(0)
+    return ranked.select("stratum", "size", (F.col("base") + more).alias("seats"))
+
+
+def _full_rounds(rows: DataFrame, left: int) -> tuple[int, int]:
+    """How many whole rounds can be given out, and how many seats are left for the next one."""
+    rooms = rows.groupBy((F.col("size") - F.col("base")).alias("room")).agg(F.count(F.lit(1)).alias("n")).where("room > 0").orderBy("room").collect()
+    open_now, done = sum(r.n for r in rooms), 0
+    for r in rooms:
+        rounds = min(r.room - done, left // open_now)
+        left, done = left - rounds * open_now, done + rounds
+        if done < r.room:
+            return done, left
+        open_now -= r.n
+    return done, 0
+
+
+def _cut_level(rows: DataFrame, over: int) -> tuple[int, int]:
+    """The seat count that the largest strata are cut to, and how many of them lose one seat more."""
+    counts = rows.groupBy("base").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("base")).collect()
+    above, level = 0, counts[0].base
+    for r, after in zip(counts, [*[c.base for c in counts[1:]], None], strict=True):
+        above += r.n
+        down = over // above if after is None else min(level - after, over // above)
+        over, level = over - down * above, level - down
+        if after is None or level > after:
+            break
+    return level, over
 
 
 def evenly_spaced(rows: DataFrame, seats: DataFrame, order: list[str]) -> DataFrame:

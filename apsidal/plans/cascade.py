@@ -50,31 +50,67 @@ def rooted_search(spark, sf_dir):
     return searched(spark, sf_dir)
 
 
-@query(f"""WITH RECURSIVE {SEARCH_SQL} SELECT DISTINCT l.alert_id, coalesce(greatest(a.hops, b.hops), 1) AS depth, CASE WHEN a.hops IS NULL OR b.hops IS NULL THEN NULL WHEN a.hops >= b.hops THEN a.root ELSE b.root END AS upstream FROM (SELECT DISTINCT alert_id, sat1, sat2 FROM links) l LEFT JOIN walk a ON a.node = l.sat1 LEFT JOIN walk b ON b.node = l.sat2""")
+#: Starts of an alert: its farther object, or both ends where they are as far; then all that lies onward, the nearest fifty.
+DOWNSTREAM_SQL = f"""{SEARCH_SQL}, ends AS (SELECT l.*, a.hops AS h1, b.hops AS h2 FROM (SELECT DISTINCT alert_id, sat1, sat2 FROM links) l LEFT JOIN walk a ON a.node = l.sat1 LEFT JOIN walk b ON b.node = l.sat2),
+starts AS (SELECT alert_id, sat1 AS node FROM ends WHERE h1 IS NULL OR h2 IS NULL OR h1 >= h2 UNION SELECT alert_id, sat2 FROM ends WHERE h1 IS NULL OR h2 IS NULL OR h2 >= h1),
+onward AS (SELECT e.a, e.b FROM both_ways e LEFT JOIN walk wa ON wa.node = e.a LEFT JOIN walk wb ON wb.node = e.b WHERE e.a >= 0 AND e.b >= 0 AND e.a <> e.b AND (wa.hops IS NULL OR wb.hops IS NULL OR wb.hops > wa.hops)),
+reach(start, node, distance) USING KEY (start, node) AS (SELECT DISTINCT node, node, 0 FROM starts UNION SELECT r.start, o.b, min(r.distance) + 1 FROM reach r JOIN onward o ON o.a = r.node LEFT JOIN recurring.reach AS seen ON seen.start = r.start AND seen.node = o.b WHERE seen.node IS NULL GROUP BY r.start, o.b),
+down AS (SELECT s.alert_id, r.node, min(r.distance) AS distance FROM starts s JOIN reach r ON r.start = s.node WHERE NOT EXISTS (SELECT 1 FROM starts t WHERE t.alert_id = s.alert_id AND t.node = r.node) GROUP BY 1, 2),
+lists AS (SELECT alert_id, node, distance FROM down QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY distance, node) <= 50)"""
+
+
+def downstream(spark, sf_dir, walk, e):
+    """alert_id, node, distance of all alerts."""
+    side = lambda s: walk.select(F.col("node").alias(s), F.col("hops").alias(f"h_{s}"))
+    met = links(spark, sf_dir).select("alert_id", "sat1", "sat2").distinct().join(side("sat1"), "sat1", "left").join(side("sat2"), "sat2", "left")
+    free = F.col("h_sat1").isNull() | F.col("h_sat2").isNull()
+    ends = F.array(F.when(free | (F.col("h_sat1") >= F.col("h_sat2")), F.col("sat1")), F.when(free | (F.col("h_sat2") >= F.col("h_sat1")), F.col("sat2")))
+    # alerts of one pair of objects lead to the same objects: the search is over pairs
+    pairs = met.select("alert_id", F.array_compact(ends).alias("key"))
+    found = G.downstream(e, walk, pairs.select("key").distinct().select("key", F.explode("key").alias("node")))
+    return pairs.join(found, "key").select("alert_id", "node", "distance")
+
+
+@query(f"WITH RECURSIVE {DOWNSTREAM_SQL} SELECT alert_id, node, distance FROM lists")
+def downstream_objects(spark, sf_dir):
+    """What every alert leads on to, away from the events, without the nearer object: the fifty nearest of each."""
+    return downstream(spark, sf_dir, G.checkpoint(searched(spark, sf_dir)), edges(spark, sf_dir))
+
+
+@query(f"""WITH RECURSIVE {DOWNSTREAM_SQL} SELECT DISTINCT e.alert_id, coalesce(greatest(h1, h2), 1) AS depth, CASE WHEN h1 IS NULL OR h2 IS NULL THEN NULL WHEN h1 >= h2 THEN a.root ELSE b.root END AS upstream, coalesce(d.n, 0) AS n_downstream, coalesce(d.ids, '') AS downstream
+FROM ends e LEFT JOIN walk a ON a.node = e.sat1 LEFT JOIN walk b ON b.node = e.sat2 LEFT JOIN (SELECT alert_id, count(*) AS n, string_agg(node, ',' ORDER BY distance, node) AS ids FROM lists GROUP BY 1) d ON d.alert_id = e.alert_id""")
 def annotated_alerts(spark, sf_dir):
-    """Depth of each alert's farther object and the event upstream of it."""
-    w = searched(spark, sf_dir)
+    """Depth of each alert's farther object, the event upstream of it and the ids downstream, nearest first."""
+    w = G.checkpoint(searched(spark, sf_dir))
     side = lambda s: w.select(F.col("node").alias(s), F.col("hops").alias(f"h_{s}"), F.col("root").alias(f"r_{s}"))
     met = links(spark, sf_dir).select("alert_id", "sat1", "sat2").distinct().join(side("sat1"), "sat1", "left").join(side("sat2"), "sat2", "left")
     known = F.col("h_sat1").isNotNull() & F.col("h_sat2").isNotNull()
-    return met.select("alert_id", F.when(known, F.greatest("h_sat1", "h_sat2")).otherwise(1).alias("depth"), F.when(known, F.when(F.col("h_sat1") >= F.col("h_sat2"), F.col("r_sat1")).otherwise(F.col("r_sat2"))).alias("upstream")).distinct()
+    own = met.select("alert_id", F.when(known, F.greatest("h_sat1", "h_sat2")).otherwise(1).alias("depth"), F.when(known, F.when(F.col("h_sat1") >= F.col("h_sat2"), F.col("r_sat1")).otherwise(F.col("r_sat2"))).alias("upstream")).distinct()
+    down = downstream(spark, sf_dir, w, edges(spark, sf_dir)).groupBy("alert_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("distance", "node"))), lambda x: x["node"].cast("string")), ",").alias("ids"))  # fifty at most
+    return own.join(down, "alert_id", "left").select("alert_id", "depth", "upstream", F.coalesce("n", F.lit(0)).alias("n_downstream"), F.coalesce("ids", F.lit("")).alias("downstream"))
 
 
-@query(f"""WITH RECURSIVE {SEARCH_SQL}, top AS (SELECT alert_id, sat1, sat2 FROM (SELECT DISTINCT alert_id, sat1, sat2, {R9.format('pc')} AS p FROM links) ORDER BY p DESC, alert_id, sat1 LIMIT 20), starts AS (SELECT DISTINCT alert_id AS key, unnest([sat1, sat2]) AS node FROM top),
-away AS (SELECT e.a, e.b FROM both_ways e JOIN walk wa ON wa.node = e.a JOIN walk wb ON wb.node = e.b WHERE wb.hops > wa.hops), reach(key, node, distance) USING KEY (key, node) AS (SELECT key, node, 0 FROM starts UNION SELECT r.key, away.b, min(r.distance) + 1 FROM reach r JOIN away ON away.a = r.node LEFT JOIN recurring.reach AS seen ON seen.key = r.key AND seen.node = away.b WHERE seen.node IS NULL GROUP BY r.key, away.b)
-SELECT key AS alert_id, node, distance FROM reach WHERE distance > 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY distance, node) <= 50""")
-def downstream_objects(spark, sf_dir):
-    """What the twenty likeliest alerts lead on to, away from the events: the fifty nearest objects of each (top-k lists)."""
-    top = links(spark, sf_dir).select("alert_id", "sat1", "sat2", E.floored(F.col("pc"), 9).alias("p")).distinct().orderBy(F.desc("p"), "alert_id", "sat1").limit(20)
-    starts = top.select(F.col("alert_id").alias("key"), F.explode(F.array("sat1", "sat2")).alias("node")).distinct()
-    return G.downstream(edges(spark, sf_dir), searched(spark, sf_dir), starts).withColumnRenamed("key", "alert_id")
+@query(f"""WITH RECURSIVE {DOWNSTREAM_SQL}, members AS (SELECT DISTINCT event, sat2 AS node FROM links WHERE event IS NOT NULL), led AS (SELECT DISTINCT l.event, d.node FROM (SELECT DISTINCT event, alert_id FROM links WHERE event IS NOT NULL) l JOIN lists d USING (alert_id))
+SELECT event, count(*) AS n, min(node) AS first_node, sum(node) AS node_sum FROM (SELECT event, node FROM led EXCEPT SELECT event, node FROM members) GROUP BY event""")
+def downstream_beyond_members(spark, sf_dir):
+    """What the alerts of each event lead on to that is not one of its fragments: a set difference."""
+    own = links(spark, sf_dir).where("event is not null")
+    led = downstream(spark, sf_dir, G.checkpoint(searched(spark, sf_dir)), edges(spark, sf_dir)).join(own.select("event", "alert_id").distinct(), "alert_id").select("event", "node").distinct()
+    rest = led.join(own.select("event", F.col("sat2").alias("node")).distinct(), ["event", "node"], "left_anti")
+    return rest.groupBy("event").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first_node"), F.sum("node").alias("node_sum"))
 
 
-@query(f"""WITH RECURSIVE {EDGES_SQL}, hot AS (SELECT a, b FROM both_ways WHERE a % 3 = b % 3), label(node, component) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM hot GROUP BY a UNION SELECT h.b, min(l.component) FROM label l JOIN hot h ON h.a = l.node JOIN recurring.label AS old ON old.node = h.b WHERE l.component < old.component GROUP BY h.b) SELECT node, component, component < 0 AS has_event FROM label""")
+@query(f"""WITH RECURSIVE {EDGES_SQL}, label(node, component) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM both_ways GROUP BY a UNION SELECT h.b, min(l.component) FROM label l JOIN both_ways h ON h.a = l.node JOIN recurring.label AS old ON old.node = h.b WHERE l.component < old.component GROUP BY h.b) SELECT node, component, component < 0 AS has_event FROM label""")
 def graph_components(spark, sf_dir):
-    """Connected parts of the graph of links inside a constellation (numbers of one class), and whether an event is in them."""
-    e = edges(spark, sf_dir).where("a % 3 = b % 3")
-    return G.components(e).select("node", "component", (F.col("component") < 0).alias("has_event"))
+    """Connected parts of the whole graph, and whether an event is in them."""
+    return G.components(edges(spark, sf_dir)).select("node", "component", (F.col("component") < 0).alias("has_event"))
+
+
+@query(f"""WITH RECURSIVE {EDGES_SQL}, apart AS (SELECT a, b FROM both_ways WHERE a % 97 = b % 97), label(node, component) USING KEY (node) AS (SELECT a, min(least(a, b)) FROM apart GROUP BY a UNION SELECT h.b, min(l.component) FROM label l JOIN apart h ON h.a = l.node JOIN recurring.label AS old ON old.node = h.b WHERE l.component < old.component GROUP BY h.b)
+SELECT component, count(*) AS n, component < 0 AS has_event FROM label GROUP BY component""")
+def plane_components(spark, sf_dir):
+    """Sizes of the connected parts that links within one orbital plane (numbers of one class) make."""
+    return G.components(edges(spark, sf_dir).where("a % 97 = b % 97")).groupBy("component").agg(F.count(F.lit(1)).alias("n")).select("component", "n", (F.col("component") < 0).alias("has_event"))
 
 
 @query(f"WITH {EDGES_SQL}, f AS (SELECT CAST(1 AS BIGINT) AS node UNION SELECT b FROM both_ways WHERE a = 1) SELECT kind, e.a, e.b FROM edges e WHERE e.a IN (SELECT node FROM f) AND e.b IN (SELECT node FROM f)")

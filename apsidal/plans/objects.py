@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import objects as O
 from ..functions.encounters import rcs_class
-from ..sources.catalogue import element_sets, snapshot, typed_catalogue
+from ..sources.catalogue import element_names, element_sets, snapshot, typed_catalogue
 from ..sources.derived import CATALOGUE_SQL, catalogue, table
 from .catalog import query
 
@@ -51,12 +51,22 @@ def catalogue_snapshot(spark, sf_dir):
     return snapshot(catalogue_rows(spark, sf_dir), element_sets(element_lines(spark, sf_dir)))
 
 
-@query(f"WITH {CATALOGUE_SQL}, {SETS_SQL.split(', lines AS', 1)[1].join(['lines AS', ''])} SELECT c.id, s.name, s.line1, s.line1 IS NOT NULL AS tracked FROM catalogue c LEFT JOIN (SELECT norad_id, arg_max(name, line_no) AS name, arg_max(line1, line_no) AS line1 FROM sets GROUP BY 1) s ON s.norad_id = c.id")
+_ALPHA = "ABCDEFGHJKLMNPQRSTUVWXYZ"
+#: Lines of an index file: some numbers with a letter, some lines 1 without a name of their own, some unreadable.
+INDEX_SQL = f"""{CATALOGUE_SQL}, index_lines AS (SELECT 'f' || id % 3 AS file, id * 10 + k AS line_no, CASE k WHEN 0 THEN CASE WHEN id % 6 = 5 THEN '# none' ELSE '0 ' || coalesce(name, 'N ' || id) || ' ' END WHEN 1 THEN '1 ' || CASE WHEN id % 9 = 0 THEN 'I1234' WHEN id % 4 = 1 THEN substr('{_ALPHA}', CAST(id % 24 + 1 AS INT), 1) || lpad(CAST(id % 10000 AS STRING), 4, '0') WHEN id % 11 = 0 THEN '  ' || lpad(CAST(id % 1000 AS STRING), 3, '0') ELSE lpad(CAST(id % 100000 AS STRING), 5, '0') END || 'U  ' ELSE '2 x' END AS line FROM catalogue CROSS JOIN (SELECT unnest([0, 1, 2]) AS k))"""
+
+
+def index_lines(spark, sf_dir):
+    c = catalogue(spark, sf_dir).selectExpr("id", "name", "explode(array(0, 1, 2)) AS k")
+    return c.selectExpr("'f' || id % 3 AS file", "id * 10 + k AS line_no", INDEX_SQL.split(" AS line_no, ", 1)[1].split(" AS line FROM", 1)[0] + " AS line")
+
+
+@query(f"""WITH {INDEX_SQL}, held AS (SELECT file, line_no, line, last_value(CASE WHEN line LIKE '0 %' THEN trim(substr(line, 3)) END IGNORE NULLS) OVER (PARTITION BY file ORDER BY line_no) AS name, trim(substr(line, 3, 5)) AS f FROM index_lines),
+numbers AS (SELECT *, CASE WHEN instr('{_ALPHA}', upper(substr(f, 1, 1))) > 0 THEN (instr('{_ALPHA}', upper(substr(f, 1, 1))) + 9) * 10000 + TRY_CAST(substr(f, 2) AS BIGINT) ELSE TRY_CAST(f AS BIGINT) END AS n FROM held WHERE line LIKE '1 %')
+SELECT n AS norad_id, arg_max(coalesce(name, ''), (file, line_no)) AS name, arg_max(rtrim(line), (file, line_no)) AS line1 FROM numbers WHERE n IS NOT NULL GROUP BY n""")
 def element_index(spark, sf_dir):
-    """Name and first line by catalogue number; of repeated numbers the last set counts."""
-    sets = element_sets(element_lines(spark, sf_dir)).groupBy("norad_id").agg(F.max_by("name", "line_no").alias("name"), F.max_by("line1", "line_no").alias("line1"))
-    c = catalogue(spark, sf_dir).select("id")
-    return c.join(sets, c["id"] == sets["norad_id"], "left").select("id", "name", "line1", F.col("line1").isNotNull().alias("tracked"))
+    """Name and first line by catalogue number, letters decoded; of repeated numbers the last line counts."""
+    return element_names(index_lines(spark, sf_dir))
 
 
 @query("SELECT c_custkey AS id, 'crossing-' || c_custkey AS name, CAST(c_custkey % 90 AS BIGINT) AS minutes, [CAST(1 AS DOUBLE), CAST(c_custkey % 15 AS DOUBLE)][2] AS max_speed, '{\"id\":' || c_custkey || ',\"name\":\"crossing-' || c_custkey || '\",\"minutes\":' || c_custkey % 90 || '}' AS compact FROM customer")
@@ -133,7 +143,7 @@ def _operator_sql(code: str) -> str:
 
 
 LABEL_SQL = "CASE WHEN code IS NULL OR code IN ('', 'TBD', 'UNK') THEN 'Unknown' ELSE coalesce(label, code) END"
-AGENCY_SQL = f"""labels_of(code, label) AS (VALUES {', '.join(f"('{k}', '{v}')" for k, v in O.OWNER_LABELS.items())}), one AS (SELECT name, min(owner) AS owner FROM catalogue WHERE name <> '' AND owner IS NOT NULL GROUP BY name HAVING count(DISTINCT owner) = 1),
+AGENCY_SQL = f"""labels_of(code, label) AS (VALUES {', '.join("('%s', '%s')" % (k, v.replace("'", "''")) for k, v in (O.OWNER_NAMES | O.OWNER_LABELS).items())}), one AS (SELECT name, min(owner) AS owner FROM catalogue WHERE name <> '' AND owner IS NOT NULL GROUP BY name HAVING count(DISTINCT owner) = 1),
 codes AS (SELECT c.id, upper(coalesce(c.name, '')) AS n, CASE WHEN c.id % 4 <> 0 THEN c.owner END AS by_id, one.owner AS by_name FROM catalogue c LEFT JOIN one ON one.name = c.name),
 found AS (SELECT id, n, coalesce(by_id, by_name) AS code, CASE WHEN by_id IS NOT NULL THEN 'satcat_id' WHEN by_name IS NOT NULL THEN 'satcat_name' ELSE 'none' END AS how FROM codes),
 guess AS (SELECT f.*, l.label, {_operator_sql('f.code')} AS refined, {_operator_sql('NULL')} AS guessed FROM found f LEFT JOIN labels_of l ON l.code = f.code),

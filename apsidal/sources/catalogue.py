@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.encounters import catalogue_number
 
 CATALOGUE_SCHEMA = "norad_id string, name string, object_type string, owner string, launch_date string, rcs_m2 string"
 
@@ -24,6 +25,23 @@ def element_sets(lines: DataFrame) -> DataFrame:
     return rows.select("file", "line_no", F.trim(F.substring("line", 3, 1000)).alias("name"), number.cast("long").alias("norad_id"), "line1", "line2")
 
 
+def element_names(lines: DataFrame) -> DataFrame:
+    """norad_id, name, line1 of every readable line 1: the name is that of the last line ``0 `` above it in its file.
+
+    Of a number that occurs more often the last line in file order counts; unreadable numbers are left out.
+    The name is carried along by blocks of lines: a block knows its last name, and blocks are few.
+    """
+    rows = lines.withColumn("block", F.floor(F.col("line_no") / 4096))
+    named = F.when(F.col("line").startswith("0 "), F.struct("line_no", F.trim(F.substring("line", 3, 1000)).alias("name")))
+    own = Window.partitionBy("file", "block").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    tops = rows.groupBy("file", "block").agg(F.max(named).alias("top")).withColumn("carried", F.max("top").over(before)).drop("top")
+    number = catalogue_number(F.trim(F.substring("line", 3, 5)))
+    ones = rows.withColumn("own", F.max(named).over(own)).where(F.col("line").startswith("1 ")).withColumn("norad_id", number.cast("long")).where("norad_id is not null")
+    met = ones.join(tops, ["file", "block"]).select("norad_id", F.struct("file", "line_no").alias("at"), F.coalesce("own.name", "carried.name", F.lit("")).alias("name"), F.rtrim("line").alias("line1"))
+    return met.groupBy("norad_id").agg(F.max_by("name", "at").alias("name"), F.max_by("line1", "at").alias("line1"))
+
+
 def read_element_files(spark: SparkSession, path: str, first: int | None = None) -> DataFrame:
     """Element sets of all files under a path; with ``first`` only so many, in file order (an interactive cap).
 

@@ -69,9 +69,9 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("pc", isotropic_pc(F.col("miss_km"), F.col("sigma_km"), F.col("hbr_km")))
 
 
-def _pc_sql(terms: int = 4) -> str:
+def _pc_sql(terms: int = 12) -> str:
     lam, x = "(miss_km * miss_km / (sigma_km * sigma_km * 2))", "(hbr_km * hbr_km / (sigma_km * sigma_km * 2))"
-    rows = [f"power({lam}, {j}) / {math.factorial(j)} * ({' + '.join(f'power({x}, {i}) / {math.factorial(i)}' for i in range(j + 1, j + 1 + terms))})" for j in range(terms)]
+    rows = [f"power({lam}, {j}) / {math.factorial(j)}e0 * ({' + '.join(f'power({x}, {i}) / {math.factorial(i)}e0' for i in range(j + 1, j + 1 + terms))})" for j in range(terms)]
     return f"greatest(0.0, least(1.0, exp(-{lam} - {x}) * ({' + '.join(rows)})))"
 
 
@@ -90,7 +90,7 @@ alerts AS (SELECT *, {_pc_sql()} AS pc FROM raw)"""
 CATALOGUE = {
     "id": "p_partkey",
     "name": "CASE p_partkey % 14 WHEN 0 THEN 'COSMOS ' || p_partkey || ' DEB' WHEN 1 THEN 'STARLINK-' || p_partkey WHEN 2 THEN 'SL-' || p_partkey || ' R/B' WHEN 3 THEN 'ISS (ZARYA)' WHEN 4 THEN 'OBJECT ' || p_partkey WHEN 5 THEN 'GOES ' || p_partkey WHEN 6 THEN 'TBA - ' || p_partkey WHEN 7 THEN 'GSAT-' || p_partkey WHEN 8 THEN 'FENGYUN AKM' WHEN 9 THEN 'IRIDIUM ' || p_partkey WHEN 10 THEN 'FRAGMENT ' || p_partkey WHEN 11 THEN 'TITAN (DEBRIS)' WHEN 12 THEN '' END",
-    "owner": "CASE p_size % 8 WHEN 0 THEN 'US' WHEN 1 THEN 'CIS' WHEN 2 THEN 'PRC' WHEN 3 THEN 'UK' WHEN 4 THEN 'ISS' WHEN 5 THEN 'TBD' WHEN 6 THEN 'XYZ' END",
+    "owner": "CASE p_size % 15 WHEN 0 THEN 'US' WHEN 1 THEN 'CIS' WHEN 2 THEN 'PRC' WHEN 3 THEN 'UK' WHEN 4 THEN 'ISS' WHEN 5 THEN 'TBD' WHEN 6 THEN 'XYZ' WHEN 7 THEN 'GER' WHEN 8 THEN 'ORB' WHEN 9 THEN 'SKOR' WHEN 10 THEN 'ARGN' WHEN 11 THEN 'USBZ' WHEN 12 THEN 'NICO' WHEN 13 THEN '' END",
     "rcs_m2": "CASE WHEN p_size % 5 <> 0 THEN p_size / 25e0 * CASE WHEN p_partkey % 3 = 0 THEN 1e-1 ELSE 1e0 END END",
     "launch_year": "1957 + p_partkey % 70",
     "listed_type": "CASE p_partkey % 5 WHEN 0 THEN 'PAYLOAD' WHEN 1 THEN 'ROCKET BODY' WHEN 2 THEN 'DEB' WHEN 3 THEN 'TBA' END",
