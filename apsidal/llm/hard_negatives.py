@@ -215,7 +215,7 @@ def mine_negatives(
     non-finite component take no part, as anchors or as candidates. Null ids sort last among equal scores.
     A repeated row is a row of its own: an anchor's copy is one of its other rows, and each copy of an
     anchor has its own result. Vectors of different lengths are compared in the components they share.
-    Scores beyond 64 bits are compared exactly and saturate in the result. Positives with the same score
+    Scores beyond 64 bits saturate, and a saturated positive has the window of its saturated score. Positives with the same score
     have the same negatives. No anchors, or an empty table, give an empty result.
     """
     spark = vectors.sparkSession

@@ -211,24 +211,29 @@ def _mask(conditions: list[Column]) -> Column:
     return out
 
 
-def pattern_graph(scanned: DataFrame, min_support: int = MIN_SUPPORT) -> tuple[DataFrame, DataFrame]:
-    """Edges (pat, inst, times, n: different instances of the pattern) and instances (inst, total, fits, seed)."""
+def pattern_graph(scanned: DataFrame, min_support: int = MIN_SUPPORT) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Edges (pat, inst, n: different instances of the pattern), contexts (pat, inst, place, times) and instances (inst, total, fits, seed).
+
+    A place stands for all occurrences of an instance in the same patterns. Patterns with too few instances
+    can never be trusted and are left out.
+    """
     seen = scanned.select(F.inline("seen"))
-    # once per occurrence and pattern; an occurrence in no pattern counts in the total only
-    pairs = seen.select("inst", F.explode("pats").alias("pat")).groupBy("pat", "inst").agg(F.count(F.lit(1)).alias("times"))
-    pairs = checkpoint(pairs)
-    # a pattern with too few instances can never be trusted
+    places = seen.groupBy("inst", "pats").agg(F.count(F.lit(1)).alias("times"), F.bit_or("fits").alias("fits"), F.bit_or("seed").alias("seed"))
+    places = checkpoint(places.withColumn("place", F.xxhash64("inst", "pats")))
+    contexts = places.select("inst", "place", "times", F.explode("pats").alias("pat"))
+    pairs = contexts.select("pat", "inst").distinct()
     counts = pairs.groupBy("pat").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_support)
-    edges = checkpoint(looked_up(pairs, counts, "pat"))
-    instances = seen.groupBy("inst").agg(F.sum(F.size("pats")).alias("total"), F.bit_or("fits").alias("fits"), F.bit_or("seed").alias("seed"))
+    edges = checkpoint(looked_up(pairs, checkpoint(counts), "pat"))
+    contexts = checkpoint(looked_up(contexts, edges.select("pat").distinct(), "pat"))
+    instances = places.groupBy("inst").agg(F.sum("times").alias("total"), F.bit_or("fits").alias("fits"), F.bit_or("seed").alias("seed"))
     # of what is not known yet, only instances in such patterns can become known
     linked = edges.select("inst").distinct().withColumn("linked", F.lit(True))
     instances = instances.join(linked, "inst", "left").where((F.col("seed") > 0) | F.col("linked")).drop("linked")
-    return edges, checkpoint(instances)
+    return edges, contexts, checkpoint(instances)
 
 
 def trusted_patterns(edges: DataFrame, known: DataFrame, min_support: int, min_score: float) -> DataFrame:
-    """pat, kinds (bits): patterns with enough known instances of a kind, and few known to be none or unknown."""
+    """pat, trusted (bits of kinds): patterns with enough known instances of a kind, and few known to be none or unknown."""
     met = looked_up(edges, known, "inst")
     sums = met.groupBy("pat", "n").agg(
         *[F.sum(_bit("kinds", k).cast("int")).alias(f"yes{k}") for k in range(len(KINDS))],
@@ -241,7 +246,7 @@ def trusted_patterns(edges: DataFrame, known: DataFrame, min_support: int, min_s
     return sums.select("pat", _mask(good).alias("trusted")).where("trusted > 0")
 
 
-def known_instances(edges: DataFrame, instances: DataFrame, min_support: int = MIN_SUPPORT, min_score: float = MIN_SCORE, min_share: float = MIN_SHARE) -> DataFrame:
+def known_instances(edges: DataFrame, contexts: DataFrame, instances: DataFrame, min_support: int = MIN_SUPPORT, min_score: float = MIN_SCORE, min_share: float = MIN_SHARE) -> DataFrame:
     """inst, kinds (bits): seeds and what trusted patterns add to them, round after round until nothing is new."""
     known = checkpoint(instances.where("seed > 0").select("inst", F.col("seed").alias("kinds")))
     if edges.isEmpty():
@@ -250,7 +255,8 @@ def known_instances(edges: DataFrame, instances: DataFrame, min_support: int = M
     before, now = -1, total(known)
     while now > before:
         patterns = checkpoint(trusted_patterns(edges, known, min_support, min_score))
-        inside = looked_up(edges, patterns, "pat").groupBy("inst").agg(*[F.sum(F.when(_bit("trusted", k), F.col("times")).otherwise(0)).alias(f"in{k}") for k in range(len(KINDS))])
+        inside = looked_up(contexts, patterns, "pat").groupBy("inst", "place").agg(F.first("times").alias("times"), F.bit_or("trusted").alias("trusted"))
+        inside = inside.groupBy("inst").agg(*[F.sum(F.when(_bit("trusted", k), F.col("times")).otherwise(0)).alias(f"in{k}") for k in range(len(KINDS))])
         fresh = instances.join(inside, "inst").select("inst", _mask([_bit("fits", k) & (F.col(f"in{k}") > 0) & (F.col(f"in{k}") >= min_share * F.col("total")) for k in range(len(KINDS))]).alias("kinds"))
         known = checkpoint(known.unionByName(fresh.where("kinds > 0")).groupBy("inst").agg(F.bit_or("kinds").alias("kinds")))
         before, now = now, total(known)
@@ -266,8 +272,8 @@ def find_personal_data(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     need no care, texts of any length are read whole, and an empty table gives an empty result.
     """
     scanned = scan_table(docs, id_col, text_col)
-    edges, instances = pattern_graph(scanned, min_support)
-    known = known_instances(edges, instances, min_support, min_score, min_share)
+    edges, contexts, instances = pattern_graph(scanned, min_support)
+    known = known_instances(edges, contexts, instances, min_support, min_score, min_share)
     new = checkpoint(known.join(instances.where("seed = 0").select("inst"), "inst", "left_semi"))
     hits = looked_up(scanned.select("row", F.inline("seen")).where("seed = 0").select("row", "start", "end", "inst"), new, "inst")
     kind = F.coalesce(*[F.when(_bit("kinds", k), len(KINDS) + k) for k in range(len(KINDS))])

@@ -16,8 +16,7 @@ from __future__ import annotations
 import hashlib
 import os
 import re
-from collections.abc import Iterator
-from itertools import chain
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 from .bpe import _kept
 from .common import stored
 
-#: Code points that are encoded together, and in one piece.
+#: Code points that are encoded together.
 SLAB_CHARS = 1 << 16
 #: Tokens whose links are made together.
 SLAB_TOKENS = 1 << 16
@@ -36,8 +35,10 @@ TASK_PAIRS = 1 << 19
 #: Most frequent pairs that are broadcast, two longs each.
 BROADCAST_PAIRS = 1 << 20
 SALTS = 16
-#: A space between two letters starts a token in both tokenizers, whatever is around.
-SEAM = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: A single space between two other characters starts a token in both tokenizers, whatever is around.
+SEAM = re.compile(r"(?<=\S) (?=\S)")
+#: Pieces whose ids a task remembers, and their longest length; all are forgotten when full.
+KNOWN_PIECES, PIECE_CHARS = 1 << 18, 48
 #: An id pair as one long.
 SHIFT = 32
 
@@ -63,38 +64,84 @@ class Pair:
         self.bytes_a, self.bytes_b = vocabulary_a(self.a), vocabulary_b(self.b)
         names = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.seams = not any("▁" in n.lstrip("▁") for n in names)
+        self.known: dict[str, tuple[bytes, bytes, bool]] = {}
         self.width_a, self.width_b = (np.array([len(t) for t in v], np.int64) for v in (self.bytes_a, self.bytes_b))
         self.kind_a, self.kind_b = ("<u2" if len(v) <= 1 << 16 else "<u4" for v in (self.bytes_a, self.bytes_b))
         self.names = marked_names(len(self.bytes_a), len(self.bytes_b))
 
     def pieces(self, text: str) -> list[str]:
         """The text in parts that are encoded on their own; all but the first lack the space before them."""
-        out, begin = [], 0
-        while self.seams and len(text) - begin > SLAB_CHARS and (m := SEAM.search(text, begin + SLAB_CHARS)):
-            out.append(text[begin : m.start()])
-            begin = m.end()
-        return [*out, text[begin:]]
+        return SEAM.split(text) if self.seams else [text]
+
+    def learn(self, pieces: list[str]) -> dict[str, tuple[bytes, bytes, bool]]:
+        """Ids of space + piece by both (as 32-bit numbers), and whether both give its bytes back.
+
+        Pieces without white space at their edges are encoded side by side, one space apart, as the
+        tokenizers cut them there; where such a row does not come back byte by byte, and for all other
+        pieces, each is encoded alone.
+        """
+        out: dict[str, tuple[bytes, bytes, bool]] = {}
+        alone = [p for p in pieces if not self.seams or not p or p != p.strip()]
+        rows: list[list[str]] = [[]]
+        held = 0
+        for p in pieces:
+            if self.seams and p and p == p.strip():
+                rows[-1].append(p)
+                held += len(p) + 1
+                if held >= SLAB_CHARS:
+                    rows.append([])
+                    held = 0
+        for row in rows:
+            parts = self.split(row)
+            if parts is None:
+                alone += row
+            else:
+                out.update(zip(row, parts, strict=True))
+        for p in alone:
+            ids = self.both(p)
+            out[p] = (*(np.array(x, np.int32).tobytes() for x in ids), all(self.joined(k, x) == (" " + p).encode() for k, x in enumerate(ids)))
+        return out
 
-    def encode(self, texts: list[str]) -> list[tuple[list[int], list[int]]]:
+    def both(self, text: str) -> tuple[list[int], list[int]]:
+        return self.a.encode_batch_fast([" " + text], add_special_tokens=False)[0].ids, self.b.encode(text, num_threads=1)
+
+    def split(self, row: list[str]) -> list[tuple[bytes, bytes, bool]] | None:
+        """Ids of each piece out of those of all together; None where these do not give the bytes back."""
+        if not row:
+            return []
+        text, sides = " ".join(row), []
+        ends = np.cumsum([len(p.encode()) + 1 for p in row])
+        for k, ids in enumerate(self.both(text)):
+            if self.joined(k, ids) != (" " + text).encode():
+                return None
+            own = np.array(ids, np.int32)
+            upto = np.cumsum((self.width_a, self.width_b)[k][own])
+            cut = np.searchsorted(upto, ends)
+            if (upto[cut] != ends).any():
+                return None
+            cut = np.concatenate(([0], cut + 1)) * 4
+            raw = own.tobytes()
+            sides.append([raw[i:j] for i, j in zip(cut, cut[1:], strict=False)])
+        return [(x, y, True) for x, y in zip(*sides, strict=True)]
+
+    def joined(self, side: int, ids: Iterable[int]) -> bytes:
+        return b"".join(map((self.bytes_a, self.bytes_b)[side].__getitem__, ids))
+
+    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Ids of space + text by both; nothing where either does not give these bytes back."""
-        parts = [self.pieces(t) for t in texts]
-        flat = [p for ps in parts for p in ps]
-        both: list[list[list[int]]] = [[], []]
-        held = begin = 0
-        for at, p in enumerate(flat):
-            held += len(p)
-            if held >= SLAB_CHARS or at + 1 == len(flat):
-                own = flat[begin : at + 1]
-                both[0] += [e.ids for e in self.a.encode_batch_fast([" " + x for x in own], add_special_tokens=False)]
-                both[1] += self.b.encode(own, num_threads=1)
-                held, begin = 0, at + 1
-        out, at = [], 0
+        parts = [self.pieces(t) if t else [] for t in texts]
+        known = self.known
+        if len(known) > KNOWN_PIECES:
+            known.clear()
+        short = self.learn(list({p for ps in parts for p in ps if p not in known}))
+        known.update((p, done) for p, done in short.items() if len(p) <= PIECE_CHARS)
+        out: list[tuple[np.ndarray, np.ndarray]] = []
+        none = np.zeros(0, np.int32)
         for text, ps in zip(texts, parts, strict=True):
-            ids = [[i for x in side[at : at + len(ps)] for i in x] if len(ps) > 1 else side[at] for side in both]
-            at += len(ps)
-            raw = (" " + text).encode()
-            whole = bool(text) and all(b"".join(map(table.__getitem__, own)) == raw for table, own in zip((self.bytes_a, self.bytes_b), ids, strict=True))
-            out.append((ids[0], ids[1]) if whole else ([], []))
+            found = [known.get(p) or short[p] for p in ps]
+            a, b = (np.frombuffer(b"".join([f[side] for f in found]), np.int32) for side in (0, 1))
+            whole = bool(ps) and (all([f[2] for f in found]) or self.joined(0, a.tolist()) == self.joined(1, b.tolist()) == (" " + text).encode())
+            out.append((a, b) if whole else (none, none))
         return out
 
 
@@ -164,10 +211,10 @@ class Slab:
         return self.a[a] << SHIFT | self.b[b], upto[self.from_a]
 
 
-def _joined(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+def _joined(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Values of lists as one array, and where each list begins and ends in it."""
     bounds = np.concatenate(([0], np.cumsum([len(x) for x in lists]))).astype(np.int64)
-    return np.fromiter(chain.from_iterable(lists), np.int64, int(bounds[-1])), bounds
+    return np.concatenate(lists).astype(np.int64), bounds
 
 
 def _packed(values: np.ndarray, bounds: np.ndarray, kind: str) -> pa.Array:
