@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.burns import BURN_MS, DIRECTIONS
 from ..sources.derived import grid_by_step
-from .screening import _settled
+from .graph import checkpoint
+from .screening import _settled, dealt_by_part
 
 ALL_CELLS = [(i, j, m) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)]
 
@@ -70,11 +71,26 @@ def fragment_hits(fragments: DataFrame, objs: DataFrame, steps: int, step_s: flo
     (fragment, sat) whether the object is a parent. Both sides are dealt by step; objects enter the 27 cells
     around theirs, fragments, which are more, only their own; the join moves nothing. The best of a pair is
     an aggregate that combines before its shuffle; equal misses (to the millimetre) go to the earlier step.
+    The result is computed here and checkpointed.
     """
+    with dealt_by_part(objs.sparkSession):
+        return checkpoint(_fragment_hits(fragments, objs, steps, step_s, F.lit(threshold_km), threshold_km, active, own, speed_kms))
+
+
+def corridor_hits(movers: DataFrame, objs: DataFrame, steps: int, step_s: float, gate: Column, widest_km: float, own: Column, speed_kms: float = 16.0) -> DataFrame:
+    """The same of many movers (burned or not), each with a gate of its own against one shared catalogue grid.
+
+    ``gate`` (km) is a column of the pair (fragment, sat, k), at most ``widest_km``, which sets the cells.
+    The catalogue is laid out once, however many movers there are.
+    """
+    with dealt_by_part(objs.sparkSession):
+        return checkpoint(_fragment_hits(movers, objs, steps, step_s, F.least(gate, F.lit(widest_km)), widest_km, F.lit(True), own, speed_kms))
+
+
+def _fragment_hits(fragments: DataFrame, objs: DataFrame, steps: int, step_s: float, gate: Column, widest_km: float, active: Column, own: Column, speed_kms: float) -> DataFrame:
     half = step_s / 2
-    radius = threshold_km + speed_kms * half
+    radius = widest_km + speed_kms * half
     spark = objs.sparkSession
-    spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     state = ["x", "y", "z", "vx", "vy", "vz"]
     at = [F.floor(F.col(c) / radius) + 1024 for c in "xyz"]
     cell = ((at[0] * 2048 + at[1]) * 2048 + at[2]).alias("cell")
@@ -88,6 +104,6 @@ def fragment_hits(fragments: DataFrame, objs: DataFrame, steps: int, step_s: flo
     both = _settled(both.select("fragment", "sat", "k", dot(d, d).alias("dd"), dot(d, v).alias("dv"), dot(v, v).alias("vv")).where(F.col("dd") <= radius * radius))
     t = F.greatest(F.lit(-half), F.least(F.lit(half), -F.col("dv") / F.greatest(F.col("vv"), F.lit(1e-12))))
     miss = F.sqrt(F.greatest(F.lit(0.0), F.col("dd") + 2 * t * F.col("dv") + t * t * F.col("vv")))
-    hits = _settled(both.select("fragment", "sat", "k", miss.alias("miss_km"), (F.col("k") * step_s + t).alias("t_s"))).where(F.col("miss_km") < threshold_km)
+    hits = _settled(both.select("fragment", "sat", "k", miss.alias("miss_km"), (F.col("k") * step_s + t).alias("t_s"))).where(F.col("miss_km") < gate)
     best = F.min_by(F.struct("k", "miss_km", "t_s"), F.struct(F.floor(F.col("miss_km") * 1e6 + 0.5), F.col("k")))
     return hits.groupBy("fragment", "sat").agg(best.alias("b"), F.count(F.lit(1)).alias("hits")).select("fragment", "sat", "b.*", "hits")

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.encounters import MU_KM3_S2
@@ -30,16 +33,34 @@ def overlapping(spans: DataFrame, width: float) -> DataFrame:
     return out.where(meets).select(*spans.columns)
 
 
+@contextmanager
+def dealt_by_part(spark: SparkSession) -> Iterator[None]:
+    """While a job runs, a join may use sides that are dealt by some of its keys; then the session is as it was."""
+    name = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def candidates(objs: DataFrame, steps: int, step_s: float, threshold_km: float, speed_kms: float = 7.9) -> DataFrame:
     """id1 < id2, k, tstar, d_est of pairs whose straight-line approach within half a step may be below the threshold.
 
     Space is cut in cells as wide as the search radius (threshold, margin and the way of two objects in
     half a step). A point enters its own cell and half of the cells around it, so each pair meets once.
     Both sides of the join are dealt by step already; the join adds the cell as a key and moves nothing.
+    A task holds about a million states at most, so its hash table stays bounded. The result, which is
+    small, is computed here and checkpointed.
     """
+    with dealt_by_part(objs.sparkSession):
+        return checkpoint(_candidates(objs, steps, step_s, threshold_km, speed_kms))
+
+
+def _candidates(objs: DataFrame, steps: int, step_s: float, threshold_km: float, speed_kms: float) -> DataFrame:
     half = step_s / 2
     radius = threshold_km + MARGIN_KM + 2 * speed_kms * half
-    objs.sparkSession.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
     g = _settled(grid_by_step(objs, steps, step_s))
     state = ["x", "y", "z", "vx", "vy", "vz"]
     at = [F.floor(F.col(c) / radius) + 1024 for c in "xyz"]

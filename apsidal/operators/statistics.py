@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.encounters import floored
 from .encounters import numbered
+from .graph import checkpoint
 
 
 def average_ranks(values: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -33,21 +34,33 @@ def pair_correlations(df: DataFrame, names: list[str]) -> DataFrame:
     return out.select("a", "b", "n", F.when(ok, floored(F.col("p"), 4)).alias("pearson"), F.when(ok, floored(F.col("s"), 4)).alias("spearman"))
 
 
-def histogram_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], bins: int = 1024) -> DataFrame:
-    """keys, n and q0, q1, ... of the linearly interpolated quantiles, exact, without a buffer of a group's rows.
+def histogram_quantiles(df: DataFrame, keys: list[str], value: str, shares: list[float], bins: int = 1024, most: int = 100_000) -> DataFrame:
+    """keys, n and q0, q1, ... of the linearly interpolated quantiles, exact, without a buffer of a group's rows; nulls do not count.
 
-    A first pass counts equal-width bins between each group's bounds; only rows of the few bins that hold
-    the order statistics asked for are ranked.
+    A part of a group that holds order statistics asked for and more than ``most`` rows is cut into
+    equal-width bins between its bounds, and only the bins that hold some go on, round after round; so
+    neither a large group nor an outlier leaves many rows to one task. A part of equal values is not ranked.
     """
-    bounds = df.groupBy(*keys).agg(F.min(value).alias("__lo"), F.max(value).alias("__hi"), F.count(value).alias("n"))
-    put = F.when(F.col("__hi") > F.col("__lo"), F.least(F.floor((F.col(value) - F.col("__lo")) / (F.col("__hi") - F.col("__lo")) * bins), F.lit(bins - 1))).otherwise(0).alias("__bin")
-    rows = df.join(bounds, keys).select(*keys, value, "n", put)
-    counts = rows.groupBy(*keys, "__bin").agg(F.count(value).alias("c"), F.first("n").alias("n"))
-    upto = counts.withColumn("before", F.sum("c").over(Window.partitionBy(*keys).orderBy("__bin")) - F.col("c"))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
     wanted = F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("n") - 1) * s), F.ceil((F.col("n") - 1) * s)) for s in shares])))
-    hit = upto.where(F.exists(wanted, lambda r: (r >= F.col("before")) & (r < F.col("before") + F.col("c")))).select(*keys, "__bin", "before")
-    near = rows.join(hit, [*keys, "__bin"]).withColumn("__rank", F.row_number().over(Window.partitionBy(*keys, "__bin").orderBy(value)) - 1 + F.col("before"))
-    at = lambda r: F.max(F.when(F.col("__rank") == r, F.col(value)))
+    parts = checkpoint(rows.groupBy(*keys).agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.count(F.lit(1)).alias("n")).withColumns({"c": F.col("n"), "before": F.lit(0).cast("long")}))
+    open_part = (F.col("c") > most) & (F.col("lo") < F.col("hi"))
+
+    def inside(some: DataFrame) -> DataFrame:
+        """Rows with the part they lie in; the parts of a group are at most twice as many as the shares."""
+        held = some.groupBy(*keys).agg(F.collect_list(F.struct("lo", "hi", "n", "c", "before")).alias("__parts"))
+        own = F.get(F.filter("__parts", lambda p: (F.col("__v") >= p["lo"]) & (F.col("__v") <= p["hi"])), F.lit(0))
+        return rows.join(held, keys).withColumn("__p", own).where("__p is not null").select(*keys, "__v", "__p.*")
+
+    while not parts.where(open_part).isEmpty():
+        put = F.least(F.floor((F.col("__v") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins), F.lit(bins - 1)).alias("__bin")
+        counts = inside(parts.where(open_part)).groupBy(*keys, "lo", "n", "before", put).agg(F.count(F.lit(1)).alias("c"), F.min("__v").alias("low"), F.max("__v").alias("high"))
+        upto = counts.withColumn("at", F.col("before") + F.sum("c").over(Window.partitionBy(*keys, "lo").orderBy("__bin")) - F.col("c"))
+        hit = upto.where(F.exists(wanted, lambda r: (r >= F.col("at")) & (r < F.col("at") + F.col("c"))))
+        parts = checkpoint(parts.where(~open_part).unionByName(hit.select(*keys, F.col("low").alias("lo"), F.col("high").alias("hi"), "n", "c", F.col("at").alias("before"))))
+    ranked = inside(parts.where("lo < hi")).withColumn("first", F.row_number().over(Window.partitionBy(*keys, "lo").orderBy("__v")) - 1 + F.col("before"))
+    near = ranked.select(*keys, "n", "__v", "first", F.col("first").alias("last")).unionByName(parts.where("lo = hi").select(*keys, "n", F.col("lo").alias("__v"), F.col("before").alias("first"), (F.col("before") + F.col("c") - 1).alias("last")))
+    at = lambda r: F.max(F.when((F.col("first") <= r) & (r <= F.col("last")), F.col("__v")))
     place = lambda s: (F.col("n") - 1) * s
     out = near.groupBy(*keys, "n").agg(*[x for i, s in enumerate(shares) for x in (at(F.floor(place(s))).alias(f"l{i}"), at(F.ceil(place(s))).alias(f"h{i}"))])
     return out.select(*keys, "n", *[(F.col(f"l{i}") + (F.col(f"h{i}") - F.col(f"l{i}")) * (place(s) - F.floor(place(s)))).alias(f"q{i}") for i, s in enumerate(shares)])

@@ -30,24 +30,29 @@ def grid(objs: DataFrame, steps: int, step_s: float = 60.0) -> DataFrame:
     return states_at(objs.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(steps - 1)))), step_s)
 
 
-def grid_by_step(objs: DataFrame, steps: int, step_s: float = 60.0, most: int = 200_000) -> DataFrame:
-    """The same grid, dealt by step without moving any state: the steps are dealt and the catalogue, once counted, is broadcast."""
-    spark = objs.sparkSession
+def grid_by_step(objs: DataFrame, steps: int, step_s: float = 60.0, most: int = 200_000, states: int = 1_000_000) -> DataFrame:
+    """The same grid, dealt by step without moving any state: the steps are dealt and the catalogue, once counted, is broadcast.
+
+    A partition holds about ``states`` states, or one step.
+    """
+    spark, n = objs.sparkSession, objs.count()
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)  # a number, or the few bytes of the steps are coalesced
-    if objs.count() > most:
+    parts = max(parts, min(steps, n * steps // states))
+    if n > most:
         return grid(objs, steps, step_s).repartition(parts, "k")
     return states_at(spark.range(steps).select(F.col("id").cast("int").alias("k")).repartition(parts, "k").crossJoin(F.broadcast(objs)), step_s)
 
 
-def states_at(rows: DataFrame, step_s: float) -> DataFrame:
-    """States of circular orbits at step k of each row."""
+def states_at(rows: DataFrame, step_s: float, keep: list[str] | None = None) -> DataFrame:
+    """States of circular orbits at step k of each row, with the columns to keep."""
+    keep = keep or []
     g = rows.withColumn("n", F.sqrt(MU_KM3_S2 / (F.col("a_km") * F.col("a_km") * F.col("a_km"))))
     u = F.col("phase") + F.col("n") * F.col("k") * step_s
-    g = g.select("id", "k", "a_km", "n", F.cos(u).alias("cu"), F.sin(u).alias("su"), F.cos("raan").alias("co"), F.sin("raan").alias("so"), F.cos("inc").alias("ci"), F.sin("inc").alias("si"))
+    g = g.select(*keep, "id", "k", "a_km", "n", F.cos(u).alias("cu"), F.sin(u).alias("su"), F.cos("raan").alias("co"), F.sin("raan").alias("so"), F.cos("inc").alias("ci"), F.sin("inc").alias("si"))
     c = F.col
     at = lambda p, q: (c("co") * p - c("so") * c("ci") * q, c("so") * p + c("co") * c("ci") * q, c("si") * q)
     r, v = at(c("cu"), c("su")), at(-c("su"), c("cu"))
-    return g.select("id", "k", *[(c("a_km") * e).alias(n) for e, n in zip(r, "xyz", strict=True)], *[(c("a_km") * c("n") * e).alias(f"v{n}") for e, n in zip(v, "xyz", strict=True)])
+    return g.select(*keep, "id", "k", *[(c("a_km") * e).alias(n) for e, n in zip(r, "xyz", strict=True)], *[(c("a_km") * c("n") * e).alias(f"v{n}") for e, n in zip(v, "xyz", strict=True)])
 
 
 def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
