@@ -197,7 +197,7 @@ def encounter_covariances(spark, sf_dir):
 def encounter_probabilities(spark, sf_dir):
     """Probability of every such encounter by the disk integral (its pieces have SQL forms: the covariance here, the integral in disk_integral)."""
     e = encounters(spark, sf_dir).withColumns({"hbr_km": F.lit(0.02), "pc": F.lit(None).cast("double")}).withColumn("alert_id", F.col("id") * 100 + F.col("k"))
-    return kernels.with_disk_probability(e).select("alert_id", "pc_quad", "short_encounter")
+    return kernels.with_disk_probability(e).select("alert_id", "pc_quad")
 
 
 @query(f"""WITH {OBJECTS_SQL}, {GRID_SQL.format(steps=STEPS)}, c AS (SELECT id % 3 AS cloud, k, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz, count(*) AS n FROM grid GROUP BY 1, 2) SELECT cloud, k, n, {R6.format('sqrt(cx*cx + cy*cy + cz*cz)')} AS centroid_km FROM c WHERE n >= 3""")
