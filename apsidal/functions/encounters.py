@@ -91,16 +91,26 @@ def log_pc_norm(pc: Column) -> Column:
     return F.when(pc > 0, clipped((F.log10(pc) + 7) / 3, 0.0, 1.0)).otherwise(0.0)
 
 
+def decision_components(pc: Column, pc_ml: Column, downstream: Column, dv: Column, safe: Column) -> dict[str, tuple[Column, Column, Column]]:
+    """Raw value, normalised value and weight of each part of the decision score, by source."""
+    burn = F.when(dv.isNull(), 0.0).otherwise(F.exp(-F.greatest(dv, F.lit(0.0))) * F.when(safe == F.lit(False), 0.5).otherwise(1.0))
+    return {
+        "physics": (pc, log_pc_norm(pc), F.when(pc_ml.isNull(), 0.75).otherwise(0.60)),
+        "ml": (pc_ml, F.coalesce(log_pc_norm(pc_ml), F.lit(0.0)), F.when(pc_ml.isNull(), 0.0).otherwise(0.15)),
+        "cascade": (downstream, 1 - F.exp(-downstream / 5), F.lit(0.15)),
+        "manoeuvre": (dv, burn, F.lit(0.10)),
+    }
+
+
 def decision(pc: Column, pc_ml: Column, downstream: Column, dv: Column, safe: Column, spread: Column, short_ok: Column) -> dict[str, Column]:
     """score, action, escalated, confidence, rationale of an alert.
 
     Weights are .60 physics, .15 surrogate, .15 cascade, .10 manoeuvre; without a surrogate its weight
     goes to physics. PREPARE becomes MANOEUVRE where surrogate and cascade agree.
     """
-    cascade = 1 - F.exp(-downstream / 5)
-    manoeuvre = F.when(dv.isNull(), 0.0).otherwise(F.exp(-F.greatest(dv, F.lit(0.0))) * F.when(safe == F.lit(False), 0.5).otherwise(1.0))
-    ml = F.coalesce(log_pc_norm(pc_ml), F.lit(0.0))
-    score = floored(100 * (log_pc_norm(pc) * F.when(pc_ml.isNull(), 0.75).otherwise(0.60) + F.when(pc_ml.isNull(), 0.0).otherwise(ml * 0.15) + cascade * 0.15 + manoeuvre * 0.10), 2)
+    parts = decision_components(pc, pc_ml, downstream, dv, safe)
+    cascade = parts["cascade"][1]
+    score = floored(100 * sum((x * w for _, x, w in list(parts.values())[1:]), parts["physics"][1] * parts["physics"][2]), 2)
     tier = action_tier(pc)
     escalated = F.coalesce((tier == "PREPARE") & (pc_ml >= 1e-4) & (cascade >= 0.5), F.lit(False))
     action = F.when(escalated, "MANOEUVRE").otherwise(tier)

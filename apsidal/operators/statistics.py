@@ -12,25 +12,45 @@ from .encounters import numbered
 from .graph import checkpoint
 
 
-def average_ranks(values: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """keys, value, rank of every distinct value: ties share the mean of their ranks.
+def average_ranks(values: DataFrame, keys: list[str], value: str, times: str | None = None) -> DataFrame:
+    """keys, value, rank of every distinct value: ties share the mean of their ranks. A row may stand for ``times`` rows.
 
-    Counts are aggregated by value first, so the window runs over distinct values only.
+    Counts are aggregated by value first, then put in order by one distributed sort over all keys; running
+    sums are taken inside the parts of that sort and carried over them by their totals, one row a part and
+    key. So a key with most of the rows is spread over tasks like any other.
     """
-    counts = values.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    return counts.select(*keys, value, (F.sum("n").over(w) - (F.col("n") - 1) / 2).alias("rank"))
+    counts = values.groupBy(*keys, value).agg((F.sum(times) if times else F.count(F.lit(1))).alias("n"))
+    rows = checkpoint(counts.orderBy(*keys, value).withColumn("__part", F.spark_partition_id()))
+    own = Window.partitionBy("__part", *keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    totals = rows.groupBy(*keys, "__part").agg(F.sum("n").alias("__sum"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.select(*keys, "__part", F.coalesce(F.sum("__sum").over(before), F.lit(0)).alias("__before"))
+    met = rows.withColumn("__upto", F.sum("n").over(own)).join(offsets, [*keys, "__part"])
+    return met.select(*keys, value, (F.col("__before") + F.col("__upto") - (F.col("n") - 1) / 2).alias("rank"))
 
 
-def pair_correlations(df: DataFrame, names: list[str]) -> DataFrame:
-    """a, b, n, pearson, spearman of every pair of columns, over the rows where both are present."""
+def pair_correlations(df: DataFrame, names: list[str], most: int = 200_000) -> DataFrame:
+    """a, b, n, pearson, spearman of every pair of columns, over the rows where both are present.
+
+    Rows are first counted by pair of columns and pair of values, so that values which many rows share meet
+    their ranks once. Rank tables of up to ``most`` rows are broadcast, which no popular value can skew.
+    """
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y")) for a, b in combinations(names, 2)])
     rows = df.select(F.explode(pairs).alias("p")).select("p.*").where("x is not null and y is not null")
-    rx = average_ranks(rows, ["a", "b"], "x").withColumnRenamed("rank", "rx")
-    ry = average_ranks(rows, ["a", "b"], "y").withColumnRenamed("rank", "ry")
-    met = rows.join(rx, ["a", "b", "x"]).join(ry, ["a", "b", "y"])
+    rows = checkpoint(rows.groupBy("a", "b", "x", "y").agg(F.count(F.lit(1)).alias("times")))
+
+    def ranked(side: str) -> DataFrame:
+        table = checkpoint(average_ranks(rows, ["a", "b"], side, "times").withColumnRenamed("rank", f"r{side}"))
+        return F.broadcast(table) if table.count() <= most else table
+
+    met = rows.join(ranked("x"), ["a", "b", "x"]).join(ranked("y"), ["a", "b", "y"])
+    names4 = ("x", "y", "rx", "ry")
+    means = met.groupBy("a", "b").agg(F.sum("times").alias("n"), *[(F.sum(F.col("times") * F.col(c)) / F.sum("times")).alias(f"m_{c}") for c in names4])
+    off = {c: F.col(c) - F.col(f"m_{c}") for c in names4}
+    product = lambda u, v: F.sum(F.col("times") * off[u] * off[v])
+    corr = lambda u, v: product(u, v) / F.sqrt(product(u, u) * product(v, v))
+    out = met.join(F.broadcast(means), ["a", "b"]).groupBy("a", "b", "n").agg(corr("x", "y").alias("p"), corr("rx", "ry").alias("s"))  # one row a pair of columns
     ok = F.col("n") >= 3
-    out = met.groupBy("a", "b").agg(F.count(F.lit(1)).alias("n"), F.corr("x", "y").alias("p"), F.corr("rx", "ry").alias("s"))
     return out.select("a", "b", "n", F.when(ok, floored(F.col("p"), 4)).alias("pearson"), F.when(ok, floored(F.col("s"), 4)).alias("spearman"))
 
 

@@ -130,6 +130,35 @@ def node_summary(spark, sf_dir):
     return e.groupBy("node").agg(F.count(F.lit(1)).alias("degree"), F.max(rank).alias("severity_rank"), E.floored(F.max(E.cpi_of_pc(F.col("pc")))).alias("max_cpi"))
 
 
+@query(f"""WITH RECURSIVE {SEARCH_SQL}, kinds AS (SELECT a AS node FROM edges UNION SELECT b FROM edges), deg AS (SELECT a AS node, count(*) AS neighbours FROM both_ways GROUP BY a)
+SELECT k.node, CASE WHEN k.node < 0 THEN 'event' WHEN k.node >= 1000000000 THEN 'fragment' ELSE 'object' END AS kind, d.neighbours, w.hops AS depth, w.root AS nearest_event FROM kinds k JOIN deg d ON d.node = k.node LEFT JOIN walk w ON w.node = k.node""")
+def graph_nodes(spark, sf_dir):
+    """Every node of the graph once: what it is, how many neighbours it has, how far from an event it lies and from which."""
+    e = edges(spark, sf_dir)
+    both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    n = both.groupBy(F.col("a").alias("node")).agg(F.count(F.lit(1)).alias("neighbours"))
+    kind = F.when(F.col("node") < 0, "event").when(F.col("node") >= 1000000000, "fragment").otherwise("object")
+    return n.join(searched(spark, sf_dir), "node", "left").select("node", kind.alias("kind"), "neighbours", F.col("hops").alias("depth"), F.col("root").alias("nearest_event"))
+
+
+#: Surrogate probability, burn and its safety of the alerts, for the decision's components.
+ADVICE = {"pc_ml": "CASE WHEN alert_id % 6 <> 0 THEN pc * (1 + alert_id % 5) END", "dv": "CASE WHEN alert_id % 4 <> 0 THEN (alert_id % 30) / 10e0 END", "safe": "alert_id % 3 <> 0"}
+_NORM = "CASE WHEN {0} > 0 THEN greatest(0, least(1, (log10({0}) + 7) / 3)) ELSE 0 END"
+
+
+@query(f"""WITH RECURSIVE {DOWNSTREAM_SQL}, n AS (SELECT alert_id, count(*) AS n FROM lists GROUP BY 1), a AS (SELECT DISTINCT l.alert_id, l.pc, {', '.join(f'{e} AS {k}' for k, e in ADVICE.items())}, coalesce(n.n, 0) AS d FROM links l LEFT JOIN n USING (alert_id)),
+c AS (SELECT alert_id, 'physics' AS source, pc AS raw, {_NORM.format('pc')} AS x, CASE WHEN pc_ml IS NULL THEN 0.75e0 ELSE 0.6e0 END AS w FROM a UNION ALL SELECT alert_id, 'ml', pc_ml, coalesce({_NORM.format('pc_ml')}, 0), CASE WHEN pc_ml IS NULL THEN 0e0 ELSE 0.15e0 END FROM a
+ UNION ALL SELECT alert_id, 'cascade', d, 1 - exp(-d / 5e0), 0.15e0 FROM a UNION ALL SELECT alert_id, 'manoeuvre', dv, CASE WHEN dv IS NULL THEN 0 ELSE exp(-dv) * CASE WHEN safe THEN 1 ELSE 0.5 END END, 0.1e0 FROM a)
+SELECT alert_id, source, {R9.format('raw')} AS raw, floor(x * 1e4 + 0.5) / 1e4 AS normalized, w AS weight, floor(100 * w * x * 1e3 + 0.5) / 1e3 AS points FROM c""")
+def decision_components(spark, sf_dir):
+    """The four parts of every alert's decision score, one row each, with the cascade out of the graph search."""
+    n = downstream(spark, sf_dir, G.checkpoint(searched(spark, sf_dir)), edges(spark, sf_dir)).groupBy("alert_id").agg(F.count(F.lit(1)).alias("n"))
+    a = links(spark, sf_dir).selectExpr("alert_id", "pc", *[f"{e} AS {k}" for k, e in ADVICE.items()]).distinct().join(n, "alert_id", "left").withColumn("d", F.coalesce("n", F.lit(0)).cast("double"))
+    parts = E.decision_components(F.col("pc"), F.col("pc_ml"), F.col("d"), F.col("dv"), F.col("safe"))
+    rows = a.select("alert_id", F.explode(F.array(*[F.struct(F.lit(k).alias("source"), raw.cast("double").alias("raw"), x.alias("x"), w.alias("w")) for k, (raw, x, w) in parts.items()])).alias("c")).select("alert_id", "c.*")
+    return rows.select("alert_id", "source", E.floored(F.col("raw"), 9).alias("raw"), E.floored(F.col("x"), 4).alias("normalized"), F.col("w").alias("weight"), E.floored(100 * F.col("w") * F.col("x"), 3).alias("points"))
+
+
 @query(f"""WITH {EVENTS_SQL} SELECT event, sat1 AS sat, count(*) AS n, {R9.format('max(pc)')} AS max_pc, min(miss_km) AS min_miss_km, min(tca_h) FILTER (first) AS tca_of_min_h, max(CASE WHEN pc >= 1e-4 OR miss_km < 1 THEN 3 WHEN pc >= 1e-6 OR miss_km < 5 THEN 2 ELSE 1 END) AS worst FROM (SELECT *, miss_km = min(miss_km) OVER (PARTITION BY event, sat1) AS first FROM links WHERE event IS NOT NULL) GROUP BY 1, 2""")
 def event_links(spark, sf_dir):
     """One edge per event and satellite: number, largest probability, nearest approach with its first time, worst severity."""

@@ -16,19 +16,23 @@ from .catalog import ORACLES, R6, R9, SEVERITY_SQL, query
 from .objects import AGENCY_SQL, attributed, craft_models
 
 TARGET = 1e-6
-#: Kilometres that a burn of a metre a second moves the approach in a thousand seconds, by direction.
-GAIN = (3.0, -3.0, 0.8, -0.8, 0.2, -0.2)
+#: Kilometres that a burn of a metre a second moves the approach in a thousand seconds, by direction: along the miss, along the relative velocity.
+GAIN = ((3.0, 0.6), (-3.0, -0.6), (0.8, -1.5), (-0.8, 1.5), (0.2, 0.1), (-0.2, -0.1))
 #: Columns of a mover and of a candidate, in SQL that both engines read.
 MOVER = {"owner_known": "mover % 5 <> 0", "lead_s": "(tca_h + 1) * 3600"}
-MOVED = "abs(miss_km + gain * dv * lead_s / 1e3) + abs(gain * dv * lead_s) / 1e4"
-EDGE = "(alert_id + dir) % 23 = 0"
+#: Relative motion after a burn, in the plane of miss and relative velocity: where it stands at the old time, how fast it goes on.
+AFTER = {"pb": "miss_km + gb * dv * lead_s / 1e3", "pv": "gv * dv * lead_s / 1e3", "wb": "gb * dv / 1e3", "wv": "v_rel + gv * dv / 1e3"}
+#: The new time of approach (s from the old one), the miss then, and whether it lies at the edge of the window.
+MOVED = {"tau": "-(pb * wb + pv * wv) / (wb * wb + wv * wv)", "miss_km": "abs(pb * wv - pv * wb) / sqrt(wb * wb + wv * wv)"}
+EDGE = "abs(tau) >= 1800e0"
 CHECKED = {"secondary_pc": "CASE WHEN alert_id % 5 <> 0 THEN ((alert_id + 7 * dir + mag) % 100) * 1e-8 + CASE WHEN alert_id % 7 = 1 THEN 1e-6 ELSE 0e0 END END", "new_risk": "(alert_id + dir) % 3 <> 0"}
 SAFE = "NOT (new_risk AND secondary_pc >= 5e-7)"
 JOBS_SQL = f"jobs AS (SELECT *, {MOVER['owner_known']} AS owner_known, {MOVER['lead_s']} AS lead_s FROM (SELECT alert_id, sat1 AS mover, * FROM alerts WHERE pc >= {TARGET} UNION ALL SELECT alert_id, sat2, * FROM alerts WHERE pc >= {TARGET}) WHERE mover % 7 <> 3)"
-DIRS = ", ".join(f"({i}, {g:e})" for i, g in enumerate(GAIN))
+DIRS = ", ".join(f"({i}, {g:e}, {h:e})" for i, (g, h) in enumerate(GAIN))
 MAGS = ", ".join(f"({i}, {m:e})" for i, m in enumerate(B.BURN_MS))
-OPTIONS_SQL = f"""dirs(dir, gain) AS (VALUES {DIRS}), mags(mag, dv) AS (VALUES {MAGS}),
-moved AS (SELECT alert_id, mover, owner_known, dir, mag, dv, {MOVED} AS miss_km, sigma_km, hbr_km FROM jobs, dirs, mags WHERE NOT {EDGE}),
+OPTIONS_SQL = f"""dirs(dir, gb, gv) AS (VALUES {DIRS}), mags(mag, dv) AS (VALUES {MAGS}),
+after AS (SELECT *, {', '.join(f'{e} AS {n}' for n, e in AFTER.items())} FROM jobs, dirs, mags), met AS (SELECT * EXCLUDE (miss_km), {', '.join(f'{e} AS {n}' for n, e in MOVED.items())} FROM after),
+moved AS (SELECT * FROM met WHERE NOT {EDGE}),
 options AS (SELECT alert_id, mover, owner_known, dir, mag, dv, {R6.format('miss_km')} AS miss, {R9.format(_pc_sql())} AS pc9 FROM moved),
 pools AS (SELECT *, pc9 < {TARGET} AS reach, CASE WHEN pc9 >= {TARGET} THEN 2 WHEN row_number() OVER (PARTITION BY alert_id, mover, dir ORDER BY pc9 < {TARGET} DESC, dv, miss DESC) = 1 THEN 0 ELSE 1 END AS pool FROM options),
 taken AS (SELECT * FROM pools QUALIFY row_number() OVER (PARTITION BY alert_id ORDER BY pool, CASE WHEN pool = 2 THEN pc9 ELSE 0 END, CASE WHEN pool = 2 THEN dv ELSE 0 END, owner_known DESC, dv, miss DESC, mover, dir) <= 4),
@@ -37,15 +41,16 @@ picked AS (SELECT *, row_number() OVER (PARTITION BY alert_id ORDER BY reach DES
 
 def jobs(spark, sf_dir):
     """Alerts at or above the target, once for each of their objects that can move."""
-    a = alerts(spark, sf_dir).where(F.col("pc") >= TARGET).select("alert_id", "sat1", "sat2", "miss_km", "tca_h", "sigma_km", "hbr_km")
+    a = alerts(spark, sf_dir).where(F.col("pc") >= TARGET).select("alert_id", "sat1", "sat2", "miss_km", "v_rel", "tca_h", "sigma_km", "hbr_km")
     m = ops.dealt(a, "alert_id").withColumn("mover", F.explode(F.array("sat1", "sat2"))).where("mover % 7 <> 3").drop("sat1", "sat2")
     return m.selectExpr("*", *[f"{e} AS {n}" for n, e in MOVER.items()])
 
 
 def options(spark, sf_dir):
-    """Candidate burns with the miss and probability after them; approaches at the window's edge go."""
-    gain = F.element_at(F.array(*[F.lit(g) for g in GAIN]), F.col("dir") + 1)
-    c = ops.burn_candidates(jobs(spark, sf_dir)).where(f"NOT {EDGE}").withColumn("gain", gain).withColumn("miss_km", F.expr(MOVED))
+    """Candidate burns with the miss and probability at the new time of approach; approaches at the window's edge go."""
+    gains = {n: F.get(F.array(*[F.lit(g[i]) for g in GAIN]), F.col("dir")) for i, n in enumerate(("gb", "gv"))}
+    c = ops.burn_candidates(jobs(spark, sf_dir)).withColumns(gains).withColumns({n: F.expr(e) for n, e in AFTER.items()})
+    c = c.withColumns({n: F.expr(e) for n, e in MOVED.items()}).where(f"NOT {EDGE}")
     pc = isotropic_pc(F.col("miss_km"), F.col("sigma_km"), F.col("hbr_km"))
     return c.select("alert_id", "mover", "owner_known", "dir", "mag", "dv", E.floored(F.col("miss_km")).alias("miss"), E.floored(pc, 9).alias("pc9"))
 

@@ -118,13 +118,13 @@ def normalised_alerts(spark, sf_dir):
     return t.select("alert_id", E.floored(h, 4).alias("tca_hours"), (F.floor(h * 6000 + 0.5) / 100).alias("tca_minutes"), F.coalesce("level", F.lit("WATCH")).alias("severity"), F.coalesce("zone", F.lit(100.0)).alias("zone_radius_km"), F.coalesce("tag", F.lit("screening")).alias("source"))
 
 
-@query(f"""WITH {ALERTS_SQL}, t AS (SELECT alert_id, CASE WHEN alert_id % 13 <> 0 THEN miss_km END AS km, CASE WHEN alert_id % 17 = 0 THEN NULL WHEN pc < 1e-30 THEN 0 ELSE floor(pc * 1e9) / 1e9 END AS pc, CASE WHEN alert_id % 19 <> 0 THEN tca_h * 7 - 100 END AS m FROM alerts)
-SELECT alert_id, CASE WHEN km IS NULL THEN 'n/a' WHEN km < 1 THEN CAST(floor(km * 1000 + 0.5) AS BIGINT) || ' m' WHEN km < 10 THEN printf('%.2f', floor(km * 100 + 0.5) / 100) || ' km' ELSE printf('%.1f', floor(km * 10 + 0.5) / 10) || ' km' END AS distance, CASE WHEN pc IS NULL THEN 'n/a' WHEN pc = 0 THEN '0' ELSE 'p' END AS probability,
+@query(f"""WITH {ALERTS_SQL}, t AS (SELECT alert_id, CASE WHEN alert_id % 13 <> 0 THEN miss_km END AS km, CASE WHEN alert_id % 17 = 0 THEN NULL WHEN pc < 1e-30 THEN 0 ELSE (floor(pc * 1e9) + 1e-3) / 1e9 END AS pc, CASE WHEN alert_id % 19 <> 0 THEN tca_h * 7 - 100 END AS m FROM alerts)
+SELECT alert_id, CASE WHEN km IS NULL THEN 'n/a' WHEN km < 1 THEN CAST(floor(km * 1000 + 0.5) AS BIGINT) || ' m' WHEN km < 10 THEN printf('%.2f', floor(km * 100 + 0.5) / 100) || ' km' ELSE printf('%.1f', floor(km * 10 + 0.5) / 10) || ' km' END AS distance, CASE WHEN pc IS NULL THEN 'n/a' WHEN pc = 0 THEN '0' ELSE format('{{:.1e}}', pc) END AS probability,
  CASE WHEN m IS NULL THEN 'n/a' ELSE CASE WHEN m >= 0 THEN 'T-' ELSE 'T+' END || CASE WHEN abs(m) < 90 THEN CAST(floor(abs(m) + 0.5) AS BIGINT) || ' min' ELSE printf('%.1f', floor(abs(m) / 60 * 10 + 0.5) / 10) || ' h' END END AS countdown FROM t""")
 def display_formats(spark, sf_dir):
-    """Distance, probability and countdown as text (the digits of a probability are left to the tests)."""
-    t = alerts(spark, sf_dir).selectExpr("alert_id", "CASE WHEN alert_id % 13 <> 0 THEN miss_km END AS km", "CASE WHEN alert_id % 17 = 0 THEN NULL WHEN pc < 1e-30 THEN 0 ELSE floor(pc * 1e9) / 1e9 END AS pc", "CASE WHEN alert_id % 19 <> 0 THEN tca_h * 7 - 100 END AS m")
-    return t.select("alert_id", E.shown_distance(F.col("km")).alias("distance"), F.regexp_replace(E.shown_pc(F.col("pc")), r"^[0-9.]+e.*", "p").alias("probability"), E.shown_countdown(F.col("m")).alias("countdown"))
+    """Distance, probability and countdown as text (shown probabilities stand off the middle between two roundings)."""
+    t = alerts(spark, sf_dir).selectExpr("alert_id", "CASE WHEN alert_id % 13 <> 0 THEN miss_km END AS km", "CASE WHEN alert_id % 17 = 0 THEN NULL WHEN pc < 1e-30 THEN 0 ELSE (floor(pc * 1e9) + 1e-3) / 1e9 END AS pc", "CASE WHEN alert_id % 19 <> 0 THEN tca_h * 7 - 100 END AS m")
+    return t.select("alert_id", E.shown_distance(F.col("km")).alias("distance"), E.shown_pc(F.col("pc")).alias("probability"), E.shown_countdown(F.col("m")).alias("countdown"))
 
 
 RADII = {"p90": "CASE WHEN alert_id % 4 = 0 THEN miss_km END", "r90": "CASE WHEN alert_id % 4 = 1 THEN miss_km - 1 END", "p50": "CASE WHEN alert_id % 3 = 0 THEN sigma_km END", "any_km": "CASE WHEN alert_id % 2 = 0 THEN v_rel END"}

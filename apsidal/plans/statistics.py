@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.encounters import floored
 from ..operators import statistics as S
-from ..operators.encounters import endpoints
+from ..operators.encounters import endpoints, exposure, numbered
 from ..sources.derived import ALERTS_SQL, alerts, table
-from .catalog import ENDS_SQL, R6, query, telemetry
+from .catalog import ENDS_SQL, R6, R9, query, telemetry
 
 HOLES = {"miss": "CASE WHEN alert_id % 10 < 7 THEN miss_km END", "speed": "CASE WHEN alert_id % 7 < 5 THEN v_rel END", "age": "age_h", "sigma": "CASE WHEN alert_id % 3 < 2 THEN sigma_km END"}
 part = ", ".join(f"{e} AS {n}" for n, e in HOLES.items())
@@ -194,3 +194,20 @@ def settled_residuals(spark, sf_dir):
     due = t.where("event_id % 2 = 0").withColumn("rn", F.row_number().over(w)).where("rn <= 3")
     actual = t.where("event_id % 2 = 1").groupBy("object_id").agg(F.max_by("value", F.struct("ts", "event_id")).alias("actual"))
     return due.join(actual, "object_id").select("object_id", "rn", floored(F.abs(F.col("value") - F.col("actual"))).alias("residual"))
+
+
+@query(f"WITH {ALERTS_SQL} SELECT alert_id, {R9.format('pc')} AS pc9, row_number() OVER (ORDER BY {R9.format('pc')}, miss_km, alert_id) AS rank FROM (SELECT DISTINCT alert_id, pc, miss_km FROM alerts)")
+def ordinal_ranks(spark, sf_dir):
+    """Place of every alert by probability, ties in the order of miss and id: a distributed sort with the offsets of its partitions."""
+    a = alerts(spark, sf_dir).select("alert_id", floored(F.col("pc"), 9).alias("pc9"), "miss_km").distinct()
+    return numbered(a, "pc9", "miss_km", "alert_id").select("alert_id", "pc9", (F.col("rn") + 1).alias("rank"))
+
+
+@query(f"""WITH {ALERTS_SQL}, ends AS (SELECT sat1 AS sat, * FROM alerts UNION ALL SELECT sat2 AS sat, * FROM alerts), e AS (SELECT alert_id % 7 AS event, sat, {R9.format('1 - exp(-sum((1 + alert_id % 4) * pc))')} AS aggregate_pc FROM ends GROUP BY 1, 2)
+SELECT event, sat, aggregate_pc, row_number() OVER (PARTITION BY event ORDER BY aggregate_pc DESC, sat) AS place FROM e""")
+def exposure_order(spark, sf_dir):
+    """Exposed satellites of every event, the most exposed first: one distributed sort, places counted from each event's first."""
+    e = exposure(alerts(spark, sf_dir), F.col("alert_id") % 7, (1 + F.col("alert_id") % 4).cast("double")).select("event", "sat", "aggregate_pc")
+    ranked = numbered(e.withColumn("down", -F.col("aggregate_pc")), "event", "down", "sat")
+    first = ranked.groupBy("event").agg(F.min("rn").alias("first"))
+    return ranked.join(F.broadcast(first), "event").select("event", "sat", "aggregate_pc", (F.col("rn") - F.col("first") + 1).alias("place"))  # one row an event, seven
