@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, sized_broadcast
+from .common import checkpoint, sized_broadcast, stored
 
 #: Bits of the hash; production limit of a shard in UTF-8 bytes of text.
 HASH_BITS = 60
@@ -81,7 +81,10 @@ def assign_shards(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     cols = [F.col(id_col).alias("doc_id")] if keep is None else [F.col(f"`{c}`") for c in keep]
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(*cols, key_hash(F.col(id_col), F.md5(F.encode(text, "UTF-8"))).alias("h"), F.octet_length(text).cast("long").alias("bytes"))
-    shards = checkpoint(directory(rows.select("h", "bytes"), limit, round_bits))
+    # texts are read and hashed once for the directory; without columns to keep that is all that is read of them
+    keys = stored(rows if keep is None else rows.select("h", "bytes"))
+    rows = keys if keep is None else rows
+    shards = checkpoint(directory(keys.select("h", "bytes"), limit, round_bits))
     base, n = shards.agg(F.coalesce(F.min("depth"), F.lit(0)), F.count(F.lit(1))).first()
     book = shards.select(prefix_of("shard_prefix", "depth", base).alias("__cell"), F.struct("depth", "shard_prefix", "shard_bytes", F.col("n_docs").alias("shard_docs")).alias("s"))
     book = book.groupBy("__cell").agg(F.collect_list("s").alias("__shards"))
