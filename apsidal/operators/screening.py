@@ -118,10 +118,10 @@ def closest(rows: DataFrame, low: Column, high: Column, start: Column, rounds: i
         bend = pp * (cross * s1 * s2 - both * c1 * c2) - pq * (both * c1 * s2 + cross * s1 * c2) - qp * (both * s1 * c2 + cross * c1 * s2) + qq * (cross * c1 * c2 - both * s1 * s2)
         return F.greatest(F.col("__low"), F.least(F.col("__high"), t - F.when(bend < 0, slope / bend).otherwise(0.0)))
 
-    rows = rows.withColumn("tca_s", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("__t0"), step))
+    rows = _settled(_settled(rows).withColumn("tca_s", F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.col("__t0"), step)))
     (r1, v1), (r2, v2) = _position(one, F.col("tca_s")), _position(two, F.col("tca_s"))
     size = lambda a, b: F.sqrt(sum(((y - x) * (y - x) for x, y in zip(a[1:], b[1:], strict=True)), (b[0] - a[0]) * (b[0] - a[0])))
-    return rows.withColumns({"miss_km": size(r1, r2), "v_rel": size(v1, v2)}).drop(*[c for c in rows.columns if c.startswith("__")])
+    return _settled(rows.withColumns({"miss_km": size(r1, r2), "v_rel": size(v1, v2)})).drop(*[c for c in rows.columns if c.startswith("__")])
 
 
 def screened(objs: DataFrame, steps: int, step_s: float, threshold_km: float) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions.encounters import floored
 from ..streaming import state
 from ..streaming.telemetry import drained, telemetry_stream
-from .catalog import R6, query
+from .catalog import R6, R9, query
 
 
 def events(spark, sf_dir):
@@ -15,12 +15,12 @@ def events(spark, sf_dir):
 
 
 @query(f"""WITH r AS (SELECT user_id AS object_id, epoch_us(ts) AS us, value, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL)
-SELECT object_id, count(*) AS n, max(us) AS last_us, {R6.format('avg(value)')} AS mean, {R6.format('sum(value) FILTER (rn <= 8)')} AS recent_sum, {R6.format('coalesce(max(value) FILTER (rn = 8), 0)')} AS eighth FROM r WHERE rn <= 120 GROUP BY object_id""")
+SELECT object_id, count(*) AS n, max(us) AS last_us, {R9.format('avg(value)')} AS mean, {R6.format('sum(value) FILTER (rn <= 8)')} AS recent_sum, {R6.format('coalesce(max(value) FILTER (rn = 8), 0)')} AS eighth FROM r WHERE rn <= 120 GROUP BY object_id""")
 def stream_histories(spark, sf_dir):
     """The last 120 rows of every object, kept as a stream's state; the last eight values padded on the left."""
     h = drained(state.histories(events(spark, sf_dir)), "update", ["object_id"])
     total = F.aggregate("recent", F.lit(0.0), lambda a, x: a + x)
-    return h.select("object_id", "n", "last_us", floored(F.col("mean")).alias("mean"), floored(total).alias("recent_sum"), floored(F.get("recent", F.lit(0))).alias("eighth"))
+    return h.select("object_id", "n", "last_us", floored(F.col("mean"), 9).alias("mean"), floored(total).alias("recent_sum"), floored(F.get("recent", F.lit(0))).alias("eighth"))
 
 
 @query(f"""WITH p AS (SELECT event_id AS prediction_id, user_id AS object_id, ts + INTERVAL 6 HOURS AS due, value AS predicted FROM events WHERE event_id % 2 = 0), a AS (SELECT user_id AS object_id, ts, value AS actual FROM events WHERE event_id % 2 = 1),
