@@ -585,6 +585,6 @@ def test_shards_of_repeated_rows_and_writing(spark, tmp_path):
 
 @pytest.mark.parametrize("name", list(queries.queries()))
 def test_queries_on_empty_tables(spark, tmp_path, sf_dir, name):
-    for t in ("documents", "labels", "pages", "conversations"):
+    for t in ("documents", "labels", "pages", "conversations", "embeddings"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").limit(0).write.parquet(f"{tmp_path}/{t}.parquet")
     assert queries.queries()[name](spark, str(tmp_path)).count() == (1 if name.startswith("op1_") else 0)
