@@ -50,7 +50,8 @@ def isotropic_pc(miss_km: Column, sigma_km: Column, radius_km: Column) -> Column
     With a = miss^2 / 2 sigma^2 and x = radius^2 / 2 sigma^2 it is the sum over i >= 1 of x^i / i! times the
     sum over j < i of a^j / j!, times exp(-a - x): positive terms only, so the relative error stays small.
     The fold runs over as many terms as the larger of x and sqrt(a x) needs and carries exp(-sqrt(a x)) in
-    both factors, so that nothing overflows. Below 1e-300 it is 0. A body beyond ``STRAIGHT`` deviations has
+    both factors, so that nothing overflows. Where a x and x are small, as for most bodies, the same sum is a
+    short nested polynomial without a fold. Below 1e-300 it is 0. A body beyond ``STRAIGHT`` deviations has
     an edge as good as straight, and the normal distribution of the way to it decides.
     """
     a, x = miss_km * miss_km / (sigma_km * sigma_km * 2), radius_km * radius_km / (sigma_km * sigma_km * 2)
@@ -67,7 +68,19 @@ def isotropic_pc(miss_km: Column, sigma_km: Column, radius_km: Column) -> Column
     summed = F.aggregate(F.sequence(F.lit(1), terms), start, step, lambda done: done["total"])
     apart = F.sqrt(a) - F.sqrt(x)
     edge = normal_share((radius_km - F.sqrt(miss_km * miss_km + sigma_km * sigma_km)) / sigma_km)
-    return F.when(x > STRAIGHT * STRAIGHT / 2, edge).when((apart > 0) & (apart * apart > 690), 0.0).otherwise(clipped(F.exp(-apart * apart) * summed, 0.0, 1.0))
+    short = (a * x <= 2) & (x <= 0.05)
+    return F.when(short, F.exp(-a - x) * _short_sum(a * x, x)).when(x > STRAIGHT * STRAIGHT / 2, edge).when((apart > 0) & (apart * apart > 690), 0.0).otherwise(clipped(F.exp(-apart * apart) * summed, 0.0, 1.0))
+
+
+def _short_sum(z: Column, x: Column, terms: int = 9, depth: int = 5) -> Column:
+    """The double sum, grouped by powers of z = a x: x times the sum over j of z^j / (j! (j + 1)!) (1 + x / (j + 2) (1 + x / (j + 3) (...)))."""
+    total = None
+    for j in reversed(range(terms)):
+        inner = F.lit(1.0)
+        for k in reversed(range(j + 2, j + 2 + depth)):
+            inner = inner * x / k + 1
+        total = inner if total is None else total * z / ((j + 1) * (j + 2)) + inner
+    return x * total
 
 
 #: Body radius in deviations from which its edge counts as straight.
