@@ -8,7 +8,7 @@ from pyspark.sql import SparkSession
 
 from apsidal.plans import cascade, catalog, manoeuvres, objects, scores, space, statistics  # noqa: F401 (each registers its queries)
 
-HEADLINE = ["screening", "alert_scores", "hit_probability", "debris_exposure", "top_alerts", "alert_merge", "worsened_secondaries", "residual_scores", "settled_predictions", "distance_minima", "cloud_statistics", "cascade_depth", "disk_integral", "decisions_of_alerts", "agency_resolution", "hotspots", "correlation_pairs", "fragment_screening", "engine_choices", "burn_choice", "burn_corridors", "zone_objects", "tie_ranks"]
+HEADLINE = ["screening", "alert_scores", "hit_probability", "debris_exposure", "top_alerts", "alert_merge", "worsened_secondaries", "residual_scores", "settled_predictions", "distance_minima", "cloud_statistics", "cascade_depth", "disk_integral", "decisions_of_alerts", "agency_resolution", "hotspots", "correlation_pairs", "fragment_screening", "engine_choices", "burn_choice", "burn_corridors"]
 
 
 def main() -> None:
