@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.encounters import floored
 from .encounters import numbered
 from .graph import checkpoint
+from .ordered import placed
 
 
 def average_ranks(values: DataFrame, keys: list[str], value: str, times: str | None = None) -> DataFrame:
@@ -138,6 +139,6 @@ def _cut_level(rows: DataFrame, over: int) -> tuple[int, int]:
 
 def evenly_spaced(rows: DataFrame, seats: DataFrame, order: list[str]) -> DataFrame:
     """The members of each stratum at ranks round(i * (n - 1) / (k - 1)) for k seats, i from 0 (one seat: the first)."""
-    ranked = rows.withColumn("__rn", F.row_number().over(Window.partitionBy("stratum").orderBy(*order)) - 1)
-    picks = seats.where("seats > 0").select("stratum", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), (F.col("seats") - 1).cast("int")), lambda i: F.when(F.col("seats") == 1, F.lit(0)).otherwise(F.floor(i * (F.col("size") - 1) / (F.col("seats") - 1) + 0.5)).cast("int")))).alias("__rn"))
+    ranked = placed(rows, ["stratum"], order).withColumnRenamed("place", "__rn").drop("of")
+    picks = seats.where("seats > 0").select("stratum", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(0), (F.col("seats") - 1).cast("int")), lambda i: F.when(F.col("seats") == 1, F.lit(0)).otherwise(F.floor(i * (F.col("size") - 1) / (F.col("seats") - 1) + 0.5)).cast("long")))).alias("__rn"))
     return ranked.join(picks, ["stratum", "__rn"]).drop("__rn")

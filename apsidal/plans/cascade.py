@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import encounters as E
 from ..operators import graph as G
+from ..operators.ordered import placed
 from ..operators.statistics import histogram_quantiles
 from ..sources.derived import ALERTS_SQL, alerts, table
 from .catalog import R6, R9, query
@@ -173,7 +174,8 @@ def threatened_by_event(spark, sf_dir):
     d = links(spark, sf_dir).where("event is not null")
     parents = edges(spark, sf_dir).where("kind = 'event_parent'").select(F.col("a").alias("event"), F.col("b").alias("sat1"))
     e = d.join(parents, ["event", "sat1"], "left_anti").groupBy("event", F.col("sat1").alias("sat")).agg(F.count(F.lit(1)).alias("n"), F.min("miss_km").alias("min_miss_km"), E.floored(F.max("pc"), 9).alias("max_pc"))
-    return e.withColumn("place", F.row_number().over(Window.partitionBy("event").orderBy(F.desc("max_pc"), "min_miss_km", "sat")))
+    ranked = placed(e.withColumn("down", -F.col("max_pc")), ["event"], ["down", "min_miss_km", "sat"])
+    return ranked.select("event", "sat", "n", "min_miss_km", "max_pc", (F.col("place") + 1).alias("place"))
 
 
 @query(f"""WITH {EDGES_SQL} SELECT (SELECT count(DISTINCT n) FROM (SELECT unnest([sat1, sat2]) AS n FROM links)) AS objects, (SELECT count(*) FROM edges) AS edges, (SELECT count(DISTINCT event) FROM links) AS events, {R9.format('avg(pc)')} AS mean_pc, {R9.format('max(pc)')} AS max_pc, count(event) AS with_event, count(*) FILTER (pc >= 1e-5) AS planned FROM links""")

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.encounters import floored
 from ..operators import statistics as S
 from ..operators.encounters import endpoints, exposure, numbered
+from ..operators.ordered import arc_spans as arc_span_of
+from ..operators.ordered import placed, with_neighbours
 from ..sources.derived import ALERTS_SQL, alerts, table
 from .catalog import ENDS_SQL, R6, R9, query, telemetry
 
@@ -76,8 +78,8 @@ def stratified_sample(spark, sf_dir):
 SELECT count(*) AS n, floor(avg(abs(value - a)) * 1e6 + 0.5) / 1e6 AS persistence_mae, floor(avg(abs(value - (2 * a - b))) * 1e6 + 0.5) / 1e6 AS linear_mae, floor(sqrt(avg((value - a) * (value - a))) * 1e6 + 0.5) / 1e6 AS persistence_rmse, floor(avg(CASE WHEN value > 50 THEN abs(value - a) END) * 1e6 + 0.5) / 1e6 AS high_mae FROM t WHERE b IS NOT NULL""")
 def baseline_errors(spark, sf_dir):
     """Errors of the last value and of the line through the last two as forecasts; conditional and squared ones too."""
-    w = Window.partitionBy("object_id").orderBy("ts", "event_id")
-    t = telemetry(spark, sf_dir).withColumns({"a": F.lag("value").over(w), "b": F.lag("value", 2).over(w)}).where("b is not null")
+    before = lambda w: {"a": F.lag("value").over(w), "b": F.lag("value", 2).over(w)}
+    t = with_neighbours(telemetry(spark, sf_dir).select("object_id", "ts", "event_id", "value"), ["object_id"], ["ts", "event_id"], before, 2).where("b is not null")
     off, lin = F.abs(F.col("value") - F.col("a")), F.abs(F.col("value") - (2 * F.col("a") - F.col("b")))
     return t.agg(F.count(F.lit(1)).alias("n"), floored(F.avg(off)).alias("persistence_mae"), floored(F.avg(lin)).alias("linear_mae"), floored(F.sqrt(F.avg(off * off))).alias("persistence_rmse"), floored(F.avg(F.when(F.col("value") > 50, off))).alias("high_mae"))
 
@@ -86,8 +88,8 @@ def baseline_errors(spark, sf_dir):
 SELECT event_id, object_id, held, list_aggregate(list_concat(list_transform(range(0, 8 - len(l)), lambda i: l[1]), l), 'sum') AS window_sum, l[1] AS oldest FROM w""")
 def ring_history(spark, sf_dir):
     """Each object's last eight values, padded on the left with the oldest, and how many of 120 are held."""
-    w = Window.partitionBy("object_id").orderBy("ts", "event_id")
-    h = telemetry(spark, sf_dir).select("event_id", "object_id", F.collect_list("value").over(w.rowsBetween(-7, 0)).alias("l"), F.count(F.lit(1)).over(w.rowsBetween(-119, 0)).alias("held"))
+    last = lambda w: {"l": F.collect_list("value").over(w.rowsBetween(-7, 0)), "held": F.count(F.lit(1)).over(w.rowsBetween(-119, 0))}
+    h = with_neighbours(telemetry(spark, sf_dir).select("event_id", "object_id", "ts", "value"), ["object_id"], ["ts", "event_id"], last, 119)
     padded = F.concat(F.array_repeat(F.col("l")[0], F.lit(8) - F.size("l")), F.col("l"))
     return h.select("event_id", "object_id", "held", F.aggregate(padded, F.lit(0.0), lambda a, x: a + x).alias("window_sum"), F.col("l")[0].alias("oldest"))
 
@@ -163,25 +165,23 @@ def graph_features(spark, sf_dir):
 def arc_spans(spark, sf_dir):
     """The arc that covers all angles of a group: 360 degrees less the largest gap."""
     a = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("g"), (F.col("c_custkey") * 37 % 3600 / 10.0).alias("angle"))
-    w = Window.partitionBy("g")
-    d = a.withColumn("gap", F.coalesce(F.lead("angle").over(w.orderBy("angle")), F.min("angle").over(w) + 360) - F.col("angle"))
-    return d.groupBy("g").agg(floored(360 - F.max("gap")).alias("span_deg"), F.max_by("angle", F.struct("gap", -F.col("angle"))).alias("last_deg"))
+    return arc_span_of(a, "g", "angle").withColumn("span_deg", floored(F.col("span_deg")))
 
 
 @query("""WITH n AS (SELECT event_id, user_id AS object_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY user_id) AS n FROM events) SELECT event_id, object_id FROM n WHERE (rn - 1) % CAST(ceil(n / 30.0) AS BIGINT) = 0""")
 def strided_track(spark, sf_dir):
     """Every object's track thinned by a stride to at most thirty points (thinning is the feature)."""
-    w = Window.partitionBy("object_id")
-    n = telemetry(spark, sf_dir).withColumns({"rn": F.row_number().over(w.orderBy("ts", "event_id")), "n": F.count(F.lit(1)).over(w)})
-    return n.where((F.col("rn") - 1) % F.ceil(F.col("n") / 30.0) == 0).select("event_id", "object_id")
+    n = placed(telemetry(spark, sf_dir).select("event_id", "object_id", "ts"), ["object_id"], ["ts", "event_id"])
+    return n.where(F.col("place") % F.ceil(F.col("of") / 30.0) == 0).select("event_id", "object_id")
 
 
 @query("""WITH t AS (SELECT event_id, user_id AS object_id, ts, epoch_us(ts) AS us, value FROM events), b AS (SELECT *, lag(us) OVER w AS u0, lag(value) OVER w AS v0 FROM t WINDOW w AS (PARTITION BY object_id ORDER BY us, event_id))
 SELECT event_id, object_id, floor((v0 + (value - v0) * 0.25) * 1e6 + 0.5) / 1e6 AS quarter_value, CAST(floor(u0 + (us - u0) * 0.25) AS BIGINT) AS quarter_us FROM b WHERE us > u0""")
 def interpolated_track(spark, sf_dir):
     """Values a quarter of the way between neighbouring samples, on the line between them."""
-    w = Window.partitionBy("object_id").orderBy("us", "event_id")
-    t = telemetry(spark, sf_dir).withColumn("us", F.unix_micros("ts")).withColumns({"u0": F.lag("us").over(w), "v0": F.lag("value").over(w)}).where("us > u0")
+    before = lambda w: {"u0": F.lag("us").over(w), "v0": F.lag("value").over(w)}
+    rows = telemetry(spark, sf_dir).select("event_id", "object_id", F.unix_micros("ts").alias("us"), "value")
+    t = with_neighbours(rows, ["object_id"], ["us", "event_id"], before, 1).where("us > u0")
     return t.select("event_id", "object_id", floored(F.col("v0") + (F.col("value") - F.col("v0")) * 0.25).alias("quarter_value"), F.floor(F.col("u0") + (F.col("us") - F.col("u0")) * 0.25).alias("quarter_us"))
 
 
@@ -208,6 +208,5 @@ SELECT event, sat, aggregate_pc, row_number() OVER (PARTITION BY event ORDER BY
 def exposure_order(spark, sf_dir):
     """Exposed satellites of every event, the most exposed first: one distributed sort, places counted from each event's first."""
     e = exposure(alerts(spark, sf_dir), F.col("alert_id") % 7, (1 + F.col("alert_id") % 4).cast("double")).select("event", "sat", "aggregate_pc")
-    ranked = numbered(e.withColumn("down", -F.col("aggregate_pc")), "event", "down", "sat")
-    first = ranked.groupBy("event").agg(F.min("rn").alias("first"))
-    return ranked.join(F.broadcast(first), "event").select("event", "sat", "aggregate_pc", (F.col("rn") - F.col("first") + 1).alias("place"))  # one row an event, seven
+    ranked = placed(e.withColumn("down", -F.col("aggregate_pc")), ["event"], ["down", "sat"])
+    return ranked.select("event", "sat", "aggregate_pc", (F.col("place") + 1).alias("place"))

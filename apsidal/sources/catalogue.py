@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.encounters import catalogue_number
+from ..operators.ordered import with_neighbours
 
 CATALOGUE_SCHEMA = "norad_id string, name string, object_type string, owner string, launch_date string, rcs_m2 string"
 
@@ -14,12 +15,12 @@ def element_sets(lines: DataFrame) -> DataFrame:
     """file, line_no, name, norad_id, line1, line2 of every complete triple of lines (file, line_no, line).
 
     Blank lines do not count. A triple is a line ``0 ``, one ``1 `` and one ``2 `` in a row; whatever
-    else stands between is skipped. An unreadable number is 0. Triples cannot overlap, so a look ahead
-    of two lines is the sliding match.
+    else stands between is skipped. An unreadable number is 0. Triples cannot overlap, so a look back
+    of two lines is the sliding match; a file's lines are spread over tasks.
     """
-    kept = lines.withColumn("line", F.trim("line")).where("line <> ''")
-    w = Window.partitionBy("file").orderBy("line_no")
-    rows = kept.withColumns({"line1": F.lead("line", 1).over(w), "line2": F.lead("line", 2).over(w)})
+    kept = lines.select("file", "line_no", F.trim("line").alias("line2")).where("line2 <> ''")
+    back = lambda w: {"line": F.lag("line2", 2).over(w), "line1": F.lag("line2", 1).over(w), "top": F.lag("line_no", 2).over(w)}
+    rows = with_neighbours(kept, ["file"], ["line_no"], back, 2).drop("line_no").withColumnRenamed("top", "line_no")
     rows = rows.where(F.col("line").startswith("0 ") & F.col("line1").startswith("1 ") & F.col("line2").startswith("2 "))
     number = F.coalesce(F.trim(F.substring("line1", 3, 5)).try_cast("int"), F.lit(0))
     return rows.select("file", "line_no", F.trim(F.substring("line", 3, 1000)).alias("name"), number.cast("long").alias("norad_id"), "line1", "line2")
