@@ -74,9 +74,9 @@ def bound_share(r_km: Column, v0: Vec, dv: Vec) -> Column:
 
 
 #: Rules of authority in their order: the first that holds decides.
-def authority(session: Column, known: Column, expired: Column, kind: Column, admin: Column, owner: Column, covers: Column, catalogued: Column, demo: int = 1) -> Column:
-    """Name of the rule; demo_session, admin_session, agency_match and synthetic_object_no_owner allow the command."""
-    rule = F.when(session == demo, "demo_session").when(~known, "session_not_found").when(expired, "session_expired").when(kind.isin("DEB", "R/B"), "object_not_manoeuvrable").when(admin, "admin_session")
+def authority(session: Column, known: Column, expired: Column, kind: Column, admin: Column, owner: Column, covers: Column, catalogued: Column, demo: int = 1, demo_open: bool = True) -> Column:
+    """Name of the rule; demo_session, admin_session, agency_match and synthetic_object_no_owner allow the command; a closed demo session does not."""
+    rule = F.when(session == demo, "demo_session" if demo_open else "demo_session_disabled").when(~known, "session_not_found").when(expired, "session_expired").when(kind.isin("DEB", "R/B"), "object_not_manoeuvrable").when(admin, "admin_session")
     rule = rule.when((owner != "Unknown") & covers, "agency_match").when((owner == "Unknown") & catalogued, "catalogued_owner_unresolved")
     return rule.when(owner == "Unknown", "synthetic_object_no_owner").otherwise("agency_mismatch")
 

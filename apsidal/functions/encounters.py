@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -210,3 +212,23 @@ def catalogue_number(field: Column) -> Column:
     head, rest = F.upper(F.substring(field, 1, 1)), F.substring(field, 2, 10)
     at = F.instr(F.lit("ABCDEFGHJKLMNPQRSTUVWXYZ"), head)
     return F.when((at > 0) & (head != ""), (at + 9) * 10000 + F.when(rest.rlike("^[0-9]+$"), rest).try_cast("int")).otherwise(F.when(field.rlike("^[0-9]+$"), field).try_cast("int"))
+
+
+def scaled_bessel(y: Column, terms: int = 40, far: float = 20.0) -> Column:
+    """exp(-y) I0(y) for y >= 0: the power series up to ``far``, the asymptotic one beyond, both to 1e-10."""
+    near = F.aggregate(F.sequence(F.lit(terms), F.lit(1)), F.lit(1.0), lambda acc, k: 1 + F.least(y, F.lit(far)) * F.least(y, F.lit(far)) / 4 / (k * k) * acc)
+    z = F.greatest(y, F.lit(far))
+    beyond = F.aggregate(F.sequence(F.lit(10), F.lit(1)), F.lit(1.0), lambda acc, k: 1 + (2 * k - 1) * (2 * k - 1) / (8 * k * z) * acc)
+    return F.when(y <= far, F.exp(-y) * near).otherwise(beyond / F.sqrt(2 * math.pi * z))
+
+
+def first_term_pc(b_t: Column, b_n: Column, c_tt: Column, c_nn: Column, radius: Column) -> Column:
+    """First term of the series for an encounter with the mean variance of its plane; 0 without a variance.
+
+    A fallback where no integral can be taken. Exponents are joined before they are raised, so far misses
+    give small numbers and not 0 times infinity.
+    """
+    variance = (c_tt + c_nn) / 2
+    u, x = radius * radius / (2 * variance), (b_t * b_t + b_n * b_n) / (2 * variance)
+    y = 2 * F.sqrt(u * x)
+    return F.when(variance < 1e-20, 0.0).otherwise(clipped(u * F.exp(y - u - x) * scaled_bessel(y), 0.0, 1.0))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.derived import states_at
 from .graph import checkpoint
+from .statistics import histogram_quantiles
 
 #: Edge (km) of the smallest cells; each level doubles it.
 CELL_KM = 64.0
@@ -99,3 +100,11 @@ def pair_minima(samples: DataFrame, step_s: float, rounds: int = 60) -> DataFram
 
 def _square(x: Column) -> Column:
     return F.pow(x, F.lit(2.0))
+
+
+def radii(points: DataFrame, keys: list[str], least: int = 3) -> DataFrame:
+    """keys, n, p50_km, p90_km: distances of points (x, y, z) from the centroid of their key; keys of fewer than ``least`` points are left out."""
+    c = points.groupBy(*keys).agg(*[F.avg(a).alias(f"c{a}") for a in "xyz"], F.count(F.lit(1)).alias("__n")).where(F.col("__n") >= least).drop("__n")
+    off = [F.col(a) - F.col(f"c{a}") for a in "xyz"]
+    d = points.join(c, keys).select(*keys, F.sqrt(off[0] * off[0] + off[1] * off[1] + off[2] * off[2]).alias("__d"))
+    return histogram_quantiles(d, keys, "__d", [0.5, 0.9]).withColumnsRenamed({"q0": "p50_km", "q1": "p90_km"})

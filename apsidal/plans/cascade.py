@@ -11,6 +11,7 @@ from ..operators.ordered import placed
 from ..operators.statistics import histogram_quantiles
 from ..sources.derived import ALERTS_SQL, alerts, table
 from .catalog import R6, R9, query
+from .objects import AGENCY_SQL, CATALOGUE_SQL, attributed
 
 #: Alerts with events: a fifth are fragments of one of many events (negative numbers); each event has two parents.
 EVENT = {"sat1": "sat1", "sat2": "CASE WHEN alert_id % 5 = 0 THEN 1000000000 + sat2 ELSE sat2 END", "event": "CASE WHEN alert_id % 5 = 0 THEN -1 - sat1 % 50 END", "x": "7000e0 + alert_id % 101", "y": "sat1 % 97 * 1e0", "z": "sat2 % 89 * 1e0"}
@@ -305,3 +306,26 @@ def index_by_satellite(spark, sf_dir):
     e = found.select(F.explode(F.array("sat1", "sat2")).alias("sat"), E.cpi_of_pc(F.col("pc")).alias("c")).groupBy("sat").agg(E.floored(F.max("c")).alias("cpi"))
     x = found.where("event is not null").groupBy("event", F.col("sat1").alias("sat")).agg(E.floored(-F.expm1(-F.sum("pc")), 9).alias("debris_pc")).groupBy("sat").agg(F.count("event").alias("events"), F.max("debris_pc").alias("debris_pc"))
     return e.join(x, "sat", "left").select("sat", "cpi", F.coalesce("events", F.lit(0)).alias("events"), "debris_pc")
+
+
+@query(f"""WITH RECURSIVE {SEARCH_SQL}, {CATALOGUE_SQL}, {AGENCY_SQL}, nodes AS (SELECT DISTINCT unnest([sat1, sat2]) AS node FROM links), named AS (SELECT DISTINCT a.agency FROM nodes n JOIN agencies a ON a.id = n.node WHERE a.agency <> 'Unknown'), p AS (SELECT DISTINCT alert_id, pc, {ADVICE['dv']} AS dv FROM links)
+SELECT (SELECT max(coalesce(greatest(a.hops, b.hops), 1)) FROM links l LEFT JOIN walk a ON a.node = l.sat1 LEFT JOIN walk b ON b.node = l.sat2 WHERE (a.hops IS NULL) = (b.hops IS NULL)) AS max_depth, (SELECT max(hops) FROM walk) AS max_hops, (SELECT floor(sum(dv) * 1e4 + 0.5) / 1e4 FROM p WHERE pc >= 1e-5) AS total_dv, (SELECT count(*) FROM named) AS agencies, (SELECT string_agg(agency, '|' ORDER BY agency) FROM named) AS names""")
+def cascade_extent(spark, sf_dir):
+    """One row: greatest depth of an alert and of a node, sum of the planned burns, the agencies involved."""
+    w, found = G.checkpoint(searched(spark, sf_dir)), links(spark, sf_dir)
+    side = lambda s: w.select(F.col("node").alias(s), F.col("hops").alias(f"h_{s}"))
+    met = found.select("sat1", "sat2").distinct().join(side("sat1"), "sat1", "left").join(side("sat2"), "sat2", "left")
+    depth = met.where(F.col("h_sat1").isNull() == F.col("h_sat2").isNull()).agg(F.max(F.coalesce(F.greatest("h_sat1", "h_sat2"), F.lit(1))).alias("max_depth"))
+    burns = found.where("pc >= 1e-5").selectExpr("alert_id", f"{ADVICE['dv']} AS dv").distinct().agg(E.floored(F.sum("dv"), 4).alias("total_dv"))
+    nodes = found.select(F.explode(F.array("sat1", "sat2")).alias("id")).distinct()
+    names = attributed(spark, sf_dir).join(nodes, "id", "left_semi").where("agency <> 'Unknown'").select("agency").distinct()
+    agencies = names.agg(F.count(F.lit(1)).alias("agencies"), F.array_join(F.sort_array(F.collect_list("agency")), "|").alias("names"))  # one name an agency
+    return depth.crossJoin(w.agg(F.max("hops").alias("max_hops"))).crossJoin(burns).crossJoin(agencies)  # one row each
+
+
+@query(f"""WITH {EVENTS_SQL}, ends AS (SELECT DISTINCT unnest([sat1, sat2]) AS node, alert_id, {R9.format('pc')} AS pc9, miss_km FROM links) SELECT node, alert_id, pc9, miss_km, row_number() OVER (PARTITION BY node ORDER BY pc9 DESC, miss_km, alert_id) AS place FROM ends QUALIFY place <= 12""")
+def incident_edges(spark, sf_dir):
+    """The twelve worst alerts at every node of the graph (a top-k list): every task cuts its rows to twelve a node before they move."""
+    ends = links(spark, sf_dir).select(F.explode(F.array("sat1", "sat2")).alias("node"), "alert_id", E.floored(F.col("pc"), 9).alias("pc9"), "miss_km").distinct()
+    w = Window.partitionBy("node").orderBy(F.desc("pc9"), "miss_km", "alert_id")
+    return ends.withColumn("place", F.row_number().over(w)).where("place <= 12")

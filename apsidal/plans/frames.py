@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import frames as R
 from ..functions.encounters import floored
+from ..operators.spatial import radii
 from ..sources.derived import GRID_SQL, OBJECTS_SQL, grid, objects, table
 from .catalog import R6, query
 
@@ -105,3 +106,30 @@ def time_grids(spark, sf_dir):
     """Sampling times with an exact end and at most twenty samples (the cap is the grid's own)."""
     c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 37 * 10.0).alias("total"), (1.0 + F.col("c_custkey") % 9 * 7).alias("step"))
     return c.select("id", F.explode(R.time_grid(F.col("total"), F.col("step"), 20)).alias("t"))
+
+
+@query(f"""WITH {STATES_SQL}, h AS (SELECT id, k, x, y, z, vx, vy * (1 + 0.001 * (1 + id % 5)) AS vy, vz, 398600.4418 AS mu FROM states), m AS (SELECT *, y*vz - z*vy AS hx, z*vx - x*vz AS hy, x*vy - y*vx AS hz, sqrt(x*x + y*y + z*z) AS rm, vx*vx + vy*vy + vz*vz AS v2, x*vx + y*vy + z*vz AS rv FROM h),
+e AS (SELECT *, sqrt(hx*hx + hy*hy + hz*hz) AS hm, ((v2 - mu/rm) * x - rv * vx) / mu AS ex, ((v2 - mu/rm) * y - rv * vy) / mu AS ey, ((v2 - mu/rm) * z - rv * vz) / mu AS ez FROM m), f AS (SELECT *, sqrt(ex*ex + ey*ey + ez*ez) AS em, sqrt(hx*hx + hy*hy) AS nm FROM e),
+t AS (SELECT id, k, (degrees(atan2((hx*ez*hx + hy*ez*hy + (-hy*ey - hx*ex)*hz) / (nm*em*hm), (-hy*ex + hx*ey) / (nm*em))) + 360) % 360 AS aop, (degrees(atan2(((ey*z - ez*y)*hx + (ez*x - ex*z)*hy + (ex*y - ey*x)*hz) / (em*rm*hm), (ex*x + ey*y + ez*z) / (em*rm))) + 360) % 360 AS ta FROM f)
+SELECT id, k, floor(aop * 1e4 + 0.5) / 1e4 AS aop, floor(ta * 1e4 + 0.5) / 1e4 AS ta FROM t""")
+def orbit_apses(spark, sf_dir):
+    """Argument of the apse and true anomaly of every state."""
+    g, r, v = states(spark, sf_dir)
+    e = R.elements(r, [v[0], v[1] * (1 + 0.001 * (1 + F.col("id") % 5)), v[2]])
+    return g.select("id", "k", floored(e["aop"], 4).alias("aop"), floored(e["ta"], 4).alias("ta"))
+
+
+@query("SELECT c_custkey AS id, CAST((i - 3) * 0.5 AS DOUBLE) AS offset_h, c_custkey % 72 + (i - 3) * 0.5e0 AS at_h FROM customer, range(7) AS r(i)")
+def approach_grids(spark, sf_dir):
+    """Seven times about each closest approach, the same number before and after."""
+    c = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 72).alias("tca_h"), F.explode(R.symmetric_grid(3, 0.5)).alias("offset_h"))
+    return c.select("id", "offset_h", (F.col("tca_h") + F.col("offset_h")).alias("at_h"))
+
+
+@query(f"""WITH {OBJECTS_SQL}, {GRID_SQL.replace('* 60.0', '* 1800.0').format(steps=49)}, c AS (SELECT id % 3 AS cloud, k, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM grid WHERE id % 7 > k // 9 GROUP BY 1, 2),
+d AS (SELECT c.cloud, c.k, sqrt((x-cx)*(x-cx)+(y-cy)*(y-cy)+(z-cz)*(z-cz)) AS d FROM grid JOIN c ON grid.id % 3 = c.cloud AND grid.k = c.k WHERE grid.id % 7 > grid.k // 9)
+SELECT cloud, k * 30e0 AS minutes, {R6.format('quantile_cont(d, 0.9)')} AS radius_km, {R6.format('quantile_cont(d, 0.5)')} AS radius_p50_km FROM d GROUP BY cloud, k HAVING count(*) >= 3""")
+def radius_timeline(spark, sf_dir):
+    """Radius of each cloud every half hour of a day, from the members still up; fewer than three give no point."""
+    up = grid(objects(spark, sf_dir), 49, 1800.0).where("id % 7 > k div 9").withColumn("cloud", F.col("id") % 3)
+    return radii(up, ["cloud", "k"]).select("cloud", (F.col("k") * 30.0).alias("minutes"), floored(F.col("p90_km")).alias("radius_km"), floored(F.col("p50_km")).alias("radius_p50_km"))

@@ -113,23 +113,36 @@ SESSION = {"agency": "CASE s_suppkey % 6 WHEN 0 THEN 'ALL' WHEN 1 THEN 'ROSCOSMO
 KIND = "CASE WHEN upper(name) LIKE '% DEB%' THEN 'DEB' WHEN upper(name) LIKE '%R/B%' THEN 'R/B' ELSE 'PAY' END"
 
 
-@query(f"""WITH {CATALOGUE_SQL}, {AGENCY_SQL}, sessions AS (SELECT s_suppkey AS session, {SESSION['agency']} AS agency, {SESSION['expired']} AS expired FROM supplier WHERE s_suppkey % 9 <> 0),
-requests AS (SELECT DISTINCT l_suppkey AS session, l_partkey AS object FROM lineitem),
-j AS (SELECT r.*, s.session IS NOT NULL AS known, s.expired, s.agency, a.agency AS owner, {KIND} AS kind, r.object % 6 <> 0 AS catalogued, CASE upper(s.agency) WHEN 'ROSCOSMOS' THEN ['Russia/CIS'] WHEN 'CNSA' THEN ['China'] WHEN 'ISRO' THEN ['India'] WHEN 'ISS/NASA' THEN ['ISS', 'NASA'] ELSE [s.agency] END AS covers
- FROM requests r LEFT JOIN sessions s ON s.session = r.session JOIN agencies a ON a.id = r.object JOIN catalogue c ON c.id = r.object),
-d AS (SELECT session, object, CASE WHEN session = 1 THEN 'demo_session' WHEN NOT known THEN 'session_not_found' WHEN expired THEN 'session_expired' WHEN kind IN ('DEB', 'R/B') THEN 'object_not_manoeuvrable' WHEN agency = 'ALL' THEN 'admin_session' WHEN owner <> 'Unknown' AND list_contains(covers, owner) THEN 'agency_match' WHEN owner = 'Unknown' AND catalogued THEN 'catalogued_owner_unresolved' WHEN owner = 'Unknown' THEN 'synthetic_object_no_owner' ELSE 'agency_mismatch' END AS rule FROM j)
-SELECT session, object, rule, rule IN {B.ALLOWING} AS allowed FROM d""")
-def session_authority(spark, sf_dir):
-    """Whether each session may command each object that it asked for, and the rule that says so."""
+def authorised(spark, sf_dir, demo_open):
     s = table(spark, sf_dir, "supplier").where("s_suppkey % 9 <> 0").selectExpr("s_suppkey AS session", *[f"{e} AS {n}" for n, e in SESSION.items()])
     s = s.withColumn("covers", O.aliases(F.col("agency")))
     facts = attributed(spark, sf_dir).select(F.col("id").alias("object"), F.col("agency").alias("owner")).join(catalogue(spark, sf_dir).selectExpr("id AS object", f"{KIND} AS kind"), "object")
     r = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("session"), F.col("l_partkey").alias("object")).distinct()
     j = r.join(s, "session", "left").join(facts, "object")
-    rule = B.authority(F.col("session"), F.col("agency").isNotNull(), F.col("expired"), F.col("kind"), F.col("agency") == "ALL", F.col("owner"), F.array_contains("covers", F.col("owner")), F.col("object") % 6 != 0)
+    rule = B.authority(F.col("session"), F.col("agency").isNotNull(), F.col("expired"), F.col("kind"), F.col("agency") == "ALL", F.col("owner"), F.array_contains("covers", F.col("owner")), F.col("object") % 6 != 0, demo_open=demo_open)
     return j.select("session", "object", rule.alias("rule")).withColumn("allowed", F.col("rule").isin(*B.ALLOWING))
 
 
+AUTHORITY_SQL = f"""WITH {CATALOGUE_SQL}, {AGENCY_SQL}, sessions AS (SELECT s_suppkey AS session, {SESSION['agency']} AS agency, {SESSION['expired']} AS expired FROM supplier WHERE s_suppkey % 9 <> 0),
+requests AS (SELECT DISTINCT l_suppkey AS session, l_partkey AS object FROM lineitem),
+j AS (SELECT r.*, s.session IS NOT NULL AS known, s.expired, s.agency, a.agency AS owner, {KIND} AS kind, r.object % 6 <> 0 AS catalogued, CASE upper(s.agency) WHEN 'ROSCOSMOS' THEN ['Russia/CIS'] WHEN 'CNSA' THEN ['China'] WHEN 'ISRO' THEN ['India'] WHEN 'ISS/NASA' THEN ['ISS', 'NASA'] ELSE [s.agency] END AS covers
+ FROM requests r LEFT JOIN sessions s ON s.session = r.session JOIN agencies a ON a.id = r.object JOIN catalogue c ON c.id = r.object),
+d AS (SELECT session, object, CASE WHEN session = 1 THEN 'demo_session' WHEN NOT known THEN 'session_not_found' WHEN expired THEN 'session_expired' WHEN kind IN ('DEB', 'R/B') THEN 'object_not_manoeuvrable' WHEN agency = 'ALL' THEN 'admin_session' WHEN owner <> 'Unknown' AND list_contains(covers, owner) THEN 'agency_match' WHEN owner = 'Unknown' AND catalogued THEN 'catalogued_owner_unresolved' WHEN owner = 'Unknown' THEN 'synthetic_object_no_owner' ELSE 'agency_mismatch' END AS rule FROM j)
+SELECT session, object, rule, rule IN {B.ALLOWING} AS allowed FROM d"""
+
+
+@query(AUTHORITY_SQL)
+def session_authority(spark, sf_dir):
+    """Whether each session may command each object that it asked for, and the rule that says so."""
+    return authorised(spark, sf_dir, True)
+
+
+@query(AUTHORITY_SQL.replace("THEN 'demo_session'", "THEN 'demo_session_disabled'"))
+def session_authority_without_demo(spark, sf_dir):
+    """The same decisions where the demo session is closed."""
+    return authorised(spark, sf_dir, False)
+
+
 @query(ORACLES["session_authority"].rsplit("SELECT session, object", 1)[0] + f"SELECT session, count(*) AS objects FROM d WHERE rule IN {B.ALLOWING} GROUP BY session")
 def session_objects(spark, sf_dir):
     """How many of the objects that it asked for a session may command."""

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import objects as O
 from ..functions.encounters import rcs_class
-from ..sources.catalogue import element_names, element_sets, snapshot, typed_catalogue
+from ..operators.graph import checkpoint
+from ..sources.catalogue import SNAPSHOT_COLUMNS, element_names, element_sets, snapshot, snapshot_lines, typed_catalogue
 from ..sources.derived import CATALOGUE_SQL, catalogue, table
 from .catalog import query
 
@@ -51,6 +52,34 @@ def catalogue_snapshot(spark, sf_dir):
     return snapshot(catalogue_rows(spark, sf_dir), element_sets(element_lines(spark, sf_dir)))
 
 
+#: A catalogue file with all its columns, in SQL that both engines read; one site holds a comma.
+PUBLIC = {
+    "NORAD_CAT_ID": "CASE WHEN id % 13 = 0 THEN 'n/a' ELSE ' ' || id END",
+    "OBJECT_NAME": "name",
+    "OBJECT_ID": "launch_year || '-' || tail || 'A'",
+    "OBJECT_TYPE": "CASE id % 4 WHEN 0 THEN 'PAY' WHEN 1 THEN 'R/B' WHEN 2 THEN 'DEB' ELSE 'UNK' END",
+    "OPS_STATUS_CODE": "CASE id % 3 WHEN 0 THEN '+' WHEN 1 THEN ' D ' END",
+    "OWNER": "owner",
+    "LAUNCH_DATE": "launch_year || '-01-02'",
+    "LAUNCH_SITE": "CASE WHEN id % 6 = 0 THEN 'TTMTR, S' ELSE 'AFETR' END",
+    "DECAY_DATE": "CASE WHEN id % 5 = 0 THEN '2020-03-04' END",
+    "PERIOD": "CAST(90 + id % 30 AS STRING) || '.5'",
+    "INCLINATION": "CAST(id % 100 AS STRING) || '.25 '",
+    "APOGEE": "CAST(400 + id % 900 AS STRING)",
+    "PERIGEE": "CAST(300 + id % 90 AS STRING)",
+    "RCS": "CASE WHEN id % 10 <> 0 THEN CAST(id % 40 AS STRING) || '.1' END",
+}
+_FIELD = "CASE WHEN contains({0}, ',') THEN '\"' || trim({0}) || '\"' ELSE coalesce(trim({0}), '') END"
+
+
+@query(f"""WITH {SETS_SQL}, public AS (SELECT {', '.join(f'{e} AS {n}' for n, e in PUBLIC.items())} FROM catalogue)
+SELECT TRY_CAST(trim(NORAD_CAT_ID) AS BIGINT) AS norad_id, {" || ',' || ".join(_FIELD.format(n) for n in SNAPSHOT_COLUMNS)} AS line FROM public WHERE TRY_CAST(trim(NORAD_CAT_ID) AS BIGINT) IN (SELECT norad_id FROM sets)""")
+def catalogue_lines(spark, sf_dir):
+    """Lines of a snapshot with all fourteen columns, for the objects that the element files track."""
+    raw = catalogue(spark, sf_dir).selectExpr(*[f"{e} AS {n}" for n, e in PUBLIC.items()])
+    return snapshot_lines(raw, element_sets(element_lines(spark, sf_dir)))
+
+
 _ALPHA = "ABCDEFGHJKLMNPQRSTUVWXYZ"
 #: Lines of an index file: some numbers with a letter, some lines 1 without a name of their own, some unreadable.
 INDEX_SQL = f"""{CATALOGUE_SQL}, index_lines AS (SELECT 'f' || id % 3 AS file, id * 10 + k AS line_no, CASE k WHEN 0 THEN CASE WHEN id % 6 = 5 THEN '# none' ELSE '0 ' || coalesce(name, 'N ' || id) || ' ' END WHEN 1 THEN '1 ' || CASE WHEN id % 9 = 0 THEN 'I1234' WHEN id % 4 = 1 THEN substr('{_ALPHA}', CAST(id % 24 + 1 AS INT), 1) || lpad(CAST(id % 10000 AS STRING), 4, '0') WHEN id % 11 = 0 THEN '  ' || lpad(CAST(id % 1000 AS STRING), 3, '0') ELSE lpad(CAST(id % 100000 AS STRING), 5, '0') END || 'U  ' ELSE '2 x' END AS line FROM catalogue CROSS JOIN (SELECT unnest([0, 1, 2]) AS k))"""
@@ -150,10 +179,16 @@ guess AS (SELECT f.*, l.label, {_operator_sql('f.code')} AS refined, {_operator_
 agencies AS (SELECT id, CASE WHEN code IS NOT NULL AND refined IS NOT NULL THEN refined WHEN code NOT IN ('', 'TBD', 'UNK') THEN {LABEL_SQL} ELSE coalesce(guessed, 'Unknown') END AS agency, CASE WHEN code IS NOT NULL AND refined IS NOT NULL THEN how || '+operator_pattern' WHEN code NOT IN ('', 'TBD', 'UNK') THEN how WHEN guessed IS NOT NULL THEN 'name_pattern' ELSE how END AS provenance, code FROM guess)"""
 
 
+#: Names of one owner that are broadcast.
+NAMES_BROADCAST = 200_000
+
+
 def attributed(spark, sf_dir):
     """id, agency, provenance, code of every object; a quarter of them have no owner by id."""
     c = catalogue(spark, sf_dir)
     one = c.where("name <> '' AND owner IS NOT NULL").groupBy("name").agg(F.min("owner").alias("low"), F.max("owner").alias("high")).where("low = high").select("name", F.col("low").alias("by_name"))
+    one = checkpoint(one)
+    one = F.broadcast(one) if one.count() <= NAMES_BROADCAST else one  # no popular name is one task; beyond, adaptive execution splits it
     label, how = O.agency(F.col("name"), F.when(F.col("id") % 4 != 0, F.col("owner")), F.col("by_name"))
     return c.join(one, "name", "left").select("id", label.alias("agency"), how.alias("provenance"), F.coalesce(F.when(F.col("id") % 4 != 0, F.col("owner")), F.col("by_name")).alias("code"))
 

@@ -136,3 +136,10 @@ def cloud_radius(spark, sf_dir):
     t = alerts(spark, sf_dir).selectExpr("alert_id", *[f"{e} AS {n}" for n, e in RADII.items()])
     some = lambda c: F.when(F.col(c) > 0, F.col(c))
     return t.select("alert_id", F.coalesce(*map(some, RADII)).alias("radius_km"), F.when(some("p90").isNotNull() | some("r90").isNotNull(), 90).when(some("p50").isNotNull(), 50).alias("percentile"))
+
+
+@query(f"""WITH {PLANE_SQL}, v AS (SELECT alert_id, hbr_km * hbr_km / (c_tt + c_nn) AS u, (b_t * b_t + b_n * b_n) / (c_tt + c_nn) AS x FROM plane)
+SELECT alert_id, {R9.format("u * exp(-u - x) * list_sum(list_transform(range(0, 30), lambda k: exp(k * ln(greatest(u * x, 1e-300)) - 2 * lgamma(k + 1))))")} AS first_term FROM v""")
+def first_term_probability(spark, sf_dir):
+    """The first term of the series for every alert, out of the mean variance of its plane."""
+    return plane(spark, sf_dir).select("alert_id", E.floored(E.first_term_pc(*map(F.col, ("b_t", "b_n", "c_tt", "c_nn", "hbr_km"))), 9).alias("first_term"))

@@ -6,10 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.encounters import catalogue_number
+from ..operators.graph import checkpoint
 from ..operators.ordered import with_neighbours
 
-CATALOGUE_SCHEMA = "norad_id string, name string, object_type string, owner string, launch_date string, rcs_m2 string"
-
 
 def element_sets(lines: DataFrame) -> DataFrame:
     """file, line_no, name, norad_id, line1, line2 of every complete triple of lines (file, line_no, line).
@@ -61,8 +60,8 @@ def typed_catalogue(raw: DataFrame) -> DataFrame:
 
 
 def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
-    """The catalogue from CSV with a header, after comment lines that begin with #."""
-    return typed_catalogue(spark.read.csv(path, header=True, comment="#", schema=CATALOGUE_SCHEMA, enforceSchema=False))
+    """The catalogue from CSV with a header, after comment lines that begin with #; columns go by name, further ones are not read."""
+    return typed_catalogue(spark.read.csv(path, header=True, comment="#", escape='"'))
 
 
 def snapshot(full: DataFrame, tracked: DataFrame) -> DataFrame:
@@ -74,8 +73,41 @@ def write_snapshot(full: DataFrame, tracked: DataFrame, path: str) -> None:
     snapshot(full, tracked).write.mode("overwrite").option("header", True).csv(path)
 
 
+# Columns of the public catalogue file and their names in a snapshot, in order.
+SNAPSHOT_COLUMNS = {
+    "NORAD_CAT_ID": "norad_id", "OBJECT_NAME": "name", "OBJECT_ID": "intl_designator", "OBJECT_TYPE": "object_type",
+    "OPS_STATUS_CODE": "ops_status", "OWNER": "owner", "LAUNCH_DATE": "launch_date", "LAUNCH_SITE": "launch_site",
+    "DECAY_DATE": "decay_date", "PERIOD": "period_min", "INCLINATION": "inclination_deg", "APOGEE": "apogee_km",
+    "PERIGEE": "perigee_km", "RCS": "rcs_m2",
+}
+
+
+def snapshot_lines(raw: DataFrame, tracked: DataFrame) -> DataFrame:
+    """norad_id, line: CSV lines of the tracked objects in a catalogue file read as strings (further columns are left out).
+
+    A missing column is an error. Texts are trimmed; a null is an empty field. Rows without a readable id go;
+    repeated ids stay.
+    """
+    gone = [c for c in SNAPSHOT_COLUMNS if c not in raw.columns]
+    if gone:
+        raise ValueError(f"catalogue file lacks the columns {gone}")
+    fields = F.struct(*[F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")).alias(n) for c, n in SNAPSHOT_COLUMNS.items()])
+    line = F.to_csv(fields, {"escape": '"', "emptyValue": ""})
+    rows = raw.select(F.trim(F.col("NORAD_CAT_ID").cast("string")).try_cast("long").alias("norad_id"), line.alias("line")).where("norad_id is not null")
+    return rows.join(tracked.select("norad_id").distinct(), "norad_id", "left_semi")
+
+
+def write_catalogue_snapshot(raw: DataFrame, tracked: DataFrame, path: str, source: str, retrieved: str) -> None:
+    """Write the lines by id, each file with a line on where they come from, then the header; ``read_catalogue`` reads them.
+
+    Both stand before the first line of every partition, so files can be read alone. No tracked object leaves no line at all.
+    """
+    lines = checkpoint(snapshot_lines(raw, tracked))
+    top = f"# source={source} retrieved={retrieved} rows={lines.count()} filter=ids of element files ({tracked.select('norad_id').distinct().count()})\n" + ",".join(SNAPSHOT_COLUMNS.values()) + "\n"
+    first = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)) == 0
+    lines.orderBy("norad_id", "line").select(F.when(first, F.concat(F.lit(top), "line")).otherwise(F.col("line")).alias("value")).write.mode("overwrite").text(path)
+
+
 def read_scenarios(spark: SparkSession, path: str) -> DataFrame:
     """Scenario files by name: one JSON object a file."""
     return spark.read.json(path, multiLine=True).withColumn("scenario", F.regexp_extract(F.input_file_name(), r"([^/]+)\.json$", 1))
-
-
