@@ -10,7 +10,7 @@ from apsidal.functions import encounters as E
 from apsidal.functions import kernels
 from apsidal.functions import frames
 from apsidal.operators.screening import overlapping, screened
-from apsidal.plans import cascade, catalog, manoeuvres, objects as object_plans, reports, review, scores, statistics  # noqa: F401 (each registers its queries)
+from apsidal.plans import cascade, catalog, explanations, manoeuvres, objects as object_plans, reports, review, scores, statistics  # noqa: F401 (each registers its queries)
 from apsidal.plans import frames as frame_plans  # noqa: F401
 from apsidal.sources.catalogue import read_catalogue, read_element_files, read_scenarios, write_snapshot
 from apsidal.sources.derived import objects

@@ -56,3 +56,22 @@ def test_demo_session_open_and_closed(spark):
     rule = lambda open_: one.select(B.authority(F.col("s"), F.col("t"), ~F.col("t"), F.lit("PAY"), ~F.col("t"), F.lit("US"), F.col("t"), F.col("t"), demo_open=open_)).first()[0]
     assert rule(True) == "demo_session" and rule(False) == "demo_session_disabled"
     assert "demo_session_disabled" not in B.ALLOWING
+
+
+def test_sentences_without_facts(spark):
+    from apsidal.functions import text as T
+
+    none = lambda t: F.lit(None).cast(t)
+    event = "struct<event_id:int,state:string,window_h:double,own:boolean,t_rel_s:double,fragments:int,inside:int,nearest_km:double,later:array<struct<minutes:double,p90_km:double>>>"
+    r = spark.range(1).select(
+        T.area(F.lit(0.5), none("double"), none("double"), none("double"), none("double"), F.lit("three_sigma"), F.lit(0)).alias("area"),
+        T.closest(none("string"), F.lit("B"), F.lit(1.0), none("double"), F.lit(3.0), F.lit(0.0), none("double"), none("double"), none("string"), none("string")).alias("alone"),
+        T.closest(F.lit("A"), F.lit("B"), F.lit(1.0), none("double"), F.lit(3.0), F.lit(0.0), none("double"), none("double"), none("string"), none("string")).alias("pair"),
+        T.effect(none("int"), F.lit(0), F.lit(0), F.lit(0), F.lit(4)).alias("effect"),
+        T.debris(none(f"array<{event}>"), none("int"), none("boolean")).alias("unknown"),
+        T.debris(F.from_json(F.lit('[{"event_id": 7, "state": "released", "own": true, "t_rel_s": 0.0, "fragments": 9, "inside": 0, "later": []}, {"event_id": 8, "state": "odd"}, {"event_id": 9, "state": "released", "own": false, "inside": 0}]'), f"array<{event}>"), none("int"), none("boolean")).alias("events"),
+    ).first()
+    assert r.area == "A sphere of radius 500 m centred at an unresolved location at n/a. The radius comes from three sigma; 0 tracked object(s) are inside it at that instant."
+    assert r.alone == T.NO_APPROACH and r.pair == "A and B pass 1.00 km apart (T-3 min). Collision probability (Foster) 0; severity n/a."
+    assert r.effect == T.NO_OPTION + "4 object(s) are downstream of this zone in the cascade graph." and r.unknown == T.NO_BREAKUP + T.RUN_DEBRIS
+    assert r.events == "Debris layer: this is the breakup point of event 7: ~9 fragments ≥10 cm are released here; no fragment of event 9 is inside the zone at TCA (nearest n/a)."
