@@ -61,8 +61,10 @@ def histogram_quantiles(df: DataFrame, keys: list[str], value: str, shares: list
     A part of a group that holds order statistics asked for and more than ``most`` rows is cut into
     equal-width bins between its bounds, and only the bins that hold some go on, round after round; so
     neither a large group nor an outlier leaves many rows to one task. A part of equal values is not ranked.
+    The values are written once: a value out of sums, computed again in another order of its rows, could
+    fall outside the bounds of its own part.
     """
-    rows = df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v"))
+    rows = checkpoint(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).alias("__v")))
     wanted = F.array_distinct(F.flatten(F.array(*[F.array(F.floor((F.col("n") - 1) * s), F.ceil((F.col("n") - 1) * s)) for s in shares])))
     parts = checkpoint(rows.groupBy(*keys).agg(F.min("__v").alias("lo"), F.max("__v").alias("hi"), F.count(F.lit(1)).alias("n")).withColumns({"c": F.col("n"), "before": F.lit(0).cast("long")}))
     open_part = (F.col("c") > most) & (F.col("lo") < F.col("hi"))
