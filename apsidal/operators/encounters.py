@@ -24,7 +24,7 @@ def exposure(alerts: DataFrame, event: Column, weight: Column) -> DataFrame:
     """Exposure per (event, sat): weighted probability, nearest approach and its time, band."""
     rows = endpoints(alerts.withColumn("event", event).withColumn("w", weight), "event", "w", "pc", "miss_km", "tca_h", "alert_id")
     out = rows.groupBy("event", "sat").agg(F.count(F.lit(1)).alias("n"), F.sum("w").alias("fragments"), F.sum(F.col("w") * F.col("pc")).alias("s"), F.max("pc").alias("m"), F.min("miss_km").alias("min_miss_km"), F.min_by("tca_h", F.struct("miss_km", "alert_id")).alias("tca_of_min_h"), F.min("tca_h").alias("first_tca_h"))
-    agg = -F.expm1(-F.col("s"))
+    agg = 1 - F.exp(-F.col("s"))  # the SQL's form: places follow the ninth digit, where expm1 may round to the other side
     return out.select("event", "sat", "n", floored(F.col("fragments")).alias("fragments"), floored(agg, 9).alias("aggregate_pc"), floored(F.col("m"), 9).alias("max_pc"), "min_miss_km", "tca_of_min_h", "first_tca_h", severity(agg, F.col("min_miss_km")).alias("severity"))
 
 

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from apsidal.functions import encounters, objects
+from apsidal.operators import encounters as joins
 from apsidal.operators import graph, statistics
 from apsidal.sources import catalogue
 
@@ -131,3 +132,13 @@ def test_quantiles_of_values_that_differ_a_little_when_computed_again(spark):
     rows = spark.range(4000).selectExpr("id % 40 AS k", "CAST(id DIV 40 AS DOUBLE) AS v").repartition(4).mapInPandas(shaken, "k long, v double")
     got = statistics.histogram_quantiles(rows, ["k"], "v", [0.25, 0.5]).collect()
     assert len(got) == 40 and all(r.n == 100 and abs(r.q0 - 24.75) < 1e-6 and abs(r.q1 - 49.5) < 1e-6 for r in got)
+
+
+def test_exposure_rounds_as_its_sql(spark):
+    """Sums next to a half of the ninth digit: places follow it, so it has to come from the form that the SQL has."""
+    ninth = lambda x: math.floor(x * 1e9 + 0.5)
+    sums = [s for k in range(1, 4000) for s in [-math.log1p(-(k + 0.5) * 1e-9)] if ninth(1 - math.exp(-s)) != ninth(-math.expm1(-s))]
+    rows = [(i, i, -1 - i, s, 1.0, 1.0) for i, s in enumerate(sums)]
+    df = spark.createDataFrame(rows, "alert_id long, sat1 long, sat2 long, pc double, miss_km double, tca_h double")
+    got = {r.sat: r.aggregate_pc for r in joins.exposure(df, F.lit(1), F.lit(1.0)).where("sat >= 0").collect()}
+    assert len(sums) > 100 and got == {i: ninth(1 - math.exp(-s)) / 1e9 for i, s in enumerate(sums)}
