@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.derived import states_at
@@ -64,42 +67,54 @@ def pair_minima(samples: DataFrame, step_s: float, rounds: int = 60) -> DataFram
     ``samples`` has pair, k and the relative state dx..dz, dvx..dvz. Between two samples the relative track
     is the cubic through both states. A sampled minimum with the two intervals beside it is kept if its
     distance less the closing speed times the step does not exceed the least distance sampled of the pair:
-    the others are pruned by that bound. Kept ones are narrowed by golden section.
+    the others are pruned by that bound. Kept ones are narrowed by golden section. Samples are dealt by pair
+    and sorted once; samples that come dealt by pair are not moved.
     """
     d = F.sqrt(reduce(lambda a, b: a + b, [F.col(f"d{c}") * F.col(f"d{c}") for c in "xyz"]))
     speed = F.sqrt(reduce(lambda a, b: a + b, [F.col(f"dv{c}") * F.col(f"dv{c}") for c in "xyz"]))
     w = Window.partitionBy("pair").orderBy("k")
     state = F.struct("k", *[f"d{c}" for c in "xyz"], *[f"dv{c}" for c in "xyz"])
     rows = samples.withColumns({"d": d, "speed": speed, "own": state}).withColumns({"dl": F.lag("d").over(w), "dr": F.lead("d").over(w), "left": F.lag("own").over(w), "right": F.lead("own").over(w)})
-    found = rows.where((F.col("dl").isNull() | (F.col("d") <= F.col("dl"))) & (F.col("dr").isNull() | (F.col("d") <= F.col("dr"))))
-    found = found.withColumn("bound", F.col("d") - F.col("speed") * step_s)
-    least = found.groupBy("pair").agg(F.min("d").alias("least"), F.count(F.lit(1)).alias("minima"))
-    kept = checkpoint(found.join(least, "pair").where("bound <= least").select("pair", "own", "left", "right", "bound", "minima"))
-
-    def at(t: Column) -> Column:
-        """Distance at a time around the sample, in steps from it (-1 to 1)."""
-        right = t >= 0
-        a, b = F.when(right, F.col("own")).otherwise(F.col("left")), F.when(right, F.col("right")).otherwise(F.col("own"))
-        u = F.when(right, t).otherwise(t + 1)
-        h00, h10 = (1 + 2 * u) * (1 - u) * (1 - u), u * (1 - u) * (1 - u)
-        h01, h11 = u * u * (3 - 2 * u), u * u * (u - 1)
-        return F.sqrt(reduce(lambda x, y: x + y, [_square(h00 * a[f"d{c}"] + h10 * step_s * a[f"dv{c}"] + h01 * b[f"d{c}"] + h11 * step_s * b[f"dv{c}"]) for c in "xyz"]))
+    low = (F.col("dl").isNull() | (F.col("d") <= F.col("dl"))) & (F.col("dr").isNull() | (F.col("d") <= F.col("dr")))
+    whole = Window.partitionBy("pair")
+    found = rows.withColumns({"low": low, "bound": F.col("d") - F.col("speed") * step_s})
+    found = found.withColumns({"least": F.min(F.when(F.col("low"), F.col("d"))).over(whole), "minima": F.count_if("low").over(whole)})
+    kept = checkpoint(found.where("low AND bound <= least").select("pair", "own", "left", "right", "bound", "minima"))
 
-    g = (5**0.5 - 1) / 2
-    low, high = F.when(F.col("left").isNull(), 0.0).otherwise(-1.0), F.when(F.col("right").isNull(), 0.0).otherwise(1.0)
+    sides = {"own": "", "left": "_l", "right": "_r"}
+    flat = kept.select("pair", "bound", "minima", *[F.col(f"{side}.{c}").alias(f"{c}{end}") for side, end in sides.items() for c in ("k", *_STATE)])
+    return flat.mapInArrow(lambda batches: _narrowed(batches, step_s, rounds), "pair long, t_s double, d_km double, bound double, minima long")
 
-    def narrow(x: Column, _) -> Column:
-        p, q = x["high"] - g * (x["high"] - x["low"]), x["low"] + g * (x["high"] - x["low"])
-        closer = at(p) <= at(q)
-        return F.struct(F.when(closer, x["low"]).otherwise(p).alias("low"), F.when(closer, q).otherwise(x["high"]).alias("high"))
 
-    span = F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), F.struct(low.alias("low"), high.alias("high")), narrow)
-    out = kept.withColumn("span", span).withColumn("t", (F.col("span.low") + F.col("span.high")) / 2)
-    return out.select("pair", ((F.col("own.k") + F.col("t")) * step_s).alias("t_s"), at(F.col("t")).alias("d_km"), "bound", "minima")
+_STATE = [f"d{v}{c}" for v in ("", "v") for c in "xyz"]
 
 
-def _square(x: Column) -> Column:
-    return F.pow(x, F.lit(2.0))
+def _narrowed(batches: Iterator[pa.RecordBatch], step_s: float, rounds: int) -> Iterator[pa.RecordBatch]:
+    """The minima of a batch, narrowed by golden section over the interval on each side that there is."""
+    g = (5**0.5 - 1) / 2
+    for batch in batches:
+        col = lambda n: batch.column(n).to_numpy(zero_copy_only=False).astype(float)
+        own, left, right = ([col(f"{c}{end}") for c in _STATE] for end in ("", "_l", "_r"))
+
+        def at(t: np.ndarray) -> np.ndarray:
+            """Distance at a time around the sample, in steps from it (-1 to 1)."""
+            after = t >= 0
+            u = np.where(after, t, t + 1)
+            h00, h10 = (1 + 2 * u) * (1 - u) * (1 - u), u * (1 - u) * (1 - u)
+            h01, h11 = u * u * (3 - 2 * u), u * u * (u - 1)
+            a, b = ([np.where(after, x, y) for x, y in zip(*pair, strict=True)] for pair in ((own, left), (right, own)))
+            ends = [h00 * a[i] + h10 * step_s * a[i + 3] + h01 * b[i] + h11 * step_s * b[i + 3] for i in range(3)]
+            # a sample without a neighbour on one side stands at 0, where that side's weights are 0
+            alone = np.isnan(ends[0])
+            return np.sqrt(sum(np.where(alone, own[i], x) ** 2 for i, x in enumerate(ends)))
+
+        low, high = np.where(np.isnan(col("k_l")), 0.0, -1.0), np.where(np.isnan(col("k_r")), 0.0, 1.0)
+        for _ in range(rounds):
+            p, q = high - g * (high - low), low + g * (high - low)
+            closer = at(p) <= at(q)
+            low, high = np.where(closer, low, p), np.where(closer, q, high)
+        t = (low + high) / 2
+        yield pa.RecordBatch.from_arrays([batch.column("pair").cast(pa.int64()), pa.array((col("k") + t) * step_s), pa.array(at(t)), batch.column("bound"), batch.column("minima").cast(pa.int64())], names=["pair", "t_s", "d_km", "bound", "minima"])
 
 
 def radii(points: DataFrame, keys: list[str], least: int = 3) -> DataFrame:

@@ -5,10 +5,12 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from apsidal.functions import vectors
 from apsidal.operators import geometry, manoeuvres, screening, spatial, statistics
+from apsidal.plans import space
 from apsidal.sources.derived import objects
 
 
@@ -165,3 +167,16 @@ def test_quantiles_with_an_outlier(spark):
     for most in (100_000, 200):
         for r in statistics.histogram_quantiles(df, ["g"], "x", [0.05, 0.5, 0.95], bins=64, most=most).collect():
             assert np.allclose([r.q0, r.q1, r.q2], np.quantile(groups[r.g], [0.05, 0.5, 0.95])) and r.n == len(groups[r.g])
+
+
+def test_states_of_pairs_are_not_moved(spark, sf_dir):
+    """Pairs are dealt before their steps are laid out: windows over a pair need no exchange above the steps."""
+    w = Window.partitionBy("pair").orderBy("k")
+    plan = space._relative(spark, sf_dir).withColumn("before", F.lag("dx").over(w))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan.split("Generate")[1] and "Exchange" not in plan.split("Generate")[0]
+
+
+def test_minimum_of_a_pair_seen_once(spark):
+    row = (5, 3, 3.0, 0.0, 4.0, 1.0, 0.0, 0.0)
+    got = spatial.pair_minima(spark.createDataFrame([row], "pair long, k int, dx double, dy double, dz double, dvx double, dvy double, dvz double"), 60.0).collect()
+    assert [tuple(r) for r in got] == [(5, 180.0, 5.0, -55.0, 1)]
