@@ -18,32 +18,36 @@ from .statistics import histogram_quantiles
 CELL_KM = 64.0
 #: Largest speed of an object (km/s), which bounds how far it is from its grid position.
 SPEED_KMS = 8.0
+#: Widening (km) of every ball, against rounding between the step and the exact time.
+SLACK_KM = 1e-3
 
 
-def near_points(queries: DataFrame, objs: DataFrame, step_s: float = 60.0) -> DataFrame:
+def near_points(queries: DataFrame, objs: DataFrame, step_s: float = 60.0, most: int = 500_000) -> DataFrame:
     """q, id, distance_km of all objects within each query's own radius at the query's own time.
 
     ``queries`` has q, t_s, x, y, z, radius_km; ``objs`` are circular orbits. Objects stand in cells at the
     grid step nearest to a query's time, once a step that queries ask for and a level of cells that their
     radii ask for. A query looks into the at most eight cells of its level that its ball, widened by the way
-    of half a step, meets; the level's cells are at least as wide as that ball. What meets is placed at the
-    exact time. So any number of queries shares one placing of the catalogue, radii differ freely, and only
-    pairs in common cells are formed.
+    from the step to its own time, meets; the level's cells are at least as wide as that ball. What meets and
+    lies in the widened ball at the step is placed at the exact time, where it meets: up to ``most`` orbits
+    are broadcast. So any number of queries shares one placing of the catalogue, radii differ freely, and no
+    pair is moved before it is known to be near.
     """
-    reach = F.col("radius_km") + SPEED_KMS * step_s / 2
-    q = queries.withColumn("k", F.floor(F.col("t_s") / step_s + 0.5).cast("int")).withColumn("reach", reach)
+    q = queries.withColumn("k", F.floor(F.col("t_s") / step_s + 0.5).cast("int"))
+    q = q.withColumn("reach", F.col("radius_km") + SPEED_KMS * F.abs(F.col("t_s") - F.col("k") * step_s) + SLACK_KM)
     q = q.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(2 * F.col("reach") / CELL_KM))).cast("int"))
     size = F.lit(CELL_KM) * F.pow(F.lit(2.0), F.col("level"))
     ends = lambda c: F.array_distinct(F.array(F.floor((F.col(c) - F.col("reach")) / size), F.floor((F.col(c) + F.col("reach")) / size)))
     probes = q.withColumn("cx", F.explode(ends("x"))).withColumn("cy", F.explode(ends("y"))).withColumn("cz", F.explode(ends("z")))
     wanted = q.select("k", "level").distinct()  # one row a step and level at most
     placed = states_at(objs.crossJoin(F.broadcast(wanted.select("k").distinct())), step_s).select("id", "k", *[F.col(c).alias(f"o{c}") for c in "xyz"])
-    placed = placed.join(F.broadcast(wanted), "k").select("id", "k", "level", *[F.floor(F.col(f"o{c}") / size).alias(f"c{c}") for c in "xyz"])
-    met = probes.join(placed, ["k", "level", "cx", "cy", "cz"]).select("q", "t_s", "x", "y", "z", "radius_km", "id")
+    placed = placed.join(F.broadcast(wanted), "k").select("id", "k", "level", "ox", "oy", "oz", *[F.floor(F.col(f"o{c}") / size).alias(f"c{c}") for c in "xyz"])
+    apart = lambda a, b: reduce(lambda x, y: x + y, [(F.col(f"{a}{c}") - F.col(f"{b}{c}")) * (F.col(f"{a}{c}") - F.col(f"{b}{c}")) for c in "xyz"])
+    met = probes.join(placed, ["k", "level", "cx", "cy", "cz"]).where(apart("", "o") <= F.col("reach") * F.col("reach")).select("q", "t_s", "x", "y", "z", "radius_km", "id")
     orbit = objs.select("id", "a_km", "inc", "raan", "phase")
+    orbit = F.broadcast(orbit) if orbit.count() <= most else orbit
     exact = states_at(met.select("q", "id", F.col("t_s").alias("k"), F.struct("x", "y", "z", "radius_km").alias("at")).join(orbit, "id"), 1.0, keep=["q", "at"])
-    d = F.sqrt(reduce(lambda a, b: a + b, [(F.col(c) - F.col(f"at.{c}")) * (F.col(c) - F.col(f"at.{c}")) for c in "xyz"]))
-    return exact.withColumn("distance_km", d).where(F.col("distance_km") <= F.col("at.radius_km")).select("q", "id", "distance_km")
+    return exact.withColumn("distance_km", F.sqrt(apart("", "at."))).where(F.col("distance_km") <= F.col("at.radius_km")).select("q", "id", "distance_km")
 
 
 def contained(sets: DataFrame, holders: DataFrame) -> DataFrame:

@@ -180,3 +180,23 @@ def test_minimum_of_a_pair_seen_once(spark):
     row = (5, 3, 3.0, 0.0, 4.0, 1.0, 0.0, 0.0)
     got = spatial.pair_minima(spark.createDataFrame([row], "pair long, k int, dx double, dy double, dz double, dvx double, dvy double, dvz double"), 60.0).collect()
     assert [tuple(r) for r in got] == [(5, 180.0, 5.0, -55.0, 1)]
+
+
+def test_zones_of_one_centre(spark, catalogue):
+    """Zones that share a centre are searched once: each has its own radius still, and the nearest of a centre hold those of its zones."""
+    o = catalogue.limit(40).collect()
+    rows = [(10 * i + j, x.id, 60.0 * i, *map(float, position(x, 60.0 * i)), 300.0 + 900 * j) for i, x in enumerate(o) for j in range(3)]
+    z = spark.createDataFrame(rows, "q long, sat1 long, t_s double, x double, y double, z double, radius_km double")
+    apart = {}
+    objs = catalogue.collect()
+    for r in rows:
+        for s in objs:
+            d = float(np.linalg.norm(position(s, r[2]) - np.array(r[3:6])))
+            if d <= r[6]:
+                apart[r[0], s.id] = d
+    got = {(r.q, r.id): r.distance_km for r in space.zone_pairs(z, catalogue).collect()}
+    assert got.keys() == apart.keys() and all(abs(got[k] - apart[k]) < 1e-6 for k in got)
+    some = {(r.q, r.id) for r in space.zone_pairs(z, catalogue, 5).collect()}
+    for q in {k[0] for k in apart}:
+        nearest = sorted((math.floor(d * 1e6 + 0.5), i) for (p, i), d in apart.items() if p == q)[:5]
+        assert {(q, i) for _, i in nearest} <= some
