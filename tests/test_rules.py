@@ -142,3 +142,10 @@ def test_exposure_rounds_as_its_sql(spark):
     df = spark.createDataFrame(rows, "alert_id long, sat1 long, sat2 long, pc double, miss_km double, tca_h double")
     got = {r.sat: r.aggregate_pc for r in joins.exposure(df, F.lit(1), F.lit(1.0)).where("sat >= 0").collect()}
     assert len(sums) > 100 and got == {i: ninth(1 - math.exp(-s)) / 1e9 for i, s in enumerate(sums)}
+
+
+def test_nearest_is_one_row_a_node(spark):
+    """A path: every node's list in one row, cut at one more than the limit."""
+    steps = [(i, i + d) for i in range(10) for d in (-1, 1) if 0 <= i + d < 10]
+    got = {r.start: [tuple(x) for x in r.reach] for r in graph.nearest(spark.createDataFrame(steps, "a long, b long"), 3).collect()}
+    assert got == {i: sorted((abs(i - j), j) for j in range(10) if j != i)[:4] for i in range(10)}
