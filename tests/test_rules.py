@@ -149,3 +149,17 @@ def test_nearest_is_one_row_a_node(spark):
     steps = [(i, i + d) for i in range(10) for d in (-1, 1) if 0 <= i + d < 10]
     got = {r.start: [tuple(x) for x in r.reach] for r in graph.nearest(spark.createDataFrame(steps, "a long, b long"), 3).collect()}
     assert got == {i: sorted((abs(i - j), j) for j in range(10) if j != i)[:4] for i in range(10)}
+
+
+def test_components_of_a_long_path_in_few_rounds(spark, monkeypatch):
+    ids = [int(i) for i in np.random.default_rng(5).permutation(120)]
+    path = [*zip(ids, ids[1:], strict=False), (5000, 5001), (5001, 5000), (7, 7)]
+    cuts, cut = [], graph.checkpoint
+    monkeypatch.setattr(graph, "checkpoint", lambda df: cuts.append(1) or cut(df))
+    got = {r.node: r.component for r in graph.components(spark.createDataFrame(path, "a long, b long")).collect()}
+    assert got == {**dict.fromkeys(ids, 0), 5000: 5000, 5001: 5000}
+    assert len(cuts) <= 30  # labels that pass on from node to node take 80
+
+
+def test_components_of_no_edges(spark):
+    assert graph.components(spark.createDataFrame([(3, 3)], "a long, b long")).collect() == []
