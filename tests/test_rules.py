@@ -163,3 +163,11 @@ def test_components_of_a_long_path_in_few_rounds(spark, monkeypatch):
 
 def test_components_of_no_edges(spark):
     assert graph.components(spark.createDataFrame([(3, 3)], "a long, b long")).collect() == []
+
+
+def test_tasks_of_repeated_edges_follow_their_number(spark, monkeypatch):
+    monkeypatch.setattr(graph, "ROWS_A_TASK", 100)
+    edges = spark.range(4000).selectExpr("id % 2000 AS a", "id % 2000 + 1 AS b")
+    both = graph.both_ways(edges)
+    assert both.rdd.getNumPartitions() == 80
+    assert sorted(map(tuple, both.collect())) == sorted({(a, b) for i in range(2000) for a, b in ((i, i + 1), (i + 1, i))})
