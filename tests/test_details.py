@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from apsidal.functions import burns as B
 from apsidal.functions import encounters as E
 from apsidal.operators.spatial import radii
+from apsidal.plans import reports
 from apsidal.sources.catalogue import SNAPSHOT_COLUMNS, read_catalogue, snapshot_lines, write_catalogue_snapshot
 
 
@@ -75,3 +76,12 @@ def test_sentences_without_facts(spark):
     assert r.alone == T.NO_APPROACH and r.pair == "A and B pass 1.00 km apart (T-3 min). Collision probability (Foster) 0; severity n/a."
     assert r.effect == T.NO_OPTION + "4 object(s) are downstream of this zone in the cascade graph." and r.unknown == T.NO_BREAKUP + T.RUN_DEBRIS
     assert r.events == "Debris layer: this is the breakup point of event 7: ~9 fragments ≥10 cm are released here; no fragment of event 9 is inside the zone at TCA (nearest n/a)."
+
+
+def test_alert_queue_cuts_before_it_makes_rows_unique(spark, sf_dir, tmp_path):
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    lines.unionByName(lines).write.parquet(f"{tmp_path}/lineitem.parquet")
+    queue = reports.alert_queue(spark, str(tmp_path))
+    assert sorted(map(tuple, queue.collect())) == sorted(map(tuple, reports.alert_queue(spark, sf_dir).collect()))
+    plan = queue._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.rindex("Aggregate") < plan.index("Window")
