@@ -13,13 +13,15 @@ from .screening import _settled, dealt_by_part
 ALL_CELLS = [(i, j, m) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)]
 
 
-def dealt(jobs: DataFrame, key: str) -> DataFrame:
+def dealt(jobs: DataFrame, key: str, most: int | None = None) -> DataFrame:
     """Deal narrow rows by their key before they multiply, so that no multiplied row moves afterwards.
 
-    The number of partitions is given, or the few bytes would be coalesced before they grow.
+    The number of partitions is given, or the few bytes would be coalesced before they grow. ``most``: rows of
+    a partition, about; they are counted, so that a task does not grow with the table.
     """
     spark = jobs.sparkSession
-    return jobs.repartition(max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism), key)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * spark.sparkContext.defaultParallelism)
+    return jobs.repartition(max(parts, -(-jobs.count() // most)) if most else parts, key)
 
 
 def burn_candidates(jobs: DataFrame) -> DataFrame:

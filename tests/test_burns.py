@@ -106,3 +106,9 @@ def test_followed_rate(spark):
     rows = [(1, 0, 0, 0), (1, 1, 1000, 5000), (1, 2, 1050, 9000), (1, 3, 2050, 9000 + 6000), (1, 4, 3050, 100), (2, 5, 0, 0), (None, 6, 0, 0), (None, 7, None, 4), (None, 8, 1000, 3000)]
     got = followed_rate(spark.createDataFrame(rows, "o long, e long, c long, s long"), "o", "c", "s", "e").orderBy("e").collect()
     assert [round(r.rate, 9) for r in got] == [1.0, 5.0, 5.0, 5.2, 5.2, 1.0, 1.0, 1.0, 3.0]
+
+
+def test_tasks_of_dealt_rows_follow_their_number(spark):
+    rows = spark.range(5000).withColumnRenamed("id", "alert_id")
+    assert ops.dealt(rows, "alert_id", 50).rdd.getNumPartitions() == 100
+    assert ops.dealt(rows, "alert_id").rdd.getNumPartitions() == ops.dealt(rows, "alert_id", 5000).rdd.getNumPartitions() == 16
