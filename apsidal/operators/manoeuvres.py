@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.burns import BURN_MS, DIRECTIONS
-from ..sources.derived import grid_by_step
+from ..sources.derived import grid_by_step, states_at
 from .graph import checkpoint
-from .screening import _settled, dealt_by_part
+from .screening import _settled, band_width, dealt_by_part, in_bands
 
+#: Objects times steps that a task of a join in space lays out, and a number above all steps.
+STATES_A_BLOCK, STEP_RANGE = 120_000, 1 << 20
 ALL_CELLS = [(i, j, m) for i in (-1, 0, 1) for j in (-1, 0, 1) for m in (-1, 0, 1)]
 
 
@@ -70,13 +72,13 @@ def fragment_hits(fragments: DataFrame, objs: DataFrame, steps: int, step_s: flo
     """fragment, sat, k, miss_km, t_s, hits: the nearest straight-line approach of every fragment and object below the threshold.
 
     ``active`` says of a fragment's row (id, k) whether it is released and not decayed, ``own`` of a pair
-    (fragment, sat) whether the object is a parent. Both sides are dealt by step; objects enter the 27 cells
-    around theirs, fragments, which are more, only their own; the join moves nothing. The best of a pair is
+    (fragment, sat) whether the object is a parent. Both sides are dealt by step; fragments stream past
+    the 27 cells around theirs, objects stand in their own, in the bands of radius that they can meet, so a task's hash table is small; the join moves nothing. The best of a pair is
     an aggregate that combines before its shuffle; equal misses (to the millimetre) go to the earlier step.
-    The result is computed here and checkpointed.
+    The best steps are computed here and checkpointed.
     """
     with dealt_by_part(objs.sparkSession):
-        return checkpoint(_fragment_hits(fragments, objs, steps, step_s, F.lit(threshold_km), threshold_km, active, own, speed_kms))
+        return _fragment_hits(fragments, objs, steps, step_s, F.lit(threshold_km), threshold_km, active, own, speed_kms)
 
 
 def corridor_hits(movers: DataFrame, objs: DataFrame, steps: int, step_s: float, gate: Column, widest_km: float, own: Column, speed_kms: float = 16.0) -> DataFrame:
@@ -86,7 +88,7 @@ def corridor_hits(movers: DataFrame, objs: DataFrame, steps: int, step_s: float,
     The catalogue is laid out once, however many movers there are.
     """
     with dealt_by_part(objs.sparkSession):
-        return checkpoint(_fragment_hits(movers, objs, steps, step_s, F.least(gate, F.lit(widest_km)), widest_km, F.lit(True), own, speed_kms))
+        return _fragment_hits(movers, objs, steps, step_s, F.least(gate, F.lit(widest_km)), widest_km, F.lit(True), own, speed_kms)
 
 
 def _fragment_hits(fragments: DataFrame, objs: DataFrame, steps: int, step_s: float, gate: Column, widest_km: float, active: Column, own: Column, speed_kms: float) -> DataFrame:
@@ -96,16 +98,43 @@ def _fragment_hits(fragments: DataFrame, objs: DataFrame, steps: int, step_s: fl
     state = ["x", "y", "z", "vx", "vy", "vz"]
     at = [F.floor(F.col(c) / radius) + 1024 for c in "xyz"]
     cell = ((at[0] * 2048 + at[1]) * 2048 + at[2]).alias("cell")
-    f = _settled(grid_by_step(fragments, steps, step_s)).where(active).select("k", cell, F.col("id").alias("fragment"), *state)
+    width = band_width(widest_km, half)
+    block = max(2, min(8, STATES_A_BLOCK // max(1, objs.count())))
+    laid = lambda df: _settled(grid_by_step(df, steps, step_s, keep=["a_km"], block=block))
+    f = in_bands(laid(fragments).where(active), width).select("block", "k", cell, "band", F.col("id").alias("fragment"), *state)
     ways = spark.createDataFrame([((x * 2048 + y) * 2048 + z,) for x, y, z in ALL_CELLS], "way long")
-    s = _settled(grid_by_step(objs, steps, step_s)).select("k", cell, F.col("id").alias("sat"), *[F.col(c).alias(f"{c}2") for c in state])
-    s = s.crossJoin(F.broadcast(ways)).withColumn("cell", F.col("cell") + F.col("way")).drop("way")  # 27 rows
-    both = f.join(s.hint("shuffle_hash"), ["k", "cell"]).where(~own)
+    f = f.crossJoin(F.broadcast(ways)).withColumn("cell", F.col("cell") + F.col("way")).drop("way")  # 27 rows
+    s = in_bands(laid(objs), width, both=True).select("block", "k", cell, "band", F.col("id").alias("sat"), *[F.col(c).alias(f"{c}2") for c in state])
+    both = f.join(s.hint("shuffle_hash"), ["block", "k", "cell", "band"]).where(~own)
+    miss, _ = _straight(half)
+    hits = _settled(_relative(both, "fragment", "sat", "k").where(F.col("dd") <= radius * radius).withColumn("miss_km", miss)).where(F.col("miss_km") < gate)
+    # the best step as one number, nearest to the millimetre, then the earlier: it is combined by hashes and moves as sixteen bytes
+    order = F.floor(F.col("miss_km") * 1e6 + 0.5) * STEP_RANGE + F.col("k")
+    best = hits.groupBy("fragment", "sat").agg(F.min(order).alias("best"), F.count(F.lit(1)).alias("hits"))
+    best = checkpoint(best.select("fragment", "sat", (F.col("best") % STEP_RANGE).cast("int").alias("k"), "hits"))
+    # what came nearest is placed again at that step
+    one = states_at(best.withColumn("id", F.col("fragment")).join(_small(fragments), "id"), step_s, ["sat", "hits"])
+    one = one.select(F.col("id").alias("fragment"), "k", "hits", F.col("sat").alias("id"), F.struct(*state).alias("one"))
+    two = states_at(one.join(_small(objs), "id"), step_s, ["fragment", "hits", "one"])
+    pair = two.select("fragment", F.col("id").alias("sat"), "k", "hits", *[F.col(c).alias(f"{c}2") for c in state], "one.*")
+    near = _relative(pair, "fragment", "sat", "k", "hits")
+    miss, t = _straight(half)
+    return near.select("fragment", "sat", "k", miss.alias("miss_km"), (F.col("k") * step_s + t).alias("t_s"), "hits")
+
+
+def _small(orbits: DataFrame, most: int = 2_000_000) -> DataFrame:
+    orbits = orbits.select("id", "a_km", "inc", "raan", "phase")
+    return F.broadcast(orbits) if orbits.count() <= most else orbits
+
+
+def _relative(rows: DataFrame, *keep: str) -> DataFrame:
+    """The columns to keep with the products dd, dv, vv of the relative state of two (x and x2, and so on)."""
     d, v = [F.col(c) - F.col(f"{c}2") for c in "xyz"], [F.col(f"v{c}") - F.col(f"v{c}2") for c in "xyz"]
     dot = lambda a, b: a[0] * b[0] + a[1] * b[1] + a[2] * b[2]
-    both = _settled(both.select("fragment", "sat", "k", dot(d, d).alias("dd"), dot(d, v).alias("dv"), dot(v, v).alias("vv")).where(F.col("dd") <= radius * radius))
+    return _settled(rows.select(*keep, dot(d, d).alias("dd"), dot(d, v).alias("dv"), dot(v, v).alias("vv")))
+
+
+def _straight(half: float) -> tuple[Column, Column]:
+    """Nearest distance of two straight lines within half a step, and its time from the step."""
     t = F.greatest(F.lit(-half), F.least(F.lit(half), -F.col("dv") / F.greatest(F.col("vv"), F.lit(1e-12))))
-    miss = F.sqrt(F.greatest(F.lit(0.0), F.col("dd") + 2 * t * F.col("dv") + t * t * F.col("vv")))
-    hits = _settled(both.select("fragment", "sat", "k", miss.alias("miss_km"), (F.col("k") * step_s + t).alias("t_s"))).where(F.col("miss_km") < gate)
-    best = F.min_by(F.struct("k", "miss_km", "t_s"), F.struct(F.floor(F.col("miss_km") * 1e6 + 0.5), F.col("k")))
-    return hits.groupBy("fragment", "sat").agg(best.alias("b"), F.count(F.lit(1)).alias("hits")).select("fragment", "sat", "b.*", "hits")
+    return F.sqrt(F.greatest(F.lit(0.0), F.col("dd") + 2 * t * F.col("dv") + t * t * F.col("vv"))), t
