@@ -3,8 +3,9 @@
 import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
-from apsidal.operators import manoeuvres
+from apsidal.operators import manoeuvres, screening
 from apsidal.plans import catalog, space
 
 from .oracle import mismatch
@@ -25,3 +26,23 @@ def test_corridors_of_copies(spark, copied, monkeypatch):
     got, want, bad = mismatch(spark, space.burn_corridors, catalog.ORACLES["burn_corridors"], copied)
     assert got == want > 0 and not bad, (got, want, bad)
     assert flown == [750]
+
+
+@pytest.mark.parametrize("name", ["screening", "capped_candidates"])
+def test_pairs_of_copies(spark, copied, monkeypatch, name):
+    """The search reads 75 orbits; its pairs, those of copies too, are named by all 110 objects."""
+    read = []
+    monkeypatch.setattr(screening, "_candidates", lambda objs, *rest, seek=screening._candidates: (read.append(objs.count()), seek(objs, *rest))[1])
+    got, want, bad = mismatch(spark, catalog.QUERIES[name], catalog.ORACLES[name], copied)
+    if name == "capped_candidates":  # the time of approach of two copies is any time
+        assert not bad, bad
+    assert got == want > 0 and read == [75]
+
+
+def test_bands_hold_every_pair(spark):
+    """Radii that differ by at most the width share one band exactly once."""
+    a = [(i, 6800.0 + 7.3 * i) for i in range(60)]
+    df = spark.createDataFrame(a, "id long, a_km double")
+    one, two = screening.in_bands(df, 25.0), screening.in_bands(df, 25.0, both=True).select(F.col("id").alias("other"), "band")
+    met = [(r.id, r.other) for r in one.join(two, "band").collect()]
+    assert len(met) == len(set(met)) and {(i, j) for i, x in a for j, y in a if abs(x - y) <= 25.0} <= set(met)
