@@ -97,15 +97,24 @@ def illumination(r: Vec, micros: Column) -> Column:
     return F.when(along >= 0, "sunlit").when(off < SHADOW_KM, "eclipse").otherwise("sunlit")
 
 
-def elements(r: Vec, v: Vec) -> dict[str, Column]:
-    """a, e, i, raan, aop, ta (km, degrees) with the circular and equatorial branches; null for a parabola or no orbit."""
+def element_parts(r: Vec, v: Vec) -> dict[str, Column]:
+    """What ``elements`` uses again and again: momentum, eccentricity vector, their sizes, energy."""
     h = cross(r, v)
-    rm, hm = norm(r), norm(h)
-    n = [-h[1], h[0], F.lit(0.0)]
-    nm = norm(n)
+    rm = norm(r)
     ev = [((dot(v, v) - MU / rm) * r[i] - dot(r, v) * v[i]) / MU for i in range(3)]
-    e = norm(ev)
-    energy = dot(v, v) / 2 - MU / rm
+    sizes = {"rm": rm, "hm": norm(h), "nm": norm([-h[1], h[0], F.lit(0.0)]), "em": norm(ev), "energy": dot(v, v) / 2 - MU / rm}
+    return {**{f"h{i}": x for i, x in enumerate(h)}, **{f"ev{i}": x for i, x in enumerate(ev)}, **sizes}
+
+
+def elements(r: Vec, v: Vec, parts: dict[str, Column] | None = None) -> dict[str, Column]:
+    """a, e, i, raan, aop, ta (km, degrees) with the circular and equatorial branches; null for a parabola or no orbit.
+
+    ``parts``: the columns of ``element_parts`` where they are computed already, so that no branch computes them again.
+    """
+    parts = parts or element_parts(r, v)
+    h, ev = ([parts[f"{n}{i}"] for i in range(3)] for n in ("h", "ev"))
+    rm, hm, nm, e, energy = (parts[n] for n in ("rm", "hm", "nm", "em", "energy"))
+    n = [-h[1], h[0], F.lit(0.0)]
     turn = lambda y, x: F.pmod(F.degrees(F.atan2(y, x)), F.lit(360.0))
     tilted, oval = nm > TINY, e > TINY
     aop = F.when(oval & tilted, turn(dot(cross(n, ev), h) / (nm * e * hm), dot(n, ev) / (nm * e))).otherwise(0.0)

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions import frames as R
 from ..functions.encounters import floored
+from ..operators.manoeuvres import dealt
+from ..operators.screening import _settled
 from ..operators.spatial import radii
 from ..sources.derived import GRID_SQL, OBJECTS_SQL, grid, objects, table
 from .catalog import R6, query
@@ -18,10 +20,17 @@ R3 = "floor(({}) * 1e3 + 0.5) / 1e3"
 
 
 def states(spark, sf_dir):
-    g = grid(objects(spark, sf_dir), STEPS).withColumn("us", F.lit(EPOCH_US) + F.col("k").cast("long") * 60000000)
+    """States and their columns. The objects are dealt before their steps are laid out, as a catalogue of one file is one task; states are computed once."""
+    g = _settled(grid(dealt(objects(spark, sf_dir), "id"), STEPS)).withColumn("us", F.lit(EPOCH_US) + F.col("k").cast("long") * 60000000)
     return g, [F.col(c) for c in "xyz"], [F.col(c) for c in ("vx", "vy", "vz")]
 
 
+def _with_elements(g, r, v):
+    """The states with the parts of their elements as columns, and the elements out of these."""
+    parts = R.element_parts(r, v)
+    return _settled(g.withColumns(parts)), R.elements(r, v, {n: F.col(n) for n in parts})
+
+
 @query(f"WITH {STATES_SQL} SELECT id, k, floor(sqrt(vx*vx + vy*vy + vz*vz) * 3600 * 100 + 0.5) / 100 AS speed_kmh, floor((sqrt(x*x + y*y + z*z) - 6371) * 100 + 0.5) / 100 AS altitude_km FROM states")
 def snapshot_rows(spark, sf_dir):
     """Speed and height of every object at every step."""
@@ -48,8 +57,9 @@ _ROUNDS = "".join(f", l{i} AS (SELECT *, atan2(fz + {E2} * 6378.137 / sqrt(1 - {
 def geodetic_points(spark, sf_dir):
     """Geodetic coordinates by fixed-point rounds."""
     g, r, _ = states(spark, sf_dir)
-    lat, lon, height = R.geodetic(R.turned(r, R.gmst(F.col("us"))))
-    return g.select("id", "k", floored(lat).alias("lat"), floored(lon).alias("lon"), floored(height, 3).alias("height_km"))
+    fixed = _settled(g.select("id", "k", *[x.alias(n) for x, n in zip(R.turned(r, R.gmst(F.col("us"))), "xyz", strict=True)]))  # not once a round
+    lat, lon, height = R.geodetic(r)
+    return fixed.select("id", "k", floored(lat).alias("lat"), floored(lon).alias("lon"), floored(height, 3).alias("height_km"))
 
 
 @query(f"""WITH {STATES_SQL}, s AS (SELECT *, radians((280.460 + 0.9856474 * d) % 360) AS ml, radians((357.528 + 0.9856003 * d) % 360) AS g, radians(23.439 - 0.0000004 * d) AS eps FROM states), l AS (SELECT *, ml + radians(1.915) * sin(g) + radians(0.020) * sin(2 * g) AS lam, (1.00014 - 0.01671 * cos(g) - 0.00014 * cos(2 * g)) * 149597870.7 AS au FROM s), u AS (SELECT *, x * cos(lam) + y * cos(eps) * sin(lam) + z * sin(eps) * sin(lam) AS along FROM l)
@@ -67,8 +77,7 @@ SELECT id, k, {R3.format('-mu / (2 * energy)')} AS a, {R6.format('e')} AS e, {R6
 def orbit_elements(spark, sf_dir):
     """Semi-major axis, eccentricity, inclination and node of every state (angles of the apse are left to the tests)."""
     g, r, v = states(spark, sf_dir)
-    v = [v[0], v[1] * (1 + 0.001 * (1 + F.col("id") % 5)), v[2]]
-    e = R.elements(r, v)
+    g, e = _with_elements(g, r, [v[0], v[1] * (1 + 0.001 * (1 + F.col("id") % 5)), v[2]])
     return g.select("id", "k", floored(e["a"], 3).alias("a"), floored(e["e"]).alias("e"), floored(e["i"]).alias("i"), floored(e["raan"]).alias("raan"))
 
 
@@ -115,7 +124,7 @@ SELECT id, k, floor(aop * 1e4 + 0.5) / 1e4 AS aop, floor(ta * 1e4 + 0.5) / 1e4 A
 def orbit_apses(spark, sf_dir):
     """Argument of the apse and true anomaly of every state."""
     g, r, v = states(spark, sf_dir)
-    e = R.elements(r, [v[0], v[1] * (1 + 0.001 * (1 + F.col("id") % 5)), v[2]])
+    g, e = _with_elements(g, r, [v[0], v[1] * (1 + 0.001 * (1 + F.col("id") % 5)), v[2]])
     return g.select("id", "k", floored(e["aop"], 4).alias("aop"), floored(e["ta"], 4).alias("ta"))
 
 

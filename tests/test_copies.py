@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from apsidal.operators import manoeuvres, screening
-from apsidal.plans import catalog, space
+from apsidal.plans import catalog, frames, space
 from apsidal.plans import manoeuvres as plans
 
 from .oracle import mismatch
@@ -57,3 +57,8 @@ def test_fragments_of_copies(spark, copied, monkeypatch, name):
     got, want, bad = mismatch(spark, catalog.QUERIES[name], catalog.ORACLES[name], copied)
     assert got == want > 0 and not bad, (got, want, bad)
     assert flown == [(300, 75)]
+
+
+def test_states_of_one_file(spark, sf_dir):
+    """A catalogue of one file is dealt before its steps are laid out, so many tasks compute the states."""
+    assert frames.states(spark, sf_dir)[0].rdd.getNumPartitions() >= 8
