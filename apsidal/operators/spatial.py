@@ -53,16 +53,24 @@ def near_points(queries: DataFrame, objs: DataFrame, step_s: float = 60.0, most:
 def contained(sets: DataFrame, holders: DataFrame) -> DataFrame:
     """s, h of every set (rows s, element) whose elements all are in a holder (rows h, element).
 
-    A set is looked up by its element that the fewest holders have; the other elements then confirm. So a
-    popular element forms no pairs unless a set has nothing rarer.
+    Holders are numbered, and an element has one row for 64 of them, a word whose bits say which hold it. So a set meets
+    words, not holders, and only those that its element with the fewest words has: what they have in common with the
+    words of its other elements are the holders of the whole set.
     """
-    sets, holders = sets.distinct(), checkpoint(holders.distinct())
-    held = holders.groupBy("element").agg(F.count(F.lit(1)).alias("n"))
+    sets = sets.distinct()
+    numbered = checkpoint(holders.select("h").distinct().withColumn("at", F.monotonically_increasing_id()))
+    numbered = F.broadcast(numbered) if numbered.count() <= 1_000_000 else numbered
+    word, bit = F.floor(F.col("at") / 64).alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))
+    words = checkpoint(holders.join(numbered, "h").groupBy("element", word).agg(F.bit_or(bit).alias("bits")))
+    held = words.groupBy("element").agg(F.count(F.lit(1)).alias("n"))
     known = checkpoint(sets.join(held, "element", "left").withColumn("n", F.coalesce("n", F.lit(0))))
     rarest = known.groupBy("s").agg(F.min_by("element", F.struct("n", "element")).alias("element"), F.min("n").alias("least"), F.count(F.lit(1)).alias("size")).where("least > 0")
-    first = rarest.join(holders, "element").select("s", "h", "size", F.col("element").alias("probe"))
-    rest = first.join(known.select("s", "element"), "s").where("element <> probe").join(holders, ["h", "element"]).groupBy("s", "h").agg(F.count(F.lit(1)).alias("more"))
-    return first.join(rest, ["s", "h"], "left").where(F.coalesce("more", F.lit(0)) + 1 == F.col("size")).select("s", "h")
+    first = rarest.join(words, "element").select("s", "word", "bits", "size", F.col("element").alias("probe"))
+    rest = first.select("s", "word", "size", "probe").join(known.select("s", "element"), "s").where("element <> probe").join(words, ["element", "word"])
+    met = first.select("s", "word", "bits", "size").unionByName(rest.select("s", "word", "bits", "size"))
+    whole = met.groupBy("s", "word").agg(F.bit_and("bits").alias("bits"), F.count(F.lit(1)).alias("met"), F.max("size").alias("size")).where("met = size AND bits <> 0")
+    at = F.explode(F.expr("filter(sequence(0, 63), i -> (shiftrightunsigned(bits, i) & 1L) = 1L)"))
+    return whole.select("s", "word", at.alias("i")).withColumn("at", F.col("word") * 64 + F.col("i")).join(numbered, "at").select("s", "h")
 
 
 def pair_minima(samples: DataFrame, step_s: float, rounds: int = 60) -> DataFrame:

@@ -5,7 +5,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from apsidal.operators import manoeuvres, screening
+from apsidal.operators import manoeuvres, screening, spatial
 from apsidal.plans import catalog, frames, space
 from apsidal.plans import manoeuvres as plans
 
@@ -62,3 +62,14 @@ def test_fragments_of_copies(spark, copied, monkeypatch, name):
 def test_states_of_one_file(spark, sf_dir):
     """A catalogue of one file is dealt before its steps are laid out, so many tasks compute the states."""
     assert frames.states(spark, sf_dir)[0].rdd.getNumPartitions() >= 8
+
+
+def test_holders_as_words(spark, monkeypatch):
+    """What is kept of 640 holders of the same elements is 64 to a row, not a row each; sets still get every holder."""
+    kept = []
+    monkeypatch.setattr(spatial, "checkpoint", lambda df, keep=spatial.checkpoint: (kept.append(keep(df)), kept[-1])[1])
+    holders = spark.createDataFrame([(h, e) for h in range(640) for e in (1, 2, 3) if h % 7 or e < 3], "h long, element long")
+    sets = spark.createDataFrame([(10, 1), (10, 2), (11, 1), (11, 3), (12, 3), (12, 4)], "s long, element long")
+    got = sorted((r.s, r.h) for r in spatial.contained(sets, holders).collect())
+    assert got == [(10, h) for h in range(640)] + [(11, h) for h in range(640) if h % 7]
+    assert max(df.count() for df in kept) <= 640 < holders.count()
