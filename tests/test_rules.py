@@ -105,6 +105,51 @@ def test_downstream(spark, limit):
     assert onward(pairs, [-1], (1, 3), 50)[0] == (5, 1) and (10, 1) in onward(pairs, [-1], (8, 9), 50)
 
 
+@pytest.mark.parametrize("limit", [2, 5, 50])
+def test_downstream_counts(spark, limit):
+    """As long as the lists are, of every pair, repeats kept: hubs, pairs with two starts, unreached parts, paths that lead to a hub."""
+    rng = np.random.default_rng(limit)
+    pairs = [(-1, 1), (-1, 0), (0, 1), (1, 2), (2, 4), (1, 3), (4, 5), (3, 5), (5, 6), (6, 7), (4, 30), (4, 31), (4, 32), (8, 9), (9, 10), (10, 11), (9, 12), (12, 8), (20, 21)]
+    pairs += [(2, 100 + i) for i in range(200)] + [(10, 400 + i) for i in range(200)] + [(400, 700)] + [(1000 + i, 1001 + i) for i in range(9)] + [(1009, 1100 + i) for i in range(60)] + [(-2, 1000)]
+    pairs += [(-3, 2000), (2000, 2001), (2000, 2002), (2001, 2002), (2001, 2003), (2002, 2003), (2002, 2004)] + [(2001, 2100 + i) for i in range(30)] + [(2002, 2120 + i) for i in range(30)]
+    pairs += [(5000 + int(a), 5000 + int(b)) for a, b in rng.integers(0, 120, (130, 2)) if a < b] + [(-4, 5003), (-4, 5050)]
+    pairs = sorted(set(pairs))
+    alerts = [p for p in pairs if p[0] >= 0]
+    e = spark.createDataFrame(pairs * 2, "a long, b long")
+    ends = spark.createDataFrame([(f"{a}-{b}-{i}", a, b) for a, b in alerts for i in range(2)] + [(f"{b}-{a}-2", b, a) for a, b in alerts], "name string, one long, two long")
+    got = graph.downstream_counts(e, spark.createDataFrame([(-1,), (-2,), (-3,), (-4,)], "node long"), ends, limit).collect()
+    want = {p: len(onward(pairs, [-1, -2, -3, -4], p, limit)) for p in alerts}
+    assert len(got) == 3 * len(alerts) and {(r.name, r.n) for r in got} == {(r.name, want.get((r.one, r.two), want.get((r.two, r.one)))) for r in got}
+    assert set(range(min(limit, 4))) | {limit} <= set(want.values())
+
+
+def test_counts_hand_on_no_lists_of_hubs(spark, monkeypatch):
+    """Nodes next to a hub are counted by what the search says of it: no list is made or kept for them."""
+    pairs = [(-1, 10_000 + f) for f in range(40)] + [(10_000 + f, s) for f in range(40) for s in range(f % 5, 20, 5)] + [(s, 100 + p) for s in range(20) for p in range(s, 400, 4)]
+    kept, cut = [], graph.checkpoint
+
+    def watched(df):
+        out = cut(df)
+        kept.extend(r.n for c in ("reach", "few") if c in out.columns for r in out.selectExpr(f"sum(size({c})) AS n").collect())
+        return out
+
+    monkeypatch.setattr(graph, "checkpoint", watched)
+    ends = spark.createDataFrame([p for p in pairs if p[0] >= 0], "one long, two long")
+    got = graph.downstream_counts(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame([(-1,)], "node long"), ends).collect()
+    assert {(r.one >= 10_000, r.n) for r in got} == {(True, 50), (False, 0)}
+    assert not any(kept)
+
+
+def test_the_layout_is_not_dealt_again(spark, monkeypatch):
+    """A hub's neighbours take several rows, and a join on the node keeps the layout's tasks."""
+    monkeypatch.setattr(graph, "NEIGHBOURS_A_ROW", 16)
+    near = graph.packed(spark.range(100).selectExpr("0L AS a", "id + 1 AS b"))
+    assert sorted(len(r.bs) for r in near.where("a = 0").collect()) == [4] + [16] * 6
+    front = spark.range(50).selectExpr("id AS node").hint("shuffle_hash")
+    joined = front.join(near, front["node"] == near["a"])
+    assert joined._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+
+
 def test_element_names(spark):
     lines = ["1 00005U lone", "0 VANGUARD ", "1 T0001U a", "2 x", "# note", "1 t0001U b  ", "0 TWO", "0 THREE", "1 I0001U bad", "1     7U c", "1 1A001U bad"]
     rows = [("f", i * 3000, x) for i, x in enumerate(lines)] + [("g", 1, "1 00005U other")]
