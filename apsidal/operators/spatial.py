@@ -11,7 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.derived import states_at
-from .graph import checkpoint
+from .graph import ROWS_A_TASK, checkpoint
+from .screening import _settled, copies, dealt_by_part
 from .statistics import histogram_quantiles
 
 #: Edge (km) of the smallest cells; each level doubles it.
@@ -20,34 +21,70 @@ CELL_KM = 64.0
 SPEED_KMS = 8.0
 #: Widening (km) of every ball, against rounding between the step and the exact time.
 SLACK_KM = 1e-3
+#: Names of the cells of a level; cells may share one. The level is the rest of the number, 0 to 31.
+CELL_NAMES = 1 << 26
+
+
+def dealt_by_step(queries: DataFrame, key: str, step_s: float = 60.0) -> tuple[DataFrame, tuple[int, int]]:
+    """queries (with t_s) and the column deal, by which they are dealt; and the numbers of shares of a step and of tasks.
+
+    A deal is a share of the queries of one grid step: k * shares + share, the share by the hash of ``key``. A step has as many
+    shares as fill the tasks, whose number follows that of the queries.
+    """
+    spark, k = queries.sparkSession, F.floor(F.col("t_s") / step_s + 0.5)
+    n, steps = queries.agg(F.count(F.lit(1)), F.count_distinct(k)).first()
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism, -(-n // ROWS_A_TASK))
+    shares = max(1, -(-4 * tasks // max(1, steps)))
+    return queries.withColumn("deal", (k * shares + F.pmod(F.hash(key), F.lit(shares))).cast("int")).repartition(tasks, "deal"), (shares, tasks)
+
+
+def near_orbits(queries: DataFrame, orbits: DataFrame, layout: tuple[int, int], keys: list[str], step_s: float = 60.0, most: int = 500_000) -> DataFrame:
+    """deal, keys, id, distance_km of all orbits within each query's own radius at the query's own time.
+
+    ``queries`` has deal, t_s, x, y, z, radius_km and comes from ``dealt_by_step``; ``orbits`` are circular. Every deal places the
+    orbits, of which up to ``most`` are broadcast, at its step, in cells of the levels that its radii ask for. A query looks
+    into the at most 27 cells of its level that its ball, widened by the way from the step to its own time, meets; what lies
+    in the widened ball at the step is placed at the exact time. So no pair is moved, and the pairs stay dealt as the queries
+    are, if the job runs under ``dealt_by_part``.
+    """
+    shares, tasks = layout
+    k = F.floor(F.col("deal") / shares)
+    q = queries.withColumn("reach", F.col("radius_km") + SPEED_KMS * F.abs(F.col("t_s") - k * step_s) + SLACK_KM)
+    q = q.withColumn("level", F.greatest(F.lit(0), F.least(F.lit(31), F.ceil(F.log2(F.col("reach") / CELL_KM)))).cast("int"))
+    q = q.withColumn("size", F.lit(CELL_KM) * F.pow(F.lit(2.0), F.col("level")))
+    along = lambda c: F.sequence(F.floor((F.col(c) - F.col("reach")) / F.col("size")), F.floor((F.col(c) + F.col("reach")) / F.col("size")))
+    # deal and cell are one number to the join; a query asks for each name once, and what another cell of that name holds is too far
+    named = lambda level, x, y, z: F.pmod(F.hash(x, y, z), F.lit(CELL_NAMES)) + level * CELL_NAMES
+    cells = F.flatten(F.transform(along("x"), lambda x: F.flatten(F.transform(along("y"), lambda y: F.transform(along("z"), lambda z: named(F.col("level"), x, y, z))))))
+    probes = q.withColumn("cell", F.explode(F.array_distinct(cells)))
+    wanted = q.groupBy("deal").agg(F.collect_set(F.struct("level", "size")).alias("levels"))
+    orbit = orbits.select("id", "a_km", "inc", "raan", "phase")
+    if orbits.count() <= most:
+        orbit = F.broadcast(orbit)
+        met = wanted.crossJoin(orbit)
+    else:
+        met = orbit.crossJoin(F.broadcast(wanted)).repartition(tasks, "deal")
+    placed = states_at(met.withColumn("k", k), step_s, ["deal", "levels"]).select("deal", "id", F.explode("levels").alias("of"), *[F.col(c).alias(f"o{c}") for c in "xyz"])
+    placed = placed.select("deal", "id", "ox", "oy", "oz", named(F.col("of.level"), *[F.floor(F.col(f"o{c}") / F.col("of.size")) for c in "xyz"]).alias("cell"))
+    apart = lambda a, b: reduce(lambda x, y: x + y, [(F.col(f"{a}{c}") - F.col(f"{b}{c}")) * (F.col(f"{a}{c}") - F.col(f"{b}{c}")) for c in "xyz"])
+    both = placed.join(probes.hint("shuffle_hash"), ["deal", "cell"]).where(apart("", "o") <= F.col("reach") * F.col("reach"))
+    both = both.select("deal", *keys, "id", F.col("t_s").alias("k"), F.struct("x", "y", "z", "radius_km").alias("at")).join(orbit, "id")
+    exact = states_at(both, 1.0, keep=["deal", *keys, "at"])
+    exact = _settled(exact.withColumn("distance_km", F.sqrt(apart("", "at."))).select("deal", *keys, "id", "distance_km", F.col("at.radius_km").alias("__radius")))
+    return exact.where("distance_km <= __radius").drop("__radius")
 
 
 def near_points(queries: DataFrame, objs: DataFrame, step_s: float = 60.0, most: int = 500_000) -> DataFrame:
     """q, id, distance_km of all objects within each query's own radius at the query's own time.
 
-    ``queries`` has q, t_s, x, y, z, radius_km; ``objs`` are circular orbits. Objects stand in cells at the
-    grid step nearest to a query's time, once a step that queries ask for and a level of cells that their
-    radii ask for. A query looks into the at most eight cells of its level that its ball, widened by the way
-    from the step to its own time, meets; the level's cells are at least as wide as that ball. What meets and
-    lies in the widened ball at the step is placed at the exact time, where it meets: up to ``most`` orbits
-    are broadcast. So any number of queries shares one placing of the catalogue, radii differ freely, and no
-    pair is moved before it is known to be near.
+    ``queries`` has q, t_s, x, y, z, radius_km; ``objs`` are circular orbits. The search is over different orbits (``near_orbits``),
+    and what is near is named by all objects of its orbit, where no pair moves.
     """
-    q = queries.withColumn("k", F.floor(F.col("t_s") / step_s + 0.5).cast("int"))
-    q = q.withColumn("reach", F.col("radius_km") + SPEED_KMS * F.abs(F.col("t_s") - F.col("k") * step_s) + SLACK_KM)
-    q = q.withColumn("level", F.greatest(F.lit(0), F.ceil(F.log2(2 * F.col("reach") / CELL_KM))).cast("int"))
-    size = F.lit(CELL_KM) * F.pow(F.lit(2.0), F.col("level"))
-    ends = lambda c: F.array_distinct(F.array(F.floor((F.col(c) - F.col("reach")) / size), F.floor((F.col(c) + F.col("reach")) / size)))
-    probes = q.withColumn("cx", F.explode(ends("x"))).withColumn("cy", F.explode(ends("y"))).withColumn("cz", F.explode(ends("z")))
-    wanted = q.select("k", "level").distinct()  # one row a step and level at most
-    placed = states_at(objs.crossJoin(F.broadcast(wanted.select("k").distinct())), step_s).select("id", "k", *[F.col(c).alias(f"o{c}") for c in "xyz"])
-    placed = placed.join(F.broadcast(wanted), "k").select("id", "k", "level", "ox", "oy", "oz", *[F.floor(F.col(f"o{c}") / size).alias(f"c{c}") for c in "xyz"])
-    apart = lambda a, b: reduce(lambda x, y: x + y, [(F.col(f"{a}{c}") - F.col(f"{b}{c}")) * (F.col(f"{a}{c}") - F.col(f"{b}{c}")) for c in "xyz"])
-    met = probes.join(placed, ["k", "level", "cx", "cy", "cz"]).where(apart("", "o") <= F.col("reach") * F.col("reach")).select("q", "t_s", "x", "y", "z", "radius_km", "id")
-    orbit = objs.select("id", "a_km", "inc", "raan", "phase")
-    orbit = F.broadcast(orbit) if orbit.count() <= most else orbit
-    exact = states_at(met.select("q", "id", F.col("t_s").alias("k"), F.struct("x", "y", "z", "radius_km").alias("at")).join(orbit, "id"), 1.0, keep=["q", "at"])
-    return exact.withColumn("distance_km", F.sqrt(apart("", "at."))).where(F.col("distance_km") <= F.col("at.radius_km")).select("q", "id", "distance_km")
+    first, names = copies(objs)
+    q, layout = dealt_by_step(queries, "q", step_s)
+    with dealt_by_part(objs.sparkSession):
+        near = checkpoint(near_orbits(q, first, layout, ["q"], step_s, most).select("q", F.col("id").alias("one"), "distance_km"))
+    return near.join(names, "one").select("q", "id", "distance_km")
 
 
 def contained(sets: DataFrame, holders: DataFrame) -> DataFrame:

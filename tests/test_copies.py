@@ -73,3 +73,29 @@ def test_holders_as_words(spark, monkeypatch):
     got = sorted((r.s, r.h) for r in spatial.contained(sets, holders).collect())
     assert got == [(10, h) for h in range(640)] + [(11, h) for h in range(640) if h % 7]
     assert max(df.count() for df in kept) <= 640 < holders.count()
+
+
+def test_neighbours_of_copies(spark, copied, monkeypatch):
+    """All 110 objects ask, each at its own time, for what 75 orbits hold; every object of these is named."""
+    read = []
+    monkeypatch.setattr(spatial, "near_orbits", lambda queries, orbits, *rest, seek=spatial.near_orbits: (read.append((queries.count(), orbits.count())), seek(queries, orbits, *rest))[1])
+    got, want, bad = mismatch(spark, space.neighbours, catalog.ORACLES["neighbours"], copied)
+    assert got == want > 0 and not bad, (got, want, bad)
+    assert read == [(110, 75)]
+
+
+@pytest.mark.parametrize("names", [1, 5, 1 << 26])
+def test_cells_that_share_a_name(spark, copied, monkeypatch, names):
+    """What is near is found once, however few names the cells of a level have."""
+    monkeypatch.setattr(spatial, "CELL_NAMES", names)
+    got, want, bad = mismatch(spark, space.neighbours, catalog.ORACLES["neighbours"], copied)
+    assert got == want > 0 and not bad, (got, want, bad)
+
+
+def test_near_points_without_broadcast(spark, copied):
+    """More orbits than are broadcast give the same pairs."""
+    o = space.objects(spark, copied)
+    at = space.states_at(o.selectExpr("*", "id % 7 * 3600 + 0.25 AS k"), 1.0)
+    q = at.select(F.col("id").alias("q"), F.col("k").cast("double").alias("t_s"), "x", "y", "z", (F.col("id") % 3 * 900.0).alias("radius_km"))
+    some, all_ = (sorted((r.q, r.id, round(r.distance_km, 6)) for r in spatial.near_points(q, o, most=n).collect()) for n in (10, 1000))
+    assert some == all_ and len(some) > 200
