@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.derived import states_at
-from .graph import ROWS_A_TASK, checkpoint
+from .graph import checkpoint
 from .screening import _settled, copies, dealt_by_part
 from .statistics import histogram_quantiles
 
@@ -21,6 +21,8 @@ CELL_KM = 64.0
 SPEED_KMS = 8.0
 #: Widening (km) of every ball, against rounding between the step and the exact time.
 SLACK_KM = 1e-3
+#: Queries that a task holds, each up to 27 times.
+QUERIES_A_TASK = 50_000
 #: Names of the cells of a level; cells may share one. The level is the rest of the number, 0 to 31.
 CELL_NAMES = 1 << 26
 
@@ -33,7 +35,7 @@ def dealt_by_step(queries: DataFrame, key: str, step_s: float = 60.0) -> tuple[D
     """
     spark, k = queries.sparkSession, F.floor(F.col("t_s") / step_s + 0.5)
     n, steps = queries.agg(F.count(F.lit(1)), F.count_distinct(k)).first()
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism, -(-n // ROWS_A_TASK))
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism, -(-n // QUERIES_A_TASK))
     shares = max(1, -(-4 * tasks // max(1, steps)))
     return queries.withColumn("deal", (k * shares + F.pmod(F.hash(key), F.lit(shares))).cast("int")).repartition(tasks, "deal"), (shares, tasks)
 
@@ -52,11 +54,10 @@ def near_orbits(queries: DataFrame, orbits: DataFrame, layout: tuple[int, int],
     q = queries.withColumn("reach", F.col("radius_km") + SPEED_KMS * F.abs(F.col("t_s") - k * step_s) + SLACK_KM)
     q = q.withColumn("level", F.greatest(F.lit(0), F.least(F.lit(31), F.ceil(F.log2(F.col("reach") / CELL_KM)))).cast("int"))
     q = q.withColumn("size", F.lit(CELL_KM) * F.pow(F.lit(2.0), F.col("level")))
-    along = lambda c: F.sequence(F.floor((F.col(c) - F.col("reach")) / F.col("size")), F.floor((F.col(c) + F.col("reach")) / F.col("size")))
-    # deal and cell are one number to the join; a query asks for each name once, and what another cell of that name holds is too far
+    along = lambda c: F.explode(F.sequence(F.floor((F.col(c) - F.col("reach")) / F.col("size")), F.floor((F.col(c) + F.col("reach")) / F.col("size"))))
+    # deal and cell are one number to the join, by the cell's name; that it is the cell itself is asked of what meets
     named = lambda level, x, y, z: F.pmod(F.hash(x, y, z), F.lit(CELL_NAMES)) + level * CELL_NAMES
-    cells = F.flatten(F.transform(along("x"), lambda x: F.flatten(F.transform(along("y"), lambda y: F.transform(along("z"), lambda z: named(F.col("level"), x, y, z))))))
-    probes = q.withColumn("cell", F.explode(F.array_distinct(cells)))
+    probes = q.withColumn("cx", along("x")).withColumn("cy", along("y")).withColumn("cz", along("z")).withColumn("cell", named(F.col("level"), "cx", "cy", "cz"))
     wanted = q.groupBy("deal").agg(F.collect_set(F.struct("level", "size")).alias("levels"))
     orbit = orbits.select("id", "a_km", "inc", "raan", "phase")
     if orbits.count() <= most:
@@ -67,7 +68,8 @@ def near_orbits(queries: DataFrame, orbits: DataFrame, layout: tuple[int, int],
     placed = states_at(met.withColumn("k", k), step_s, ["deal", "levels"]).select("deal", "id", F.explode("levels").alias("of"), *[F.col(c).alias(f"o{c}") for c in "xyz"])
     placed = placed.select("deal", "id", "ox", "oy", "oz", named(F.col("of.level"), *[F.floor(F.col(f"o{c}") / F.col("of.size")) for c in "xyz"]).alias("cell"))
     apart = lambda a, b: reduce(lambda x, y: x + y, [(F.col(f"{a}{c}") - F.col(f"{b}{c}")) * (F.col(f"{a}{c}") - F.col(f"{b}{c}")) for c in "xyz"])
-    both = placed.join(probes.hint("shuffle_hash"), ["deal", "cell"]).where(apart("", "o") <= F.col("reach") * F.col("reach"))
+    same = reduce(lambda x, y: x & y, [F.floor(F.col(f"o{c}") / F.col("size")) == F.col(f"c{c}") for c in "xyz"])
+    both = placed.join(probes.hint("shuffle_hash"), ["deal", "cell"]).where((apart("", "o") <= F.col("reach") * F.col("reach")) & same)
     both = both.select("deal", *keys, "id", F.col("t_s").alias("k"), F.struct("x", "y", "z", "radius_km").alias("at")).join(orbit, "id")
     exact = states_at(both, 1.0, keep=["deal", *keys, "at"])
     exact = _settled(exact.withColumn("distance_km", F.sqrt(apart("", "at."))).select("deal", *keys, "id", "distance_km", F.col("at.radius_km").alias("__radius")))

@@ -99,3 +99,30 @@ def test_near_points_without_broadcast(spark, copied):
     q = at.select(F.col("id").alias("q"), F.col("k").cast("double").alias("t_s"), "x", "y", "z", (F.col("id") % 3 * 900.0).alias("radius_km"))
     some, all_ = (sorted((r.q, r.id, round(r.distance_km, 6)) for r in spatial.near_points(q, o, most=n).collect()) for n in (10, 1000))
     assert some == all_ and len(some) > 200
+
+
+@pytest.fixture(scope="module")
+def alerted(tmp_path_factory):
+    """Sixty objects on one orbit, some others on orbits alike, and alerts of them: repeated rows, second objects inside and outside the catalogue."""
+    folder = tmp_path_factory.mktemp("alerted")
+    keys = sorted({*(7200 * i for i in range(60)), *range(40), *range(50400, 50420)})
+    rows = [(i, keys[i * 7 % len(keys)], keys[(i * 7 + 1 + i % 11) % len(keys)] if i % 3 else 900000 + i, 1 + i % 4, float(i % 50)) for i in range(400)]
+    rows = [r for r in rows if r[1] != r[2]] + rows[:30]
+    pq.write_table(pa.table({"s_suppkey": keys}), f"{folder}/supplier.parquet")
+    names = ["l_orderkey", "l_suppkey", "l_partkey", "l_linenumber", "l_quantity"]
+    pq.write_table(pa.table({n: list(c) for n, c in zip(names, zip(*rows, strict=True), strict=True)}), f"{folder}/lineitem.parquet")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["zone_objects"])
+def test_zones_of_copies(spark, alerted, monkeypatch, name):
+    """Centres are those of orbits; a zone moves once, to the list of its centre, and no object of it moves at all."""
+    asked = []
+    monkeypatch.setattr(spatial, "near_orbits", lambda queries, *rest, seek=spatial.near_orbits: (asked.append(queries.count()), seek(queries, *rest))[1])
+    got, want, bad = mismatch(spark, catalog.QUERIES[name], catalog.ORACLES[name], alerted)
+    assert got == want > 300 and not bad, (got, want, bad)
+    o = space.objects(spark, alerted)
+    z = space.zones(spark, alerted).join(o, F.col("sat1") == o["id"])
+    assert asked == [z.select("t_s", *screening.ORBIT).distinct().count()] and asked[0] < z.select("t_s", "sat1").distinct().count()
+    plan = catalog.QUERIES[name](spark, alerted)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(one") == plan.count("Exchange hashpartitioning") == 2
